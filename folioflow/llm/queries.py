@@ -10,12 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_automaton import encode_digests
 from .common import table
 from .packing import pack_documents
+from .quality_cnn import classify
+from .quality_rules import apply_rules
 from .token_counts import count_tokens
 from .token_files import token_file_digests
+from .toxicity import score_toxicity
 
 WORD_BPE, BYTE_BPE, END_ID, TOKEN_LIMIT = "word_bpe_49k.json", "byte_bpe_50k.json", 2, 1024
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -28,12 +39,16 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), END_ID)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), END_ID)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe_automaton, op4_token_counts, op5_token_files, op9_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_bpe_automaton, op4_token_counts, op5_token_files, op6_toxicity, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
