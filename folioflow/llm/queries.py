@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_automaton import encode_digests
 from .common import table
+from .jaccard_join import jaccard_classes
 from .packing import pack_documents
 from .quality_cnn import classify
 from .quality_rules import apply_rules
@@ -43,12 +44,16 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), END_ID)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_bpe_automaton, op4_token_counts, op5_token_files, op6_toxicity, op9_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_bpe_automaton, op4_token_counts, op5_token_files, op6_toxicity, op7_jaccard_join, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
