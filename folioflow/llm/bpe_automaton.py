@@ -37,11 +37,11 @@ from tokenizers import Tokenizer
 from .common import WHITE_SPACE, id_and_text, read_bytes, text_batches
 
 #: Entries that a worker keeps of its tables of transitions and of encoded strings.
-TRANSITIONS, STRINGS = 1_000_000, 400_000
+TRANSITIONS, STRINGS = 1_000_000, 500_000
 
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPACES = re.compile(f"[{WHITE_SPACE}]+")
-_END = "</w>"
+_END, _POINTS = "</w>", frozenset(".,;:!?")
 
 
 def byte_symbols() -> list[str]:
@@ -97,21 +97,6 @@ def _has_arc(q, t, left, rank, copied, lost, made) -> bool:
     return True
 
 
-def _have_arcs(a: Automaton, q: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """_has_arc for arrays of states and tokens."""
-    out = np.ones(len(q), dtype=bool)
-    at, q, t = np.arange(len(q)), q.copy(), t.copy()
-    while len(at):
-        no = a.lost[q] == t
-        out[at[no]] = False
-        go = ~no & (q > 0)
-        at, q, t = at[go], q[go], t[go]
-        old = a.made[q] <= a.rank[t]
-        t = np.where(old, a.left[t], t)
-        q = np.where(old, q, a.copied[q])
-    return out
-
-
 class Table:
     """Integers by non-negative integer keys, in open addressing with numpy."""
 
@@ -149,6 +134,45 @@ class Table:
         return out
 
 
+class Transitions:
+    """Asks an automaton for arcs, for many states and tokens at once.
+
+    A state's lost arcs come from merges (u, v) with u at the right edge of the token that leads to it, a token's gained
+    arcs from its left edge. Both edges are walked back in the order of their merges, the later one first; a merge of the
+    two edges that came before the next ones took the arc away.
+    """
+
+    def __init__(self, automaton: Automaton, merges: list[tuple[int, int, int]]):
+        self.left, self.rank = automaton.left, automaton.rank
+        self.right = np.arange(len(self.left), dtype=np.int32)
+        u, v, w = np.asarray(merges, dtype=np.int64).T
+        self.right[w] = v
+        self.pairs = Table(18)
+        self.pairs.put(u << 17 | v, np.arange(len(w), dtype=np.int32))
+        self.token = np.zeros(len(automaton.copied), dtype=np.int64)  # a token that leads to each state
+        self.token[automaton.target] = np.arange(len(automaton.target))
+        self.start = np.zeros(len(automaton.copied), dtype=bool)
+        self.start[0] = True
+
+    def have(self, q: np.ndarray, t: np.ndarray) -> np.ndarray:
+        out = np.ones(len(q), dtype=bool)
+        at = np.flatnonzero(~self.start[q])
+        u, t = self.token[q[at]], t[at].astype(np.int64)
+        never = np.iinfo(np.int32).max
+        until_u, until_t = np.full(len(at), never), np.full(len(at), never)
+        while len(at):
+            r = self.pairs.get(u << 17 | t)
+            no = (r >= 0) & (r < until_u) & (r <= until_t)
+            out[at[no]] = False
+            ru, rt = self.rank[u], self.rank[t]
+            go = ~no & ((ru >= 0) | (rt >= 0))
+            at, u, t, until_u, until_t, ru, rt = at[go], u[go], t[go], until_u[go], until_t[go], ru[go], rt[go]
+            later = ru > rt
+            until_u, u = np.where(later, ru, until_u), np.where(later, self.right[u], u)
+            until_t, t = np.where(later, until_t, rt), np.where(later, t, self.left[t])
+        return out
+
+
 class Bpe:
     """Encoder and decoder of one tokenizer definition with byte symbols and word ends, built once in each worker."""
 
@@ -165,7 +189,9 @@ class Bpe:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         for s, i in self.special.items():
             self.labels[i] = s
-        self.automaton = Automaton.compile(len(self.labels), [(vocab[x], vocab[y], vocab[x + y]) for x, y in pairs])
+        merges = [(vocab[x], vocab[y], vocab[x + y]) for x, y in pairs]
+        self.automaton = Automaton.compile(len(self.labels), merges)
+        self._transitions = Transitions(self.automaton, merges)
         self._arcs = Table(21)
         # The trie of the labels over base symbols (bytes, and bytes that end a word), as a table node, symbol -> node.
         number = {s: b for b, s in enumerate(byte_symbols())}
@@ -198,7 +224,7 @@ class Bpe:
             new = np.unique(keys[found < 0])
             if self._arcs.count + len(new) > TRANSITIONS:
                 self._arcs = Table(21)
-            self._arcs.put(new, _have_arcs(self.automaton, new >> 17, new & 0x1FFFF).astype(np.int32))
+            self._arcs.put(new, self._transitions.have(new >> 17, new & 0x1FFFF).astype(np.int32))
             found[found < 0] = self._arcs.get(keys[found < 0])
         return found > 0
 
@@ -262,6 +288,9 @@ class Bpe:
         """The words of a text without white space, as bytes, and special tokens, as their strings."""
         if chunk.isalpha() and chunk.isascii():
             return [chunk.lower().encode()]
+        if chunk[-1] in _POINTS and chunk[:-1].isalpha() and chunk.isascii():
+            low = chunk.lower().encode()
+            return [low[:-1], low[-1:]]
         out: list[bytes | str] = []
         for part in self._specials.split(chunk) if "<" in chunk else (chunk,):
             if part in self.special:
@@ -322,7 +351,7 @@ class Encoded(dict):
         fresh = list({w for ws in words for w in ws if w not in parts})
         parts.update(zip(fresh, map(self.render, self.bpe.words(fresh)), strict=True))
         self.update(zip(new, [parts[ws[0]] if len(ws) == 1 else self.join([parts[w] for w in ws]) for ws in words], strict=True))
-        return [[self[c] for c in cs] for cs in split]
+        return [list(map(self.__getitem__, cs)) for cs in split]
 
 
 _encoded: dict[str, Encoded] = {}
