@@ -254,3 +254,19 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     joined = table.select("doc_id", "n_shingles", "key").join(by_key, "key", "left")
     # Rows with one id but different texts are one node of the graph.
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def without_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents but for all of each class of linked ones except the one with the smallest id; all columns stay.
+
+    Of rows that are equal in id and text one stays. Documents without words and rows with a null id link with nothing and
+    stay.
+    """
+    classes = jaccard_classes(docs, shingle, percent, id_col, text_col)
+    heads = classes.where("doc_id = component_id").select(F.col("doc_id").alias(_HEAD)).distinct()
+    named = docs.where(F.col(id_col).isNotNull())
+    kept = named.join(heads, named[id_col].cast("long") == heads[_HEAD], "left_semi").dropDuplicates([id_col, text_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+
+
+_HEAD = "__folioflow_head"

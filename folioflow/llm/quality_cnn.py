@@ -15,16 +15,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, text_batches
+from .common import id_and_text, slices_by_bytes, text_batches
 
 #: Labelled rows of each class, and characters of them all, used for training at most.
 MOST_ROWS, MOST_CHARS = 600, 6_000_000
 EMBED, WIDTH, STRIDE, FILTERS, HIDDEN, BLOCK = 6, 8, 2, 24, 16, 64
 STEPS, BATCH, RATE, SEED = 600, 24, 4e-3, 7
+HELD_OUT = "crc32(cast(doc_id as string)) % 3 = 1"  # rows that are never learned from
 _SLICE = 1024  # blocks convolved at once
 
 Weights = dict[str, np.ndarray]
@@ -167,7 +169,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, m
     return [(r["text"] or "", r["y"]) for r in rows.orderBy(order, "doc_id").limit(2 * most).collect()]
 
 
-def classify(docs: DataFrame, labels: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 3 = 1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fit(texts: DataFrame, labels: DataFrame, held_out: str) -> Weights:
+    """The network trained on the driver on the bounded sample of labelled rows for which held_out doesn't hold."""
+    sample = labelled_sample(texts, labels.where(~F.expr(held_out)), "quality", MOST_ROWS, MOST_CHARS)
+    return train([t.encode() for t, _ in sample], [y for _, y in sample])
+
+
+def accepted(docs: DataFrame, labels: DataFrame, held_out: str = HELD_OUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that the classifier predicts to be good, with all their columns; null and empty texts are scored too."""
+    weights = docs.sparkSession.sparkContext.broadcast(fit(id_and_text(docs, id_col, text_col), labels, held_out))
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        part = [t.encode() if t else b"" for t in texts]
+        cuts = list(slices_by_bytes(part, 1 << 20))
+        return pd.Series(np.concatenate([forward(weights.value, part[a:b]) for a, b in cuts]) if cuts else np.zeros(0))
+
+    return docs.where(score(F.col(text_col)) >= 0.5)
+
+
+def classify(docs: DataFrame, labels: DataFrame, held_out: str = HELD_OUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every whole text: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5).
 
     Rows for which held_out holds are never learned from. Labels other than 0 and 1, of unknown documents or repeated are
@@ -175,9 +196,7 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: str = "crc32(cast(doc
     labels every score is 0.5.
     """
     texts = id_and_text(docs, id_col, text_col)
-    sample = labelled_sample(texts, labels.where(~F.expr(held_out)), "quality", MOST_ROWS, MOST_CHARS)
-    w = train([t.encode() for t, _ in sample], [y for _, y in sample])
-    weights = docs.sparkSession.sparkContext.broadcast(w)
+    weights = docs.sparkSession.sparkContext.broadcast(fit(texts, labels, held_out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, part in text_batches(batches, 1 << 20):

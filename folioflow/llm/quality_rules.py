@@ -30,19 +30,21 @@ RULES = {
     "upper": ("n_upper / greatest(word_chars, 1)", (0.9, 0.8, 0.7, 0.6, 0.5, 0.4)),
 }
 SPACES = r"\\x20\\x09-\\x0D"
+_KEY = "__folioflow_text_hash"
 _POSITION = 24  # bits for a word's place in its document, below the bits of a window's hash
 
 
-def base_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """doc_id, stratum and the counts of each whole text; a null text has no words.
+def base_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", keep: Column | None = None) -> DataFrame:
+    """doc_id, stratum, `keep` and the counts of each whole text; a null text has no words.
 
     Windows of three words are compared by hash with their place in one sorted array, and neighbours with equal hashes
     word by word; a text of over 2^24 words is compared by its windows themselves.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kept = [] if keep is None else [keep]
+    names = ["doc_id", "stratum", *docs.select(*kept).columns]
+    d = docs.select(*kept, F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     d = d.select(
-        "doc_id",
-        "stratum",
+        *names,
         F.expr(f"regexp_extract_all(text, '[^{SPACES}]+', 0)").alias("words"),
         F.expr(f"filter(split(text, '\\n'), x -> x rlike '[^{SPACES}]')").alias("lines"),
         F.expr("regexp_count(text, '[#*$%&|<>]')").cast("long").alias("n_symbols"),
@@ -61,8 +63,7 @@ def base_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     equal = "(grams[{0}].a = grams[{1}].a and grams[{0}].b = grams[{1}].b and grams[{0}].c = grams[{1}].c)"
     slow = f"transform(filter(sequence(0, size(grams) - 1), k -> (k > 0 and {equal.format('k', 'k - 1')}) or (k < size(grams) - 1 and {equal.format('k', 'k + 1')})), k -> grams[k].i)"
     return d.select(
-        "doc_id",
-        "stratum",
+        *names,
         "n_words",
         F.expr("aggregate(words, 0L, (s, w) -> s + length(w))").alias("word_chars"),
         "n_symbols",
@@ -118,15 +119,26 @@ def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     with equal or null ids too; labels that are null or of unknown documents are not used. Without labels no rule rejects,
     only the base test does. An empty or null text has no words, so its base test fails.
     """
-    measured = stored(base_measures(docs, id_col, text_col, stratum_col))
+    verdicts = _verdicts(stored(base_measures(docs, id_col, text_col, stratum_col)), labels)
+    return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """The documents that the rules keep, with all their columns.
+
+    A verdict goes back to its rows by id, stratum and a hash of the text: rows that are equal in these have one verdict.
+    """
+    texts = docs.withColumn(_KEY, F.xxhash64(F.col(text_col)))
+    measures = base_measures(docs, id_col, text_col, stratum_col, keep=F.xxhash64(F.col(text_col)).alias("text_hash"))
+    kept = _verdicts(stored(measures), labels).where("kept").select("doc_id", "stratum", "text_hash")
+    same = texts[id_col].cast("long").eqNullSafe(kept["doc_id"]) & (F.coalesce(texts[stratum_col], F.lit("")) == kept["stratum"]) & (texts[_KEY] == kept["text_hash"])
+    return texts.join(kept, same, "left_semi").drop(_KEY)
+
+
+def _verdicts(measured: DataFrame, labels: DataFrame) -> DataFrame:
     found = F.broadcast(cutoffs(measured, labels))  # MOST_STRATA rows and one
     common = F.broadcast(found.where("stratum = '*'").select(*(F.col(f"cut_{r}").alias(f"all_{r}") for r in RULES)))
     bad = F.lit(False)
     for r, (m, _) in RULES.items():
         bad = bad | F.coalesce(F.expr(m) > F.coalesce(f"cut_{r}", f"all_{r}"), F.lit(False))
-    return (
-        measured.join(found.where("stratum <> '*'"), "stratum", "left")
-        .join(common, how="left")
-        .withColumn("kept", ~F.col("base_failed") & ~bad)
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    )
+    return measured.join(found.where("stratum <> '*'"), "stratum", "left").join(common, how="left").withColumn("kept", ~F.col("base_failed") & ~bad)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_automaton import encode_digests
 from .common import table
 from .embedding_graph import near_duplicates
+from .html_extract import extract
 from .jaccard_join import jaccard_classes
 from .packing import pack_documents
 from .quality_cnn import classify
@@ -57,8 +58,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), END_ID)
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_bpe_automaton, op4_token_counts, op5_token_files, op6_toxicity, op7_jaccard_join, op8_embedding_graph, op9_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_bpe_automaton, op4_token_counts, op5_token_files, op6_toxicity, op7_jaccard_join, op8_embedding_graph, op9_packing, op10_html_extract)}
 
 
 def oracle_sql() -> dict[str, str]:
