@@ -10,10 +10,11 @@ so that two such sets always share a band. A band splits the shingle domain into
   are passed over, no two sets meet in them. Only a set with fewer such parts emits its empty ones too.
 
 Documents with one set are first brought together by the set's 128-bit key. Signatures are grouped; documents that share
-one are candidates. First each document is compared with the smallest document of the group that it shares most signatures
-with; the links found make components. Then, in groups that still hold several components, documents of different
-components are compared. So a large group of copies costs a comparison for each document, no link between different texts
-is lost, and pairs inside a component are never made.
+one are candidates. First each document is compared with one document of the group that it shares most signatures with;
+the links found make components. Then, in groups that still hold several components, documents of different components
+are compared. So a large group of copies costs a comparison for each document, no link between different texts is lost, and
+pairs inside a component are never made. Before two sets are brought together, a few parity bits of each give a lower bound
+of their Hamming distance, which turns most candidates down.
 """
 
 from __future__ import annotations
@@ -168,16 +169,29 @@ def signature_table(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, n_shingles long, key binary, signatures array<long>")
 
 
-def wanted_sets(texts: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """doc_id and shingle hashes of (at least) the documents listed, found by a bitmap of fixed size."""
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS))
-    bits = ids.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number(F.col("spot") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("spot") + 1)).alias("bits"))
+def bitmap_of(ids: DataFrame, column: str = "doc_id") -> np.ndarray:
+    """A bitmap of fixed size with the hashed places of all ids."""
+    spot = F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS)) + 1
+    bits = ids.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
     bitmap = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
-    for r in bits.collect():  # at most BITMAP_BITS / 8 bytes
+    for r in bits.toLocalIterator():  # at most BITMAP_BITS / 8 bytes
         piece = np.frombuffer(r["bits"], dtype=np.uint8)
         at = (r["bucket"] - 1) * len(piece)
         bitmap[at : at + len(piece)] = piece[: len(bitmap) - at]
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+    return bitmap
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """One bit for each of 4 to 8 times as many places as shingles (a power of two, 64 at least): whether the number of
+    shingles at the place is odd. The bits in which two sets differ are no more than their Hamming distance."""
+    bits = max(64, 1 << (4 * len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def wanted_sets(texts: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, size, parity bits and shingle hashes of (at least) the documents listed, found by a bitmap of fixed size."""
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap_of(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,13 +199,39 @@ def wanted_sets(texts: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
             rows = np.flatnonzero(shared.value[spots >> 3] >> (spots & 7).astype(np.uint8) & 1)
             for a in range(0, len(rows), 128):
                 part = batch.take(pa.array(rows[a : a + 128]))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists([shingle_set(t or "", shingle) for t in part.column("text").to_pylist()])], ["doc_id", "hashes"])
+                sets = [shingle_set(t or "", shingle) for t in part.column("text").to_pylist()]
+                columns = [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), _lists([parity(x) for x in sets]), _lists(sets)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "size", "parity", "hashes"])
+
+    spotted = texts.where("doc_id is not null").withColumn("spot", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)))
+    return spotted.mapInArrow(run, "doc_id long, size long, parity array<long>, hashes array<long>")
 
-    return texts.where("doc_id is not null").withColumn("spot", spot).mapInArrow(run, "doc_id long, hashes array<long>").dropDuplicates(["doc_id"])
+
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose parity bits don't rule out the similarity: a lower bound of the Hamming distance, so none is lost.
+
+    The longer bits are folded to the length of the shorter ones, which keeps parities.
+    """
+    side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("size").alias(f"n{k}"), F.col("parity").alias(f"p{k}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    joined = joined.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("na") > 0))
+    long, short = F.when(F.size("pa") > F.size("pb"), F.col("pa")).otherwise(F.col("pb")), F.when(F.size("pa") > F.size("pb"), F.col("pb")).otherwise(F.col("pa"))
+    joined = joined.withColumn("long", long).withColumn("short", short)
+    fold = F.when(F.size("long") == F.size("short"), F.col("long")).otherwise(F.zip_with(F.slice("long", 1, F.size("short")), F.slice("long", F.size("short") + 1, F.size("short")), lambda x, y: x.bitwiseXOR(y)))
+    differ = F.aggregate(F.zip_with(fold, "short", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    # Similar sets differ in at most (100 - percent) / (100 + percent) of their sizes' sum.
+    return joined.where((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))).select(*pairs.columns)
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets have a Jaccard similarity of at least percent / 100."""
+    """Those of the pairs (a, b) whose sets have a Jaccard similarity of at least percent / 100; only their sets are moved."""
+    pairs = stored(pairs.select("a", "b"))
+    needed = sets.sparkSession.sparkContext.broadcast(bitmap_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spots = batch.column("spot").to_numpy()
+            yield batch.filter(pa.array((needed.value[spots >> 3] >> (spots & 7).astype(np.uint8) & 1).astype(bool))).select(["doc_id", "hashes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,16 +239,15 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = []
             for i in range(batch.num_rows):
                 x, y = left[i].values.to_numpy(), right[i].values.to_numpy()
-                small, large = min(len(x), len(y)), max(len(x), len(y))
-                if 100 * small < percent * large:
-                    keep.append(False)
-                    continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    a, b = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
-    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    picked = sets.select("doc_id", "hashes", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)).alias("spot")).mapInArrow(pick, "doc_id long, hashes array<long>")
+    a, b = picked.withColumnsRenamed({"doc_id": "a", "hashes": "x"}), picked.withColumnsRenamed({"doc_id": "b", "hashes": "y"})
+    found = stored(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    drop_stored(pairs)
+    return found
 
 
 def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,40 +258,45 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     its component is its doc_id. A null doc_id keeps a null component and takes no part.
     """
     texts = id_and_text(docs, id_col, text_col)
-    table = stored(signature_table(texts, shingle, percent))
+    signed = stored(signature_table(texts, shingle, percent))
+    table = stored(signed.select("doc_id", "n_shingles", "key"))
     known = table.where("doc_id is not null and n_shingles > 0")
     heads = stored(known.groupBy("key").agg(F.min("doc_id").alias("head")))  # combined before the shuffle
 
     # Groups of documents that share a signature, with the class of equal sets in the documents' place.
-    rows = known.where(F.size("signatures") > 0).select("doc_id", "key", F.explode("signatures").alias("signature"))
-    shared = rows.withColumn("n", F.count("*").over(Window.partitionBy("signature"))).where("n > 1")
-    first = stored(shared.select("signature", "doc_id"))
+    rows = signed.where("doc_id is not null").select("doc_id", F.explode("signatures").alias("signature"))
+    first = stored(rows.withColumn("n", F.count("*").over(Window.partitionBy("signature"))).where("n > 1").select("signature", "doc_id"))
+    drop_stored(signed)
     ids = first.select("doc_id").distinct()
-    to_head = stored(known.join(ids, "doc_id", "left_semi").select("doc_id", "key").join(heads, "key").select("doc_id", "head").distinct())
+    to_head = known.join(ids, "doc_id", "left_semi").join(heads, "key").select("doc_id", "head").distinct()
     groups = stored(first.join(to_head, "doc_id").select("signature", F.col("head").alias("doc_id")).distinct())
     drop_stored(first)
     sets = stored(wanted_sets(texts, groups.select("doc_id").distinct(), shingle))
 
-    # Each document against the smallest of the group it shares most signatures with.
-    least = groups.groupBy("signature").agg(F.min("doc_id").alias("b"))
-    stars = groups.join(least, "signature").where("doc_id <> b").groupBy("doc_id", "b").agg(F.count("*").alias("n"))
-    star = stars.groupBy("doc_id").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
-    links = stored(similar(star.select(F.col("doc_id").alias("a"), "b"), sets, percent))
-    parts = stored(connected_components(links))
+    # Each document against one of the group's: the smallest, and in a second round the largest, of the group that it shares
+    # most signatures with.
+    parts, links, left = None, None, groups
+    for pick in (F.min, F.max):
+        chosen = left.groupBy("signature").agg(pick("doc_id").alias("b"))
+        stars = left.join(chosen, "signature").where("doc_id <> b").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("n"))
+        star = possible(stars, sets, percent).groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
+        found = similar(star, sets, percent)
+        links = found if links is None else links.union(found)
+        parts = connected_components(links)
+        # Groups that still hold several components.
+        placed = groups.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        open_ = placed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("signature")
+        left = stored(placed.join(open_, "signature", "left_semi"))
 
     # Documents of different components that still share a group.
-    placed = groups.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_ = placed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("signature")
-    rest = stored(placed.join(open_, "signature", "left_semi"))
-    a, b = rest.toDF("signature", "a", "part_a"), rest.toDF("signature", "b", "part_b")
+    a, b = left.select("signature", F.col("doc_id").alias("a"), F.col("component").alias("part_a")), left.select("signature", F.col("doc_id").alias("b"), F.col("component").alias("part_b"))
     pairs = a.join(b, "signature").where("a < b and part_a <> part_b").select("a", "b").distinct()
-    more = stored(similar(pairs, sets, percent))
+    more = similar(possible(pairs, sets, percent), sets, percent)
     drop_stored(sets)
     classes = connected_components(links.union(more)).select(F.col("node").alias("head"), F.col("component").alias("of_head"))
 
     by_key = stored(heads.join(classes, "head", "left").select("key", F.coalesce("of_head", "head").alias("component")))
-    joined = table.select("doc_id", "n_shingles", "key").join(by_key, "key", "left")
-    # Rows with one id but different texts are one node of the graph.
+    joined = table.join(by_key, "key", "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
