@@ -37,7 +37,7 @@ from tokenizers import Tokenizer
 from .common import WHITE_SPACE, id_and_text, read_bytes, text_batches
 
 #: Entries that a worker keeps of its tables of transitions and of encoded strings.
-TRANSITIONS, STRINGS = 1_000_000, 500_000
+TRANSITIONS, STRINGS = 1_000_000, 900_000
 
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPACES = re.compile(f"[{WHITE_SPACE}]+")
@@ -286,11 +286,13 @@ class Bpe:
 
     def split(self, chunk: str) -> list[bytes | str]:
         """The words of a text without white space, as bytes, and special tokens, as their strings."""
-        if chunk.isalpha() and chunk.isascii():
-            return [chunk.lower().encode()]
-        if chunk[-1] in _POINTS and chunk[:-1].isalpha() and chunk.isascii():
-            low = chunk.lower().encode()
-            return [low[:-1], low[-1:]]
+        # Letters below U+0250 are composed already, and but for one of them lower case adds nothing to them.
+        if max(chunk) < "ɐ" and "İ" not in chunk:
+            if chunk.isalpha():
+                return [chunk.lower().encode()]
+            if chunk[-1] in _POINTS and chunk[:-1].isalpha():
+                low = chunk.lower().encode()
+                return [low[:-1], low[-1:]]
         out: list[bytes | str] = []
         for part in self._specials.split(chunk) if "<" in chunk else (chunk,):
             if part in self.special:

@@ -13,7 +13,9 @@ names the files of the attempts that counted, so repeated and speculative attemp
 from __future__ import annotations
 
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 from .bpe_automaton import Bpe, encoded_of
 from .common import id_and_text, read_bytes, shared_dir, stored, text_batches
 
-FRAME_BYTES, LEVEL = 1 << 18, 3
+FRAME_BYTES, LEVEL = 1 << 18, 1
+_LITTLE = sys.byteorder == "little"
 # Fixed values of the seekable format: magic of the skippable frame that holds the table, and of its end.
 TABLE_MAGIC, SEEK_MAGIC, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 
@@ -74,11 +77,11 @@ class FrameReader:
 
 
 def _bytes_u16(bpe: Bpe):
-    return lambda ids: np.asarray(ids, dtype="<u2").tobytes()
+    return lambda ids: array("H", ids).tobytes() if _LITTLE else np.asarray(ids, dtype="<u2").tobytes()
 
 
 def _bytes_u32(bpe: Bpe):
-    return lambda ids: np.asarray(ids, dtype="<u4").tobytes()
+    return lambda ids: array("I", ids).tobytes() if _LITTLE else np.asarray(ids, dtype="<u4").tobytes()
 
 
 def id_bytes(definition: bytes, texts: list[str], width: int) -> list[bytes]:
