@@ -78,7 +78,7 @@ def rate_breaches(events: DataFrame, most: int = 10, delay: str = "10 minutes")
 CROSSING = "request_id long, counted long, limit_seq long"
 
 
-def quota_crossings(pieces: DataFrame) -> DataFrame:
+def quota_crossings(pieces: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Running words of each request and the piece at which its allowance is reached, given once; words broken off at the
     end of a piece are not counted again. Pieces have request_id, seq, content, remaining, ts; state goes a day after the last
     piece.
@@ -89,7 +89,9 @@ def quota_crossings(pieces: DataFrame) -> DataFrame:
             state.remove()
             return
         counted, limit, broken = state.get if state.exists else (0, None, False)
-        for p in pd.concat(list(parts)).sort_values("seq").itertuples():
+        pieces_now = pd.concat(list(parts)).sort_values("seq")
+        newest = int(pieces_now["ts"].max().timestamp() * 1000)
+        for p in pieces_now.itertuples():
             words = len(p.content.split())
             if broken and words and not p.content[:1].isspace():
                 words -= 1
@@ -99,10 +101,10 @@ def quota_crossings(pieces: DataFrame) -> DataFrame:
                 if counted >= p.remaining:
                     counted, limit = int(p.remaining), int(p.seq)
         state.update((counted, limit, broken))
-        state.setTimeoutDuration(24 * 3600 * 1000)
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 24 * 3600 * 1000)
         yield pd.DataFrame({"request_id": [key[0]], "counted": [counted], "limit_seq": pd.array([limit], dtype="Int64")})
 
-    return pieces.groupBy("request_id").applyInPandasWithState(update, CROSSING, "counted long, limit_seq long, broken boolean", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return pieces.withWatermark("ts", delay).groupBy("request_id").applyInPandasWithState(update, CROSSING, "counted long, limit_seq long, broken boolean", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
