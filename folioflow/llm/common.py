@@ -80,6 +80,14 @@ def text_batches(batches: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iter
             yield batch.slice(a, b - a), texts[a:b]
 
 
+def light_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1000 rows, unless the session asks for smaller ones: rows here hold whole texts or sets."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= 1000:
+        spark.conf.set(key, "1000")
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, under fixed names, whatever other columns there are."""
+    light_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

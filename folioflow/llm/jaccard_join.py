@@ -54,7 +54,7 @@ def _times(n: int) -> np.uint64:
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = h
         return h
