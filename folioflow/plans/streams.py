@@ -47,7 +47,7 @@ def t3_daily_meter(spark: SparkSession, d: str) -> DataFrame:
 @query(SQL["w13_quota_crossing"])
 def t4_quota_stream(spark: SparkSession, d: str) -> DataFrame:
     c = stream(spark, d, "conversations", 100).where("text is not null")
-    p = c.select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"), F.expr("left(text, 100 + cast(turn as int) * 7)").alias("content"), (20 + F.col("conv_id") % 40).alias("remaining"), F.timestamp_seconds(F.col("turn") * 60).alias("ts"))
+    p = c.select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"), F.expr("left(text, 100 + cast(turn as int) * 7)").alias("content"), (20 + F.col("conv_id") % 40).alias("remaining"), F.timestamp_seconds(1_700_000_000 + F.col("turn") * 60).alias("ts"))
     return E.latest(drain(E.quota_crossings(p), "update"), ["request_id"]).select("request_id", "counted", "limit_seq")
 
 
