@@ -208,7 +208,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: str = "crc32(ca
     tune = labelled_sample(texts, known.where(fold == 0), "toxic", MOST_ROWS, MOST_CHARS)
     ordinary, toxic = (ClassModel([t for t, y in train if y == c]) for c in (0, 1))
     counts = np.zeros(1 << SHARED_BITS)
-    for r in corpus_counts(texts).toLocalIterator():  # at most 2^SHARED_BITS rows
+    for r in corpus_counts(texts).collect():  # at most 2^SHARED_BITS rows
         counts[r["place"]] += r["n"]
     shared = Shared(counts.astype(np.float32))
     y = np.asarray([c for _, c in tune])
