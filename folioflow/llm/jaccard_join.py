@@ -273,12 +273,15 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     drop_stored(first)
     sets = stored(wanted_sets(texts, groups.select("doc_id").distinct(), shingle))
 
-    # Each document against one of the group's: the smallest, and in a second round the largest, of the group that it shares
-    # most signatures with.
+    # Each document against one of the group's, of the group that it shares most signatures with: first the one that shares
+    # signatures with most others, as the origin of many copies does, then the smallest, then the largest.
+    sizes = groups.groupBy("signature").agg(F.count("*").alias("size"))
+    central = groups.join(sizes, "signature").groupBy("doc_id").agg(F.sum("size").alias("shares"))
+    groups = stored(groups.join(central, "doc_id"))
     parts, links, left = None, None, groups
-    for pick in (F.min, F.max):
-        chosen = left.groupBy("signature").agg(pick("doc_id").alias("b"))
-        stars = left.join(chosen, "signature").where("doc_id <> b").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("n"))
+    for pick in (F.max_by("doc_id", F.struct("shares", -F.col("doc_id"))), F.min("doc_id"), F.max("doc_id")):
+        chosen = left.groupBy("signature").agg(pick.alias("b"))
+        stars = left.select("signature", "doc_id").join(chosen, "signature").where("doc_id <> b").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("n"))
         star = possible(stars, sets, percent).groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
         found = similar(star, sets, percent)
         links = found if links is None else links.union(found)
