@@ -4,23 +4,27 @@ Each rule rejects documents whose measure exceeds a cutoff. Labelled good docume
 (language), a rule and a cutoff, the number of good documents it would reject is binomial. A cutoff is accepted if the
 exact binomial bound proves, at the rule's share of DELTA, that at most ALPHA of good documents are rejected. Cutoffs are
 tested in a fixed order from lenient to strict until the first one fails, which needs no correction between them; between
-rules and strata DELTA is divided (Bonferroni). The strictest accepted cutoff holds. A stratum whose holdout is too small
-to prove anything uses the cutoff of all documents together, tested as one more stratum; a rule proven nowhere rejects
-nothing.
+rules and strata DELTA is divided (Bonferroni). The strictest accepted cutoff holds. All strata with good documents are
+tested, and all documents together as one more. A stratum that has proven no cutoff of a rule uses the strictest one proven
+for all documents together that at most ALPHA of its own good documents exceed; if there is none, the rule rejects nothing
+in it. So a cutoff of its own holds in the stratum at the stated confidence; a common one is proven for all documents
+together only, and in the stratum is merely not contradicted by its own holdout (a stratum without one has no more than
+the common proof). A rule proven nowhere rejects nothing.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
 #: Most false rejections a rule may have among good documents, and the chance that any proof is wrong.
 ALPHA, DELTA = 0.02, 0.05
-#: Strata with cutoffs of their own: the languages with the most labelled rows; the others use the common cutoffs.
+#: Strata with cutoffs of their own in the SQL of op1; the functions here test every stratum.
 MOST_STRATA = 32
 #: For each rule, its measure and its cutoffs from lenient to strict.
 RULES = {
@@ -89,27 +93,35 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, rules: dict = RULES) -> DataFrame:
-    """One row for each stratum with its accepted cutoff of each rule (null: none), and one for all ('*').
+    """One row for each stratum of the holdout with the cutoff of each rule that holds in it (null: none), and one for all ('*').
 
     labels has doc_id and quality; rows with quality 1 whose base test did not fail are the holdout.
     """
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long")).distinct()
     held = measured.where(~F.col("base_failed")).join(good, "doc_id", "left_semi")
     over = [F.count_if(F.expr(m) > F.lit(c)).alias(f"{r}_{i}") for r, (m, cs) in rules.items() for i, c in enumerate(cs)]
-    counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *over).orderBy(F.desc("n"), "stratum")
-    own = counts.limit(MOST_STRATA)
-    every = held.agg(F.lit("*").alias("stratum"), F.count("*").alias("n"), *over)
-    both = own.unionByName(every)
-    tests = F.count("*").over(Window.partitionBy()) * len(rules)  # over MOST_STRATA rows and one
+    counts = stored(held.groupBy("stratum").agg(F.count("*").alias("n"), *over))  # a row for each stratum
+    names = [c for c in counts.columns if c != "stratum"]
+    sums = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names), (F.count("*") + 1).alias("strata"))
 
-    def strictest(rule: str, values: tuple[float, ...]) -> Column:
+    def strictest(values: tuple[float, ...], holds: Callable[[int, float], Column]) -> Column:
         passed, found = F.lit(True), F.lit(None).cast("double")
         for i, c in enumerate(values):
-            passed = passed & (binomial_tail(F.col("n"), F.col(f"{rule}_{i}"), alpha) <= F.lit(delta) / F.col("tests"))
+            passed = passed & holds(i, c)
             found = F.when(passed, F.lit(c)).otherwise(found)
-        return found.alias(f"cut_{rule}")
+        return found
 
-    return both.withColumn("tests", tests).select("stratum", *(strictest(r, cs) for r, (_, cs) in rules.items()))
+    def proven(rule: str, values: tuple[float, ...]) -> Column:
+        share = F.lit(delta) / (F.col("strata") * len(rules))
+        return strictest(values, lambda i, c: binomial_tail(F.col("n"), F.col(f"{rule}_{i}"), alpha) <= share)
+
+    def uncontradicted(rule: str, values: tuple[float, ...]) -> Column:
+        common = F.col(f"all_{rule}")
+        return strictest(values, lambda i, c: F.coalesce(common <= F.lit(c), F.lit(False)) & (F.col(f"{rule}_{i}") <= F.col("n") * alpha))
+
+    every = sums.select("strata", *(proven(r, cs).alias(f"all_{r}") for r, (_, cs) in rules.items()))
+    own = counts.join(F.broadcast(every), how="cross").select("stratum", *(F.coalesce(proven(r, cs), uncontradicted(r, cs)).alias(f"cut_{r}") for r, (_, cs) in rules.items()))
+    return own.unionByName(every.select(F.lit("*").alias("stratum"), *(F.col(f"all_{r}").alias(f"cut_{r}") for r in rules)))
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
@@ -136,9 +148,10 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def _verdicts(measured: DataFrame, labels: DataFrame) -> DataFrame:
-    found = F.broadcast(cutoffs(measured, labels))  # MOST_STRATA rows and one
+    found = cutoffs(measured, labels)
     common = F.broadcast(found.where("stratum = '*'").select(*(F.col(f"cut_{r}").alias(f"all_{r}") for r in RULES)))
+    own = F.broadcast(found.where("stratum <> '*'").withColumn("held", F.lit(True)))  # a row for each stratum of the holdout
     bad = F.lit(False)
     for r, (m, _) in RULES.items():
-        bad = bad | F.coalesce(F.expr(m) > F.coalesce(f"cut_{r}", f"all_{r}"), F.lit(False))
-    return measured.join(found.where("stratum <> '*'"), "stratum", "left").join(common, how="left").withColumn("kept", ~F.col("base_failed") & ~bad)
+        bad = bad | F.coalesce(F.expr(m) > F.when(F.col("held"), F.col(f"cut_{r}")).otherwise(F.col(f"all_{r}")), F.lit(False))
+    return measured.join(own, "stratum", "left").join(common, how="left").withColumn("kept", ~F.col("base_failed") & ~bad)

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioflow.llm import html_extract, quality_cnn, quality_rules, toxicity
@@ -63,6 +64,20 @@ def test_binomial_tail(spark):
             assert got[n, k] == 1.0
 
 
+def test_cutoffs_of_refuted_and_small_strata(spark):
+    rule = {"symbols": ("n_symbols / greatest(word_chars, 1)", (0.5, 0.3))}
+    # A large language proves both cutoffs, a smaller one refutes 0.3 (a tenth of its good documents exceed it), a small one
+    # neither proves nor contradicts, and 40 languages more are beyond the largest ones, the last with all documents above 0.5.
+    strata = [("big", 20000, 0, 0), ("odd", 400, 40, 0), ("few", 20, 0, 0), *((f"l{i:02}", 25, 0, 0) for i in range(40)), ("zz", 5, 0, 5)]
+    rows = spark.createDataFrame(strata, "stratum string, n int, above int, far int").select("stratum", "above", "far", F.explode(F.sequence(F.lit(1), "n")).alias("i"))
+    measured = rows.select(F.row_number().over(Window.orderBy("stratum", "i")).cast("long").alias("doc_id"), "stratum", F.when(F.col("i") <= F.col("far"), 60).when(F.col("i") <= F.col("above"), 40).otherwise(0).alias("n_symbols"), F.lit(100).alias("word_chars"), F.lit(False).alias("base_failed"))
+    labels = measured.select("doc_id", F.lit(1).alias("quality"))
+    got = {r["stratum"]: r["cut_symbols"] for r in quality_rules.cutoffs(measured, labels, rules=rule).collect()}
+    assert len(got) == len(strata) + 1
+    assert (got["*"], got["big"], got["few"], got["l39"]) == (0.3, 0.3, 0.3, 0.3)
+    assert got["odd"] == 0.5 and got["zz"] is None
+
+
 def test_accepted_keeps_columns_and_rows(spark, tables):
     docs, labels = tables
     extra = docs.withColumn("kept", F.lit("mine")).withColumn("stratum", F.lit(3))
