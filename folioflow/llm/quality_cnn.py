@@ -17,12 +17,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, slices_by_bytes, text_batches
 
-#: Labelled rows of each class, and characters of them all, used for training at most.
+#: Labelled rows of each class, and characters of their whole texts together, used for training at most.
 MOST_ROWS, MOST_CHARS = 600, 6_000_000
 EMBED, WIDTH, STRIDE, FILTERS, HIDDEN, BLOCK = 6, 8, 2, 24, 16, 64
 STEPS, BATCH, RATE, SEED = 600, 24, 4e-3, 7
@@ -159,13 +159,20 @@ def train(texts: list[bytes], labels: list[int], steps: int = STEPS, seed: int =
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, most_chars: int) -> list[tuple[str, int]]:
-    """At most `most` rows of each class with their texts, chosen by a hash of the id; a bounded number, fit for the driver."""
+    """At most `most` rows of each class with their whole texts, in the order of a hash of the id, fit for the driver.
+
+    The texts of one class have at most most_chars / 2 characters together: those after that sum are left out as wholes, and
+    so are single texts that are longer than it. No text is cut.
+    """
     order = F.xxhash64("doc_id")
     known = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     parts = [known.where(F.col("y") == c).orderBy(order, "doc_id").limit(most) for c in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # 2 * most rows
-    each = most_chars // (2 * most) * 8
-    rows = docs.join(chosen, "doc_id").select("doc_id", F.substring("text", 1, each).alias("text"), "y").dropDuplicates(["doc_id"])
+    share = most_chars // 2
+    length = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    rows = docs.join(chosen, "doc_id").where(length <= share).select("doc_id", "text", "y").dropDuplicates(["doc_id"])
+    so_far = F.sum(length).over(Window.partitionBy("y").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # at most `most` rows a class
+    rows = rows.withColumn("so_far", so_far).where(F.col("so_far") <= share)
     return [(r["text"] or "", r["y"]) for r in rows.orderBy(order, "doc_id").limit(2 * most).collect()]
 
 
