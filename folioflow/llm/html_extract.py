@@ -5,7 +5,10 @@ discounted by the share of its text that stands in links, to its ancestors: all
 next, and less to those above. A container's points are discounted by its own link density. The container with the most
 points is kept, or the article or main element it stands in; otherwise also its siblings with enough points and sibling
 paragraphs of plain text. Menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are told by their elements, roles and class names, or as lists that are mostly links, and never take part.
+comments are told by their elements and roles, or as lists that are mostly links, and never take part. Class names and ids
+only lower the points of what is inside, little for a word of a longer name, much for a whole name, and never those of text
+blocks or of what an article or main element stands in. Elements with a whole such name are left out beside the container
+that is kept, and in it only if it is the page or its body.
 """
 
 from __future__ import annotations
@@ -23,7 +26,9 @@ _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript textarea iframe template svg math title object audio video canvas select".split())
+_RAW = frozenset("script style noscript textarea iframe title".split())
+#: Elements without text of the page; they end like others, with their parent at the latest.
+_EMPTY = frozenset("template svg object audio video canvas select".split())
 _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -35,6 +40,8 @@ _DROPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar aside comment comments disqus respond replies cookie cookies consent gdpr notice notices notification alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs footer masthead share sharing social related recommended recommendations newsletter subscribe subscription signup login search widget pagination pager toolbar skip".split()
 )
 _WHOLE = frozenset(["html", "body", "article", "main"])
+#: What a word of a class name or id, and a whole one, leave of the points inside.
+_WORTH = (1.0, 0.5, 0.1)
 #: Open elements that a start tag ends, up to the elements that bound the search.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 _LISTS = frozenset("ul ol dl div section table".split())
@@ -44,7 +51,7 @@ class Page:
     """Elements (tag, parent, whether an article) and blocks (element, text, characters in links) of one page."""
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.blocks = ["#page"], [-1], []
+        self.tags, self.parents, self.named, self.blocks = ["#page"], [-1], [0], []
         self._stack, self._parts, self._linked, self._skip = [0], [], 0, 0
         at, end = 0, len(source)
         while at < end:
@@ -59,11 +66,14 @@ class Page:
             tag = tag.lower()
             if m[1] or m[4]:
                 self._close(tag)
-            elif tag in _RAW:
+                continue
+            attributes = m[3] or m[6] or ""
+            closed = attributes.rstrip().endswith("/")
+            if tag in _RAW and not closed:
                 close = re.compile(f"</{tag}[^>]*>", re.I).search(source, at)
-                at = close.end() if close else end
-            else:
-                self._open(tag, m[3] or m[6] or "")
+                at = close.end() if close else end if tag in ("script", "style") else at
+            elif tag not in _RAW and not (closed and (tag in _EMPTY or tag == "math")):
+                self._open(tag, attributes)
         self._flush()
 
     def _text(self, text: str) -> None:
@@ -106,20 +116,32 @@ class Page:
         self.tags.append(tag)
         self.parents.append(self._stack[-1])
         self._stack.append(len(self.tags) - 1)
-        if not self._skip and tag not in _WHOLE and (tag in _DROPPED or tag == "header" and not inside or attributes and self._unwanted(attributes, inside)):
+        self.named.append(self._named(attributes, inside) if attributes and tag not in _WHOLE and tag not in _TEXT else 0)
+        if not self._skip and tag in _EMPTY:
+            self._skip = len(self._stack)
+        if not self._skip and tag not in _WHOLE and (tag in _DROPPED or tag == "header" and not inside or attributes and self._unwanted(attributes)):
             self._flush()
             self._skip = len(self._stack)
 
-    def _unwanted(self, attributes: str, inside: bool) -> bool:
+    def _unwanted(self, attributes: str) -> bool:
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in _DROPPED_ROLES:
                 return True
-            if name in ("class", "id") and value:
+        return False
+
+    def _named(self, attributes: str, inside: bool) -> int:
+        """2 if a class name or the id is that of something else than text, 1 if a word of them is."""
+        found = 0
+        for m in _ATTRIBUTE.finditer(attributes):
+            value = m[2] or m[3] or m[4] or ""
+            if m[1].lower() in ("class", "id") and value:
+                if any(w in _DROPPED_NAMES or not inside and w == "header" for w in value.lower().split()):
+                    return 2
                 words = {w.lower() for w in _NAME.findall(value)}
                 if words & _DROPPED_NAMES or not inside and "header" in words:
-                    return True
-        return False
+                    found = 1
+        return found
 
     def _end_paragraph(self) -> None:
         for k in range(len(self._stack) - 1, 0, -1):
@@ -136,8 +158,6 @@ class Page:
         for k in range(len(self._stack) - 1, 0, -1):
             other = self.tags[self._stack[k]]
             if other == tag:
-                if self._skip:  # what was collected inside is not text
-                    self._parts, self._linked = [], 0
                 self._pop(k)
                 return
             if other in _BLOCKS and tag not in _BLOCKS:
@@ -146,8 +166,16 @@ class Page:
     def main_blocks(self) -> list[str]:
         n = len(self.tags)
         points, chars, linked = [0.0] * n, [0] * n, [0] * n
+        named, left = list(self.named), [1.0] * n
+        for i in range(n):
+            if self.tags[i] in ("article", "main"):
+                node = i
+                while node >= 0:
+                    named[node], node = 0, self.parents[node]
+        for i in range(1, n):
+            left[i] = left[self.parents[i]] * _WORTH[named[i]]
         for owner, text, link in self.blocks:
-            worth = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - link / len(text))
+            worth = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - link / len(text)) * left[owner]
             node, level = (self.parents[owner] if self.tags[owner] in _TEXT and owner else owner), 0
             while node >= 0:
                 points[node] += worth / (1 if level == 0 else 2 if level == 1 else 3 * level)
@@ -169,12 +197,12 @@ class Page:
         elif best:
             up = self.parents[best]
             plain = lambda i: self.tags[i] == "p" and chars[i] > 80 and linked[i] < 0.25 * chars[i]
-            kept |= {i for i in range(1, n) if self.parents[i] == up and (score[i] >= max(10, 0.2 * score[best]) or plain(i))}
+            kept |= {i for i in range(1, n) if self.parents[i] == up and named[i] < 2 and (score[i] >= max(10, 0.2 * score[best]) or plain(i))}
         # Nested elements come after their parents, so one pass settles who is inside and who is a list of links.
-        state = [False] * n
+        state, open_ = [False] * n, node < 0 and self.tags[best] in ("#page", "html", "body")
         for i in range(n):
             state[i] = i in kept or (i > 0 and state[self.parents[i]])
-            if state[i] and i not in kept and self.tags[i] in _LISTS and linked[i] > 0.5 * chars[i]:
+            if state[i] and i not in kept and (self.tags[i] in _LISTS and linked[i] > 0.5 * chars[i] or open_ and named[i] == 2):
                 state[i] = False
         return [text for owner, text, _ in self.blocks if state[owner]]
 
