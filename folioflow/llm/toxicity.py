@@ -1,18 +1,19 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models, of toxic and of ordinary text, spell words letter by letter: each letter has a probability after up to
-ORDER - 1 letters before it, with absolutely discounted counts interpolated with those of the next shorter context. Words
-count by their continuations, as below the highest order of a Kneser-Ney model: the number of kinds of words seen before
-them, so a passage that many copies repeat counts once. The shortest contexts fall back to one distribution that both
-classes share, from the letters of the whole corpus, so a rare expression is no evidence by itself, while forms of a word
-that were never seen share the evidence of their stem.
+Two models, of toxic and of ordinary text, give each word a probability after the word before it. Pairs of words count as
+often as they stand; they back off to single words, which count by the number of kinds of words before them, and these to
+their spelling: each letter after up to ORDER - 1 letters before it, the longest n-grams counted as often as they stand, the
+shorter ones by kinds. Counts are absolutely discounted, by less than one and as estimated from how many n-grams stand once
+and twice, so an n-gram that stands once keeps weight. The shortest contexts of letters fall back to one distribution that
+both classes share, from the letters of the whole corpus, so a rare expression is no evidence by itself, while forms of a
+word that were never seen share the evidence of their stem. Runs of digits and of symbols are words too.
 
 A word's evidence is the difference of its two log-likelihoods. A document has the difference normalised by its length,
 and the evidence of its strongest word, as a few toxic words in a long ordinary text would vanish in the mean. A logistic
 unit turns both into one score.
 
-Class counts come from at most MOST_ROWS labelled documents of each class, the logistic unit from others; n-grams without
-weight after discounting are dropped, so what is broadcast is bounded by that sample. The shared counts, in a table of
+Class counts come from at most MOST_ROWS labelled documents of each class, the logistic unit from others, so what is broadcast
+is bounded by that sample. The shared counts, in a table of
 fixed size, are summed over all documents in one pass with map-side sums.
 """
 
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,15 +35,15 @@ from .quality_cnn import labelled_sample
 
 #: Labelled rows of each class, and characters of them all, used for class counts and for the logistic unit, at most.
 MOST_ROWS, MOST_CHARS = 2000, 16_000_000
-#: Longest n-gram of letters; bits of the table of shared counts; discount of every count; counts by which every context
-#: is taken to be longer, so that rare ones decide little; words whose evidence a worker keeps.
-ORDER, SHARED_BITS, DISCOUNT, CONTEXT, KEPT = 5, 18, 2.0, 4.0, 500_000
-_WORD = re.compile(r"[^\W\d_]+")
+#: Longest n-gram of letters; bits of the table of shared counts; counts by which every context is taken to be longer, so
+#: that rare ones decide little; pairs of words whose evidence a worker keeps.
+ORDER, SHARED_BITS, CONTEXT, KEPT = 5, 18, 4.0, 500_000
+_WORD = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
 _START, _END = "\x01", "\x02"
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters in lower case."""
+    """Runs of letters in lower case, of digits and of symbols."""
     return _WORD.findall(text.lower())
 
 
@@ -64,30 +66,49 @@ class Letters:
         return (key >> np.uint64(1)).astype(np.int64)
 
 
+def word_keys(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w) >> 1 for w in words), np.int64, len(words))
+
+
+def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    key = before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ words.astype(np.uint64)
+    key = (key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (key >> np.uint64(1)).astype(np.int64)
+
+
+def discounted(keys: np.ndarray, contexts: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """N-grams with what their discounted counts give them, and contexts with what they leave to shorter ones."""
+    grams, one, which = np.unique(keys, return_index=True, return_inverse=True)
+    contexts, back = np.unique(contexts, return_inverse=True)
+    counts, owner = np.bincount(which, weight), back[one]
+    once, twice = np.count_nonzero(counts == 1), np.count_nonzero(counts == 2)
+    discount = min(max(once / (once + 2 * twice), 0.1), 0.9) if once else 0.5
+    share = (counts - discount) / (np.bincount(back, weight)[owner] + CONTEXT)
+    left = 1 - np.bincount(owner, share, minlength=len(contexts))
+    return grams, share.astype(np.float32), contexts, left.astype(np.float32)
+
+
 class ClassModel:
-    """One class: weights of n-grams that remain after discounting, and what their contexts leave to shorter ones."""
+    """One class: what n-grams of letters, words and pairs of words get, and what their contexts leave to shorter ones."""
 
     def __init__(self, texts: list[str]):
-        kinds: dict[str, set[str]] = {}
+        pairs: Counter = Counter()
         for t in texts:
-            before = ""
-            for w in words_of(t):
-                kinds.setdefault(w, set()).add(before)
-                before = w
+            words = words_of(t)
+            pairs.update(zip(["", *words], words))
         self.orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        if not kinds:
+        if not pairs:
             return
+        kinds, often = Counter(w for _, w in pairs), Counter()
+        for (_, w), n in pairs.items():
+            often[w] += n
         letters = Letters(list(kinds))
-        weight = np.repeat(np.fromiter(map(len, kinds.values()), np.float64, len(kinds)), letters.lengths)
+        weights = [np.fromiter((c[w] for w in kinds), np.float64, len(kinds)) for c in (kinds, often)]
         for n in range(1, ORDER + 1):
-            grams, one, which = np.unique(letters.keys(n, False), return_index=True, return_inverse=True)
-            contexts, back = np.unique(letters.keys(n, True), return_inverse=True)
-            total = np.bincount(back, weight)
-            owner = back[one]
-            share = np.maximum(np.bincount(which, weight) - DISCOUNT, 0) / (total[owner] + CONTEXT)
-            left = 1 - np.bincount(owner, share, minlength=len(contexts))
-            some, used = share > 0, left < 1
-            self.orders.append((grams[some], share[some].astype(np.float32), contexts[used], left[used].astype(np.float32)))
+            self.orders.append(discounted(letters.keys(n, False), letters.keys(n, True), np.repeat(weights[n == ORDER], letters.lengths)))
+        self.orders.append(discounted(word_keys(list(kinds)), np.zeros(len(kinds), np.int64), weights[0]))
+        before = word_keys([v for v, _ in pairs])
+        self.orders.append(discounted(pair_keys(before, word_keys([w for _, w in pairs])), before, np.fromiter(pairs.values(), np.float64, len(pairs))))
 
     def ready(self) -> ClassModel:
         """Put the n-grams into tables for look-ups."""
@@ -106,11 +127,23 @@ class ClassModel:
     def __getstate__(self):
         return {"orders": self.orders}
 
-    def logs(self, letters: Letters, shared: np.ndarray) -> np.ndarray:
+    def logs(self, letters: Letters, shared: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Logarithms of the probabilities of words by themselves."""
         p = shared
-        for n, ((grams, share), (contexts, left)) in enumerate(self.ready().tables, 1):
+        for n, ((grams, share), (contexts, left)) in enumerate(self.ready().tables[:ORDER], 1):
             p = share[grams.get(letters.keys(n, False))] + left[contexts.get(letters.keys(n, True))] * p
-        return np.log(p)
+        return self._mixed(ORDER, keys, np.zeros(len(keys), np.int64), np.add.reduceat(np.log(p), letters.first))
+
+    def after(self, before: np.ndarray, words: np.ndarray, alone: np.ndarray) -> np.ndarray:
+        """Logarithms of the probabilities of words after others, given those of the words by themselves."""
+        return self._mixed(ORDER + 1, pair_keys(before, words), before, alone)
+
+    def _mixed(self, order: int, keys: np.ndarray, contexts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+        if not self.ready().tables:
+            return shorter
+        (grams, share), (rows, left) = self.tables[order]
+        with np.errstate(divide="ignore"):
+            return np.logaddexp(np.log(share[grams.get(keys)].astype(np.float64)), np.log(left[rows.get(contexts)].astype(np.float64)) + shorter)
 
 
 class Shared:
@@ -134,31 +167,38 @@ class Shared:
 
 
 class Evidence(dict):
-    """Word -> difference of its log-likelihoods, kept for frequent words."""
+    """(word before, word) -> difference of its log-likelihoods, kept for frequent pairs."""
 
     def __init__(self, toxic: ClassModel, ordinary: ClassModel, shared: Shared):
         self.parts = toxic, ordinary, shared
 
     def of(self, texts: list[str]) -> np.ndarray:
         """For each text the difference by letter, and the largest one of its words."""
-        toxic, ordinary, shared = self.parts
         seen = [words_of(t) for t in texts]
-        new = [w for w in set().union(*seen) if w not in self]
+        pairs = [list(zip(["", *words], words)) for words in seen]
+        new = list({p for part in pairs for p in part if p not in self})
         if len(self) + len(new) > KEPT:
             self.clear()
-            new = list(set().union(*seen))
+            new = list(set().union(*pairs))
         if new:
-            letters = Letters(new)
-            base = shared.probability(letters)
-            gain = toxic.logs(letters, base) - ordinary.logs(letters, base)
-            self.update(zip(new, np.add.reduceat(gain, letters.first).tolist(), strict=True))
+            self.update(zip(new, self._gains(new).tolist(), strict=True))
         out = np.zeros((len(texts), 2))
-        for i, words in enumerate(seen):
+        for i, (words, part) in enumerate(zip(seen, pairs, strict=True)):
             if words:
-                gain = [self[w] for w in words]
+                gain = [self[p] for p in part]
                 out[i] = sum(gain) / (len(words) + sum(map(len, words))), max(gain)
         return out
 
+    def _gains(self, pairs: list[tuple[str, str]]) -> np.ndarray:
+        toxic, ordinary, shared = self.parts
+        place: dict[str, int] = {}
+        at = np.fromiter((place.setdefault(w, len(place)) for _, w in pairs), np.int64, len(pairs))
+        words = list(place)
+        letters, keys = Letters(words), word_keys(words)
+        base, before = shared.probability(letters), word_keys([v for v, _ in pairs])
+        one, other = (m.after(before, keys[at], m.logs(letters, base, keys)[at]) for m in (toxic, ordinary))
+        return one - other
+
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
     """Weights of a logistic unit (bias last) by Newton's method."""
