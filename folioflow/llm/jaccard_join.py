@@ -144,7 +144,10 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def signature_table(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, key (of the set, empty without words) and signatures; only the first of a task's equal sets has them."""
+    """doc_id, n_shingles, key (of the set, empty without words) and signatures; only the first of a task's equal sets has them.
+
+    Rows with a null doc_id have none and don't count as first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme, known = Scheme(percent), set()
@@ -154,9 +157,10 @@ def signature_table(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
                 part = column.slice(start, 256)
                 sets = [shingle_set(t or "", shingle) for t in part.to_pylist()]
                 keys = [xxhash.xxh128_digest(s.tobytes()) if len(s) else b"" for s in sets]
+                named = batch.column("doc_id").slice(start, 256).is_valid().to_pylist()
                 fresh = []
                 for i, k in enumerate(keys):
-                    if k and k not in known:
+                    if k and named[i] and k not in known:
                         known.add(k)
                         fresh.append(i)
                 found = dict(zip(fresh, scheme.signatures([sets[i] for i in fresh]), strict=True))
@@ -300,7 +304,7 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     by_key = stored(heads.join(classes, "head", "left").select("key", F.coalesce("of_head", "head").alias("component")))
     joined = table.join(by_key, "key", "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def without_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
