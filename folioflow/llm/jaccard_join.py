@@ -1,20 +1,25 @@
 """N-gram Jaccard self-join by PartEnum signatures, with classes of linked documents.
 
 A document is the set of its distinct word shingles. If two sets have a Jaccard similarity of at least the threshold, their
-sizes differ by a bounded factor, and the larger of them bounds their Hamming distance H. Sizes fall into overlapping bands
-so that two such sets always share a band. A band splits the shingle domain into n1 parts by a hash:
-
-* small sets: each of the first ceil((H + 1) / 2) parts is split in three, and each pair of the three is a signature. One
-  part has at most one difference, so one pair of its three is equal in both sets;
-* larger sets: the first H + 1 parts with shingles are signatures. At most H parts differ, so one is equal; as empty parts
-  are passed over, no two sets meet in them. Only a set with fewer such parts emits its empty ones too.
-
-Documents with one set are first brought together by the set's 128-bit key. Signatures are grouped; documents that share
-one are candidates. First each document is compared with one document of the group that it shares most signatures with;
-the links found make components. Then, in groups that still hold several components, documents of different components
-are compared. So a large group of copies costs a comparison for each document, no link between different texts is lost, and
-pairs inside a component are never made. Before two sets are brought together, a few parity bits of each give a lower bound
-of their Hamming distance, which turns most candidates down.
+sizes differ by a bounded factor, and the smaller one bounds their Hamming distance H. Sizes fall into overlapping bands
+so that two such sets always share a band. A band splits the shingle domain into n1 parts by a hash. Of a set's first H + s
+parts with shingles at most H differ, so s of them are equal, and they are among the other set's first H + s too: each
+subset of s of them is a signature (s is 2 for small sets, else 1). Empty parts are passed over, so no two sets meet in them;
+a set with too few parts is split into single shingles as well, of which it has enough.
+
+Documents with one set are first brought together by the set's 128-bit key. Documents that share a signature are candidates:
+
+* each group of candidates has a hub, the one with most candidates; each document is compared with the hub that it shares
+  most signatures with, and the links found make components. Pairs inside a component are never made;
+* documents around a hub are compared with it if they still stand in different components. A and B with the differences
+  D(A) and D(B) to the hub have a Hamming distance of |D(A)| + |D(B)| - 2 |D(A) & D(B)|, so similar ones share a number of
+  differences, unless both are linked to the hub anyway. Both are then among the first few of D(A) and of D(B) in one order
+  (prefix filter), what the hub lacks coming first. How few depends on both sizes, so documents are dealt into classes by
+  the size of D, and a pair of classes has keys of its own.
+
+So a large group of copies costs a comparison and a few keys for each document, and no link between different components is
+lost. Before two sets are brought together, a few parity bits of each give a lower bound of their Hamming distance, which
+turns most candidates down.
 """
 
 from __future__ import annotations
@@ -25,16 +30,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_stored, id_and_text, stored
 from .components import connected_components
 
-#: Width of a size band, sets up to which pairs of thirds are enumerated, spare parts of a band.
-BAND_RATIO, ENUMERATED, SPARE = 1.92, 45, 0.12
-#: Bits of the fixed-size bitmap that keeps texts without candidates out of the comparison.
-BITMAP_BITS = 1 << 25
+#: Width of a size band, largest size of a band whose signatures are pairs of parts, spare parts of a band.
+BAND_RATIO, PAIRED, SPARE = 1.92, 28, 0.12
+#: Documents around a hub that are paired directly, at most; classes that half the allowed difference to a hub makes.
+FEW, CLASSES = 32, 2
+#: Bits of the bitmaps that keep rows without candidates out, at least and at most (32 MB).
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+#: Words whose hashes a worker keeps, and the longest of them.
+WORDS, LONG_WORD = 300_000, 64
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -54,9 +63,10 @@ def _times(n: int) -> np.uint64:
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = h
+        if len(word) <= LONG_WORD:
+            if len(self) >= WORDS:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -93,15 +103,11 @@ class Scheme:
             low += 1
         out = []
         while low <= most:
-            high = max(low, int(low * BAND_RATIO))
+            high = max(-(-low * 100 // self.percent), int(low * BAND_RATIO))  # so the next band starts higher
             out.append((low, high))
             low = high * self.percent // 100 + 1
         return out
 
-    def parts(self, high: int) -> int:
-        h = self.differences(high)
-        return -(-(h + 1) // 2) if high <= ENUMERATED else int((h + 1) * (1 + SPARE)) + 1
-
     def signatures(self, sets: list[np.ndarray]) -> list[np.ndarray]:
         """The signatures of each set."""
         out: list[list[np.ndarray]] = [[] for _ in sets]
@@ -110,33 +116,30 @@ class Scheme:
             chosen = np.flatnonzero((sizes >= low) & (sizes <= high))
             if not len(chosen):
                 continue
-            n1, split = self.parts(high), 3 if high <= ENUMERATED else 1
-            h = np.concatenate([sets[i] for i in chosen])
-            owner = np.repeat(np.arange(len(chosen)), sizes[chosen])
-            spread = _mix(h + _times(number + 1))
-            cell = ((owner * n1) + (spread % np.uint64(n1)).astype(np.int64)) * split
-            if split > 1:
-                cell += ((spread >> np.uint64(40)) % np.uint64(split)).astype(np.int64)
-            value = _mix(spread)
-            cells = len(chosen) * n1 * split
-            # Sums of 32-bit halves stay below 2^53, so they are exact.
-            halves = [np.bincount(cell, (value >> np.uint64(s) & np.uint64(0xFFFFFFFF)).astype(np.float64), cells).astype(np.uint64) for s in (0, 32)]
-            total = (halves[0] + (halves[1] << np.uint64(32))).reshape(len(chosen), n1, split)
-            filled = np.bincount(cell, minlength=cells).reshape(len(chosen), n1, split) > 0
-            salt = _mix(np.arange(n1, dtype=np.uint64) * _M + _times(number + 64))
+            together = 2 if high <= PAIRED else 1
+            n1 = int((self.differences(high) + together) * (1 + SPARE)) + 1
+            h = _mix(np.concatenate([sets[i] for i in chosen]) + _times(number + 1))
+            cells = np.repeat(np.arange(len(chosen)), sizes[chosen]) * n1 + (h % np.uint64(n1)).astype(np.int64)
+            order = np.argsort(cells, kind="stable")
+            starts = np.flatnonzero(np.diff(cells[order], prepend=-1))
+            owner, part = np.divmod(cells[order[starts]], n1)
+            totals = _mix(np.add.reduceat(_mix(h)[order], starts) + part.astype(np.uint64) * _M + _times(number + 64))
+            first = np.searchsorted(owner, np.arange(len(chosen) + 1))
             for row, i in enumerate(chosen):
-                d = self.differences(int(sizes[i]))
-                if split > 1:
-                    g = -(-(d + 1) // 2)
-                    pairs = [total[row, :g, a] + total[row, :g, b] * _M + salt[:g] + np.uint64(a + 2 * b) for a, b in ((0, 1), (0, 2), (1, 2))]
-                    out[i].append(_mix(np.concatenate(pairs)))
-                else:
-                    some = np.flatnonzero(filled[row, :, 0])
-                    some = some[: d + 1] if len(some) > d else np.arange(n1)
-                    out[i].append(_mix(total[row, some, 0] + salt[some]))
+                need = self.differences(int(sizes[i])) + together
+                out[i].append(_subsets(totals[first[row] : min(first[row + 1], first[row] + need)], together))
+                if first[row + 1] - first[row] < need:
+                    out[i].append(_subsets(np.sort(_mix(sets[i] + _times(number + 128)))[:need], together))
         return [np.concatenate(x) if x else np.zeros(0, dtype=np.uint64) for x in out]
 
 
+def _subsets(x: np.ndarray, together: int) -> np.ndarray:
+    if together == 1:
+        return x
+    a, b = np.triu_indices(len(x), 1)
+    return _mix(x[a] * _N + x[b])
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     sizes = np.cumsum([0, *map(len, arrays)])
     values = np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)
@@ -144,7 +147,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def signature_table(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, key (of the set, empty without words) and signatures; only the first of a task's equal sets has them.
+    """doc_id, mark, n_shingles, key (of the set, empty without words) and signatures; of a task's equal sets, the first has them.
 
     Rows with a null doc_id have none and don't count as first.
     """
@@ -152,12 +155,13 @@ def signature_table(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme, known = Scheme(percent), set()
         for batch in batches:
-            column = batch.column("text")
-            for start in range(0, len(column), 256):
-                part = column.slice(start, 256)
-                sets = [shingle_set(t or "", shingle) for t in part.to_pylist()]
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                sets = [shingle_set(t or "", shingle) for t in part.column("text").to_pylist()]
                 keys = [xxhash.xxh128_digest(s.tobytes()) if len(s) else b"" for s in sets]
-                named = batch.column("doc_id").slice(start, 256).is_valid().to_pylist()
+                named = part.column("doc_id").is_valid().to_pylist()
+                if len(known) > 1_000_000:
+                    known.clear()
                 fresh = []
                 for i, k in enumerate(keys):
                     if k and named[i] and k not in known:
@@ -166,23 +170,47 @@ def signature_table(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
                 found = dict(zip(fresh, scheme.signatures([sets[i] for i in fresh]), strict=True))
                 none = np.zeros(0, dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(start, 256), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), _lists([found.get(i, none) for i in range(len(sets))])],
-                    ["doc_id", "n_shingles", "key", "signatures"],
+                    [part.column("doc_id"), part.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), _lists([found.get(i, none) for i in range(len(sets))])],
+                    ["doc_id", "mark", "n_shingles", "key", "signatures"],
                 )
 
-    return texts.mapInArrow(run, "doc_id long, n_shingles long, key binary, signatures array<long>")
+    return texts.mapInArrow(run, "doc_id long, mark long, n_shingles long, key binary, signatures array<long>")
+
+
+class Bitmap:
+    """Hashed places of values in a bitmap, whose size follows their number up to a fixed bound."""
+
+    def __init__(self, values: DataFrame, column: str):
+        """values is a stored table; its column holds longs."""
+        self.bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * values.count() - 1).bit_length()))
+        spot = F.pmod(F.col(column), F.lit(self.bits)) + 1
+        bits = values.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
+        bitmap = np.zeros(self.bits // 8, dtype=np.uint8)
+        for r in bits.collect():  # at most MOST_BITS / 8 bytes
+            piece = np.frombuffer(r["bits"], dtype=np.uint8)
+            at = (r["bucket"] - 1) * len(piece)
+            bitmap[at : at + len(piece)] = piece[: len(bitmap) - at]
+        self.shared = values.sparkSession.sparkContext.broadcast(bitmap)
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        """For 64-bit values, whether they are (or may be) among those of the bitmap."""
+        spots = values & np.int64(self.bits - 1)
+        return (self.shared.value[spots >> 3] >> (spots & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def bitmap_of(ids: DataFrame, column: str = "doc_id") -> np.ndarray:
-    """A bitmap of fixed size with the hashed places of all ids."""
-    spot = F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS)) + 1
-    bits = ids.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
-    bitmap = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
-    for r in bits.collect():  # at most BITMAP_BITS / 8 bytes
-        piece = np.frombuffer(r["bits"], dtype=np.uint8)
-        at = (r["bucket"] - 1) * len(piece)
-        bitmap[at : at + len(piece)] = piece[: len(bitmap) - at]
-    return bitmap
+def with_shared(signed: DataFrame, repeated: Bitmap) -> DataFrame:
+    """doc_id, key and those signatures that the bitmap holds; rows without any are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("signatures")
+            values, lengths = column.flatten().to_numpy(), column.value_lengths().to_numpy()
+            on = repeated.has(values)
+            left = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[on], minlength=len(lengths))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(left)), pa.int32()), pa.array(values[on], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), lists], ["doc_id", "key", "signatures"]).filter(pa.array(left > 0))
+
+    return signed.select("doc_id", "key", "signatures").mapInArrow(run, "doc_id long, key binary, signatures array<long>")
 
 
 def parity(hashes: np.ndarray) -> np.ndarray:
@@ -193,22 +221,20 @@ def parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def wanted_sets(texts: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, size, parity bits and shingle hashes of (at least) the documents listed, found by a bitmap of fixed size."""
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap_of(ids))
+def wanted_sets(texts: DataFrame, ids: Bitmap, shingle: int) -> DataFrame:
+    """doc_id, spot, size, parity bits and shingle hashes of (at least) the documents in the bitmap of hashed ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spots = batch.column("spot").to_numpy()
-            rows = np.flatnonzero(shared.value[spots >> 3] >> (spots & 7).astype(np.uint8) & 1)
+            rows = np.flatnonzero(ids.has(batch.column("spot").to_numpy()))
             for a in range(0, len(rows), 128):
                 part = batch.take(pa.array(rows[a : a + 128]))
                 sets = [shingle_set(t or "", shingle) for t in part.column("text").to_pylist()]
-                columns = [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), _lists([parity(x) for x in sets]), _lists(sets)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "size", "parity", "hashes"])
+                columns = [part.column("doc_id"), part.column("spot"), pa.array([len(x) for x in sets], pa.int64()), _lists([parity(x) for x in sets]), _lists(sets)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "spot", "size", "parity", "hashes"])
 
-    spotted = texts.where("doc_id is not null").withColumn("spot", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)))
-    return spotted.mapInArrow(run, "doc_id long, size long, parity array<long>, hashes array<long>")
+    spotted = texts.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("spot"))
+    return spotted.mapInArrow(run, "doc_id long, spot long, size long, parity array<long>, hashes array<long>")
 
 
 def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -227,15 +253,24 @@ def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))).select(*pairs.columns)
 
 
-def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets have a Jaccard similarity of at least percent / 100; only their sets are moved."""
-    pairs = stored(pairs.select("a", "b"))
-    needed = sets.sparkSession.sparkContext.broadcast(bitmap_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))))
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with both sets x and y; only the sets of stored pairs are moved."""
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select(F.xxhash64("id").alias("spot")))
+    needed = Bitmap(ids, "spot")
+    drop_stored(ids)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spots = batch.column("spot").to_numpy()
-            yield batch.filter(pa.array((needed.value[spots >> 3] >> (spots & 7).astype(np.uint8) & 1).astype(bool))).select(["doc_id", "hashes"])
+            yield batch.filter(pa.array(needed.has(batch.column("spot").to_numpy()))).select(["doc_id", "hashes"])
+
+    picked = sets.select("doc_id", "spot", "hashes").mapInArrow(pick, "doc_id long, hashes array<long>")
+    a, b = picked.withColumnsRenamed({"doc_id": "a", "hashes": "x"}), picked.withColumnsRenamed({"doc_id": "b", "hashes": "y"})
+    return pairs.join(a, "a").join(b, "b")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sets have a Jaccard similarity of at least percent / 100."""
+    pairs = stored(pairs.select("a", "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,13 +282,43 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    picked = sets.select("doc_id", "hashes", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)).alias("spot")).mapInArrow(pick, "doc_id long, hashes array<long>")
-    a, b = picked.withColumnsRenamed({"doc_id": "a", "hashes": "x"}), picked.withColumnsRenamed({"doc_id": "b", "hashes": "y"})
-    found = stored(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    found = stored(_with_sets(pairs, sets).select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
     drop_stored(pairs)
     return found
 
 
+def difference_keys(x: np.ndarray, hub: np.ndarray, hub_id: int, percent: int) -> tuple[bool, np.ndarray]:
+    """Whether a set is similar to its hub's, and keys of which it shares one with each similar set around the hub that
+    is not linked to the hub like itself.
+
+    With D the differences to the hub and W = (100 + percent) |D| - (100 - percent) |x|, two similar sets share at least
+    (W + W') / 2 / (100 + percent) differences. Classes are ranges of W; a similar set's W differs by a bounded amount.
+    """
+    p, q = 100 + percent, 100 - percent
+    new, gone = np.setdiff1d(x, hub, assume_unique=True), np.setdiff1d(hub, x, assume_unique=True)
+    d = np.concatenate([np.sort(_mix(new)), np.sort(_mix(gone))])
+    w, width = p * len(d) - q * len(x), max(1, q * len(hub) // percent // CLASSES) * p
+    own, keys = w // width, []
+    for other in range((w - 2 * q * 100 * len(x) // percent) // width, (w + 2 * q * len(x)) // width + 1):
+        shared = max(1, -(-(w + other * width) // (2 * p)))
+        if shared <= len(d):
+            salt = _times(hub_id * 1_000_003 + min(own, other) * 65_537 + max(own, other))
+            keys.append(_mix(d[: len(d) - shared + 1] + salt))
+    return p * len(d) <= q * (len(x) + len(hub)), np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
+
+
+def around_hubs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """For each stored pair (a, b = hub), whether they are similar (`linked`) and the keys of a's differences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right, hubs = batch.column("x"), batch.column("y"), batch.column("b").to_pylist()
+            found = [difference_keys(left[i].values.to_numpy().view(np.uint64), right[i].values.to_numpy().view(np.uint64), hubs[i], percent) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("part"), pa.array([f[0] for f in found], pa.bool_()), _lists([f[1] for f in found])], ["a", "b", "part", "linked", "keys"])
+
+    return _with_sets(pairs, sets).select("a", "b", "part", "x", "y").mapInArrow(run, "a long, b long, part long, linked boolean, keys array<long>")
+
+
 def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every document.
 
@@ -261,63 +326,81 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     with one doc_id are one document's copies. A null or wordless text has an empty set, n_shingles 0 and links with nothing:
     its component is its doc_id. A null doc_id keeps a null component and takes no part.
     """
-    texts = id_and_text(docs, id_col, text_col)
+    classes = _classes(docs, shingle, percent, id_col, text_col)
+    return classes.select("doc_id", "n_shingles", "component_id")
+
+
+def _classes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The columns of jaccard_classes() and `mark`, a hash of the row's text."""
+    texts = id_and_text(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
     signed = stored(signature_table(texts, shingle, percent))
-    table = stored(signed.select("doc_id", "n_shingles", "key"))
-    known = table.where("doc_id is not null and n_shingles > 0")
-    heads = stored(known.groupBy("key").agg(F.min("doc_id").alias("head")))  # combined before the shuffle
+    table = stored(signed.select("doc_id", "mark", "n_shingles", "key"))
+    heads = stored(table.where("doc_id is not null and n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("head")))  # combined before the shuffle
 
     # Groups of documents that share a signature, with the class of equal sets in the documents' place.
-    rows = signed.where("doc_id is not null").select("doc_id", F.explode("signatures").alias("signature"))
-    first = stored(rows.withColumn("n", F.count("*").over(Window.partitionBy("signature"))).where("n > 1").select("signature", "doc_id"))
+    counts = signed.select(F.explode("signatures").alias("signature")).groupBy("signature").agg(F.count("*").alias("n"))
+    repeated = stored(counts.where("n > 1").select("signature"))
+    sharing = with_shared(signed, Bitmap(repeated, "signature"))
+    rows = stored(sharing.join(heads, "key").select("head", F.explode("signatures").alias("signature")).distinct())
     drop_stored(signed)
-    ids = first.select("doc_id").distinct()
-    to_head = known.join(ids, "doc_id", "left_semi").join(heads, "key").select("doc_id", "head").distinct()
-    groups = stored(first.join(to_head, "doc_id").select("signature", F.col("head").alias("doc_id")).distinct())
-    drop_stored(first)
-    sets = stored(wanted_sets(texts, groups.select("doc_id").distinct(), shingle))
-
-    # Each document against one of the group's, of the group that it shares most signatures with: first the one that shares
-    # signatures with most others, as the origin of many copies does, then the smallest, then the largest.
-    sizes = groups.groupBy("signature").agg(F.count("*").alias("size"))
-    central = groups.join(sizes, "signature").groupBy("doc_id").agg(F.sum("size").alias("shares"))
-    groups = stored(groups.join(central, "doc_id"))
-    parts, links, left = None, None, groups
-    for pick in (F.max_by("doc_id", F.struct("shares", -F.col("doc_id"))), F.min("doc_id"), F.max("doc_id")):
-        chosen = left.groupBy("signature").agg(pick.alias("b"))
-        stars = left.select("signature", "doc_id").join(chosen, "signature").where("doc_id <> b").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("n"))
-        star = possible(stars, sets, percent).groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
-        found = similar(star, sets, percent)
-        links = found if links is None else links.union(found)
-        parts = connected_components(links)
-        # Groups that still hold several components.
-        placed = groups.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        open_ = placed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("signature")
-        left = stored(placed.join(open_, "signature", "left_semi"))
-
-    # Documents of different components that still share a group.
-    a, b = left.select("signature", F.col("doc_id").alias("a"), F.col("component").alias("part_a")), left.select("signature", F.col("doc_id").alias("b"), F.col("component").alias("part_b"))
-    pairs = a.join(b, "signature").where("a < b and part_a <> part_b").select("a", "b").distinct()
-    more = similar(possible(pairs, sets, percent), sets, percent)
-    drop_stored(sets)
-    classes = connected_components(links.union(more)).select(F.col("node").alias("head"), F.col("component").alias("of_head"))
+    drop_stored(repeated)
+    sizes = rows.groupBy("signature").agg(F.count("*").alias("size")).where("size > 1")
+    groups = rows.join(sizes, "signature").select("signature", F.col("head").alias("doc_id"), "size")
+    groups = stored(groups)
+    drop_stored(rows)
+    central = stored(groups.groupBy("doc_id").agg(F.sum("size").alias("shares")))
+    wanted = stored(central.select(F.xxhash64("doc_id").alias("spot")))
+    sets = stored(wanted_sets(texts, Bitmap(wanted, "spot"), shingle))
+    drop_stored(wanted)
+
+    # Each document against the hub that it shares most signatures with.
+    hubs = groups.join(central, "doc_id").groupBy("signature").agg(F.max_by("doc_id", F.struct("shares", -F.col("doc_id"))).alias("hub"))
+    around = stored(groups.select("signature", "doc_id").join(hubs, "signature"))
+    drop_stored(groups)
+    drop_stored(central)
+    stars = around.where("doc_id <> hub").groupBy(F.col("doc_id").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("n"))
+    star = possible(stars, sets, percent).groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
+    links = similar(star, sets, percent)
+
+    # Around hubs of groups that still hold several components.
+    parts = connected_components(links).withColumnRenamed("node", "doc_id")
+    placed = around.join(parts, "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
+    open_ = placed.groupBy("signature").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("signature")
+    left = stored(placed.join(open_, "signature", "left_semi").select("hub", F.col("doc_id").alias("a"), "part").distinct())
+    drop_stored(around)
+    crowd = left.groupBy("hub").agg(F.count("*").alias("n"))
+    few = left.join(crowd.where(F.col("n") <= FEW), "hub")
+    other = few.select("hub", F.col("a").alias("b"), F.col("part").alias("part_b"))
+    pairs = few.join(other, "hub").where("a < b and part <> part_b").select("a", "b").distinct()  # at most FEW / 2 for each row
+    many = stored(left.join(crowd.where(F.col("n") > FEW), "hub").where("a <> hub").select("a", F.col("hub").alias("b"), "part"))
+    keyed = stored(around_hubs(many, sets, percent))
+    keys = keyed.select("a", "part", F.explode("keys").alias("key"))
+    met = keys.join(keys.select("key", F.col("a").alias("b"), F.col("part").alias("part_b")), "key").where("a < b and part <> part_b").select("a", "b").distinct()
+    more = similar(possible(pairs.union(met).distinct(), sets, percent), sets, percent)
+    every = links.union(more).union(keyed.where("linked").select("a", "b"))
+    classes = connected_components(every).select(F.col("node").alias("head"), F.col("component").alias("of_head"))
 
     by_key = stored(heads.join(classes, "head", "left").select("key", F.coalesce("of_head", "head").alias("component")))
+    for t in (sets, left, many, keyed, links, more, heads):
+        drop_stored(t)
     joined = table.join(by_key, "key", "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    return joined.select("doc_id", "mark", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def without_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents but for all of each class of linked ones except the one with the smallest id; all columns stay.
 
     Of rows that are equal in id and text one stays. Documents without words and rows with a null id link with nothing and
-    stay.
+    stay. An id with several texts is one document; each of its rows stays or goes with the class of its own text.
     """
-    classes = jaccard_classes(docs, shingle, percent, id_col, text_col)
-    heads = classes.where("doc_id = component_id").select(F.col("doc_id").alias(_HEAD)).distinct()
-    named = docs.where(F.col(id_col).isNotNull())
-    kept = named.join(heads, named[id_col].cast("long") == heads[_HEAD], "left_semi").dropDuplicates([id_col, text_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    classes = stored(_classes(docs, shingle, percent, id_col, text_col).where("doc_id is not null"))
+    named = docs.select("*", F.col(id_col).cast("long").alias(_ID), F.xxhash64(text_col).alias(_MARK))
+    key = [F.col("doc_id").alias(_ID), F.col("mark").alias(_MARK)]
+    gone = classes.where("doc_id <> component_id").select(*key).distinct()
+    twice = classes.where("doc_id = component_id").groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    left = named.join(gone, [_ID, _MARK], "left_anti")
+    once = left.join(twice, [_ID, _MARK], "left_anti")
+    return once.unionByName(left.join(twice, [_ID, _MARK], "left_semi").dropDuplicates([_ID, _MARK])).select(*docs.columns)
 
 
-_HEAD = "__folioflow_head"
+_ID, _MARK = "__folioflow_id", "__folioflow_mark"

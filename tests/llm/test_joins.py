@@ -65,9 +65,24 @@ def made_up(seed=3):
     return out
 
 
-@pytest.mark.parametrize("n,percent", [(4, 85), (5, 80)])
-def test_jaccard_classes(spark, n, percent):
-    rows = list(enumerate(made_up()))
+def crowd(seed=5):
+    """Copies of one text with different numbers of changed words, some of them changed alike."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(80)]
+    out = [" ".join(base)]
+    for _ in range(120):
+        copy = list(base)
+        for _ in range(rng.randrange(7)):
+            at = rng.randrange(80)
+            copy[at] = f"x{at if rng.random() < 0.5 else rng.random()}"
+        out.append(" ".join(copy))
+    return out
+
+
+@pytest.mark.parametrize("n,percent,few", [(4, 85, 3), (5, 80, 32)])
+def test_jaccard_classes(spark, monkeypatch, n, percent, few):
+    monkeypatch.setattr(jaccard_join, "FEW", few)
+    rows = list(enumerate(made_up() + crowd()))
     docs = spark.createDataFrame([(100 + i, t, "key", 9) for i, t in rows] + [(None, "one", "key", 9)], "doc_id long, text string, key string, component_id int").repartition(5)
     sets = {100 + i: shingles(t, n) for i, t in rows}
     want = classes(sets, percent)
@@ -97,6 +112,31 @@ def test_signatures_of_similar_sets_meet():
                     assert set(x.tolist()) & set(y.tolist())
 
 
+def test_differences_to_a_hub_meet():
+    rng = np.random.default_rng(1)
+    for percent, size in ((85, 60), (85, 200), (80, 31), (60, 40)):
+        hub = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        some = rng.integers(0, 2**63, 40, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([rng.choice(hub, size - rng.integers(0, size // 3), replace=False), rng.choice(some, rng.integers(0, min(40, size // 3)), replace=False)])) for _ in range(150)]
+        found = [jaccard_join.difference_keys(x, hub, 7, percent) for x in sets]
+        pairs = 0
+        for i, x in enumerate(sets):
+            assert found[i][0] == (100 * len(np.intersect1d(x, hub)) >= percent * len(np.union1d(x, hub)))
+            for j in range(i):
+                y = sets[j]
+                if 100 * len(np.intersect1d(x, y)) >= percent * len(np.union1d(x, y)) and not (found[i][0] and found[j][0]):
+                    pairs += 1
+                    assert set(found[i][1].tolist()) & set(found[j][1].tolist())
+        assert pairs
+
+
+def test_several_texts_of_an_id(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(3, text("b") + " end"), (4, text("a")), (5, text("a")), (5, text("b")), (5, text("c")), (5, text("c")), (None, text("c")), (6, "")]
+    kept = jaccard_join.without_copies(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert sorted((r["doc_id"] or 0, r["text"][:2]) for r in kept) == [(0, "c0"), (3, "b0"), (4, "a0"), (6, "")]
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(500, x) for x in range(400, 440)] + [(7, 7), (3, 2)]
