@@ -1,54 +1,54 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Each rule rejects documents whose measure exceeds a cutoff. Labelled good documents are the holdout: for a stratum
-(language), a rule and a cutoff, the number of good documents it would reject is binomial. A cutoff is accepted if the
-exact binomial bound proves, at the rule's share of DELTA, that at most ALPHA of good documents are rejected. Cutoffs are
-tested in a fixed order from lenient to strict until the first one fails, which needs no correction between them; between
-rules and strata DELTA is divided (Bonferroni). The strictest accepted cutoff holds. All strata with good documents are
-tested, and all documents together as one more. A stratum that has proven no cutoff of a rule uses the strictest one proven
-for all documents together that at most ALPHA of its own good documents exceed; if there is none, the rule rejects nothing
-in it. So a cutoff of its own holds in the stratum at the stated confidence; a common one is proven for all documents
-together only, and in the stratum is merely not contradicted by its own holdout (a stratum without one has no more than
-the common proof). A rule proven nowhere rejects nothing.
+Each rule rejects documents whose measure exceeds its cutoff. The cutoffs of all rules form levels from lenient to strict,
+and a level rejects what any of its rules rejects. Labelled good documents are the holdout: for a stratum (language) and a
+level, the number of good documents that it would reject is binomial. A level is accepted if the exact binomial bound proves,
+at the stratum's share of DELTA, that at most ALPHA of the stratum's good documents are rejected by all rules together.
+Levels are tested from lenient to strict until the first one fails (a fixed sequence, which needs no correction between
+them); between strata DELTA is divided (Bonferroni). The strictest accepted level holds in the stratum. Every stratum of the
+holdout is tested; a stratum that has proven no level, or has no holdout, rejects by the base test only.
+
+So with a confidence of 1 - DELTA no stratum loses more than ALPHA of its good documents, as far as the labelled ones are
+independent draws: each doc_id counts once, but near copies among them make the holdout count for more than it is.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_stored, stored
 
-#: Most false rejections a rule may have among good documents, and the chance that any proof is wrong.
-ALPHA, DELTA = 0.02, 0.05
-#: Strata with cutoffs of their own in the SQL of op1; the functions here test every stratum.
-MOST_STRATA = 32
-#: For each rule, its measure and its cutoffs from lenient to strict.
+#: Most false rejections among a stratum's good documents, and the chance that any proof is wrong.
+ALPHA, DELTA = 0.03, 0.05
+#: For each rule its measure and its cutoff at each level, from lenient to strict.
 RULES = {
     "symbols": ("n_symbols / greatest(word_chars, 1)", (0.5, 0.3, 0.2, 0.15, 0.1, 0.07)),
-    "repeats": ("n_repeat_words / greatest(n_words, 1)", (0.5, 0.45, 0.4, 0.35, 0.3)),
-    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", (0.9, 0.7, 0.5, 0.4, 0.3)),
+    "repeats": ("n_repeat_words / greatest(n_words, 1)", (0.5, 0.45, 0.4, 0.35, 0.3, 0.3)),
+    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", (0.9, 0.7, 0.5, 0.4, 0.3, 0.3)),
     "upper": ("n_upper / greatest(word_chars, 1)", (0.9, 0.8, 0.7, 0.6, 0.5, 0.4)),
 }
+LEVELS = 6
+#: Strata whose levels are broadcast, at most; more are joined by a shuffle.
+MOST_BROADCAST = 100_000
 SPACES = r"\\x20\\x09-\\x0D"
-_KEY = "__folioflow_text_hash"
 _POSITION = 24  # bits for a word's place in its document, below the bits of a window's hash
+_MEASURES, _ROW = "__folioflow_measures", "__folioflow_row"
 
 
-def base_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", keep: Column | None = None) -> DataFrame:
-    """doc_id, stratum, `keep` and the counts of each whole text; a null text has no words.
+def with_measures(docs: DataFrame, text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """The rows with all their columns and a struct of measures: stratum, counts of the whole text (a null one has no words),
+    base_failed, and `rejecting`, the first level that rejects the document (from 1, null if none does).
 
     Windows of three words are compared by hash with their place in one sorted array, and neighbours with equal hashes
     word by word; a text of over 2^24 words is compared by its windows themselves.
     """
-    kept = [] if keep is None else [keep]
-    names = ["doc_id", "stratum", *docs.select(*kept).columns]
-    d = docs.select(*kept, F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    d = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias(_ROW), F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     d = d.select(
-        *names,
+        _ROW,
+        "stratum",
         F.expr(f"regexp_extract_all(text, '[^{SPACES}]+', 0)").alias("words"),
         F.expr(f"filter(split(text, '\\n'), x -> x rlike '[^{SPACES}]')").alias("lines"),
         F.expr("regexp_count(text, '[#*$%&|<>]')").cast("long").alias("n_symbols"),
@@ -66,8 +66,9 @@ def base_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     d = d.select("*", F.expr(longest).alias("grams"))
     equal = "(grams[{0}].a = grams[{1}].a and grams[{0}].b = grams[{1}].b and grams[{0}].c = grams[{1}].c)"
     slow = f"transform(filter(sequence(0, size(grams) - 1), k -> (k > 0 and {equal.format('k', 'k - 1')}) or (k < size(grams) - 1 and {equal.format('k', 'k + 1')})), k -> grams[k].i)"
-    return d.select(
-        *names,
+    d = d.select(
+        _ROW,
+        "stratum",
         "n_words",
         F.expr("aggregate(words, 0L, (s, w) -> s + length(w))").alias("word_chars"),
         "n_symbols",
@@ -75,7 +76,17 @@ def base_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.expr(f"cast(size(array_distinct(flatten(transform(case when grams is null then found else {slow} end, p -> array(p, p + 1, p + 2))))) as bigint)").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         "n_upper",
-    ).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
+    )
+    first = (f"nullif(array_position(transform(array({', '.join(f'{c}D' for c in cs)}), c -> {m} > c), true), 0)" for m, cs in RULES.values())
+    measures = ("stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejecting")
+    d = d.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")).withColumn("rejecting", F.expr(f"least({', '.join(first)})"))
+    return d.select(f"{_ROW}.*", F.struct(*measures).alias(_MEASURES))
+
+
+def base_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """doc_id and the measures of every row."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(stratum_col).alias("lang"))
+    return with_measures(rows).select("doc_id", f"{_MEASURES}.*")
 
 
 def binomial_tail(n: Column, k: Column, p: float) -> Column:
@@ -92,66 +103,51 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.aggregate(F.when(k < n * p, steps), start, add, lambda s: F.exp(s["sum"])))
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, rules: dict = RULES) -> DataFrame:
-    """One row for each stratum of the holdout with the cutoff of each rule that holds in it (null: none), and one for all ('*').
+def proven_levels(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, levels: int = LEVELS) -> DataFrame:
+    """stratum and level (the strictest one proven, 0: none) of each stratum of the holdout.
 
-    labels has doc_id and quality; rows with quality 1 whose base test did not fail are the holdout.
+    measured has doc_id, stratum, base_failed and rejecting. The holdout are documents whose labels all have quality 1 and
+    whose base test did not fail; an id counts once in a stratum.
     """
-    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long")).distinct()
-    held = measured.where(~F.col("base_failed")).join(good, "doc_id", "left_semi")
-    over = [F.count_if(F.expr(m) > F.lit(c)).alias(f"{r}_{i}") for r, (m, cs) in rules.items() for i, c in enumerate(cs)]
-    counts = stored(held.groupBy("stratum").agg(F.count("*").alias("n"), *over))  # a row for each stratum
-    names = [c for c in counts.columns if c != "stratum"]
-    sums = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names), (F.count("*") + 1).alias("strata"))
-
-    def strictest(values: tuple[float, ...], holds: Callable[[int, float], Column]) -> Column:
-        passed, found = F.lit(True), F.lit(None).cast("double")
-        for i, c in enumerate(values):
-            passed = passed & holds(i, c)
-            found = F.when(passed, F.lit(c)).otherwise(found)
-        return found
-
-    def proven(rule: str, values: tuple[float, ...]) -> Column:
-        share = F.lit(delta) / (F.col("strata") * len(rules))
-        return strictest(values, lambda i, c: binomial_tail(F.col("n"), F.col(f"{rule}_{i}"), alpha) <= share)
-
-    def uncontradicted(rule: str, values: tuple[float, ...]) -> Column:
-        common = F.col(f"all_{rule}")
-        return strictest(values, lambda i, c: F.coalesce(common <= F.lit(c), F.lit(False)) & (F.col(f"{rule}_{i}") <= F.col("n") * alpha))
-
-    every = sums.select("strata", *(proven(r, cs).alias(f"all_{r}") for r, (_, cs) in rules.items()))
-    own = counts.join(F.broadcast(every), how="cross").select("stratum", *(F.coalesce(proven(r, cs), uncontradicted(r, cs)).alias(f"cut_{r}") for r, (_, cs) in rules.items()))
-    return own.unionByName(every.select(F.lit("*").alias("stratum"), *(F.col(f"all_{r}").alias(f"cut_{r}") for r in rules)))
+    good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = 1 and high = 1").select("doc_id")
+    held = measured.where(~F.col("base_failed")).select("doc_id", "stratum", "rejecting").join(good, "doc_id", "left_semi")
+    held = held.groupBy("doc_id", "stratum").agg(F.min("rejecting").alias("rejecting"))
+    rejected = F.array(*(F.count_if(F.col("rejecting") <= i) for i in range(1, levels + 1)))
+    counts = stored(held.groupBy("stratum").agg(F.count("*").alias("n"), rejected.alias("rejected")))  # a row for each stratum
+    share = delta / max(1, counts.count())
+    failed = F.array_position(F.transform("rejected", lambda k: binomial_tail(F.col("n"), k, alpha) > share), True)
+    found = stored(counts.select("stratum", F.when(failed == 0, levels).otherwise(failed - 1).cast("int").alias("level")))
+    drop_stored(counts)
+    return found
+
+
+def _judged(measured: DataFrame, levels: DataFrame) -> DataFrame:
+    """The rows with `kept`, for columns stratum, base_failed and rejecting; levels is a stored table."""
+    if levels.count() <= MOST_BROADCAST:
+        levels = F.broadcast(levels)
+    rejected = F.coalesce(F.col("rejecting") <= F.col("level"), F.lit(False))
+    return measured.join(levels, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~rejected)
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """Counts and verdict of every document.
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept. One row for each row,
-    with equal or null ids too; labels that are null or of unknown documents are not used. Without labels no rule rejects,
-    only the base test does. An empty or null text has no words, so its base test fails.
+    with equal or null ids too; labels that are null, contradict each other or are of unknown documents are not used.
+    Without labels no rule rejects, only the base test does. An empty or null text has no words, so its base test fails.
     """
-    verdicts = _verdicts(stored(base_measures(docs, id_col, text_col, stratum_col)), labels)
-    return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    measured = stored(base_measures(docs, id_col, text_col, stratum_col))
+    judged = _judged(measured, proven_levels(measured, labels))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """The documents that the rules keep, with all their columns.
 
-    A verdict goes back to its rows by id, stratum and a hash of the text: rows that are equal in these have one verdict.
+    The rows are written once with their measures, so that neither texts are shuffled nor measures taken twice.
     """
-    texts = docs.withColumn(_KEY, F.xxhash64(F.col(text_col)))
-    measures = base_measures(docs, id_col, text_col, stratum_col, keep=F.xxhash64(F.col(text_col)).alias("text_hash"))
-    kept = _verdicts(stored(measures), labels).where("kept").select("doc_id", "stratum", "text_hash")
-    same = texts[id_col].cast("long").eqNullSafe(kept["doc_id"]) & (F.coalesce(texts[stratum_col], F.lit("")) == kept["stratum"]) & (texts[_KEY] == kept["text_hash"])
-    return texts.join(kept, same, "left_semi").drop(_KEY)
-
-
-def _verdicts(measured: DataFrame, labels: DataFrame) -> DataFrame:
-    found = cutoffs(measured, labels)
-    common = F.broadcast(found.where("stratum = '*'").select(*(F.col(f"cut_{r}").alias(f"all_{r}") for r in RULES)))
-    own = F.broadcast(found.where("stratum <> '*'").withColumn("held", F.lit(True)))  # a row for each stratum of the holdout
-    bad = F.lit(False)
-    for r, (m, _) in RULES.items():
-        bad = bad | F.coalesce(F.expr(m) > F.when(F.col("held"), F.col(f"cut_{r}")).otherwise(F.col(f"all_{r}")), F.lit(False))
-    return measured.join(own, "stratum", "left").join(common, how="left").withColumn("kept", ~F.col("base_failed") & ~bad)
+    rows = stored(with_measures(docs, text_col, stratum_col))
+    measured = rows.select(F.col(id_col).cast("long").alias("doc_id"), f"{_MEASURES}.*")
+    levels = proven_levels(measured, labels)
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(_ROW)
+    return _judged(rows.select(own, f"{_MEASURES}.*"), levels).where("kept").select(f"{_ROW}.*")

@@ -14,7 +14,7 @@ from .html_extract import extract
 from .jaccard_join import jaccard_classes
 from .packing import pack_documents
 from .quality_cnn import classify
-from .quality_rules import ALPHA, DELTA, MOST_STRATA, RULES, apply_rules
+from .quality_rules import ALPHA, DELTA, LEVELS, RULES, apply_rules
 from .token_counts import count_tokens
 from .token_files import token_file_digests
 from .toxicity import score_toxicity
@@ -69,8 +69,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def _rules_sql() -> str:
     """The counts and verdicts of op1 in DuckDB's SQL."""
     space = "\\x20\\x09-\\x0D"
-    cuts = ", ".join(f"('{rule}', {i}, {c}::double)" for rule, (_, cs) in RULES.items() for i, c in enumerate(cs))
-    measures = " union all ".join(f"select doc_id, s, base_failed, '{rule}' as rule, ({m}) as m from base" for rule, (m, _) in RULES.items())
+    levels = ", ".join(f"({i + 1}, {', '.join(str(cs[i]) for _, cs in RULES.values())})" for i in range(LEVELS))
+    over = " or ".join(f"{m} > {rule}" for rule, (m, _) in RULES.items())
     return f"""with w as (select doc_id, coalesce(lang, '') as s, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^{space}]+') as ws from documents),
     g as (select doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as g from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from w)),
     d as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as n from g) where n > 1),
@@ -79,16 +79,15 @@ def _rules_sql() -> str:
     c as (select l.doc_id, s, len(ws) as n_words, cast(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) as bigint) as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines,
       coalesce(n_repeat_words, 0) as n_repeat_words, len(ls) as n_lines, len(regexp_extract_all(t, '\\p{{Lu}}')) as n_upper from l left join r using (doc_id)),
     base as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from c),
-    m as ({measures}),
-    cut as (select * from (values {cuts}) v(rule, i, c)),
-    held as (select * from m where not base_failed and doc_id in (select doc_id from labels where quality = 1)),
-    own as (select s from held group by s order by count(distinct doc_id) desc, s limit {MOST_STRATA}),
-    k as (select s, rule, i, c, count(*) as n, count_if(m > c) as k from held join cut using (rule) where s in (select s from own) group by all union all select '*', rule, i, c, count(*), count_if(m > c) from held join cut using (rule) group by all),
+    v as (select * from (values {levels}) v(level, {', '.join(RULES)})),
+    r1 as (select doc_id, s, base_failed, min(level) filter ({over}) as rejecting from base cross join v group by all),
+    good as (select doc_id from labels group by 1 having min(quality) = 1 and max(quality) = 1),
+    held as (select doc_id, s, min(rejecting) as rejecting from r1 where not base_failed and doc_id in (select doc_id from good) group by all),
+    k as (select s, level, count(*) as n, count_if(rejecting <= level) as k from held cross join v group by all),
     p as (select *, case when k >= n * {ALPHA} then 1.0 else list_sum(list_transform(range(0, cast(k as bigint) + 1), lambda x: exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln({ALPHA}) + (n - x) * ln(1 - {ALPHA})))) end as p from k),
-    f as (select *, max((p > {DELTA} / ({len(RULES)} * (select count(*) + 1 from own)))::int) over (partition by s, rule order by i) as failed from p),
-    found as (select s, rule, min(c) as c from f where failed = 0 group by all),
-    bad as (select distinct m.doc_id from m left join found a on a.s = m.s and a.rule = m.rule left join found b on b.s = '*' and b.rule = m.rule where m.m > coalesce(a.c, b.c))
-    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and doc_id not in (select doc_id from bad) as kept from base"""
+    found as (select s, coalesce(min(level) filter (p > {DELTA} / (select count(distinct s) from held)) - 1, {LEVELS}) as level from p group by 1)
+    select base.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base.base_failed, not base.base_failed and not coalesce(r1.rejecting <= found.level, false) as kept
+      from base join r1 using (doc_id) left join found on found.s = base.s"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -64,18 +64,27 @@ def test_binomial_tail(spark):
             assert got[n, k] == 1.0
 
 
-def test_cutoffs_of_refuted_and_small_strata(spark):
-    rule = {"symbols": ("n_symbols / greatest(word_chars, 1)", (0.5, 0.3))}
-    # A large language proves both cutoffs, a smaller one refutes 0.3 (a tenth of its good documents exceed it), a small one
-    # neither proves nor contradicts, and 40 languages more are beyond the largest ones, the last with all documents above 0.5.
-    strata = [("big", 20000, 0, 0), ("odd", 400, 40, 0), ("few", 20, 0, 0), *((f"l{i:02}", 25, 0, 0) for i in range(40)), ("zz", 5, 0, 5)]
-    rows = spark.createDataFrame(strata, "stratum string, n int, above int, far int").select("stratum", "above", "far", F.explode(F.sequence(F.lit(1), "n")).alias("i"))
-    measured = rows.select(F.row_number().over(Window.orderBy("stratum", "i")).cast("long").alias("doc_id"), "stratum", F.when(F.col("i") <= F.col("far"), 60).when(F.col("i") <= F.col("above"), 40).otherwise(0).alias("n_symbols"), F.lit(100).alias("word_chars"), F.lit(False).alias("base_failed"))
-    labels = measured.select("doc_id", F.lit(1).alias("quality"))
-    got = {r["stratum"]: r["cut_symbols"] for r in quality_rules.cutoffs(measured, labels, rules=rule).collect()}
-    assert len(got) == len(strata) + 1
-    assert (got["*"], got["big"], got["few"], got["l39"]) == (0.3, 0.3, 0.3, 0.3)
-    assert got["odd"] == 0.5 and got["zz"] is None
+def test_levels_of_refuted_and_small_strata(spark):
+    # Of 1000 good documents each: all pass, a tenth is rejected from level 3 on, two in a hundred by level 6 (too many to
+    # prove 3 in a hundred); a small stratum proves nothing; ids of "twice" stand ten times, which proves nothing either.
+    strata = [("all", 1000, 0, 9), ("odd", 1000, 100, 3), ("some", 1000, 25, 6), ("few", 20, 0, 9), ("twice", 200, 0, 9)]
+    rows = spark.createDataFrame(strata, "stratum string, n int, above int, at int").select("stratum", "above", "at", F.explode(F.sequence(F.lit(1), "n")).alias("i"))
+    number = F.row_number().over(Window.orderBy("stratum", "i")).cast("long")
+    measured = rows.select(F.when(F.col("stratum") == "twice", 10**6 + F.col("i") % 20).otherwise(number).cast("long").alias("doc_id"), "stratum", F.when(F.col("i") <= F.col("above"), F.col("at")).cast("long").alias("rejecting"), F.lit(False).alias("base_failed"))
+    labels = measured.select("doc_id", F.lit(1).alias("quality")).union(spark.createDataFrame([(5 * 10**6, 0)], "doc_id long, quality int"))
+    got = {r["stratum"]: r["level"] for r in quality_rules.proven_levels(measured, labels).collect()}
+    assert got == {"all": 6, "odd": 2, "some": 5, "few": 0, "twice": 0}
+    assert quality_rules.proven_levels(measured, labels.select("doc_id", F.lit(0).alias("quality"))).count() == 0
+
+
+def test_false_rejections_of_every_stratum(spark):
+    """A language whose good documents are full of symbols loses none of them to the cutoff that another one has proven."""
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, words + (" #" * 40 if i % 2 and i % 10 == 1 else "") + f" {i}", "xx" if i % 2 else "en") for i in range(2000)]
+    docs = spark.createDataFrame([*rows, (9000, words + " #" * 40, "en"), (9001, words + " #" * 40, "none")], "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality")).where("doc_id < 5000")
+    kept = {r["lang"]: (r["kept"], r["n"]) for r in quality_rules.accepted(docs, labels).groupBy("lang").agg(F.count_if(F.col("doc_id") < 5000).alias("kept"), F.count("*").alias("n")).collect()}
+    assert kept == {"xx": (1000, 1000), "en": (1000, 1000), "none": (0, 1)}
 
 
 def test_accepted_keeps_columns_and_rows(spark, tables):
