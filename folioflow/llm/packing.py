@@ -25,28 +25,48 @@ from .token_files import id_bytes
 WINDOW, GROUP_WINDOWS, PIECE = 4096, 128, 512
 
 
+_NODE = 32  # bits for the number of a node, below a sum
+
+
 def difference(sizes: list[int], m: int) -> list[list[int]]:
-    """Indexes of the sizes in m sets with near-equal sums (Karmarkar-Karp)."""
+    """Indexes of the sizes in m sets with near-equal sums (Karmarkar-Karp).
+
+    A partial partition is a rising list of its sums, less the least one of m, each with a node that stands for the members
+    of its set; sums of sets without members are left out. A node is a size, or two nodes that were joined.
+    """
     if m == 1 or not sizes:
         return [list(range(len(sizes))), *([] for _ in range(m - 1))]
-    # A partition: sums in falling order, less the least one, and the members behind each sum.
-    heap = []
-    for i, x in enumerate(sizes):
-        sums = np.zeros(m, dtype=np.int64)
-        sums[0] = x
-        heap.append((-x, i, sums, [[i], *([] for _ in range(m - 1))]))
+    joined: list[tuple[int, int]] = []
+    low = (1 << _NODE) - 1
+    heap = [(-x, i, [x << _NODE | i]) for i, x in enumerate(sizes)]
     heapq.heapify(heap)
     n = len(sizes)
     while len(heap) > 1:
-        _, _, a, members = heapq.heappop(heap)
-        _, _, b, others = heapq.heappop(heap)
-        sums = a + b[::-1]
-        order = np.argsort(-sums, kind="stable")
-        sums = sums[order]
-        both = [x + y if x and y else x or y for x, y in zip(members, reversed(others), strict=True)]
-        n += 1
-        heapq.heappush(heap, (-int(sums[0] - sums[-1]), n, sums - sums[-1], [both[k] for k in order]))
-    return heap[0][3]
+        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
+        over = len(a) + len(b) - m
+        if over <= 0:
+            both = sorted(a + b)
+        else:  # the smallest of one with the largest of the other that would else have no set of their own
+            both = []
+            for x, y in zip(a[:over], reversed(b[:over]), strict=True):
+                both.append(((x >> _NODE) + (y >> _NODE) << _NODE) | (n + len(joined)))
+                joined.append((x & low, y & low))
+            both = sorted(both + a[over:] + b[over:])
+        if over >= 0 and both[0] > low:
+            least = both[0] >> _NODE << _NODE
+            both = [x - least for x in both]
+        heapq.heappush(heap, (-(both[-1] >> _NODE), n + len(joined) + len(heap), both))
+    sets = []
+    for x in heap[0][2]:
+        todo, members = [x & low], []
+        while todo:
+            k = todo.pop()
+            if k < n:
+                members.append(k)
+            else:
+                todo += joined[k - n]
+        sets.append(members)
+    return sets + [[] for _ in range(m - len(sets))]
 
 
 def windows_of(sizes: list[int], window: int) -> list[list[int]]:

@@ -13,9 +13,7 @@ names the files of the attempts that counted, so repeated and speculative attemp
 from __future__ import annotations
 
 import struct
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe_automaton import Bpe, encoded_of
+from .bpe_automaton import encoder_of
 from .common import id_and_text, read_bytes, shared_dir, stored, text_batches
 
 FRAME_BYTES, LEVEL = 1 << 18, 1
-_LITTLE = sys.byteorder == "little"
 # Fixed values of the seekable format: magic of the skippable frame that holds the table, and of its end.
 TABLE_MAGIC, SEEK_MAGIC, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 
@@ -76,18 +73,9 @@ class FrameReader:
         return data
 
 
-def _bytes_u16(bpe: Bpe):
-    return lambda ids: array("H", ids).tobytes() if _LITTLE else np.asarray(ids, dtype="<u2").tobytes()
-
-
-def _bytes_u32(bpe: Bpe):
-    return lambda ids: array("I", ids).tobytes() if _LITTLE else np.asarray(ids, dtype="<u4").tobytes()
-
-
 def id_bytes(definition: bytes, texts: list[str], width: int) -> list[bytes]:
     """Each text's ids as little-endian unsigned integers of `width` bytes."""
-    table = encoded_of(definition, f"u{width}", _bytes_u16 if width == 2 else _bytes_u32, b"".join)
-    return [b"".join(x) for x in table.lists(texts)]
+    return [ids.astype(f"<u{width}").tobytes() for ids in encoder_of(definition).encode(texts)]
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

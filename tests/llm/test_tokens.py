@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from folioflow.llm.bpe_automaton import Automaton, Bpe, Encoded, Transitions, _has_arc, encode_digests
+from folioflow.llm.bpe_automaton import Automaton, BatchEncoder, Bpe, Transitions, _has_arc, encode_digests
 from folioflow.llm.common import read_bytes, stored
 from folioflow.llm.packing import difference, pack_documents, windows_of
 from folioflow.llm.token_counts import count_tokens, segments
@@ -40,12 +41,12 @@ def ids_of(docs):
 def test_arcs_of_both_forms_agree():
     merges = [(0, 0, 3), (0, 1, 4), (3, 1, 5), (3, 3, 6), (1, 2, 7), (4, 7, 8)]
     a = Automaton.compile(9, merges)
-    t = Transitions(a, merges)
+    t = Transitions(a)
     parts = [x.tolist() for x in (a.left, a.rank, a.copied, a.lost, a.made)]
     for q in range(len(a.copied)):
         for k in range(9):
             if q in a.target or q == 0:
-                assert t.have(np.array([q]), np.array([k]))[0] == _has_arc(q, k, *parts)
+                assert t.have(np.array([q]), np.array([k]))[0] == t.has(q, k) == _has_arc(q, k, *parts)
 
 
 def test_encode_and_decode(docs):
@@ -59,16 +60,33 @@ def test_encode_and_decode(docs):
     assert encode_digests(docs.limit(0), WORD).count() == 0
 
 
-def test_table_of_strings_may_overflow(monkeypatch):
+def test_table_of_words_may_overflow(monkeypatch):
     from folioflow.llm import bpe_automaton
 
-    bpe = Bpe(read_bytes(WORD))
-    monkeypatch.setattr(bpe_automaton, "STRINGS", 5)
+    monkeypatch.setattr(bpe_automaton, "WORDS", 5)
+    monkeypatch.setattr(bpe_automaton, "WORD_IDS", 20)
     monkeypatch.setattr(bpe_automaton, "TRANSITIONS", 50)
-    table = Encoded(bpe, lambda ids: ids, lambda ps: [i for p in ps for i in p])
-    library = Tokenizer.from_file(WORD)
-    for t in ("one two three, four.", "five six seven one", "two two two"):
-        assert [i for x in table.lists([t])[0] for i in x] == library.encode(t, add_special_tokens=False).ids
+    monkeypatch.setattr(bpe_automaton, "NEW_WORDS", 8)
+    monkeypatch.setattr(bpe_automaton, "BATCH_CHARS", 30)
+    encoder, library = BatchEncoder(Bpe(read_bytes(WORD))), Tokenizer.from_file(WORD)
+    for t in ("one two three, four.", "five six seven one", "two two two", "a much longer text of many words, which is cut in more than two parts", *ODD[:7]):
+        assert encoder.encode([t, "", t])[2].tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_words_by_classes_of_characters():
+    encoder, library, rng = BatchEncoder(Bpe(read_bytes(WORD))), Tokenizer.from_file(WORD), random.Random(4)
+    some = ["".join(rng.choice("'" * 4 + "strevmdl LDS.!1½²ª éÉßſŸȺİ\x1c\x85\xa0\n<|>") for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    for t, ids in zip(some, encoder.encode(some), strict=True):
+        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
+def test_long_words():
+    bpe, library, rng = Bpe(read_bytes(WORD)), Tokenizer.from_file(WORD), random.Random(6)
+    long = ["".join(rng.choice("abcdeginorst") for _ in range(200_000)), "x" * 50_000, "ab" * 20_000, "é" * 3000]
+    start = time.time()
+    for w in long:
+        assert bpe.words([w.encode()])[0] == library.encode(w, add_special_tokens=False).ids
+    assert time.time() - start < 60
 
 
 def test_counts(docs):
