@@ -9,8 +9,8 @@ a set with too few parts is split into single shingles as well, of which it has
 
 Documents with one set are first brought together by the set's 128-bit key. Documents that share a signature are candidates:
 
-* each group of candidates has a hub, the one with most candidates; each document is compared with the hub that it shares
-  most signatures with, and the links found make components. Pairs inside a component are never made;
+* each group of candidates has a hub, the one with most candidates; each document is compared with the hubs of its groups,
+  and the links found make components. Pairs inside a component are never made;
 * documents around a hub are compared with it if they still stand in different components. A and B with the differences
   D(A) and D(B) to the hub have a Hamming distance of |D(A)| + |D(B)| - 2 |D(A) & D(B)|, so similar ones share a number of
   differences, unless both are linked to the hub anyway. Both are then among the first few of D(A) and of D(B) in one order
@@ -255,17 +255,19 @@ def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) with both sets x and y; only the sets of stored pairs are moved."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select(F.xxhash64("id").alias("spot")))
-    needed = Bitmap(ids, "spot")
-    drop_stored(ids)
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(needed.has(batch.column("spot").to_numpy()))).select(["doc_id", "hashes"])
+    def side(name: str, column: str) -> DataFrame:
+        ids = stored(pairs.select(name).distinct().select(F.xxhash64(name).alias("spot")))
+        needed = Bitmap(ids, "spot")
+        drop_stored(ids)
+
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(needed.has(batch.column("spot").to_numpy()))).select(["doc_id", "hashes"])
+
+        return sets.select("doc_id", "spot", "hashes").mapInArrow(pick, "doc_id long, hashes array<long>").withColumnsRenamed({"doc_id": name, "hashes": column})
 
-    picked = sets.select("doc_id", "spot", "hashes").mapInArrow(pick, "doc_id long, hashes array<long>")
-    a, b = picked.withColumnsRenamed({"doc_id": "a", "hashes": "x"}), picked.withColumnsRenamed({"doc_id": "b", "hashes": "y"})
-    return pairs.join(a, "a").join(b, "b")
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -353,14 +355,13 @@ def _classes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     sets = stored(wanted_sets(texts, Bitmap(wanted, "spot"), shingle))
     drop_stored(wanted)
 
-    # Each document against the hub that it shares most signatures with.
+    # Each document against the hubs of its groups.
     hubs = groups.join(central, "doc_id").groupBy("signature").agg(F.max_by("doc_id", F.struct("shares", -F.col("doc_id"))).alias("hub"))
     around = stored(groups.select("signature", "doc_id").join(hubs, "signature"))
     drop_stored(groups)
     drop_stored(central)
-    stars = around.where("doc_id <> hub").groupBy(F.col("doc_id").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("n"))
-    star = possible(stars, sets, percent).groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
-    links = similar(star, sets, percent)
+    stars = around.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
+    links = similar(possible(stars, sets, percent), sets, percent)
 
     # Around hubs of groups that still hold several components.
     parts = connected_components(links).withColumnRenamed("node", "doc_id")
