@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: White space of the Unicode property White_Space, as tokenizer patterns understand it.
 WHITE_SPACE = "\t-\r \x85\xa0  -     　"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,11 +38,17 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """The rows written as Parquet to a shared folder and read again.
 
-    This cuts the lineage: a lost executor costs the running tasks only, and a table used twice is computed once.
+    This cuts the lineage: a lost executor costs the running tasks only, and a table used twice is computed once. The
+    shuffle files of the job are deleted at its end, as nothing reads them again.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

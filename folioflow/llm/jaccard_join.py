@@ -39,7 +39,7 @@ from .components import connected_components
 #: Width of a size band, largest size of a band whose signatures are pairs of parts, spare parts of a band.
 BAND_RATIO, PAIRED, SPARE = 1.92, 28, 0.12
 #: Documents around a hub that are paired directly, at most; classes that half the allowed difference to a hub makes.
-FEW, CLASSES = 32, 2
+FEW, CLASSES = 64, 2
 #: Bits of the bitmaps that keep rows without candidates out, at least and at most (32 MB).
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 #: Words whose hashes a worker keeps, and the longest of them.
@@ -214,9 +214,9 @@ def with_shared(signed: DataFrame, repeated: Bitmap) -> DataFrame:
 
 
 def parity(hashes: np.ndarray) -> np.ndarray:
-    """One bit for each of 4 to 8 times as many places as shingles (a power of two, 64 at least): whether the number of
+    """One bit for each of 1 to 2 times as many places as shingles (a power of two, 64 at least): whether the number of
     shingles at the place is odd. The bits in which two sets differ are no more than their Hamming distance."""
-    bits = max(64, 1 << (4 * len(hashes) - 1).bit_length())
+    bits = max(64, 1 << (len(hashes) - 1).bit_length())
     odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -300,13 +300,16 @@ def difference_keys(x: np.ndarray, hub: np.ndarray, hub_id: int, percent: int) -
     new, gone = np.setdiff1d(x, hub, assume_unique=True), np.setdiff1d(hub, x, assume_unique=True)
     d = np.concatenate([np.sort(_mix(new)), np.sort(_mix(gone))])
     w, width = p * len(d) - q * len(x), max(1, q * len(hub) // percent // CLASSES) * p
+    linked, least = p * len(d) <= q * (len(x) + len(hub)), w - 2 * q * 100 * len(x) // percent
+    if linked:  # no keys are needed for others that are linked too, whose W is at most this
+        least = max(least, q * len(hub) + 1)
     own, keys = w // width, []
-    for other in range((w - 2 * q * 100 * len(x) // percent) // width, (w + 2 * q * len(x)) // width + 1):
-        shared = max(1, -(-(w + other * width) // (2 * p)))
+    for other in range(least // width, (w + 2 * q * len(x)) // width + 1):
+        shared = max(1, -(-(w + max(other * width, least)) // (2 * p)))
         if shared <= len(d):
             salt = _times(hub_id * 1_000_003 + min(own, other) * 65_537 + max(own, other))
             keys.append(_mix(d[: len(d) - shared + 1] + salt))
-    return p * len(d) <= q * (len(x) + len(hub)), np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
+    return linked, np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
 
 
 def around_hubs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
