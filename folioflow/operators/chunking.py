@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables as T
+from ..functions.boxes import union_of
 from ..functions.text import strip, tokens
 
 TARGET, OVERLAP, TABLE_ROWS, PREVIEW_ROWS = 800, 100, 100, 30
@@ -20,9 +21,13 @@ def window_count(n: Column, target: int, overlap: int) -> Column:
 def token_windows(text: Column, target: int = TARGET, overlap: int = OVERLAP) -> Column:
     """The text's windows as strings."""
     step = max(1, target - overlap)
-    n = window_count(F.size(tokens(text)), target, overlap)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens(text), i * step + 1, F.lit(target)), ""))
+
+    def windows(toks: Column) -> Column:
+        n = window_count(F.size(toks), target, overlap)
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(toks, i * step + 1, F.lit(target)), ""))
+
+    return F.get(F.transform(F.array(tokens(text)), windows), F.lit(0))  # the text is split once
 
 
 def boilerplate(elements: DataFrame, chars: int = 30, pages: int = 3) -> DataFrame:
@@ -38,20 +43,33 @@ def without_boilerplate(elements: DataFrame) -> DataFrame:
 def text_chunks(elements: DataFrame, secs: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
     """Chunks of text and formula elements: one token stream for each section and page, cut into windows.
 
-    Elements are joined by a paragraph break that counts as one token. A window keeps the ids of the elements it overlaps.
-    Columns: document_id, sec_seq, page, first_pos, window, element_ids, section_path, display_text, text_for_embedding.
+    Elements are joined by a paragraph break that counts as one token. A window keeps the ids of the elements it overlaps, the
+    union of their boxes and its page size (null where elements have none). Finished windows are the only rows made.
+    Columns: document_id, sec_seq, page, first_pos, window, element_ids, bbox, page_size, section_path, display_text,
+    text_for_embedding.
     """
-    step = max(1, target - overlap)
-    parts = elements.where("type in ('text', 'formula')").groupBy("document_id", "sec_seq", "page").agg(F.array_sort(F.collect_list(F.struct("pos", "element_id", "text"))).alias("els"))
-    parts = parts.withColumn("toks", F.transform("els", lambda e: tokens(e["text"])))
-    parts = parts.withColumn("ends", F.expr("transform(sequence(1, size(toks)), k -> aggregate(slice(toks, 1, k), 0, (s, t) -> s + size(t)) + k - 1)"))
-    parts = parts.withColumn("stream", F.expr("flatten(transform(toks, (t, i) -> if(i = 0, t, concat(array('\\n\\n'), t))))"))
-    parts = parts.withColumn("w", F.explode(F.sequence(F.lit(0), window_count(F.size("stream"), target, overlap) - 1)))
-    lo, hi = F.col("w") * step, F.col("w") * step + target
-    ids = F.expr(f"transform(filter(arrays_zip(els, ends, toks), x -> x.ends > w * {step} and x.ends - size(x.toks) < w * {step} + {target}), x -> x.els.element_id)")
-    text = strip(F.array_join(F.slice("stream", lo + 1, hi - lo), ""))
-    out = parts.select("document_id", "sec_seq", "page", F.col("els")[0]["pos"].alias("first_pos"), F.col("w").alias("window"), ids.alias("element_ids"), text.alias("display_text"))
-    named = out.where("display_text <> ''").join(secs.select("document_id", "sec_seq", "path"), ["document_id", "sec_seq"], "left").withColumn("section_path", F.coalesce("path", F.lit("Document"))).drop("path")
+    step, keys = max(1, target - overlap), ["document_id", "sec_seq", "page"]
+    boxes = {c: F.col(c) if c in elements.columns else F.lit(None).cast("array<double>") for c in ("bbox", "page_size")}
+    e = elements.where("type in ('text', 'formula')").withColumns({"toks": tokens("text"), **boxes})
+    order = Window.partitionBy(*keys).orderBy("pos")
+    e = e.withColumn("end", (F.sum(F.size("toks")).over(order) + F.row_number().over(order) - 1).cast("int"))
+    fields = F.struct("pos", "element_id", "end", F.size("toks").alias("n"), "bbox", "page_size", "toks")
+    parts = e.groupBy(*keys).agg(F.array_sort(F.collect_list(fields)).alias("els"))
+    parts = parts.withColumn("stream", F.expr("flatten(transform(els, (e, i) -> if(i = 0, e.toks, concat(array('\\n\\n'), e.toks))))"))
+
+    def window(w: Column) -> Column:
+        lo = w * step
+        inside = F.transform(F.filter("els", lambda x: (x["end"] > lo) & (x["end"] - x["n"] < lo + target)), lambda x: F.struct(x["element_id"].alias("element_id"), x["bbox"].alias("bbox"), x["page_size"].alias("page_size")))
+        text = strip(F.array_join(F.slice("stream", lo + 1, F.lit(target)), ""))
+        return F.struct(w.alias("window"), inside.alias("inside"), text.alias("display_text"))
+
+    n = window_count(F.size("stream"), target, overlap)
+    made = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), window))
+    out = parts.select(*keys, F.col("els")[0]["pos"].alias("first_pos"), F.explode(made).alias("c")).where("c.display_text <> ''")
+    out = out.withColumn("box", union_of(F.col("c.inside")))
+    ids = F.transform("c.inside", lambda x: x["element_id"])
+    out = out.select(*keys, "first_pos", "c.window", ids.alias("element_ids"), "box.bbox", "box.page_size", "c.display_text")
+    named = out.join(secs.select("document_id", "sec_seq", "path"), ["document_id", "sec_seq"], "left").withColumn("section_path", F.coalesce("path", F.lit("Document"))).drop("path")
     return named.withColumn("text_for_embedding", F.concat("section_path", F.lit("\n\n"), "display_text"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import count_tokens, normalize_title, strip, summary, words_for_keywords
 
 BODY, KEYWORDS = 4000, 8
+# Words that are no abbreviations.
 COMMON = ["THE", "AND", "FOR", "WITH", "FROM", "THIS", "THAT", "ARE", "WAS", "WERE"]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,9 +43,10 @@ def mark(raw: DataFrame) -> DataFrame:
 
 
 def elements(marked: DataFrame) -> DataFrame:
-    """Typed elements without headings, page breaks, footers, addresses and empty texts."""
+    """Typed elements without headings, page breaks, footers, addresses and empty texts, with their boxes if they have some."""
     kept = marked.where(~is_heading() & ~F.col("category").isin(DROPPED) & (strip("text") != ""))
-    return kept.select("document_id", "pos", "element_id", element_type().alias("type"), "page", "text", "sec_seq")
+    boxes = [c for c in ("bbox", "page_size") if c in marked.columns]
+    return kept.select("document_id", "pos", "element_id", element_type().alias("type"), "page", "text", "sec_seq", *boxes)
 
 
 def sections(marked: DataFrame) -> DataFrame:
@@ -102,14 +104,15 @@ def greedy_match(found: DataFrame, places: DataFrame, least: float, by_place: bo
     def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = (list(x.sort_values(["pos", "id"]).itertuples()) for x in (a, b))
         ask, answer = (b, a) if by_place else (a, b)
-        used, rows = set(), []
+        rows, free = [], np.ones(len(answer), dtype=bool)
+        boxes = np.asarray([y.bbox for y in answer], dtype=float).reshape(len(answer), 4)
         for x in ask:
-            free = [y for y in answer if y.id not in used]
-            if not free:
+            if not free.any():
                 break
-            best = max(free, key=lambda y: _overlap(x.bbox, y.bbox))
-            hit = best if _overlap(x.bbox, best.bbox) > least else free[0]
-            used.add(hit.id)
+            share = np.where(free, _overlaps(np.asarray(x.bbox, dtype=float), boxes), -1.0)
+            at = int(share.argmax())
+            at = at if share[at] > least else int(free.argmax())
+            hit, free[at] = answer[at], False
             rows.append((hit.id, x.id) if by_place else (x.id, hit.id))
         matched = {f for f, _ in rows}
         rows += [(x.id, None) for x in a if x.id not in matched]
@@ -120,8 +123,9 @@ def greedy_match(found: DataFrame, places: DataFrame, least: float, by_place: bo
     return found.select(*cols).groupBy(keys).cogroup(places.select(*cols).groupBy(keys)).applyInPandas(match, "document_id string, page int, found_id string, place_id string")
 
 
-def _overlap(a, b) -> float:
-    w, h = max(0.0, min(a[2], b[2]) - max(a[0], b[0])), max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+def _overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The share of box a that each of the boxes b covers."""
+    w, h = (np.maximum(0.0, np.minimum(a[i + 2], b[:, i + 2]) - np.maximum(a[i], b[:, i])) for i in (0, 1))
     return w * h / max((a[2] - a[0]) * (a[3] - a[1]), 1e-6)
 
 

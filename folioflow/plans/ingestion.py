@@ -14,6 +14,7 @@ from ..operators import quality as Q
 from ..operators import store as S
 from ..operators import structure as R
 from ..sources import documents as D
+from ..sources.scratch import stored
 from . import sql as L
 from .registry import query, table
 
@@ -24,9 +25,15 @@ def marked(spark: SparkSession, d: str) -> DataFrame:
 
 def parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Elements and sections of the documents."""
-    m = marked(spark, d)
+    m = stored(marked(spark, d))
     e = R.elements(m)
-    return e, R.page_ranges(R.sections(m), e)
+    return e, R.page_ranges(stored(R.sections(m)), e)
+
+
+def elements_and_paths(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Elements and sections without page ranges, for chunks."""
+    m = stored(marked(spark, d))
+    return R.elements(m), R.sections(m)
 
 
 def joined(c: str, sep: str = "|"):
@@ -40,7 +47,7 @@ def p2_heading_levels(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {L.RAW} select document_id, pos, element_id, type, page, text from els")
 def p1_element_typing(spark: SparkSession, d: str) -> DataFrame:
-    return R.elements(marked(spark, d)).drop("sec_seq")
+    return R.elements(marked(spark, d)).drop("sec_seq", "bbox", "page_size")
 
 
 @query(f"with recursive {L.SECTIONS} select document_id, sec_seq, sec_id, title, level, path, cast(parent_seq as int) as parent_seq from secs")
@@ -119,19 +126,18 @@ def s6_replace_documents(spark: SparkSession, d: str) -> DataFrame:
     return S.replace_documents(docs.where("doc_id % 2 = 0").select("doc_id", "document_id", F.col("n_chars").alias("v")), new)
 
 
-_BIG = """big as (select c_nationkey as document_id, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || c_custkey || ' | ' || c_name || ' |', chr(10) order by c_custkey) as markdown, count(*) as n from customer group by 1)"""
+_BIG = """big as (select case when c_nationkey < 20 then c_nationkey // 2 else c_nationkey end as document_id, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || c_custkey || ' | ' || c_name || ' |', chr(10) order by c_custkey) as markdown, count(*) as n from customer group by 1)"""  # two nations a document, one from nation 20 on
 
 
 def _big_tables(spark: SparkSession, d: str) -> DataFrame:
     row = F.concat(F.lit("| "), F.col("c_custkey").cast("string"), F.lit(" | "), F.col("c_name"), F.lit(" |"))
-    t = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("document_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("r")))), lambda x: x["r"]), "\n").alias("rows"))
+    t = table(spark, d, "customer").groupBy(F.when(F.col("c_nationkey") < 20, F.floor(F.col("c_nationkey") / 2)).otherwise(F.col("c_nationkey")).alias("document_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("r")))), lambda x: x["r"]), "\n").alias("rows"))
     return t.select("document_id", F.concat(F.lit("| key | name |\n| --- | --- |\n"), "rows").alias("markdown"))
 
 
-@query(f"with {_BIG} select document_id, n > 60 as truncated, case when n > 60 then array_to_string(string_split(markdown, chr(10))[1:32], chr(10)) else markdown end as markdown from big")
+@query(f"with {_BIG} select document_id, n > 100 as truncated, case when n > 100 then array_to_string(string_split(markdown, chr(10))[1:32], chr(10)) else markdown end as markdown from big")
 def s7_overflow_tables(spark: SparkSession, d: str) -> DataFrame:
-    big = T.data_rows("markdown") > 60
-    return _big_tables(spark, d).select("document_id", big.alias("truncated"), F.when(big, C.preview(F.col("markdown"))).otherwise(F.col("markdown")).alias("markdown"))
+    return S.split_large_tables(_big_tables(spark, d))[0].select("document_id", "truncated", "markdown")
 
 
 @query("""with o as (select c_custkey as user_id, c_name as name, c_mktsegment as segment from customer where c_custkey % 3 > 0), n as (select c_custkey as user_id, case when c_custkey % 2 = 0 then 'new ' || c_name end as name, case when c_custkey % 5 = 0 then 'X' end as segment from customer where c_custkey % 4 > 0)
@@ -166,21 +172,29 @@ _CHUNKS = f"""tk as (select document_id, sec_seq, page, pos, element_id, unnest(
     ch as (select document_id, sec_seq, page, first_pos, w, regexp_replace(string_agg(tok, '' order by k), '^\\s+|\\s+$', '', 'g') as display_text, string_agg(distinct case when tok <> chr(10) || chr(10) or i > 1 then cast(element_id as varchar) end, '|' order by case when tok <> chr(10) || chr(10) or i > 1 then cast(element_id as varchar) end) as ids from wi group by all)"""
 
 
+# Boxes of the windows' elements, of those with the first one's page size.
+_CHUNK_BOXES = """bx as (select distinct wi.document_id, sec_seq, page, w, pos, case when (cast(wi.document_id as bigint) + pos) % 3 = 0 then 600 else 612 end as width from wi where (tok <> chr(10) || chr(10) or i > 1) and pos % 4 <> 1),
+    fw as (select document_id, sec_seq, page, w, arg_min(width, pos) as width from bx group by all),
+    cb as (select document_id, sec_seq, page, w, width, min(pos % 7 * 10) as x0, min(pos % 5 * 20) as y0, max(pos % 7 * 10 + 50) as x1, max(pos % 5 * 20 + 15) as y1 from bx join fw using (document_id, sec_seq, page, w, width) group by all)"""
+
+
 def text_chunks(spark: SparkSession, d: str, target: int = 40, overlap: int = 10) -> DataFrame:
-    e, s = parts(spark, d)
+    e, s = elements_and_paths(spark, d)
     return C.text_chunks(e, s, target, overlap)
 
 
-@query(f"with recursive {L.SECTIONS}, {_CHUNKS} select c.document_id, c.sec_seq, c.page, cast(w as int) as w, display_text, ids, coalesce(path, 'Document') as section_path from ch c left join secs using (document_id, sec_seq) where display_text <> ''")
+@query(f"""with recursive {L.SECTIONS}, {_CHUNKS}, """
+    f"""{_CHUNK_BOXES} select c.document_id, c.sec_seq, c.page, cast(c.w as int) as w, display_text, ids, coalesce(path, 'Document') as section_path, cast(b.width as double) as page_width, cast(x0 as double) as x0, cast(y0 as double) as y0, cast(x1 as double) as x1, cast(y1 as double) as y1
+    from ch c left join secs using (document_id, sec_seq) left join cb b on b.document_id = c.document_id and b.sec_seq = c.sec_seq and b.page = c.page and b.w = c.w where display_text <> ''""")
 def w2_page_chunks(spark: SparkSession, d: str) -> DataFrame:
     c = text_chunks(spark, d)
-    return c.select("document_id", "sec_seq", "page", F.col("window").alias("w"), "display_text", F.array_join(F.array_sort("element_ids"), "|").alias("ids"), "section_path")
+    return c.select("document_id", "sec_seq", "page", F.col("window").alias("w"), "display_text", F.array_join(F.array_sort("element_ids"), "|").alias("ids"), "section_path", F.get("page_size", F.lit(0)).alias("page_width"), *[F.get("bbox", F.lit(i)).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])
 
 
 @query(f"""with recursive {L.SECTIONS}, {_CHUNKS}, al as (select document_id, sec_seq, 'text' as type, first_pos, w from ch where display_text <> '' union all select document_id, sec_seq, type, pos, 0 from els where type in ('table', 'image'))
     select document_id, sec_seq, type, first_pos, cast(w as int) as w, document_id || '::' || type || '::' || (row_number() over (partition by document_id order by sec_seq, type <> 'text', first_pos, w) - 1) as chunk_id from al""")
 def w3_chunk_numbers(spark: SparkSession, d: str) -> DataFrame:
-    e, s = parts(spark, d)
+    e, s = elements_and_paths(spark, d)
     text = C.text_chunks(e, s, 40, 10).select("document_id", "sec_seq", F.lit("text").alias("type"), "first_pos", "window")
     other = e.where("type in ('table', 'image')").select("document_id", "sec_seq", "type", F.col("pos").alias("first_pos"), F.lit(0).alias("window"))
     return C.number_chunks(text.union(other)).select("document_id", "sec_seq", "type", "first_pos", F.col("window").alias("w"), "chunk_id")
@@ -202,16 +216,17 @@ def j10_nearby_text(spark: SparkSession, d: str) -> DataFrame:
     return C.nearby_text(R.elements(marked(spark, d)))
 
 
-@query(f"""with {L.BOXES} select document_id, page, round(min(x), 6) as x0, round(min(y), 6) as y0, round(max(x + 10), 6) as x1, round(max(y + h), 6) as y1 from boxes where pos <= 5 group by all""")
+@query(f"""with {L.BOXES} select document_id, page, round(min(x), 6) as x0, round(min(y), 6) as y0, round(max(x + 10), 6) as x1, round(max(y + h), 6) as y1, any_value(page_width) as width from (select *, arg_min(page_width, pos) over (partition by document_id, page) as first_width from boxes where pos <= 5 and pos % 4 <> 1) where page_width = first_width group by all""")
 def a2_box_union(spark: SparkSession, d: str) -> DataFrame:
-    b = D.lineitem_boxes(table(spark, d, "lineitem")).groupBy("document_id", "page").agg(B.union_agg("bbox", F.col("pos") <= 5).alias("b"))
-    return b.select("document_id", "page", *[F.round(F.col("b")[i], 6).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])
+    few = F.array_sort(F.collect_list(F.when(F.col("pos") <= 5, F.struct("pos", "bbox", "page_size"))))
+    b = D.lineitem_boxes(table(spark, d, "lineitem")).groupBy("document_id", "page").agg(B.union_of(few).alias("b")).where("b.page_size is not null")
+    return b.select("document_id", "page", *[F.round(F.col("b.bbox")[i], 6).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))], F.col("b.page_size")[0].cast("int").alias("width"))
 
 
 _OVER = "greatest(least(a.x + 10, b.x + 10) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) / greatest(10 * a.h, 1e-6)"
 
 
-@query(f"with {L.BOXES} select a.id as a_id, b.id as b_id, round({_OVER}, 6) as share from boxes a join boxes b on a.document_id = b.document_id and a.page = b.page and b.pos = a.pos + 1")
+@query(f"with {L.BOXES} select a.id as a_id, b.id as b_id, round({_OVER}, 6) as share from (select id, x, y, h, lead({{'id': id, 'x': x, 'y': y, 'h': h}}) over (partition by document_id, page order by pos) as b from boxes) a where b is not null")
 def f20_box_overlap(spark: SparkSession, d: str) -> DataFrame:
     b = D.lineitem_boxes(table(spark, d, "lineitem"))
     nxt = Window.partitionBy("document_id", "page").orderBy("pos")
@@ -354,7 +369,12 @@ def a8_missing_pages(spark: SparkSession, d: str) -> DataFrame:
     return _covered(spark, d).select("document_id", joined(F.col("missing").cast("array<string>")).alias("missing"))
 
 
-@query()
+@query(
+    f"""{_COVER}, {L.suspicious('raw', 'document_id, pos')}, tp as (select document_id, count(distinct page) filter (length(text) >= 40) as texts, count(distinct page) filter (category in ('Image', 'Figure', 'Table')) as images, count(distinct page) filter (length(text) >= 40 or category in ('Image', 'Figure', 'Table')) as seen, sum(length(text)) as chars, count(*) as n from raw group by 1),
+    su as (select document_id, count(*) as k from suspect group by 1), g as (select document_id, expected_pages, coalesce(texts, 0) as texts, coalesce(images, 0) as images, coalesce(seen, 0) as seen, coalesce(chars, 0) as chars, coalesce(n, 0) as n, coalesce(k, 0) as k from ex left join tp using (document_id) left join su using (document_id))
+    select document_id, case when texts = 0 and images = 0 then 'no usable text or images' else concat_ws('|', case when expected_pages > seen then (expected_pages - seen) || ' of ' || expected_pages || ' pages without usable text or image' end,
+      case when chars > 0 and k > 0.25 * greatest(n, 1) then 'text looks garbled or repeated' end, case when chars = 0 and images > 0 then 'only images, no text' end, case when cast(document_id as bigint) % 2 = 0 and texts = 0 and images > 0 then 'recognition gave no text' end) end as warnings from g"""
+)
 def a9_quality_gate(spark: SparkSession, d: str) -> DataFrame:
     return Q.quality_gate(_covered(spark, d)).select("document_id", joined("warnings").alias("warnings"))
 
@@ -385,11 +405,10 @@ _WORDS = """regexp_extract_all(lower({}), '[A-Za-z][A-Za-z\\-'']+')"""
 _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 
 
-@query(f"""with w as (select doc_id, unnest({_WORDS.format('left(text, 4000)')}) as w from documents), c as (select doc_id, w, count(*) as n from w where length(w) >= 4 and w not in ({_STOP}) group by all), r as (select *, row_number() over (partition by doc_id order by n desc, w) as r from c)
+@query(f"""with w as (select doc_id, unnest({_WORDS.format('text')}) as w from documents), c as (select doc_id, w, count(*) as n from w where length(w) >= 4 and w not in ({_STOP}) group by all), r as (select *, row_number() over (partition by doc_id order by n desc, w) as r from c)
     select doc_id, string_agg(w, '|' order by r) as keywords from r where r <= 8 group by 1""")
 def a4_keywords(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 4000).alias("t"))
-    return I.keywords(docs, ["doc_id"], "t").select("doc_id", joined("keywords").alias("keywords"))
+    return I.keywords(table(spark, d, "documents"), ["doc_id"], "text").select("doc_id", joined("keywords").alias("keywords"))
 
 
 @query(f"with {L.RAW}, c as (select document_id, sec_seq, type, count(*) as n from els group by all) select document_id, sec_seq, string_agg(type || '=' || n, ',' order by type) as counts, bool_or(type = 'table') as has_tables, bool_or(type = 'image') as has_figures from c group by all")
@@ -424,7 +443,18 @@ def a6_document_meta(spark: SparkSession, d: str) -> DataFrame:
     return m.select("document_id", joined(F.transform("figure_index", lambda x: x["caption"])).alias("figures"), joined(F.transform("table_index", lambda x: x["caption"])).alias("tables"), "num_sections")
 
 
-@query()
+_WIDE = "[\u00c0-\u024f\u0370-\u1fff\u2c00-\ud7ff]"  # letters that end no word, but that RE2's \\b takes for its end
+_NAMED = "list_sort(list_distinct(regexp_extract_all(t, '{}')))"
+
+
+@query(
+    f"""with recursive {L.SECTIONS}, {_ENTRIES}, n as (select document_id, regexp_replace(string_agg(concat_ws(' ', title, summary, replace(keywords, '|', ' ')), ' ' order by sec_seq), '{_WIDE}', 'z', 'g') as t, flatten(list(list_append(case when keywords = '' then [] else string_split(keywords, '|') end, title))) as names from ix group by 1)
+    select document_id, array_to_string({_NAMED.format('\\b[A-Z]{1,3}[_-]?[A-Z0-9][A-Z0-9_-]*\\b')}, '|') as codes, array_to_string(list_filter({_NAMED.format('\\b[A-Z]{2,4}\\b')}, lambda a: not list_contains({I.COMMON}, a)), '|') as abbreviations,
+      array_to_string({_NAMED.format('\\b[A-Z][a-z]{2}-[0-9]{2}\\b')}, '|') as date_formats, array_to_string({_NAMED.format('(?i)\\b[0-9]+\\s+[A-Z]+\\s+[0-9]+\\b|\\bpart\\s+number\\s+\\w+\\b')}, '|') as identifiers,
+      concat_ws('|', case when regexp_matches(t, '(?i)\\bpercent(age)?\\b') then 'percentages' end, case when regexp_matches(t, '(?i)\\brate\\b') then 'rates' end, case when regexp_matches(t, '(?i)\\b(time\\s+)?series\\b') then 'time series' end,
+        case when regexp_matches(t, '(?i)\\b(monetary|currency|money|amount|value)\\b') then 'monetary values' end, case when regexp_matches(t, '(?i)\\b(code|identifier)\\b') then 'codes' end) as data_types,
+      array_to_string(list_sort(list_distinct(list_filter(names, lambda x: regexp_matches(regexp_replace(x, '{_WIDE}', '_', 'g'), '^[A-Z][a-z]+(\\s+[A-Z][a-z]+)+\\b'))))[1:10], '|') as entities from n"""
+)
 def a12_terminology(spark: SparkSession, d: str) -> DataFrame:
     t = I.terminology(entries(spark, d))
     return t.select("document_id", *[joined(c).alias(c) for c in ("codes", "abbreviations", "date_formats", "identifiers", "data_types", "entities")])
@@ -453,7 +483,14 @@ def a16_merge_answers(spark: SparkSession, d: str) -> DataFrame:
     return I.merge_answers(answers, fallback).select("document_id", "sec_id", "summary")
 
 
-@query()
+@query(
+    f"""with recursive {L.SECTIONS}, bo as (select document_id, sec_seq, left(string_agg({L.strip('text')}, chr(10) || chr(10) order by pos), 1200) as text from els where type in ('text', 'formula') group by all),
+    tc as (select document_id, sec_seq, '- id=' || sec_id || ' | ' || path as text from secs), n as (select tc.document_id, tc.sec_seq, (select len({_TOK.replace('text', 'tc.text')})) as toc_n, coalesce(len({_TOK.replace('text', 'bo.text')}), 0) as n from tc left join bo using (document_id, sec_seq)),
+    o as (select *, row_number() over (partition by document_id order by sec_seq) as k, sum(toc_n) over (partition by document_id) as base from n),
+    f as (select document_id, sec_seq, k, 0 as batch, n as used, 1 as held from o where k = 1 union all
+      select o.document_id, o.sec_seq, o.k, case when held >= 5 or base + used + n > 400 then batch + 1 else batch end, case when held >= 5 or base + used + n > 400 then n else used + n end, case when held >= 5 or base + used + n > 400 then 1 else held + 1 end from f join o on o.document_id = f.document_id and o.k = f.k + 1)
+    select document_id, sec_seq, batch from f"""
+)
 def w14_prompt_packing(spark: SparkSession, d: str) -> DataFrame:
     e, s = parts(spark, d)
     full = s.join(I.bodies(e, 1200), ["document_id", "sec_seq"], "left")

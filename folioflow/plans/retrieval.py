@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import boxes as B
 from ..functions import text as X
 from ..operators import retrieval as R
+from ..sources.scratch import stored
 from . import ingestion as N
 from . import sql as L
 from .registry import query, table
@@ -36,25 +38,25 @@ def j1_vector_search(spark: SparkSession, d: str) -> DataFrame:
     return vector_hits(spark, d)
 
 
-# Documents as chunks: a source is a document, its languages are sections, each row a chunk; ids modulo 7 make queries.
-_HITS = """hits as (select doc_id % 7 as query_id, row_number() over (partition by doc_id % 7 order by n_chars desc, doc_id) as pos, 'c' || (doc_id % 300) as chunk_id, source as document_id, lang as section_path, cast(doc_id % 9 + 1 as int) as page,
-    case doc_id % 3 when 0 then 'text' when 1 then 'image' else 'table' end as type, round((doc_id % 100) / 100.0, 6) as score, left(text, 200) as display_text, text as text_for_embedding from documents where text is not null)"""
+# Documents as chunks: a source is a document, its languages are sections, each row a chunk; 150 ids in a row are the hits of a query.
+_HITS = """hits as (select doc_id // 150 as query_id, row_number() over (partition by doc_id // 150 order by n_chars desc, doc_id) as pos, 'c' || (doc_id % 100) as chunk_id, source as document_id, lang as section_path, cast(doc_id % 9 + 1 as int) as page,
+    case doc_id % 3 when 0 then 'text' when 1 then 'image' else 'table' end as type, round((doc_id % 100) / 100.0, 6) as score, text as display_text, text as text_for_embedding from documents where text is not null)"""
 
 
 def hits(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text is not null").withColumn("query_id", F.col("doc_id") % 7)
+    docs = table(spark, d, "documents").where("text is not null").withColumn("query_id", F.floor(F.col("doc_id") / 150))
     k = F.col("doc_id")
     pos = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n_chars"), "doc_id"))
     return docs.select(
         "query_id",
         pos.alias("pos"),
-        F.concat(F.lit("c"), (k % 300).cast("string")).alias("chunk_id"),
+        F.concat(F.lit("c"), (k % 100).cast("string")).alias("chunk_id"),
         F.col("source").alias("document_id"),
         F.col("lang").alias("section_path"),
         (k % 9 + 1).cast("int").alias("page"),
         F.when(k % 3 == 0, "text").when(k % 3 == 1, "image").otherwise("table").alias("type"),
         F.round((k % 100) / 100.0, 6).alias("score"),
-        F.substring("text", 1, 200).alias("display_text"),
+        F.col("text").alias("display_text"),
         F.col("text").alias("text_for_embedding"),
     )
 
@@ -103,12 +105,12 @@ def w7_keep_first(spark: SparkSession, d: str) -> DataFrame:
     return R.keep_first(hits(spark, d)).select("query_id", "pos", "chunk_id")
 
 
-_TEXTS = """texts as (select item_id as query_id, x, min(i) as i from (select item_id, unnest(v) as x, generate_subscripts(v, 1) as i from (select item_id, [case when item_id % 3 = 0 then 'gap' end, left(text, 30), 'variant ' || item_id % 5, left(text, 30), 'Bank', 'Rate'] as v from benchmark)) where x is not null and trim(x) <> '' group by all)"""
+_TEXTS = """texts as (select item_id as query_id, x, min(i) as i from (select item_id, unnest(v) as x, generate_subscripts(v, 1) as i from (select item_id, [case when item_id % 3 = 0 then 'gap' end, text, 'variant ' || item_id % 5, text, 'Bank', 'Rate'] as v from benchmark)) where x is not null and trim(x) <> '' group by all)"""
 
 
 @query(f"with {_TEXTS} select query_id, x as text, row_number() over (partition by query_id order by i) - 1 as text_pos from texts")
 def w8_query_texts(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 3 == 0, "gap").alias("gap_query"), F.substring("text", 1, 30).alias("query"), F.array(F.concat(F.lit("variant "), (F.col("item_id") % 5).cast("string")), F.substring("text", 1, 30)).alias("query_variants"), F.array(F.lit("Bank"), F.lit("Rate")).alias("key_entities"))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 3 == 0, "gap").alias("gap_query"), F.col("text").alias("query"), F.array(F.concat(F.lit("variant "), (F.col("item_id") % 5).cast("string")), F.col("text")).alias("query_variants"), F.array(F.lit("Bank"), F.lit("Rate")).alias("key_entities"))
     return R.query_texts(q).select("query_id", "text", "text_pos")
 
 
@@ -125,12 +127,12 @@ def w9_boost_targets(spark: SparkSession, d: str) -> DataFrame:
     return R.boost_targets(hits(spark, d), F.array(F.lit("FR"))).select("query_id", "chunk_id", "page", "pos")
 
 
-_TWO = f"{_HITS}, st as (select * from hits where type = 'table' and (query_id <> 3 or pos < 5)), se as (select * from hits where type <> 'table')"
+_TWO = f"{_HITS}, st as (select * from hits where type = 'table' and (query_id % 7 <> 3 or pos < 5)), se as (select * from hits where type <> 'table')"
 
 
 def _two(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     h = hits(spark, d)
-    return h.where("type = 'table' and (query_id <> 3 or pos < 5)"), h.where("type <> 'table'")
+    return h.where("type = 'table' and (query_id % 7 <> 3 or pos < 5)"), h.where("type <> 'table'")
 
 
 @query(f"""with {_TWO}, b as (select *, 0 as s from st union all select *, 1 from se), c as (select *, count_if(s = 0) over (partition by query_id) as ns, row_number() over (partition by query_id, chunk_id order by s, pos) as n from b), r as (select *, row_number() over (partition by query_id order by s, pos) as p from c where n = 1)
@@ -145,12 +147,13 @@ def u2_augment(spark: SparkSession, d: str) -> DataFrame:
     return R.augment(*_two(spark, d)).select("query_id", "chunk_id", "pos")
 
 
-@query("select doc_id, doc_id % 3 + 1 as n from documents")
+@query(f"""with {L.RAW}, p as (select document_id, list_sort(list(distinct page)) as every, coalesce(list(distinct page) filter (category = 'Table'), []) as found, coalesce(list(distinct page) filter (category in ('Image', 'Figure')), []) as visual from raw group by 1)
+    select document_id, array_to_string(list_filter(every, lambda x: not list_contains(found, x)), '|') as skipped, array_to_string(list_sort(visual), '|') as visual, array_to_string(list_sort(list_filter(list_distinct(list_concat(list_transform(found, lambda x: x + 1), list_transform(found, lambda x: x + 2))), lambda x: not list_contains(found, x))), '|') as adjacent from p""")
 def u5_page_sets(spark: SparkSession, d: str) -> DataFrame:
-    k = (F.col("doc_id") % 3).cast("int")
-    every, found = F.sequence(F.lit(1), k + 2), F.array(k + 1)
-    left = F.array_except(F.array_union(every, F.array(F.lit(1))), found)
-    return table(spark, d, "documents").select("doc_id", F.size(left).cast("long").alias("n"))
+    of = lambda *kinds: F.collect_set(F.when(F.col("category").isin(*kinds), F.col("page")))
+    p = N.D.raw_elements(table(spark, d, "documents")).groupBy("document_id").agg(F.collect_set("page").alias("every"), of("Table").alias("found"), of("Image").alias("figures"), of("Figure").alias("vectors"))
+    sets = {"skipped": B.skipped_pages(F.col("every"), F.col("found")), "visual": B.visual_pages(F.col("figures"), F.col("vectors")), "adjacent": B.adjacent_pages(F.col("found"))}
+    return p.select("document_id", *[F.array_join(x.cast("array<string>"), "|").alias(n) for n, x in sets.items()])
 
 
 def _with(spark: SparkSession, d: str, **columns) -> DataFrame:
@@ -163,9 +166,9 @@ def p7_filter_entities(spark: SparkSession, d: str) -> DataFrame:
     return R.filter_entities(_with(spark, d, key_entities=F.array(F.lit("TIONTH"), F.lit("zzzz")))).select("query_id", "pos")
 
 
-@query(f"with {_HITS}, k as (select *, query_id < 4 and (contains(chunk_id, 'c1') or contains(section_path, 'es')) as k from hits) select query_id, pos from (select *, bool_or(k) over (partition by query_id) as a from k) where k or not a")
+@query(f"with {_HITS}, k as (select *, query_id % 7 < 4 and (contains(chunk_id, 'c1') or contains(section_path, 'es')) as k from hits) select query_id, pos from (select *, bool_or(k) over (partition by query_id) as a from k) where k or not a")
 def p8_filter_sections(spark: SparkSession, d: str) -> DataFrame:
-    t = F.when(F.col("query_id") < 4, F.array(F.lit("c1"), F.lit("es"))).otherwise(F.array(F.lit("QQ")))
+    t = F.when(F.col("query_id") % 7 < 4, F.array(F.lit("c1"), F.lit("es"))).otherwise(F.array(F.lit("QQ")))
     return R.filter_sections(_with(spark, d, target_sections=t)).select("query_id", "pos")
 
 
@@ -183,18 +186,18 @@ def p5_chat_scope(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.size(R.chat_scope(ids)).cast("long").alias("n")).withColumn("n", F.when(F.col("n") >= 0, F.col("n")))
 
 
-@query("""with r as (select o_orderkey as request_id, k as pos, cast((o_custkey + k) % 100 as varchar) as document_id from orders, (values (0), (1), (2)) t(k)), s as (select cast(p_partkey % 100 as varchar) as document_id, case when p_partkey % 4 = 0 then 'ready' when p_partkey % 4 = 1 then 'partial' else 'queued' end as status from part where p_partkey < 90)
+@query("""with r as (select o_orderkey as request_id, k as pos, cast(o_custkey + k * 700 as varchar) as document_id from orders, (values (0), (1), (2)) t(k)), s as (select cast(p_partkey as varchar) as document_id, case when p_partkey % 4 = 0 then 'ready' when p_partkey % 4 = 1 then 'partial' else 'queued' end as status from part)
     select request_id, string_agg(case when coalesce(status, 'unknown') not in ('ready', 'partial') then r.document_id || ' is ' || coalesce(status, 'unknown') end, '; ' order by pos) as message from r left join s using (document_id) group by 1""")
 def p4_readiness(spark: SparkSession, d: str) -> DataFrame:
-    req = table(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), F.transform(F.array(*map(F.lit, (0, 1, 2))), lambda k: ((F.col("o_custkey") + k) % 100).cast("string")).alias("document_ids"))
+    req = table(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), F.transform(F.array(*map(F.lit, (0, 1, 2))), lambda k: (F.col("o_custkey") + k * 700).cast("string")).alias("document_ids"))
     k = F.col("p_partkey")
-    state = table(spark, d, "part").where("p_partkey < 90").select((k % 100).cast("string").alias("document_id"), F.when(k % 4 == 0, "ready").when(k % 4 == 1, "partial").otherwise("queued").alias("status"))
+    state = table(spark, d, "part").select(k.cast("string").alias("document_id"), F.when(k % 4 == 0, "ready").when(k % 4 == 1, "partial").otherwise("queued").alias("status"))
     return R.readiness(req, state)
 
 
-@query(f"with {_HITS} select query_id, pos as rank, chunk_id, document_id, section_path, page, score, left(display_text, 50) as preview from hits")
+@query(f"with {_HITS} select query_id, pos as rank, chunk_id, document_id, section_path, page, score, left(display_text, 240) as preview from hits")
 def p9_results(spark: SparkSession, d: str) -> DataFrame:
-    return R.results(hits(spark, d).withColumnRenamed("pos", "rank"), 50)
+    return R.results(hits(spark, d).withColumnRenamed("pos", "rank"))
 
 
 @query(f"""with {_HITS}, rt as (select query_id, 'src0' as document_id, p.k as pos, p.k + 2 as page, 0 as src from (select distinct query_id from hits where query_id % 2 = 0), (values (0), (1)) p(k)), b as (select * from rt union all select query_id, document_id, pos, page, 1 from hits where type = 'image' and score >= 0.75),
@@ -205,18 +208,18 @@ def p11_vision_candidates(spark: SparkSession, d: str) -> DataFrame:
     return R.vision_candidates(q, h)
 
 
-@query(f"""with {_HITS}, f as (select query_id, sum(length(display_text)) as n, bool_or(contains(lower(display_text), 'the')) as a from hits where pos <= query_id * 10 group by 1), q as (select distinct query_id from hits)
+@query(f"""with {_HITS}, f as (select query_id, sum(length(display_text)) as n, bool_or(contains(lower(display_text), 'the')) as a from hits where pos <= query_id % 4 * 10 group by 1), q as (select distinct query_id from hits)
     select query_id, coalesce(a and n <= 10000, false) as sufficient, case when n is null then 'query ' || query_id end as gap_query from q left join f using (query_id)""")
 def p12_sufficiency(spark: SparkSession, d: str) -> DataFrame:
     h = hits(spark, d)
     q = h.select("query_id").distinct().select("query_id", F.concat(F.lit("query "), F.col("query_id").cast("string")).alias("query"), F.array(F.lit("The")).alias("key_entities"))
-    return R.sufficiency(q, h.where("pos <= query_id * 10").withColumnRenamed("pos", "rank"))
+    return R.sufficiency(q, h.where("pos <= query_id % 4 * 10").withColumnRenamed("pos", "rank"))
 
 
-@query(f"""with {_HITS}, s as (select *, case when query_id > 0 then (pos * 37) % 101 end as r from hits where pos <= 48) select query_id, pos, rank from (select *, row_number() over (partition by query_id order by r desc nulls last, pos) as rank from s) where rank <= 8""")
+@query(f"""with {_HITS}, s as (select *, case when query_id % 7 > 0 then (pos * 37) % 101 end as r from hits where pos <= 48) select query_id, pos, rank from (select *, row_number() over (partition by query_id order by r desc nulls last, pos) as rank from s) where rank <= 8""")
 def k1_rerank(spark: SparkSession, d: str) -> DataFrame:
     h = hits(spark, d).withColumn("chunk_id", F.col("pos").cast("string"))
-    scores = h.where("query_id > 0").select("query_id", "chunk_id", ((F.col("pos") * 37) % 101).alias("rerank_score"))
+    scores = h.where("query_id % 7 > 0").select("query_id", "chunk_id", ((F.col("pos") * 37) % 101).alias("rerank_score"))
     return R.rerank(h, scores).select("query_id", "pos", "rank")
 
 
@@ -241,16 +244,16 @@ def j12_adjacent_tables(spark: SparkSession, d: str) -> DataFrame:
     return R.within_budget(found, used)
 
 
-@query(f"""with {_HITS}, h as (select * from hits where pos <= 12), g as (select *, min(pos) over (partition by query_id, document_id, section_path) as gp from h), l as (select *, row_number() over (partition by query_id order by gp, page, score desc, pos) as line from g),
+@query(f"""with {_HITS}, g as (select *, min(pos) over (partition by query_id, document_id, section_path) as gp from hits), l as (select *, row_number() over (partition by query_id order by gp, page, score desc, pos) as line from g),
     b as (select query_id, line, case when row_number() over (partition by query_id, document_id, section_path order by line) = 1 then '## ' || document_id || ' — ' || section_path || chr(10) || chr(10) else '' end || '[p.' || page || ']' || chr(10) || display_text as block from l)
     select query_id, string_agg(block, chr(10) || chr(10) order by line) as context from b group by 1""")
 def w10_context(spark: SparkSession, d: str) -> DataFrame:
-    return R.context(R.layout(hits(spark, d).where("pos <= 12")))
+    return R.context(R.layout(hits(spark, d)))
 
 
 @query()
 def j11_hydrated_context(spark: SparkSession, d: str) -> DataFrame:
-    laid = R.layout(hits(spark, d).where("pos <= 12")).withColumn("full_text", F.when(F.col("type") == "table", F.col("text_for_embedding")))
+    laid = R.layout(hits(spark, d)).withColumn("full_text", F.when(F.col("type") == "table", F.col("text_for_embedding")))
     return R.context(R.hydrate(laid, 20_000), "text")
 
 
@@ -278,10 +281,10 @@ def a15_evaluation(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def flagship_chunk_retrieval(spark: SparkSession, d: str) -> DataFrame:
     """Documents to page-accurate chunks with stand-in vectors, and the best eight for each benchmark text."""
-    e, s = N.parts(spark, d)
+    e, s = N.elements_and_paths(spark, d)
     e = N.C.without_boilerplate(e)
     c = N.C.text_chunks(e, s, 200, 25).withColumn("type", F.lit("text"))
-    c = N.C.number_chunks(c).withColumn("embedding", X.hash_embedding("text_for_embedding"))
+    c = stored(N.C.number_chunks(c).withColumn("embedding", X.hash_embedding("text_for_embedding")))
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), X.hash_embedding("text").alias("vector"), F.col("item_id").alias("i"))
     scope = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), (F.col("doc_id") % 40).alias("i"))
     found = R.vector_search(c, q.join(scope, "i").drop("i"), 8)

@@ -37,7 +37,7 @@ secs as (select l.document_id, l.sec_seq, 's' || l.sec_seq as sec_id, l.title, l
 BOXES = """
 boxes as (select cast(l_suppkey as varchar) as document_id, cast(l_linenumber as int) as page, row_number() over (partition by l_suppkey, l_linenumber order by l_orderkey, l_partkey) as pos,
   l_orderkey || '-' || l_partkey || '-' || l_linenumber as id, case l_returnflag when 'R' then 'table' when 'A' then 'image' else 'text' end as kind,
-  cast(l_quantity as double) as x, cast(l_discount as double) * 400 as y, cast(l_tax as double) * 100 + 8 as h from lineitem)"""
+  cast(l_quantity as double) as x, cast(l_discount as double) * 400 as y, cast(l_tax as double) * 100 + 8 as h, case when l_partkey % 3 = 0 then 600 else 612 end as page_width from lineitem)"""
 
 PIPES = """
 numbered as (select *, row_number() over (partition by p_brand order by p_partkey) as n from part),
@@ -50,3 +50,14 @@ MONTH_LIST = "['January','February','March','April','May','June','July','August'
 DATED = f"""
 dated as (select doc_id, case doc_id % 4 when 0 then m || ' ' || (2000 + doc_id % 30) when 1 then left(m, 3) || '-' || (10 + doc_id % 20) when 2 then (2000 + doc_id % 30) || '-' || (doc_id % 12 + 1) || '-' || (doc_id % 28 + 1)
   else (doc_id % 12 + 1) || '/' || (2000 + doc_id % 30) end as s, text from (select doc_id, text, {MONTH_LIST}[cast(doc_id % 12 + 1 as int)] as m from documents))"""
+
+
+def suspicious(source: str, keys: str) -> str:
+    """CTEs that end in `suspect`, the keys of the source's texts with suspicious repeats."""
+    return f"""
+letters as (select {keys}, unnest(string_split(text, '')) as c, generate_subscripts(string_split(text, ''), 1) as i from {source} where text <> ''),
+inked as (select * from letters where not regexp_matches(c, '\\s')),
+runs as (select {keys} from (select *, i - row_number() over (partition by {keys}, c order by i) as g from inked) group by {keys}, c, g having count(*) >= 10),
+dense as (select {keys} from inked group by {keys} having count(*) >= 8 and count(distinct c) <= 2),
+often as (select {keys} from (select {keys}, w, count(*) as n from (select {keys}, unnest(regexp_extract_all(text, '[\\pL\\pM\\p{{Nd}}\\p{{Pc}}]{{3,}}')) as w from {source}) group by all) group by {keys} having sum(n) >= 12 and max(n) >= 0.5 * sum(n)),
+suspect as (select * from runs union select * from dense union select * from often)"""

@@ -46,16 +46,17 @@ def t3_daily_meter(spark: SparkSession, d: str) -> DataFrame:
 
 @query(SQL["w13_quota_crossing"])
 def t4_quota_stream(spark: SparkSession, d: str) -> DataFrame:
-    c = stream(spark, d, "conversations", 100).where("text is not null")
-    p = c.select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"), F.expr("left(text, 100 + cast(turn as int) * 7)").alias("content"), (20 + F.col("conv_id") % 40).alias("remaining"), F.timestamp_seconds(1_700_000_000 + F.col("turn") * 60).alias("ts"))
+    c = stream(spark, d, "conversations", 100).withColumn("ts", F.timestamp_seconds(1_700_000_000 + F.col("turn") * 60))
+    p = U.pieces(c, "ts").withColumn("remaining", 20 + F.col("request_id") % 40)
     return E.latest(drain(E.quota_crossings(p), "update"), ["request_id"]).select("request_id", "counted", "limit_seq")
 
 
-@query("select user_id, strftime(date_trunc('day', ts), '%Y-%m-%d') as day, count(*) as n from (select user_id % 5 as user_id, date_trunc('day', ts) as ts from events) group by 1, 2 having count(*) > 10")
+@query("select user_id, strftime(minute, '%Y-%m-%d %H:%M') as minute, count(*) as n from (select user_id % 5 as user_id, date_trunc('minute', make_timestamp(cast(epoch(ts) as bigint) // 1440 * 1000000)) as minute from events) group by 1, 2 having count(*) > 10")
 def t5_rate_check(spark: SparkSession, d: str) -> DataFrame:
-    e = _events(spark, d).select((F.col("user_id") % 5).alias("user_id"), F.date_trunc("day", "ts").alias("ts"))
+    # A day of events in each minute, so that clients do exceed the rate.
+    e = _events(spark, d).select((F.col("user_id") % 5).alias("user_id"), F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / 1440)).alias("ts"))
     rows = E.latest(drain(E.rate_breaches(e), "update"), ["user_id", "minute"])
-    return rows.select("user_id", F.date_format("minute", "yyyy-MM-dd").alias("day"), "n")
+    return rows.select("user_id", F.date_format("minute", "yyyy-MM-dd HH:mm").alias("minute"), "n")
 
 
 @query(f"with recursive {L.SECTIONS}, {N._CHUNKS} select document_id, count(*) as chunks from ch where display_text <> '' group by 1")

@@ -30,11 +30,11 @@ def dated(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", s.alias("s"), "text")
 
 
-@query(f"select doc_id, lower({L.strip(chr(39) + chr(39) + ' || regexp_replace(t, ' + chr(39) + '^[ ]*(?:[0-9]+(?:[.][0-9]+)*|[IVX]+|[(][a-z][)]|[A-Z][.])[ ]+' + chr(39) + ', ' + chr(39) + chr(39) + ')')}) as title from (select doc_id, (case doc_id % 4 when 0 then '1.2 ' when 1 then 'IV ' when 2 then '(a) ' else 'A. ' end) || left(text, 30) as t from documents)")
+@query(f"select doc_id, lower({L.strip(chr(39) + chr(39) + ' || regexp_replace(t, ' + chr(39) + '^[ ]*(?:[0-9]+(?:[.][0-9]+)*|[IVX]+|[(][a-z][)]|[A-Z][.])[ ]+' + chr(39) + ', ' + chr(39) + chr(39) + ')')}) as title from (select doc_id, (case doc_id % 4 when 0 then '1.2 ' when 1 then 'IV ' when 2 then '(a) ' else 'A. ' end) || text as t from documents)")
 def f1_normalize_title(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id") % 4
     lead = F.when(k == 0, "1.2 ").when(k == 1, "IV ").when(k == 2, "(a) ").otherwise("A. ")
-    return docs(spark, d).select("doc_id", X.normalize_title(F.concat(lead, F.substring("text", 1, 30))).alias("title"))
+    return docs(spark, d).select("doc_id", X.normalize_title(F.concat(lead, F.col("text"))).alias("title"))
 
 
 @query(f"""with c as (select doc_id, {L.strip("regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g')")} as t from documents) select doc_id, left(array_to_string(string_split(regexp_replace(t, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1))[1:2], ' '), 280) as summary from c""")
@@ -42,12 +42,12 @@ def f2_summary(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", X.summary("text").alias("summary"))
 
 
-@query("select doc_id, round(length(regexp_replace(text, '[\\n\\t\\r]', '', 'g')) / length(text), 6) as ratio from documents where text not like '%' || chr(160) || '%'")
+@query("select doc_id, round(length(regexp_replace(text, '[\\n\\t\\r' || chr(160) || ']', '', 'g')) / length(text), 6) as ratio from documents")
 def f3_printable_ratio(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).where(~F.col("text").contains(" ")).select("doc_id", F.round(X.printable_ratio("text"), 6).alias("ratio"))
+    return docs(spark, d).select("doc_id", F.round(X.printable_ratio("text"), 6).alias("ratio"))
 
 
-@query()
+@query(f"with {L.suspicious('documents', 'doc_id')} select doc_id, doc_id in (select doc_id from suspect) as suspicious from documents where text is not null")
 def f4_suspicious_repeats(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", X.suspicious_repeats("text").alias("suspicious"))
 
@@ -105,9 +105,9 @@ def f19_caption(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", F.concat(c["caption"], F.lit("|"), c["description"]).alias("found"))
 
 
-@query("select doc_id, 'search_document: ' || left(text, 50) as input from documents")
+@query("select doc_id, 'search_document: ' || text as input from documents")
 def f21_task_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("doc_id", X.task_prefix(F.substring("text", 1, 50), "document").alias("input"))
+    return docs(spark, d).select("doc_id", X.task_prefix("text", "document").alias("input"))
 
 
 @query(f"select doc_id, len({_TOK}) as n, array_to_string({_TOK}[1:20], '') as head from documents")
@@ -121,8 +121,8 @@ def f24_passage(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", X.passage(F.when(k == 0, F.col("text")).otherwise(F.lit("")), F.when(k == 1, F.col("source"))).alias("passage"))
 
 
-@query("""with w as (select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) as w from documents where doc_id % 10 = 0), b as (select doc_id, cast('0x' || left(md5(w), 6) as int) % 256 as b, count(*) as n from w group by all)
-    select doc_id, b, round(n / sqrt(sum(n * n) over (partition by doc_id)), 6) as x from b""".replace("where doc_id % 10 = 0", ""))
+@query("""with w as (select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) as w from documents), b as (select doc_id, cast('0x' || left(md5(w), 6) as int) % 256 as b, count(*) as n from w group by all)
+    select doc_id, b, round(n / sqrt(sum(n * n) over (partition by doc_id)), 6) as x from b""")
 def f22_hash_embedding(spark: SparkSession, d: str) -> DataFrame:
     e = docs(spark, d).select("doc_id", F.posexplode(X.hash_embedding("text")).alias("b", "x"))
     return e.where("x > 0").select("doc_id", "b", F.round("x", 6).alias("x"))

@@ -90,14 +90,20 @@ def a13_daily_usage(spark: SparkSession, d: str) -> DataFrame:
     return U.daily_usage(e).withColumn("usage_date", F.date_format("usage_date", "yyyy-MM-dd"))
 
 
-_PIECES = "p as (select conv_id as request_id, turn as seq, left(text, 100 + cast(turn as int) * 7) as content from conversations where text is not null)"
+# Whole turns in pieces of 50 characters.
+_PIECES = "p as (select request_id, seq, content from (select conv_id as request_id, cast(turn as bigint) * 100000 + generate_subscripts(c, 1) as seq, unnest(c) as content from (select conv_id, turn, regexp_extract_all(text, '(?s).{1,50}') as c from conversations where text is not null)))"
 _WORDS = f"""{_PIECES}, w as (select *, lag(content) over (partition by request_id order by seq) as last, len(regexp_extract_all(content, '[^ \\t\\n\\r\\f]+')) as n from p),
     c as (select request_id, seq, n - (coalesce(regexp_matches(last, '[^ \\t\\n\\r\\f]$'), false) and n > 0 and not regexp_matches(content, '^[ \\t\\n\\r\\f]'))::int as words from w)"""
 
 
+def pieces(conversations: DataFrame, *more: str) -> DataFrame:
+    cut = F.regexp_extract_all("text", F.lit("(?s).{1,50}"), F.lit(0))
+    c = conversations.where("text is not null").select(F.col("conv_id").alias("request_id"), "turn", *more, F.posexplode(cut).alias("i", "content"))
+    return c.select("request_id", (F.col("turn").cast("long") * 100_000 + F.col("i") + 1).alias("seq"), "content", *more)
+
+
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations").where("text is not null")
-    return U.piece_words(c.select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"), F.expr("left(text, 100 + cast(turn as int) * 7)").alias("content")))
+    return U.piece_words(pieces(table(spark, d, "conversations")))
 
 
 @query(f"with {_WORDS} select request_id, seq, words from c")

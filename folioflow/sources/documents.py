@@ -91,9 +91,9 @@ CATEGORIES = ["Table", "Image", "Figure", "Formula", "Footer", "Address", "Heade
 
 
 def raw_elements(documents: DataFrame) -> DataFrame:
-    """Each line of a document as a parsed element: document_id, pos, page, category, category_depth, text.
+    """Each line of a document as a parsed element: document_id, pos, page, category, category_depth, text, bbox, page_size.
 
-    Short lines are titles; the others take a category by a rule, so every kind occurs.
+    Short lines are titles; the others take a category, a box and a page size (or none) by a rule, so every kind occurs.
     """
     d = documents.where("text is not null").select(F.col("doc_id"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     d = d.withColumn("nw", F.size(F.regexp_extract_all("text", F.lit("[^ \t\n\r\f]+"), F.lit(0))))
@@ -107,6 +107,8 @@ def raw_elements(documents: DataFrame) -> DataFrame:
         F.when(F.col("nw") <= 4, "Title").otherwise(kind).alias("category"),
         F.when(F.col("nw") <= 4, F.col("nw") - 1).alias("category_depth"),
         "text",
+        F.array(*((F.col("pos") % m * k + more).cast("double") for m, k, more in ((7, 10, 0), (5, 20, 0), (7, 10, 50), (5, 20, 15)))).alias("bbox"),
+        F.when(F.col("pos") % 4 != 1, F.when((F.col("doc_id") + F.col("pos")) % 3 == 0, F.array(F.lit(600.0), F.lit(800.0))).otherwise(F.array(F.lit(612.0), F.lit(792.0)))).alias("page_size"),
     )
 
 
@@ -121,7 +123,7 @@ def page_elements(pages: DataFrame) -> DataFrame:
 
 
 def lineitem_boxes(lineitem: DataFrame) -> DataFrame:
-    """Order lines as boxes on pages: document_id, page, pos, id, kind, bbox."""
+    """Order lines as boxes on pages: document_id, page, pos, id, kind, bbox, page_size."""
     x, y = F.col("l_quantity").cast("double"), F.col("l_discount").cast("double") * 400
     order = Window.partitionBy("l_suppkey", "l_linenumber").orderBy("l_orderkey", "l_partkey")
     return lineitem.select(
@@ -131,6 +133,7 @@ def lineitem_boxes(lineitem: DataFrame) -> DataFrame:
         F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber").alias("id"),
         F.when(F.col("l_returnflag") == "R", "table").when(F.col("l_returnflag") == "A", "image").otherwise("text").alias("kind"),
         F.array(x, y, x + 10, y + 8 + F.col("l_tax").cast("double") * 100).alias("bbox"),
+        F.when(F.row_number().over(order) % 4 != 1, F.array(F.when(F.col("l_partkey") % 3 == 0, 600.0).otherwise(612.0), F.lit(800.0))).alias("page_size"),
     )
 
 

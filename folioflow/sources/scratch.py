@@ -17,6 +17,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written as Parquet to a shared folder and read again, for tables that a job uses more than once."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def drain(stream: DataFrame, mode: str = "append", path: str | None = None, transform=None) -> DataFrame:
     """Run a stream over what is there now; the rows of all micro-batches, each with its batch number.
 
