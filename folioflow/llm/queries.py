@@ -83,7 +83,7 @@ def _rules_sql() -> str:
     r1 as (select doc_id, s, base_failed, min(level) filter ({over}) as rejecting from base cross join v group by all),
     good as (select doc_id from labels group by 1 having min(quality) = 1 and max(quality) = 1),
     held as (select doc_id, s, min(rejecting) as rejecting from r1 where not base_failed and doc_id in (select doc_id from good) group by all),
-    k as (select s, level, count(*) as n, count_if(rejecting <= level) as k from held cross join v group by all),
+    k as (select s, level, count(*) as n, count(*) filter (rejecting <= level) as k from held cross join v group by all),
     p as (select *, case when k >= n * {ALPHA} then 1.0 else list_sum(list_transform(range(0, cast(k as bigint) + 1), lambda x: exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln({ALPHA}) + (n - x) * ln(1 - {ALPHA})))) end as p from k),
     found as (select s, coalesce(min(level) filter (p > {DELTA} / (select count(distinct s) from held)) - 1, {LEVELS}) as level from p group by 1)
     select base.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base.base_failed, not base.base_failed and not coalesce(r1.rejecting <= found.level, false) as kept
