@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -52,23 +54,29 @@ def elements(marked: DataFrame) -> DataFrame:
 def sections(marked: DataFrame) -> DataFrame:
     """Sections by a stack of headings: document_id, sec_seq, sec_id, title, level, path, parent_seq, ancestors, page.
 
-    Only headings go through the fold, a document at a time.
+    Only headings go through the fold. A document's headings stand in a row in one partition, so the fold runs through
+    whole batches and starts anew with each document.
     """
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        stack, rows = [], []
-        for h in part.sort_values("sec_seq").itertuples():
-            while stack and stack[-1][1] >= h.level:
-                stack.pop()
-            parent = stack[-1] if stack else (0, 0, "")
-            path = f"{parent[2]} > {h.title}" if parent[2] else h.title
-            rows.append((h.document_id, h.sec_seq, f"s{h.sec_seq}", h.title, h.level, path, parent[0], [s[0] for s in stack], h.page))
-            stack.append((h.sec_seq, h.level, path))
-        return pd.DataFrame(rows, columns=["document_id", "sec_seq", "sec_id", "title", "level", "path", "parent_seq", "ancestors", "page"])
+    names = ["document_id", "sec_seq", "sec_id", "title", "level", "path", "parent_seq", "ancestors", "page"]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        document, stack = None, []
+        for batch in batches:
+            rows = []
+            for h in batch.itertuples():
+                if h.document_id != document:
+                    document, stack = h.document_id, []
+                while stack and stack[-1][1] >= h.level:
+                    stack.pop()
+                parent = stack[-1] if stack else (0, 0, "")
+                path = f"{parent[2]} > {h.title}" if parent[2] else h.title
+                rows.append((h.document_id, h.sec_seq, f"s{h.sec_seq}", h.title, h.level, path, parent[0], [s[0] for s in stack], h.page))
+                stack.append((h.sec_seq, h.level, path))
+            yield pd.DataFrame(rows, columns=names)
 
     heads = marked.where("level is not null").select("document_id", "sec_seq", strip("text").alias("title"), F.col("level").cast("int"), "page")
     schema = "document_id string, sec_seq int, sec_id string, title string, level int, path string, parent_seq int, ancestors array<int>, page int"
-    return heads.groupBy("document_id").applyInPandas(fold, schema)
+    return heads.repartition("document_id").sortWithinPartitions("document_id", "sec_seq").mapInPandas(fold, schema)
 
 
 def page_ranges(secs: DataFrame, els: DataFrame) -> DataFrame:
