@@ -294,7 +294,9 @@ def difference_keys(x: np.ndarray, hub: np.ndarray, hub_id: int, percent: int) -
     is not linked to the hub like itself.
 
     With D the differences to the hub and W = (100 + percent) |D| - (100 - percent) |x|, two similar sets share at least
-    (W + W') / 2 / (100 + percent) differences. Classes are ranges of W; a similar set's W differs by a bounded amount.
+    (W + W') / 2 / (100 + percent) differences. Classes are ranges of W; a similar set's W differs by a bounded amount. The
+    two lowest bits of a key are 0 for a pair of equal classes, else 1 in the lower class and 2 in the higher one: they are
+    not shared, but add up to 0 or 3.
     """
     p, q = 100 + percent, 100 - percent
     new, gone = np.setdiff1d(x, hub, assume_unique=True), np.setdiff1d(hub, x, assume_unique=True)
@@ -308,7 +310,8 @@ def difference_keys(x: np.ndarray, hub: np.ndarray, hub_id: int, percent: int) -
         shared = max(1, -(-(w + max(other * width, least)) // (2 * p)))
         if shared <= len(d):
             salt = _times(hub_id * 1_000_003 + min(own, other) * 65_537 + max(own, other))
-            keys.append(_mix(d[: len(d) - shared + 1] + salt))
+            side = 0 if own == other else 1 if own < other else 2
+            keys.append(_mix(d[: len(d) - shared + 1] + salt) & ~np.uint64(3) | np.uint64(side))
     return linked, np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
 
 
@@ -378,8 +381,9 @@ def _classes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     pairs = few.join(other, "hub").where("a < b and part <> part_b").select("a", "b").distinct()  # at most FEW / 2 for each row
     many = stored(left.join(crowd.where(F.col("n") > FEW), "hub").where("a <> hub").select("a", F.col("hub").alias("b"), "part"))
     keyed = stored(around_hubs(many, sets, percent))
-    keys = keyed.select("a", "part", F.explode("keys").alias("key"))
-    met = keys.join(keys.select("key", F.col("a").alias("b"), F.col("part").alias("part_b")), "key").where("a < b and part <> part_b").select("a", "b").distinct()
+    keys = keyed.select("a", "part", F.explode("keys").alias("key")).select("a", "part", F.shiftright("key", 2).alias("key"), F.col("key").bitwiseAND(3).alias("side"))
+    other = keys.select("key", F.col("a").alias("b"), F.col("part").alias("part_b"), F.col("side").alias("side_b"))
+    met = keys.join(other, "key").where("a < b and part <> part_b and (side + side_b) % 3 = 0").select("a", "b").distinct()
     more = similar(possible(pairs.union(met).distinct(), sets, percent), sets, percent)
     every = links.union(more).union(keyed.where("linked").select("a", "b"))
     classes = connected_components(every).select(F.col("node").alias("head"), F.col("component").alias("of_head"))

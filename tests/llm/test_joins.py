@@ -125,7 +125,7 @@ def test_differences_to_a_hub_meet():
                 y = sets[j]
                 if 100 * len(np.intersect1d(x, y)) >= percent * len(np.union1d(x, y)) and not (found[i][0] and found[j][0]):
                     pairs += 1
-                    assert set(found[i][1].tolist()) & set(found[j][1].tolist())
+                    assert set(found[i][1].tolist()) & {k - k % 4 + (3 - k % 4) % 3 for k in found[j][1].tolist()}
         assert pairs
 
 
