@@ -28,7 +28,7 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript textarea iframe title".split())
 #: Elements without text of the page; they end like others, with their parent at the latest.
-_EMPTY = frozenset("template svg object audio video canvas select".split())
+_EMPTY = frozenset("template svg select".split())
 _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -52,7 +52,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tags, self.parents, self.named, self.blocks = ["#page"], [-1], [0], []
-        self._stack, self._parts, self._linked, self._skip = [0], [], 0, 0
+        self._stack, self._parts, self._linked, self._skip, self._links = [0], [], 0, 0, 0  # _links: open a elements
         at, end = 0, len(source)
         while at < end:
             m = _TOKEN.search(source, at)
@@ -79,7 +79,7 @@ class Page:
     def _text(self, text: str) -> None:
         if text and not self._skip:
             self._parts.append(text)
-            if any(self.tags[i] == "a" for i in self._stack[-4:]):
+            if self._links:
                 self._linked += len(text)
 
     def _flush(self) -> None:
@@ -92,6 +92,7 @@ class Page:
         self._parts, self._linked = [], 0
 
     def _pop(self, size: int) -> None:
+        self._links -= sum(self.tags[i] == "a" for i in self._stack[size:])
         del self._stack[size:]
         if self._skip and len(self._stack) < self._skip:
             self._skip = 0
@@ -116,6 +117,7 @@ class Page:
         self.tags.append(tag)
         self.parents.append(self._stack[-1])
         self._stack.append(len(self.tags) - 1)
+        self._links += tag == "a"
         self.named.append(self._named(attributes, inside) if attributes and tag not in _WHOLE and tag not in _TEXT else 0)
         if not self._skip and tag in _EMPTY:
             self._skip = len(self._stack)

@@ -2,7 +2,7 @@
 
 import pytest
 
-from folioflow.llm.html_extract import main_text
+from folioflow.llm.html_extract import Page, main_text
 
 TEXT = "First, long enough, sentence of the article, with commas, to be counted."
 
@@ -22,3 +22,10 @@ TEXT = "First, long enough, sentence of the article, with commas, to be counted.
 )
 def test_article_is_whole(source, want):
     assert main_text(source).split("\n") == want
+
+
+def test_links_and_objects():
+    page = Page("<ul><li><a href=x><b><i><u><span><em>linked words here</em></span></u></i></b></a> plain</li></ul>")
+    assert [(text, link) for _, text, link in page.blocks] == [("linked words here plain", 17)]
+    shown = main_text("<article><p>One, two, three, and <object>text of an object</object> <canvas>and of a canvas</canvas> end.</p></article>")
+    assert shown == "One, two, three, and text of an object and of a canvas end."
