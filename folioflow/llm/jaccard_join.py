@@ -38,8 +38,9 @@ from .components import connected_components
 
 #: Width of a size band, largest size of a band whose signatures are pairs of parts, spare parts of a band.
 BAND_RATIO, PAIRED, SPARE = 1.92, 28, 0.12
-#: Documents around a hub that are paired directly, at most; classes that half the allowed difference to a hub makes.
-FEW, CLASSES = 64, 2
+#: Documents around a hub that are paired directly, at most (more would make more pairs than keys); classes that the allowed
+#: difference to a hub makes, and the class that holds all from there on.
+FEW, CLASSES, FAR = 16, 2, 4
 #: Bits of the bitmaps that keep rows without candidates out, at least and at most (32 MB).
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 #: Words whose hashes a worker keeps, and the longest of them.
@@ -294,7 +295,8 @@ def difference_keys(x: np.ndarray, hub: np.ndarray, hub_id: int, percent: int) -
     is not linked to the hub like itself.
 
     With D the differences to the hub and W = (100 + percent) |D| - (100 - percent) |x|, two similar sets share at least
-    (W + W') / 2 / (100 + percent) differences. Classes are ranges of W; a similar set's W differs by a bounded amount. The
+    (W + W') / 2 / (100 + percent) differences. Classes are ranges of W, narrow ones near the hub, where sets share differences
+    by chance, and one for all beyond; a similar set's W differs by a bounded amount. The
     two lowest bits of a key are 0 for a pair of equal classes, else 1 in the lower class and 2 in the higher one: they are
     not shared, but add up to 0 or 3.
     """
@@ -305,8 +307,8 @@ def difference_keys(x: np.ndarray, hub: np.ndarray, hub_id: int, percent: int) -
     linked, least = p * len(d) <= q * (len(x) + len(hub)), w - 2 * q * 100 * len(x) // percent
     if linked:  # no keys are needed for others that are linked too, whose W is at most this
         least = max(least, q * len(hub) + 1)
-    own, keys = w // width, []
-    for other in range(least // width, (w + 2 * q * len(x)) // width + 1):
+    own, keys = min(FAR, w // width), []
+    for other in range(min(FAR, least // width), min(FAR, (w + 2 * q * len(x)) // width) + 1):
         shared = max(1, -(-(w + max(other * width, least)) // (2 * p)))
         if shared <= len(d):
             salt = _times(hub_id * 1_000_003 + min(own, other) * 65_537 + max(own, other))
@@ -382,6 +384,7 @@ def _classes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     many = stored(left.join(crowd.where(F.col("n") > FEW), "hub").where("a <> hub").select("a", F.col("hub").alias("b"), "part"))
     keyed = stored(around_hubs(many, sets, percent))
     keys = keyed.select("a", "part", F.explode("keys").alias("key")).select("a", "part", F.shiftright("key", 2).alias("key"), F.col("key").bitwiseAND(3).alias("side"))
+    keys = keys.repartition("key")  # one exchange for both sides
     other = keys.select("key", F.col("a").alias("b"), F.col("part").alias("part_b"), F.col("side").alias("side_b"))
     met = keys.join(other, "key").where("a < b and part <> part_b and (side + side_b) % 3 = 0").select("a", "b").distinct()
     more = similar(possible(pairs.union(met).distinct(), sets, percent), sets, percent)
