@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mining_queries
 from .bpe_automaton import encode_digests
 from .common import table
 from .embedding_graph import near_duplicates
@@ -63,7 +64,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_bpe_automaton, op4_token_counts, op5_token_files, op6_toxicity, op7_jaccard_join, op8_embedding_graph, op9_packing, op10_html_extract)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_bpe_automaton, op4_token_counts, op5_token_files, op6_toxicity, op7_jaccard_join, op8_embedding_graph, op9_packing, op10_html_extract)} | mining_queries.queries()
 
 
 def _rules_sql() -> str:
@@ -91,5 +92,5 @@ def _rules_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for the operator that it can express; the others rest on trained models, tokenizers, hashes or search."""
-    return {"op1_quality_rules": _rules_sql()}
+    """SQL for the operators that it can express; the others rest on trained models, tokenizers, hashes or search."""
+    return {"op1_quality_rules": _rules_sql()} | mining_queries.oracle_sql()
