@@ -78,13 +78,15 @@ def applied_events(events: DataFrame) -> DataFrame:
     """Events in arrival order with whether each is applied, and the period that then holds.
 
     An event is applied if it is newer than the last applied one; one without a time is always applied and starts the order
-    anew. A missing period keeps the stored one. Events have subscription_id, arrival, ts, period_end.
+    anew. A missing period keeps the stored one. Events have subscription_id, arrival, ts, period_end. `last` is the newest
+    time since the order began, which later events must exceed.
     """
     by = Window.partitionBy("subscription_id").orderBy("arrival")
     runs = events.withColumn("__run", F.sum(F.col("ts").isNull().cast("int")).over(by))
     before = F.max("ts").over(Window.partitionBy("subscription_id", "__run").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1))
     marked = runs.withColumn("applied", F.col("ts").isNull() | before.isNull() | (F.col("ts") > before))
-    return marked.withColumn("held_end", F.last(F.when(F.col("applied"), F.col("period_end")), ignorenulls=True).over(by)).drop("__run")
+    marked = marked.withColumn("held_end", F.last(F.when(F.col("applied"), F.col("period_end")), ignorenulls=True).over(by))
+    return marked.withColumn("last", F.greatest(before, F.col("ts"))).drop("__run")
 
 
 def daily_usage(events: DataFrame, stored: DataFrame | None = None) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import structure as R
 from ..sources import documents as D
-from ..sources.scratch import drain, shared_dir
+from ..sources.keyed import KeyedTable
+from ..sources.scratch import drain, feed, shared_dir, stored
 from ..streaming import events as E
 from . import ingestion as N
 from . import sql as L
@@ -20,18 +21,27 @@ def stream(spark: SparkSession, d: str, name: str, files: int = 1) -> DataFrame:
     return spark.readStream.schema(table(spark, d, name).schema).option("maxFilesPerTrigger", files).parquet(f"{d}/{name}.parque[t]")
 
 
-@query("select user_id || ':' || event_type as event_key, min(event_id) as event_id from events group by 1")
+@query("select user_id || ':' || event_type as event_key, arg_min(event_id, (event_id % 3, event_id)) as event_id from events group by 1")
 def t1_event_ledger(spark: SparkSession, d: str) -> DataFrame:
-    e = stream(spark, d, "events").select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("event_key"), "event_id", "ts")
+    # Three batches of deliveries; the second one arrives again at the end.
+    e = table(spark, d, "events").select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("event_key"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    parts = [e.where(F.col("event_id") % 3 == k) for k in (0, 1, 2, 1)]
     path = shared_dir(spark)
-    return drain(e, path=path, transform=E.ledger_step(path, order="event_id")).select("event_key", "event_id")
+    ledger = KeyedTable(spark, f"{path}/ledger", "event_key", E.LEDGER)
+    feed(parts, E.ledger_step(ledger, f"{path}/rows", order="event_id"), path)
+    return spark.read.parquet(f"{path}/rows").select("event_key", "event_id")
 
 
 @query(SQL["w15_applied_events"])
 def t2_subscription_state(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    e = stream(spark, d, "orders", 100).select(F.col("o_custkey").alias("subscription_id"), k.alias("arrival"), F.when(k % 50 > 0, F.col("o_orderdate").cast("timestamp")).alias("ts"), F.when(k % 3 > 0, k).alias("period_end"))
-    return drain(E.subscription_updates(e)).select("subscription_id", "arrival", "applied", "held_end")
+    orders = table(spark, d, "orders")
+    e = orders.select(F.col("o_custkey").alias("subscription_id"), k.alias("arrival"), F.when(k % 50 > 0, F.col("o_orderdate").cast("timestamp")).alias("ts"), F.when(k % 3 > 0, k).alias("period_end"))
+    third = F.lit(orders.agg(F.max(k)).first()[0] / 3)
+    path = shared_dir(spark)
+    state = KeyedTable(spark, f"{path}/state", "subscription_id", E.SUBSCRIPTION)
+    feed([e.where(F.floor(F.col("arrival") / third) == 0), e.where(F.floor(F.col("arrival") / third) >= 1)], E.subscription_step(state, f"{path}/rows"), path)
+    return spark.read.parquet(f"{path}/rows").select("subscription_id", "arrival", "applied", "held_end")
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -46,9 +56,13 @@ def t3_daily_meter(spark: SparkSession, d: str) -> DataFrame:
 
 @query(SQL["w13_quota_crossing"])
 def t4_quota_stream(spark: SparkSession, d: str) -> DataFrame:
-    c = stream(spark, d, "conversations", 100).withColumn("ts", F.timestamp_seconds(1_700_000_000 + F.col("turn") * 60))
+    c = table(spark, d, "conversations").withColumn("ts", F.timestamp_seconds(1_700_000_000 + F.col("turn") * 60))
     p = U.pieces(c, "ts").withColumn("remaining", 20 + F.col("request_id") % 40)
-    return E.latest(drain(E.quota_crossings(p), "update"), ["request_id"]).select("request_id", "counted", "limit_seq")
+    turn = F.floor(F.col("seq") / 100_000)
+    path = shared_dir(spark)
+    state = KeyedTable(spark, f"{path}/state", "request_id", E.CROSSING)
+    feed([p.where(turn < 1), p.where((turn >= 1) & (turn < 3)), p.where(turn >= 3)], E.quota_step(state), path)
+    return state.read().select("request_id", "counted", "limit_seq")
 
 
 @query("select user_id, strftime(minute, '%Y-%m-%d %H:%M') as minute, count(*) as n from (select user_id % 5 as user_id, date_trunc('minute', make_timestamp(cast(epoch(ts) as bigint) // 1440 * 1000000)) as minute from events) group by 1, 2 having count(*) > 10")
@@ -59,14 +73,23 @@ def t5_rate_check(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("user_id", F.date_format("minute", "yyyy-MM-dd HH:mm").alias("minute"), "n")
 
 
-@query(f"with recursive {L.SECTIONS}, {N._CHUNKS} select document_id, count(*) as chunks from ch where display_text <> '' group by 1")
-def t6_incremental_ingestion(spark: SparkSession, d: str) -> DataFrame:
-    def ingest(batch: DataFrame, number: int) -> DataFrame:
-        m = R.mark(D.raw_elements(batch))
-        e = R.elements(m)
-        return N.C.text_chunks(e, R.sections(m), 40, 10)
-
-    rows = drain(stream(spark, d, "documents", 4), transform=ingest)
-    return E.latest(rows, ["document_id"]).groupBy("document_id").agg(F.count("*").alias("chunks"))
+# Every third document arrives again, changed, and every ninth of those without text.
+_AGAIN = "again as (select doc_id, case when doc_id % 27 = 0 then '' when doc_id % 3 = 0 then 'NEW' || chr(10) || text || chr(10) || 'one more line at the very end of it' else text end as text from documents)"
 
 
+@query(f"with recursive {_AGAIN}, {L.SECTIONS.replace('from documents', 'from again')}, {N._CHUNKS} select document_id, sec_seq, page, cast(w as int) as w, display_text from ch where display_text <> ''")
+def t6_incremental_ingestion(spark: SparkSession, d: str) -> DataFrame:
+    def chunked(documents: DataFrame) -> DataFrame:
+        m = stored(R.mark(D.raw_elements(documents)))
+        return N.C.text_chunks(R.elements(m), R.sections(m), 40, 10).select("document_id", "sec_seq", "page", "window", "display_text")
+
+    docs = table(spark, d, "documents").select("doc_id", "text", F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("version"))
+    changed = F.when(F.col("doc_id") % 27 == 0, F.lit("")).otherwise(F.concat(F.lit("NEW\n"), "text", F.lit("\none more line at the very end of it")))
+    again = docs.where("doc_id % 3 = 0")
+    # Two halves; none; old and changed versions in one batch; changed ones alone.
+    parts = [docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), docs.where("false"), again.where("doc_id % 6 = 0").unionByName(again.where("doc_id % 6 = 0").withColumn("text", changed).withColumn("version", F.lit(2))), again.where("doc_id % 6 = 3").withColumn("text", changed).withColumn("version", F.lit(2))]
+    path = shared_dir(spark)
+    schema = "document_id string, sec_seq int, page int, window int, display_text string"
+    chunks = KeyedTable(spark, f"{path}/chunks", "document_id", schema, most_parts=2)
+    feed(parts, E.ingestion_step(chunks, chunked, "version"), path)
+    return chunks.read().withColumnRenamed("window", "w")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +39,14 @@ def drain(stream: DataFrame, mode: str = "append", path: str | None = None, tran
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
     return spark.read.parquet(f"{path}/rows")
+
+
+def feed(parts: list[DataFrame], step: Callable[[DataFrame, int], None], path: str) -> None:
+    """Run a stream over parts that arrive one after the other, each in a run of its own that goes on from the last one.
+
+    What a scheduled job sees: new files, then a micro-batch; batch numbers go on over the runs.
+    """
+    for part in parts:
+        part.write.mode("append").parquet(f"{path}/arrived")
+        arrived = part.sparkSession.readStream.schema(part.schema).parquet(f"{path}/arrived")
+        arrived.writeStream.option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).foreachBatch(step).start().awaitTermination()

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators.usage import applied_events, piece_words
+from ..sources.keyed import KeyedTable
 
 
 def once_within(events: DataFrame, key: str = "event_key", ts: str = "ts", delay: str = "1 day") -> DataFrame:
@@ -15,48 +16,51 @@ def once_within(events: DataFrame, key: str = "event_key", ts: str = "ts", delay
     return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def ledger_step(path: str, key: str = "event_key", order: str = "ts"):
-    """For foreachBatch: the batch's events whose key no earlier batch has, the first of each key.
+LEDGER = "event_key string, claimed_at timestamp"
+
 
-    Exact for ever, as the ledger is a table: batches of `path` before this one are read, so a repeated batch gives the same.
+def ledger_step(ledger: KeyedTable, results: str, order: str = "ts", ts: str = "ts") -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: writes the batch's events whose key no earlier batch has claimed, the first of each key.
+
+    The batch meets only the ledger's buckets of its keys, and adds its own. A ledger forgets nothing unless it is made with
+    `expired`; a repeated batch reads the ledger as it was before it, so it gives the same.
     """
 
-    def step(batch: DataFrame, number: int) -> DataFrame:
-        cols = [c for c in batch.columns if c != key]
-        first = batch.groupBy(key).agg(F.min_by(F.struct(*cols), order).alias("e")).select(key, "e.*").select(batch.columns)
-        if number == 0:
-            return first
-        before = batch.sparkSession.read.parquet(f"{path}/rows").where(F.col("batch") < number).select(key)
-        return first.join(before, key, "left_anti").select(batch.columns)
+    def step(batch: DataFrame, number: int) -> None:
+        cols = [c for c in batch.columns if c != "event_key"]
+        first = batch.groupBy("event_key").agg(F.min_by(F.struct(*cols), order).alias("e")).select("event_key", "e.*")
+        before = ledger.read(ledger.buckets_of(batch), before=number)
+        out = f"{results}/batch={number}"
+        first.join(before, "event_key", "left_anti").select(batch.columns).write.mode("overwrite").parquet(out)
+        ledger.replace(number, batch.sparkSession.read.schema(batch.schema).parquet(out).select("event_key", F.col(ts).cast("timestamp").alias("claimed_at")))
 
     return step
 
 
-SUBSCRIPTION = "subscription_id long, arrival long, applied boolean, held_end long"
+SUBSCRIPTION = "subscription_id long, last timestamp, held_end long, seen timestamp"
 
 
-def subscription_updates(events: DataFrame) -> DataFrame:
-    """Each event with whether it is applied and the period that then holds, in arrival order by subscription.
+def subscription_step(state: KeyedTable, results: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: writes each event with whether it is applied and the period that then holds, by arrival.
 
-    State per subscription: the time of the last applied event (null: none), and the period. Events have subscription_id,
-    arrival, ts, period_end.
+    State of a subscription: the time that newer events must exceed, the period, and when it was last seen, by which a state
+    table made with `expired` forgets ended ones. The state stands before the batch's events as one more event, so the batch
+    operator decides, with windows by subscription and no Python.
     """
+    fields = ["subscription_id", "arrival", "ts", "period_end"]
+
+    def step(batch: DataFrame, number: int) -> None:
+        new = batch.select(fields)
+        held = state.read(state.buckets_of(new), before=number).join(new.select("subscription_id"), "subscription_id", "left_semi")
+        before = held.select("subscription_id", F.lit(None).cast("long").alias("arrival"), F.col("last").alias("ts"), F.col("held_end").alias("period_end"))
+        out = f"{results}/batch={number}"
+        decided = applied_events(new.unionByName(before)).where("arrival is not null")
+        decided.select(*fields, "applied", "held_end", "last").write.mode("overwrite").parquet(out)
+        done = batch.sparkSession.read.schema(decided.select(*fields, "applied", "held_end", "last").schema).parquet(out)
+        newest = done.groupBy("subscription_id").agg(F.max_by(F.struct("last", "held_end"), "arrival").alias("s"), F.max("ts").alias("seen"))
+        state.replace(number, newest.select("subscription_id", "s.last", "s.held_end", "seen"))
 
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, held = state.get if state.exists else (None, None)
-        rows = []
-        for e in pd.concat(list(parts)).sort_values("arrival").itertuples():
-            ts, end = (None if pd.isna(x) else x for x in (e.micros, e.period_end))
-            applied = ts is None or last is None or ts > last
-            if applied:
-                last, held = ts, held if end is None else end
-            rows.append((key[0], e.arrival, applied, held))
-        state.update((None if last is None else int(last), None if held is None else int(held)))
-        out = pd.DataFrame(rows, columns=["subscription_id", "arrival", "applied", "held_end"])
-        yield out.astype({"held_end": "Int64"})
-
-    keyed = events.select("subscription_id", "arrival", F.unix_micros("ts").alias("micros"), "period_end")
-    return keyed.groupBy("subscription_id").applyInPandasWithState(update, SUBSCRIPTION, "last long, held long", "append", GroupStateTimeout.NoTimeout)
+    return step
 
 
 def daily_usage(events: DataFrame, delay: str = "2 days") -> DataFrame:
@@ -75,36 +79,51 @@ def rate_breaches(events: DataFrame, most: int = 10, delay: str = "10 minutes")
     return counts.where(F.col("n") > most).select("user_id", F.col("window.start").alias("minute"), "n")
 
 
-CROSSING = "request_id long, counted long, limit_seq long"
+CROSSING = "request_id long, counted long, limit_seq long, broken boolean, seen timestamp"
+
 
+def quota_step(state: KeyedTable) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: running words of each request and the piece at which its allowance is reached, given once.
 
-def quota_crossings(pieces: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Running words of each request and the piece at which its allowance is reached, given once; words broken off at the
-    end of a piece are not counted again. Pieces have request_id, seq, content, remaining, ts; state goes a day after the last
-    piece.
+    State of a request: its words so far, that piece, and whether the last piece broke off in a word, so that the word is not
+    counted again; and when the request was last seen, for a table made with `expired`. Pieces have request_id, seq, content,
+    remaining and ts, and arrive in order of seq. The state stands before them as a piece whose content only says how the
+    last one ended.
     """
 
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        counted, limit, broken = state.get if state.exists else (0, None, False)
-        pieces_now = pd.concat(list(parts)).sort_values("seq")
-        newest = int(pieces_now["ts"].max().timestamp() * 1000)
-        for p in pieces_now.itertuples():
-            words = len(p.content.split())
-            if broken and words and not p.content[:1].isspace():
-                words -= 1
-            broken = bool(p.content) and not p.content[-1].isspace()
-            if words and limit is None:
-                counted += words
-                if counted >= p.remaining:
-                    counted, limit = int(p.remaining), int(p.seq)
-        state.update((counted, limit, broken))
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 24 * 3600 * 1000)
-        yield pd.DataFrame({"request_id": [key[0]], "counted": [counted], "limit_seq": pd.array([limit], dtype="Int64")})
-
-    return pieces.withWatermark("ts", delay).groupBy("request_id").applyInPandasWithState(update, CROSSING, "counted long, limit_seq long, broken boolean", "update", GroupStateTimeout.EventTimeTimeout)
+    def step(batch: DataFrame, number: int) -> None:
+        new = batch.select("request_id", "seq", "content", "remaining", "ts")
+        held = state.read(state.buckets_of(new), before=number).join(new.select("request_id"), "request_id", "left_semi")
+        before = held.select("request_id", F.lit(None).cast("long").alias("seq"), F.when(F.col("broken"), "x").otherwise(" ").alias("content"), "counted", "limit_seq", "seen")
+        pieces = piece_words(new.unionByName(before, allowMissingColumns=True))
+        old = F.col("seq").isNull()
+        words = pieces.withColumn("words", F.when(old, F.col("counted")).otherwise(F.col("words")))
+        run = F.sum("words").over(Window.partitionBy("request_id").orderBy("seq"))
+        allowed = F.max("remaining").over(Window.partitionBy("request_id"))
+        hit = F.when(old, F.col("limit_seq")).when((F.col("words") > 0) & (run >= allowed), F.col("seq"))
+        ends = F.max_by(F.coalesce(F.col("content").rlike(r"\S\z"), F.lit(False)), "seq")
+        sums = words.withColumn("hit", hit).groupBy("request_id").agg(
+            F.sum("words").alias("total"), F.coalesce(F.max(F.when(old, F.col("limit_seq"))), F.min("hit")).alias("limit_seq"), F.max("remaining").alias("remaining"), ends.alias("broken"), F.greatest(F.max("ts"), F.max("seen")).alias("seen")
+        )
+        counted = F.when(F.col("limit_seq").isNotNull(), F.col("remaining")).otherwise(F.col("total"))
+        state.replace(number, sums.select("request_id", counted.alias("counted"), "limit_seq", "broken", "seen"))
+
+    return step
+
+
+def ingestion_step(chunks: KeyedTable, chunked: Callable[[DataFrame], DataFrame], order: str, drop_empty: bool = True) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: new and changed documents replace their chunks in the chunk table.
+
+    A batch may bring several versions of a document; the last by `order` counts. A document that now has no chunks loses its
+    old ones (drop_empty), or keeps them.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        key = chunks.key
+        last = batch.groupBy(key).agg(F.max_by(F.struct(*(c for c in batch.columns if c != key)), order).alias("d")).select(key, "d.*")
+        chunks.replace(number, chunked(last), batch if drop_empty else None)
+
+    return step
 
 
 def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
