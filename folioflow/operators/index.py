@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import tables as T
 from ..functions.text import count_tokens, normalize_title, strip, summary, words_for_keywords
 
 BODY, KEYWORDS = 4000, 8
@@ -130,30 +133,53 @@ def pack_sections(secs: DataFrame, budget: int = 120_000, most: int = 40) -> Dat
     return counted.groupBy("document_id").applyInPandas(fold, "document_id string, sec_seq int, batch int")
 
 
-def merge_tables(tables: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Consecutive tables of a document as islands: document_id, tbl_seq, island, page_lo, page_hi, flavor.
+def table_islands(tables: DataFrame) -> DataFrame:
+    """Tables (document_id, tbl_seq, page, x0, markdown, flavor) with `place`, their order in the document, and `island`.
 
-    shapes has document_id, tbl_seq, cols and tokens. A table joins the last island if its columns differ by two at most, it is
-    two pages at most behind it, and its header's words resemble those of the island's first table.
+    Tables are read by page and left side. A table goes on with the island before it if its columns differ from those of the
+    island's first table by two at most, it stands two pages at most from the island's last one, and its header's words
+    resemble that first table's; headers without words resemble all. Only shapes go through the fold, which runs through
+    whole batches and starts anew with each document.
     """
-    joined = tables.select("document_id", "tbl_seq", "page", "flavor").join(shapes, ["document_id", "tbl_seq"])
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        islands, rows = [], []
-        for t in part.sort_values(["page", "tbl_seq"]).itertuples():
-            words, last = set(t.tokens), islands[-1] if islands else None
-            alike = last is not None and abs(last["cols"] - t.cols) <= 2 and abs(t.page - last["hi"]) <= 2
-            if alike and words and last["words"]:
-                alike = len(words & last["words"]) / len(words | last["words"]) >= 0.3
-            if alike:
-                last["hi"] = t.page
-                last["flavor"] = "stream" if t.flavor == "stream" else last["flavor"]
-            else:
-                islands.append({"cols": t.cols, "words": words, "lo": t.page, "hi": t.page, "flavor": t.flavor})
-            rows.append((t.document_id, t.tbl_seq, len(islands) - 1))
-        return pd.DataFrame([(*r, islands[r[2]]["lo"], islands[r[2]]["hi"], islands[r[2]]["flavor"]) for r in rows], columns=["document_id", "tbl_seq", "island", "page_lo", "page_hi", "flavor"])
-
-    return joined.groupBy("document_id").applyInPandas(fold, "document_id string, tbl_seq int, island int, page_lo int, page_hi int, flavor string")
+    names = ["document_id", "tbl_seq", "place", "island"]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        document, place, island, first, last_page = None, 0, -1, None, 0
+        for batch in batches:
+            rows = []
+            for t in batch.itertuples():
+                words = set(t.tokens)
+                if t.document_id != document:
+                    document, place, island, first = t.document_id, 0, -1, None
+                goes_on = first is not None and abs(t.cols - first[0]) <= 2 and abs(t.page - last_page) <= 2
+                if goes_on and words and first[1]:
+                    goes_on = len(words & first[1]) / len(words | first[1]) >= 0.3
+                if not goes_on:
+                    island, first = island + 1, (t.cols, words)
+                last_page = t.page
+                rows.append((t.document_id, t.tbl_seq, place, island))
+                place += 1
+            yield pd.DataFrame(rows, columns=names)
+
+    shapes = tables.select("document_id", "tbl_seq", "page", "x0", T.columns("markdown").alias("cols"), T.header_tokens("markdown").alias("tokens"))
+    ordered = shapes.repartition("document_id").sortWithinPartitions("document_id", "page", F.coalesce("x0", F.lit(0)), "tbl_seq")
+    return ordered.mapInPandas(fold, "document_id string, tbl_seq int, place int, island int")
+
+
+def merge_tables(tables: DataFrame) -> DataFrame:
+    """Consecutive tables of a document joined: document_id, island, page_lo, page_hi, flavor, tables, markdown.
+
+    The first table's header stands for all; the others add their rows. A stream table makes the whole a stream one. The
+    pieces of an island are joined once, in one aggregation.
+    """
+    placed = tables.join(table_islands(tables), ["document_id", "tbl_seq"])
+    rows = T.lines("markdown")
+    own = F.struct("place", "page", F.array_join(rows, "\n").alias("whole"), F.array_join(F.slice(rows, 3, F.greatest(F.size(rows), F.lit(1))), "\n").alias("more"), F.col("flavor"))
+    parts = placed.groupBy("document_id", "island").agg(F.array_sort(F.collect_list(own)).alias("p"))
+    more = F.filter(F.transform(F.slice("p", 2, F.greatest(F.size("p"), F.lit(1))), lambda t: t["more"]), lambda m: m != "")
+    whole = F.array_join(F.concat(F.array(F.col("p")[0]["whole"]), more), "\n")
+    flavor = F.when(F.exists("p", lambda t: t["flavor"] == "stream"), "stream").otherwise(F.col("p")[0]["flavor"])
+    return parts.select("document_id", "island", F.col("p")[0]["page"].alias("page_lo"), F.element_at("p", -1)["page"].alias("page_hi"), flavor.alias("flavor"), F.size("p").alias("tables"), whole.alias("markdown"))
 
 
 def choose_flavor(found: DataFrame) -> DataFrame:

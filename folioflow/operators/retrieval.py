@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dates_in, normalize_title, parse_date
 
 TOP_K, RECALL, CONTEXT_CHARS = 8, 48, 120_000
+#: Chunks of a block, and queries whose scores are held at a time.
+BLOCK, ASKED = 4096, 1024
 
 
 def chat_scope(ids: Column, most: int = 12) -> Column:
@@ -27,29 +28,44 @@ def readiness(requests: DataFrame, state: DataFrame) -> DataFrame:
     return each.groupBy("request_id").agg(F.nullif(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(said.isNotNull(), F.struct("pos", said.alias("m"))))), lambda x: x["m"]), "; "), F.lit("")).alias("message"))
 
 
-def vector_search(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Rows of unit length, zero rows as they are."""
+    rows = vectors.combine_chunks()
+    m = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+    size = np.sqrt((m * m).sum(1, keepdims=True))
+    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+
+
+def vector_search(chunks: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """The k chunks of each query's documents with the least cosine distance: query_id, chunk_id, document_id, score, rank.
 
     Scope comes first: queries (query_id, document_id, vector; a row for each document in scope) meet only chunks of their
-    documents. A task keeps its own best k of each query, and only those are ranked. Scores are rounded to 6 places; equal
-    ones rank by chunk_id.
+    documents. Chunks lie in blocks of about `block` of one document, so a document of any size is spread over tasks, and
+    its queries go to each of its blocks. A block's vectors and its queries' are two matrices, and their product gives all
+    scores: no row holds two vectors. A block keeps its best k of each query, and only those are ranked. Scores are rounded
+    to 6 places; equal ones rank by chunk_id. Vectors that are null have no score.
     """
-    pairs = chunks.select("chunk_id", "document_id", "embedding").join(queries.select("query_id", "document_id", "vector"), "document_id")
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = pd.DataFrame(columns=["query_id", "chunk_id", "document_id", "score"])
-        for b in batches:
-            if not len(b):
-                continue
-            x, q = np.stack(b["embedding"].to_numpy()).astype(np.float64), np.stack(b["vector"].to_numpy()).astype(np.float64)
-            norm = np.sqrt((x * x).sum(1) * (q * q).sum(1))
-            score = np.round(np.divide((x * q).sum(1), norm, out=np.zeros(len(b)), where=norm > 0), 6)
-            rows = b[["query_id", "chunk_id", "document_id"]].assign(score=score)
-            kept = (pd.concat([kept, rows]) if len(kept) else rows).sort_values(["score", "chunk_id"], ascending=[False, True]).groupby("query_id").head(k)
-        if len(kept):
-            yield kept
-
-    local = pairs.mapInPandas(best, "query_id long, chunk_id string, document_id string, score double")
+    sizes = chunks.groupBy("document_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    x = chunks.where("embedding is not null").select("chunk_id", "document_id", "embedding").join(sizes, "document_id")
+    x = x.select("document_id", F.pmod(F.xxhash64("chunk_id"), "blocks").cast("int").alias("block"), "chunk_id", "embedding")
+    q = queries.where("vector is not null").select("query_id", "document_id", "vector").join(sizes, "document_id")
+    q = q.select("document_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_id", "vector")
+
+    def best(c: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, kept = c.column("chunk_id").to_numpy(), []
+        if len(c) and len(asked):
+            c, ids = c.take(order := np.argsort(ids)), ids[order]
+            m = _matrix(c.column("embedding"))
+            for at in range(0, len(asked), ASKED):
+                part = asked.slice(at, ASKED)
+                score = np.round(_matrix(part.column("vector")) @ m.T, 6)
+                first = np.argsort(-score, axis=1, kind="stable")[:, :k]  # chunks are in order of their ids
+                n = first.shape[1]
+                kept.append(pa.table({"query_id": np.repeat(part.column("query_id").to_numpy(), n), "chunk_id": pa.array(ids[first.ravel()], pa.string()), "document_id": pa.array([c.column("document_id")[0].as_py()] * first.size, pa.string()), "score": np.take_along_axis(score, first, 1).ravel()}))
+        return pa.concat_tables(kept) if kept else pa.table({"query_id": pa.array([], pa.int64()), "chunk_id": pa.array([], pa.string()), "document_id": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
+
+    keys = ["document_id", "block"]
+    local = x.groupBy(keys).cogroup(q.groupBy(keys)).applyInArrow(best, "query_id long, chunk_id string, document_id string, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     return local.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,10 +89,32 @@ def page_ranges(secs: DataFrame, els: DataFrame) -> DataFrame:
 
 
 def section_of_page(pages: DataFrame, secs: DataFrame) -> DataFrame:
-    """Pages (document_id, page) with the deepest section whose range holds them, the last one on equal levels; else the root."""
-    inside = pages.join(secs.select("document_id", "sec_seq", "sec_id", "level", "path", "page_lo", "page_hi"), "document_id").where("page between page_lo and page_hi")
-    best = inside.groupBy("document_id", "page").agg(F.max_by(F.struct("sec_id", "path"), F.struct("level", "sec_seq")).alias("s"))
-    return pages.join(best, ["document_id", "page"], "left").select("document_id", "page", F.coalesce("s.sec_id", F.lit("root")).alias("sec_id"), F.coalesce("s.path", F.lit("Document")).alias("section_path"))
+    """Pages (document_id, page) with the deepest section whose range holds them, the last one on equal levels; else the root.
+
+    A sweep over a document's pages: sections come in where they begin, the deepest open one is on top of a heap, and those
+    that have ended leave when they come to the top. So a page is one row, however many sections hold it.
+    """
+    names = ["document_id", "page", "sec_id", "section_path"]
+
+    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        document, opened = None, []
+        for batch in batches:
+            rows = []
+            for e in batch.itertuples():
+                if e.document_id != document:
+                    document, opened = e.document_id, []
+                if e.asked == 0:
+                    heapq.heappush(opened, (-e.level, -e.sec_seq, e.page_hi, e.sec_id, e.path))
+                    continue
+                while opened and opened[0][2] < e.page:
+                    heapq.heappop(opened)
+                rows.append((e.document_id, e.page, *(opened[0][3:] if opened else ("root", "Document"))))
+            yield pd.DataFrame(rows, columns=names)
+
+    begin = secs.select("document_id", F.col("page_lo").alias("page"), F.lit(0).alias("asked"), "level", "sec_seq", "page_hi", "sec_id", "path")
+    asked = pages.select("document_id", "page", F.lit(1).alias("asked"), *(F.lit(0).alias(c) for c in ("level", "sec_seq", "page_hi")), *(F.lit("").alias(c) for c in ("sec_id", "path")))
+    ordered = begin.unionByName(asked).repartition("document_id").sortWithinPartitions("document_id", "page", "asked")
+    return ordered.mapInPandas(sweep, "document_id string, page int, sec_id string, section_path string")
 
 
 def replace_pages(elements: DataFrame, again: DataFrame) -> DataFrame:
@@ -100,45 +122,104 @@ def replace_pages(elements: DataFrame, again: DataFrame) -> DataFrame:
     return elements.join(again.select("document_id", "page").distinct(), ["document_id", "page"], "left_anti").unionByName(again)
 
 
+def _cells(boxes: DataFrame, level: Column, name: str, slack: float = 0.0) -> DataFrame:
+    """A row for each grid cell that a box touches on a level, whose cells are 2^level wide."""
+    size = F.pow(F.lit(2.0), level)
+    side = lambda i, more: F.floor((F.col("bbox")[i] + more * slack) / size)
+    cells = boxes.withColumn(name, level.cast("int"))
+    return cells.withColumn("cx", F.explode(F.sequence(side(0, -1), side(2, 1)))).withColumn("cy", F.explode(F.sequence(side(1, -1), side(3, 1))))
+
+
+def _own_level() -> Column:
+    """The level on which a box touches four cells at most: cells as wide as its longer side."""
+    return F.ceil(F.log2(F.greatest(F.col("bbox")[2] - F.col("bbox")[0], F.col("bbox")[3] - F.col("bbox")[1], F.lit(1.0))))
+
+
+def _levels(boxes: DataFrame) -> DataFrame:
+    """The levels that a page's boxes have: a few, as they grow with the logarithm of the box sizes."""
+    return boxes.groupBy("document_id", "page").agg(F.sort_array(F.collect_set(_own_level().cast("int"))).alias("levels"))
+
+
+def touching(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of boxes of a page (document_id, page, a.*, b.* as structs a and b) whose insides meet.
+
+    The larger box of a pair meets the smaller one on its own level of a grid, where both touch four cells at most; the pair
+    counts in the cell of the lower corner of what they share. So a page costs its boxes and the pairs that do meet.
+    """
+    def side(x: DataFrame, y: DataFrame, strict: bool) -> tuple[DataFrame, DataFrame]:
+        """x on its own levels, y on those levels of x that are above its own, or also on its own."""
+        own = _cells(x, _own_level(), "level")
+        above = y.join(_levels(x), ["document_id", "page"]).withColumn("up", F.explode("levels"))
+        above = above.where(F.col("up") > _own_level() if strict else F.col("up") >= _own_level())
+        return own, _cells(above, F.col("up"), "level")
+
+    keys, found = ["document_id", "page", "level", "cx", "cy"], []
+    for first, x, y in ((True, a, b), (False, b, a)):
+        own, other = side(x, y, not first)
+        one = own.select(*keys, F.struct(*x.columns).alias("a" if first else "b"))
+        two = other.select(*keys, F.struct(*y.columns).alias("b" if first else "a"))
+        found.append(one.join(two, keys).select(*keys, "a", "b"))
+    pairs = found[0].unionByName(found[1])
+    size = F.pow(F.lit(2.0), F.col("level"))
+    corner = [F.floor(F.greatest(F.col("a.bbox")[i], F.col("b.bbox")[i]) / size) for i in (0, 1)]
+    meets = [(F.least(F.col("a.bbox")[i + 2], F.col("b.bbox")[i + 2]) > F.greatest(F.col("a.bbox")[i], F.col("b.bbox")[i])) for i in (0, 1)]
+    return pairs.where((F.col("cx") == corner[0]) & (F.col("cy") == corner[1]) & meets[0] & meets[1]).drop("level", "cx", "cy")
+
+
 def greedy_match(found: DataFrame, places: DataFrame, least: float, by_place: bool) -> DataFrame:
     """Assign found boxes to placeholders of the same document and page, one to one.
 
     by_place: placeholders choose in their order (tables); otherwise found boxes do (figures). Each takes the best unused
-    partner whose overlap is above `least`, else the first unused. Columns: document_id, page, found_id, place_id (null:
-    unmatched).
+    partner whose overlap is above `least`, of equal ones the first, else the first unused. Overlaps are rounded to 9 places.
+    Columns: document_id, page, found_id, place_id (null: unmatched). Choices of a page depend on those before, so they are
+    folded; the fold sees only boxes that meet, as numbers.
     """
-    cols = ["document_id", "page", "pos", "id", "bbox"]
-
-    def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = (list(x.sort_values(["pos", "id"]).itertuples()) for x in (a, b))
-        ask, answer = (b, a) if by_place else (a, b)
-        rows, free = [], np.ones(len(answer), dtype=bool)
-        boxes = np.asarray([y.bbox for y in answer], dtype=float).reshape(len(answer), 4)
-        for x in ask:
-            if not free.any():
-                break
-            share = np.where(free, _overlaps(np.asarray(x.bbox, dtype=float), boxes), -1.0)
-            at = int(share.argmax())
-            at = at if share[at] > least else int(free.argmax())
-            hit, free[at] = answer[at], False
-            rows.append((hit.id, x.id) if by_place else (x.id, hit.id))
-        matched = {f for f, _ in rows}
-        rows += [(x.id, None) for x in a if x.id not in matched]
-        key = (a or b)[0]
-        return pd.DataFrame([(key.document_id, key.page, *r) for r in rows], columns=["document_id", "page", "found_id", "place_id"])
-
     keys = ["document_id", "page"]
-    return found.select(*cols).groupBy(keys).cogroup(places.select(*cols).groupBy(keys)).applyInPandas(match, "document_id string, page int, found_id string, place_id string")
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy("pos", "id")) - 1
+    ask, answer = ((places, found) if by_place else (found, places))
+    ask, answer = (x.select(*keys, "id", "bbox", order.alias("n")) for x in (ask, answer))
+    pairs = touching(ask, answer).withColumn("share", F.round(overlap(F.col("a.bbox"), F.col("b.bbox")), 9)).where(F.col("share") > least)
+    best = pairs.groupBy(*keys, F.col("a.n").alias("n")).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("s"), F.col("b.n").alias("n")))), lambda x: x["n"]).alias("best"))
+    counts = answer.groupBy(*keys).agg(F.count("*").alias("free"))
+    asked = ask.select(*keys, "n").join(best, [*keys, "n"], "left").join(counts, keys)
+    names = [*keys, "n", "m"]
 
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        page, used, first = None, set(), 0
+        for batch in batches:
+            rows = []
+            for x in batch.itertuples():
+                if (x.document_id, x.page) != page:
+                    page, used, first = (x.document_id, x.page), set(), 0
+                if len(used) == x.free:
+                    continue
+                while first in used:
+                    first += 1
+                m = next((y for y in x.best if y not in used), first) if x.best is not None else first
+                used.add(m)
+                rows.append((x.document_id, x.page, x.n, m))
+            yield pd.DataFrame(rows, columns=names)
 
-def _overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The share of box a that each of the boxes b covers."""
-    w, h = (np.maximum(0.0, np.minimum(a[i + 2], b[:, i + 2]) - np.maximum(a[i], b[:, i])) for i in (0, 1))
-    return w * h / max((a[2] - a[0]) * (a[3] - a[1]), 1e-6)
+    ordered = asked.repartition(*keys).sortWithinPartitions(*keys, "n").select(*keys, "n", "best", "free")
+    chosen = ordered.mapInPandas(fold, "document_id string, page int, n int, m int")
+    matched = chosen.join(ask.select(*keys, "n", F.col("id").alias("ask_id")), [*keys, "n"]).join(answer.select(*keys, F.col("n").alias("m"), F.col("id").alias("answer_id")), [*keys, "m"])
+    found_id, place_id = ("answer_id", "ask_id") if by_place else ("ask_id", "answer_id")
+    return found.select(*keys, F.col("id").alias("found_id")).join(matched.select(*keys, F.col(found_id).alias("found_id"), F.col(place_id).alias("place_id")), [*keys, "found_id"], "left")
 
 
 def suppress_text_in_tables(boxes: DataFrame, share: float = 0.5) -> DataFrame:
-    """Boxes without the text boxes that a table box of the page covers by the share or more."""
-    t = boxes.where("kind = 'table'").select("document_id", "page", F.col("bbox").alias("table_box"))
-    covered = boxes.where("kind = 'text'").join(t, ["document_id", "page"]).where(F.round(overlap(F.col("bbox"), F.col("table_box")), 9) >= share)
+    """Boxes without the text boxes that a table box of the page covers by the share (from a half on) or more.
+
+    A box that covers half of another or more holds its centre. So a text stands in the one cell of its centre on each level
+    of the page's tables, a table in the cells it touches on its own level, and only these meet.
+    """
+    if share < 0.5:
+        raise ValueError("a smaller share than a half need not hold the centre")
+    tables = boxes.where("kind = 'table'").select("document_id", "page", "bbox")
+    t = _cells(tables, _own_level(), "level", 1e-6).withColumnRenamed("bbox", "table_box")
+    size = F.pow(F.lit(2.0), F.col("level"))
+    centre = lambda i: F.floor((F.col("bbox")[i] + F.col("bbox")[i + 2]) / 2 / size)
+    x = boxes.where("kind = 'text'").join(_levels(tables), ["document_id", "page"]).withColumn("level", F.explode("levels"))
+    x = x.withColumn("cx", centre(0)).withColumn("cy", centre(1))
+    covered = x.join(t, ["document_id", "page", "level", "cx", "cy"]).where(F.round(overlap(F.col("bbox"), F.col("table_box")), 9) >= share)
     return boxes.join(covered.select("document_id", "page", "id").distinct(), ["document_id", "page", "id"], "left_anti")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import retry_delay
+from .ordering import with_ranks
 
 ERRORS = ["error", "failed", "invalid", "encrypted", "resource_limit", "parser_failure"]
 STALE = ["queued", "processing"]
@@ -120,6 +121,16 @@ def newest(rows: DataFrame, by: list[str], order: list[Column], most: int) -> Da
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= most)
 
 
+def library(files: DataFrame) -> DataFrame:
+    """A user's files (user_id, name, size, date, ...) with their place: by name in any case, large ones first, newest first.
+
+    A missing size counts as 0, a missing date comes last. Places come from one order of all files, so a user with a third of
+    them is spread over tasks.
+    """
+    order = [F.lower("name").asc_nulls_last(), F.coalesce("size", F.lit(0)).desc(), F.col("date").desc_nulls_last()]
+    return with_ranks(files, ["user_id"], order, "place")
+
+
 def owned(requests: DataFrame, user_documents: DataFrame) -> DataFrame:
     return requests.join(user_documents.select("user_id", "document_id"), ["user_id", "document_id"], "left_semi")
 

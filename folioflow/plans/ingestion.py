@@ -251,12 +251,25 @@ def _greedy(spark: SparkSession, d: str, kind: str, least: float, by_place: bool
     return R.greedy_match(b.where(F.col("kind") == kind), b.where("kind = 'text'"), least, by_place)
 
 
-@query()
+def _greedy_sql(kind: str, least: float, by_place: bool) -> str:
+    """Askers in order; each takes the first unused of its partners by overlap, else the first unused of the page."""
+    ask, answer = ("text", kind) if by_place else (kind, "text")
+    found, place = ("hit", "ask") if by_place else ("ask", "hit")
+    return f"""with recursive {L.BOXES}, q as (select *, row_number() over (partition by document_id, page order by pos, id) as n from boxes where kind = '{ask}'), w as (select *, row_number() over (partition by document_id, page order by pos, id) as n from boxes where kind = '{answer}'),
+    pr as (select a.document_id, a.page, a.n, b.n as m, round({_OVER}, 9) as share from q a join w b using (document_id, page)), li as (select document_id, page, n, list(m order by share desc, m) as best from pr where share > {least} group by all), fr as (select document_id, page, list(n order by n) as free from w group by all),
+    s as (select document_id, page, n, coalesce(best, []) as best, free from q join fr using (document_id, page) left join li using (document_id, page, n)),
+    g as (select document_id, page, 0::bigint as n, []::bigint[] as used, null::bigint as hit from fr union all
+      select document_id, page, n, case when hit is null then used else list_append(used, hit) end, hit from (select s.document_id, s.page, s.n, g.used, list_filter(list_concat(s.best, s.free), lambda x: not list_contains(g.used, x))[1] as hit from g join s on s.document_id = g.document_id and s.page = g.page and s.n = g.n + 1)),
+    mt as (select g.document_id, g.page, q.id as ask, w.id as hit from g join q using (document_id, page, n) join w on w.document_id = g.document_id and w.page = g.page and w.n = g.hit)
+    select b.document_id, b.page, b.id as found_id, mt.{place} as place_id from boxes b left join mt on mt.document_id = b.document_id and mt.page = b.page and mt.{found} = b.id where b.kind = '{kind}'"""
+
+
+@query(_greedy_sql("table", 0.0, True))
 def j6_match_tables(spark: SparkSession, d: str) -> DataFrame:
     return _greedy(spark, d, "table", 0.0, True)
 
 
-@query()
+@query(_greedy_sql("image", 0.05, False))
 def j7_match_figures(spark: SparkSession, d: str) -> DataFrame:
     return _greedy(spark, d, "image", 0.05, False)
 
@@ -331,10 +344,32 @@ def p10_phantom_tables(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.phantom(md).alias("dropped"))
 
 
-@query(f"""with {L.PIPES} select document_id, tbl_seq, 0 as island, min(page) over (partition by document_id) as page_lo, max(page) over (partition by document_id) as page_hi, 'stream' as flavor from pipes""")
+#: Headers that found tables take in turn; some resemble each other, one has too many columns to go on with the others.
+HEADERS = ["| key | part name | size |", "| key | name of part | size |", "| code | colour | maker | price | tax | total |", "| weight | colour | price |", "| . | ; |", "| key | part |"]
+_FOUND = f"""nb as (select *, (row_number() over (partition by p_brand order by p_partkey) - 1) // 3 as s from part),
+    ft as (select p_brand as document_id, cast(s as int) as tbl_seq, cast(s // 2 + 1 + 4 * (s // 6) as int) as page, cast(s * 37 % 10 as double) as x0, case when s % 4 = 2 then 'stream' else 'lattice' end as flavor, {HEADERS}[cast(s // 3 % {len(HEADERS)} as int) + 1] as head,
+      string_agg('| ' || p_partkey || ' | ' || p_name || ' | ' || p_size || ' |', chr(10) order by p_partkey) as body from nb group by p_brand, s)"""
+
+
+def found_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of a brand as tables of three rows, two on a page, with gaps between pages and headers that change."""
+    n = F.floor((F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1) / 3)
+    row = F.concat(F.lit("| "), F.col("p_partkey").cast("string"), F.lit(" | "), "p_name", F.lit(" | "), F.col("p_size").cast("string"), F.lit(" |"))
+    t = table(spark, d, "part").withColumn("s", n).groupBy(F.col("p_brand").alias("document_id"), "s").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))), lambda x: x["r"]), "\n").alias("body"))
+    head = F.element_at(F.array(*map(F.lit, HEADERS)), (F.floor(F.col("s") / 3) % len(HEADERS)).cast("int") + 1)
+    page = F.floor(F.col("s") / 2) + 1 + 4 * F.floor(F.col("s") / 6)
+    return t.select("document_id", F.col("s").cast("int").alias("tbl_seq"), page.cast("int").alias("page"), (F.col("s") * 37 % 10).cast("double").alias("x0"), F.when(F.col("s") % 4 == 2, "stream").otherwise("lattice").alias("flavor"), F.concat(head, F.lit("\n| --- | --- |\n"), "body").alias("markdown"))
+
+
+@query(f"""with recursive {_FOUND}, sh as (select *, len(string_split(head, '|')) - 2 as cols, list_distinct(regexp_extract_all(head, '[a-z]+')) as words, row_number() over (partition by document_id order by page, x0, tbl_seq) as k from ft),
+    al as (select document_id, k, page, 0 as island, cols, words from sh where k = 1 union all
+      select document_id, k, page, case when same then island else island + 1 end, case when same then cols else c2 end, case when same then words else w2 end from (
+        select s.document_id, s.k, s.page, a.island, a.cols, a.words, s.cols as c2, s.words as w2, abs(s.cols - a.cols) <= 2 and abs(s.page - a.page) <= 2 and (len(s.words) = 0 or len(a.words) = 0 or len(list_intersect(s.words, a.words)) / len(list_distinct(list_concat(s.words, a.words))) >= 0.3) as same
+        from al a join sh s on s.document_id = a.document_id and s.k = a.k + 1)),
+    pt as (select sh.*, island, row_number() over (partition by sh.document_id, island order by sh.k) as i from sh join al using (document_id, k))
+    select document_id, island, cast(min(page) as int) as page_lo, cast(arg_max(page, k) as int) as page_hi, case when bool_or(flavor = 'stream') then 'stream' else 'lattice' end as flavor, count(*) as tables, string_agg(case when i = 1 then head || chr(10) || '| --- | --- |' || chr(10) || body else body end, chr(10) order by k) as markdown from pt group by document_id, island""")
 def w5_merge_tables(spark: SparkSession, d: str) -> DataFrame:
-    t = pipes(spark, d)
-    return I.merge_tables(t, t.select("document_id", "tbl_seq", T.columns("markdown").alias("cols"), T.header_tokens("markdown").alias("tokens")))
+    return I.merge_tables(found_tables(spark, d))
 
 
 @query("""with f as (select cast(l_suppkey as varchar) as document_id, l_linenumber as page, case when l_quantity > 25 then 'stream' else 'lattice' end as flavor, l_orderkey % 3 as cols, l_orderkey as k from lineitem)

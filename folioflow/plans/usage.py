@@ -127,10 +127,11 @@ def k2_newest_uploads(spark: SparkSession, d: str) -> DataFrame:
     return U.newest(table(spark, d, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.col("o_orderkey")], 3).select("o_custkey", "o_orderkey", "rank")
 
 
-@query("select c_custkey, row_number() over (partition by c_nationkey order by lower(c_name), coalesce(c_acctbal, 0) desc, c_custkey) as place from customer")
+@query("""select o_orderkey, row_number() over (partition by o_custkey % 7 order by lower(o_orderpriority), coalesce(case when o_orderkey % 5 > 0 then round(cast(o_totalprice as double) / 50000) end, 0) desc, o_orderdate desc, o_orderkey) as place from orders""")
 def k3_library_sort(spark: SparkSession, d: str) -> DataFrame:
-    order = [F.lower("c_name"), F.coalesce("c_acctbal", F.lit(0)).desc(), F.col("c_custkey")]
-    return U.newest(table(spark, d, "customer"), ["c_nationkey"], order, 1 << 30).select("c_custkey", F.col("rank").alias("place"))
+    # Seven users; names and sizes tie often, so the date decides, and then the order of equal rows by their key.
+    files = table(spark, d, "orders").select((F.col("o_custkey") % 7).alias("user_id"), F.col("o_orderpriority").alias("name"), F.when(F.col("o_orderkey") % 5 > 0, F.round(F.col("o_totalprice").cast("double") / 50000)).alias("size"), F.struct("o_orderdate", (-F.col("o_orderkey")).alias("k")).alias("date"), "o_orderkey")
+    return U.library(files).select("o_orderkey", "place")
 
 
 _STATE = """state as (select o_orderkey as document_id, case o_orderkey % 5 when 0 then 'queued' when 1 then 'processing' when 2 then 'parser_failure' when 3 then 'resource_limit' else 'ready' end as status, cast(o_orderkey % 4 as int) as attempts,
