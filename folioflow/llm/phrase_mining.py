@@ -6,9 +6,10 @@ tasks' sums. A hash's sum is at least the count of each of its phrases, so phras
 safely out. The texts of the others are the candidates, each once.
 
 Candidates are counted by double-array tries over the bytes of language and phrase. A trie holds some MOST_PHRASES phrases; a
-phrase belongs to the trie of its first pair's hash, so every text position is walked in one trie only. For each trie the
-texts are read once: it is built in a task, broadcast, and numpy moves the states of all positions of a batch byte by byte,
-dropping those that fall out; accepting states are counted by bincount, and the tasks' counts are added up.
+phrase belongs to the trie of its first pair's hash, so every text position is walked in one trie only. Tries are built in
+tasks and broadcast, TOGETHER in one pass over the texts at most, so that a task's memory is bounded. Numpy moves the states
+of all positions of a batch byte by byte, dropping those that fall out; accepting states are counted by bincount, and the
+tasks' counts are added up.
 
 What tasks test for membership (frequent words and pairs) are bitmaps of at most MOST_BITS bits. A bitmap only turns
 positions away that cannot matter: where it fills up, more candidates are counted and the result stays the same.
@@ -16,13 +17,13 @@ positions away that cannot matter: where it fills up, more candidates are counte
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,9 +31,10 @@ from .common import drop_stored, light_batches, stored, text_batches
 from .double_array import Trie, build
 
 LEAST, TOP, CONTAINED = 10, 2000, 50
-#: Phrases of a trie (about 100 bytes each when broadcast), bits of a bitmap, and entries that a task gathers before it emits them.
-MOST_PHRASES, MOST_BITS, MOST_HELD = 1 << 19, 1 << 26, 1 << 21
-_BATCH = 1 << 21  # characters
+#: Phrases of a trie (about 120 bytes each), tries that are broadcast together, bits of a bitmap, and entries that a task
+#: gathers before it emits them.
+MOST_PHRASES, TOGETHER, MOST_BITS, MOST_HELD = 1 << 16, 16, 1 << 26, 1 << 20
+_BATCH = 1 << 20  # characters
 _UND = "und"
 
 
@@ -45,12 +47,6 @@ def _shape() -> bytes:
 _SHAPE = _shape()
 
 
-def canonical(text: str) -> bytes:
-    """The words of a text with one space between those of a piece and one line feed between pieces."""
-    pieces = (b" ".join(p.split()) for p in text.encode().translate(_SHAPE).split(b"\n"))
-    return b"\n".join(p for p in pieces if p)
-
-
 def _odd(label: str) -> np.uint64:
     return np.uint64(int.from_bytes(sha256(label.encode()).digest()[:8], "little") | 1)
 
@@ -78,9 +74,9 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """The words of a batch of texts: their bytes, places, language, and whether the next word follows in the same piece."""
+    """The words of a batch of texts, with one space between those of a piece and one line feed after the last: their bytes,
+    places, language, and whether the next word follows in the same piece."""
 
-    data: bytes
     buf: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
@@ -110,19 +106,26 @@ class Words:
 
 
 def words_of(texts: list[str], languages: list[str | None]) -> Words:
-    made = [canonical(t) for t in texts]
-    data = b"\n".join(made) + b"\n"
-    buf = np.frombuffer(data, np.uint8)
-    ends = np.flatnonzero((buf == 32) | (buf == 10))
-    starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)
-    some = ends > starts  # an empty text leaves an empty line
-    starts, ends = starts[some], ends[some]
-    langs = sorted({x or _UND for x in languages} if languages else {_UND})
+    shaped = [t.encode().translate(_SHAPE) for t in texts]
+    buf = np.frombuffer(b"\n".join(shaped) + b"\n", np.uint8)
+    within = (buf != 32) & (buf != 10)
+    change = np.flatnonzero(within[1:] != within[:-1]) + 1
+    edges = np.concatenate([[0], change]) if within[0] else change  # the last byte is a line feed
+    starts, ends = edges[::2], edges[1::2]
+    pieces = np.cumsum(buf == 10, dtype=np.int32)[starts]
+    follows = np.zeros(len(starts), bool)
+    follows[:-1] = pieces[1:] == pieces[:-1]
+    langs = sorted({_UND if x is None else x for x in languages})
     numbers = {x: i for i, x in enumerate(langs)}
-    text_ends = np.cumsum([len(m) + 1 for m in made])
     own = np.array([numbers[_UND if x is None else x] for x in languages], np.int64)
-    lang = own[np.searchsorted(text_ends, starts, side="right")] if len(starts) else np.zeros(0, np.int64)
-    return Words(data, buf, starts, ends, lang, langs, buf[ends] == 32)
+    lang = np.repeat(own, np.diff(np.searchsorted(starts, np.cumsum([len(x) + 1 for x in shaped]), side="left"), prepend=0))
+    # Of what stands between two words, one byte stays.
+    apart = buf.copy()
+    apart[ends] = np.where(follows, 32, 10)
+    within[ends] = True
+    lengths = ends - starts
+    places = np.concatenate([[0], np.cumsum(lengths + 1)])[: len(starts)].astype(np.int64)
+    return Words(apart[within], places, places + lengths, lang, langs, follows)
 
 
 class Held:
@@ -189,21 +192,28 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """lang, phrase (a word) and n over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
+        held: list[pa.Table] = []
 
-        def given() -> Iterator[pa.RecordBatch]:
-            for lang, c in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.binary()).cast(pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "phrase", "n"])
-            held.clear()
+        def merged() -> pa.Table:
+            return pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"])
 
-        for batch, texts in text_batches(batches, _BATCH):
-            for t, lang in zip(texts, batch.column("lang").to_pylist(), strict=True):
-                held.setdefault(_UND if lang is None else lang, Counter()).update(canonical(t).split())
-            if sum(map(len, held.values())) > MOST_HELD // 2:
-                yield from given()
-        yield from given()
-
-    return docs.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+        for w in _batches(batches):
+            letters = w.buf[(w.buf != 32) & (w.buf != 10)]
+            offsets = np.concatenate([[0], np.cumsum(w.ends - w.starts)]).astype(np.int64)
+            every = pa.Array.from_buffers(pa.large_binary(), len(w.starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
+            for i, lang in enumerate(w.langs):
+                found = (every if len(w.langs) == 1 else every.filter(pa.array(w.lang == i))).value_counts()
+                texts = found.field("values").cast(pa.binary()).cast(pa.string())
+                held.append(pa.table({"lang": pa.array([lang] * len(found), pa.string()), "phrase": texts, "n": found.field("counts")}))
+            if sum(map(len, held)) > 2 * MOST_HELD:
+                held = [merged()]
+                if len(held[0]) > MOST_HELD:
+                    yield from held.pop().to_batches()
+        if held:
+            yield from merged().to_batches()
+
+    counted = docs.mapInArrow(run, "lang string, phrase string, n long")
+    return counted.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))  # tasks have added up theirs
 
 
 def _word_hashes(words: DataFrame) -> DataFrame:
@@ -224,7 +234,8 @@ def frequent_hashes(docs: DataFrame, least: int, hashes: Callable[[Words], np.nd
             yield from held.add(hashes(w))
         yield from held.given()
 
-    return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
+    counted = docs.mapInArrow(run, "h long, n long").repartition("h")  # tasks have added up theirs
+    return counted.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
 
 
 class Filters:
@@ -249,7 +260,7 @@ class Filters:
         return two, able, three, both & self.threes.has(three) if self.threes else both
 
 
-def candidate_texts(docs: DataFrame, filters: object) -> DataFrame:
+def candidate_texts(docs: DataFrame, filters: Broadcast) -> DataFrame:
     """lang, phrase, words (2 or 3) and route (the hash of the first pair) of each candidate, once."""
     schema = "lang string, phrase string, words int, route long"
 
@@ -263,7 +274,8 @@ def candidate_texts(docs: DataFrame, filters: object) -> DataFrame:
                 at = at[first][[x not in seen for x in found.tolist()]] if len(at) else at
                 seen.update(found.tolist())
                 if len(at):
-                    texts = [w.data[a:b] for a, b in zip(w.starts[at].tolist(), w.ends[at + n - 1].tolist(), strict=True)]
+                    data = w.buf.tobytes()
+                    texts = [data[a:b] for a, b in zip(w.starts[at].tolist(), w.ends[at + n - 1].tolist(), strict=True)]
                     langs = [w.langs[x] for x in w.lang[at].tolist()]
                     yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array([n] * len(at), pa.int32()), pa.array(two[at].view(np.int64))], names=["lang", "phrase", "words", "route"])
             if len(seen) > MOST_HELD:
@@ -299,22 +311,28 @@ def walk(w: Words, trie: Trie, starts: np.ndarray) -> np.ndarray:
     return counts
 
 
-def count_shard(docs: DataFrame, trie: object, filters: object, shard: int, shards: int) -> DataFrame:
-    """id and n, task by task, of the phrases of a shard; trie and filters are broadcast."""
+def count_shards(docs: DataFrame, sent: dict[int, Broadcast], filters: Broadcast, shards: int) -> DataFrame:
+    """id and n, task by task, of the phrases of those shards whose tries are broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Trie.from_bytes(trie.value)
-        total = np.zeros(len(t.ids), np.int64)
+        total = {shard: np.zeros(len(trie.value.ids), np.int64) for shard, trie in sent.items()}
         for w in _batches(batches):
             two, able = filters.value.pairs(w)
-            total += walk(w, t, np.flatnonzero(able & (two.view(np.int64) % shards == shard)))
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(t.ids[found]), pa.array(total[found])], names=["id", "n"])
+            at = np.flatnonzero(able)
+            route = two[at].view(np.int64) % shards
+            order = np.argsort(route, kind="stable")
+            at, route = at[order], route[order]
+            for shard, trie in sent.items():
+                a, b = np.searchsorted(route, [shard, shard + 1])
+                total[shard] += walk(w, trie.value, at[a:b])
+        for shard, counts in total.items():
+            found = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(sent[shard].value.ids[found]), pa.array(counts[found])], names=["id", "n"])
 
     return docs.mapInArrow(run, "id long, n long")
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, most_phrases: int = MOST_PHRASES) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, least: int = LEAST, most_phrases: int = MOST_PHRASES, together: int = TOGETHER) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, n of all words; lang, phrase, words, n of the phrases of 2 and 3 words with n >= least), both stored."""
     spark = docs.sparkSession
     words = stored(word_counts(docs))
@@ -339,23 +357,23 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most_phrases: int = MOST_
     shards = -(-texts.count() // most_phrases)
     candidates = texts.withColumn("shard", F.pmod("route", F.lit(max(shards, 1))))
     made = stored(tries(candidates))
-    counts = None
-    for shard in range(shards):
-        rows = made.where(F.col("shard") == shard).select("trie").collect()  # one trie, of bounded size
-        if rows:
-            trie = send(bytes(rows[0]["trie"]))
-            part = stored(count_shard(docs, trie, third, shard, shards).groupBy("id").agg(F.sum("n").alias("n")))
-            trie.unpersist()
-            counts = part if counts is None else counts.unionByName(part)
-    if counts is None:
-        counts = spark.createDataFrame([], "id long, n long")
+    counts = spark.createDataFrame([], "id long, n long")
+    for start in range(0, shards, together):
+        sent = {}
+        for shard in range(start, min(start + together, shards)):
+            for trie in made.where(F.col("shard") == shard).select("trie").toArrow().column("trie").to_pylist():
+                sent[shard] = send(Trie.from_bytes(trie))
+        part = stored(count_shards(docs, sent, third, shards).groupBy("id").agg(F.sum("n").alias("n")))
+        for trie in sent.values():
+            trie.destroy()
+        counts = counts.unionByName(part)
     counted = stored(texts.join(counts, "id").where(F.col("n") >= least).select("lang", "phrase", "words", "n"))
     for t in (frequent, pairs, triples, texts, made):
         drop_stored(t)
     return words, counted
 
 
-def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, contained: int = CONTAINED, text_col: str = "text", lang_col: str = "lang", most_phrases: int = MOST_PHRASES) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, contained: int = CONTAINED, text_col: str = "text", lang_col: str = "lang", most_phrases: int = MOST_PHRASES, together: int = TOGETHER) -> DataFrame:
     """The first `top` phrases of each language: lang, rank, phrase, a, l, r, n, score.
 
     a, l and r count the phrase and the two parts of its lowest-scoring cut, n all words of the language; the score is
@@ -365,7 +383,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, contained:
     """
     light_batches(docs.sparkSession)
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    words, phrases = phrase_counts(rows, least, most_phrases)
+    words, phrases = phrase_counts(rows, least, most_phrases, together)
     known = stored(words.where(F.col("n") >= least).select("lang", "phrase", "n").unionByName(phrases.select("lang", "phrase", "n")))
 
     w = F.split("phrase", " ")

@@ -67,7 +67,7 @@ def phrases(rows, least, top, contained=50):
 def test_collocations(spark, least, top, most):
     rows = made_up()
     docs = spark.createDataFrame(rows, DOCS).repartition(3)
-    got = P.collocations(docs, least, top, most_phrases=most).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    got = P.collocations(docs, least, top, most_phrases=most, together=3).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
     assert sorted(map(tuple, got.collect())) == phrases(rows, least, top)
 
 
