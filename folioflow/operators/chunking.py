@@ -92,9 +92,9 @@ def table_chunk(markdown: Column, caption: Column, description: Column, lo: Colu
     return F.when(((md != "") | (F.coalesce(description, F.lit("")) != "")) & ~T.phantom(md), made)
 
 
-def preview(markdown: Column) -> Column:
+def preview(markdown: Column, rows: int = PREVIEW_ROWS) -> Column:
     """Header, separator and the first rows of a large table."""
-    return F.array_join(F.slice(T.lines(markdown), 1, 2 + PREVIEW_ROWS), "\n")
+    return F.array_join(F.slice(T.lines(markdown), 1, 2 + rows), "\n")
 
 
 def image_chunk(caption: Column, description: Column, path: Column, section: Column, nearby: Column, page: Column, vector: Column, analyzed: Column) -> Column:

@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables as T
-from ..functions.text import count_tokens, normalize_title, strip, summary, words_for_keywords
+from ..functions.text import count_tokens, lenient_json, normalize_title, strip, summary, words_for_keywords
 
 BODY, KEYWORDS = 4000, 8
+#: What a model may say of a document, and its answer to a batch of sections.
+INFERRED = ["doc_type", "language", "inferred_title", "inferred_authors", "abstract"]
+ANSWER = "document struct<doc_type string, language string, inferred_title string, inferred_authors array<string>, abstract string>, sections array<struct<id string, summary string, keywords array<string>>>"
 # Words that are no abbreviations.
 COMMON = ["THE", "AND", "FOR", "WITH", "FROM", "THIS", "THAT", "ARE", "WAS", "WERE"]
 
@@ -62,11 +65,28 @@ def sections_index(secs: DataFrame, elements: DataFrame) -> DataFrame:
     )
 
 
-def document_meta(elements: DataFrame, secs: DataFrame, chars: int = 200) -> DataFrame:
-    """Figure and table captions in order, visual pages, number of sections."""
+def document_meta(elements: DataFrame, secs: DataFrame, inferred: DataFrame | None = None, chars: int = 200) -> DataFrame:
+    """Per document its figure and table captions in order, visual pages, number of sections, and what a model says of it.
+
+    inferred has document_id and any of doc_type, language, inferred_title, inferred_authors and abstract, a row a document;
+    values are trimmed and cut, missing ones get defaults, so the columns are the same without a model.
+    """
     caption = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("type") == kind, F.struct("pos", "page", F.substring("text", 1, chars).alias("caption"))))), lambda x: F.struct(x["caption"].alias("caption"), x["page"].alias("page")))
-    by_doc = elements.groupBy("document_id").agg(caption("image").alias("figure_index"), caption("table").alias("table_index"), F.sort_array(F.collect_set(F.when(F.col("type") == "image", F.col("page")))).alias("visual_pages"))
-    return by_doc.join(secs.groupBy("document_id").agg(F.count("*").alias("num_sections")), "document_id", "left").withColumn("num_sections", F.coalesce("num_sections", F.lit(0)))
+    by_doc = elements.groupBy("document_id").agg(caption("image").alias("figure_index"), caption("table").alias("table_index"), F.sort_array(F.collect_set(F.when((F.col("type") == "image") & (F.col("page") > 0), F.col("page")))).alias("visual_pages"))
+    found = by_doc.join(secs.groupBy("document_id").agg(F.count("*").alias("num_sections")), "document_id", "left").withColumn("num_sections", F.coalesce("num_sections", F.lit(0)))
+    have = [] if inferred is None else [c for c in INFERRED if c in inferred.columns]
+    if have:
+        found = found.join(inferred.select("document_id", *have), "document_id", "left")
+    said = lambda c: F.coalesce(strip(c), F.lit("")) if c in have else F.lit("")
+    authors = F.col("inferred_authors") if "inferred_authors" in have else F.lit(None).cast("array<string>")
+    named = F.filter(F.transform(authors, strip), lambda x: x != "")
+    return found.withColumns({
+        "doc_type": F.coalesce(F.nullif(F.lower(said("doc_type")), F.lit("")), F.lit("other")),
+        "language": F.substring(F.lower(said("language")), 1, 8),
+        "inferred_title": F.substring(said("inferred_title"), 1, 300),
+        "inferred_authors": F.coalesce(F.slice(named, 1, 20), F.array().cast("array<string>")),
+        "abstract": F.substring(said("abstract"), 1, 500),
+    })
 
 
 def terminology(entries: DataFrame) -> DataFrame:
@@ -86,8 +106,15 @@ def terminology(entries: DataFrame) -> DataFrame:
     )
 
 
-def table_of_contents(entries: DataFrame, most: int = 20) -> DataFrame:
-    """The first sections of a document as text."""
+def meta_block(most_pages: int = 30, chars: int = 500) -> Column:
+    """A document's meta as text: type, title, abstract and the first visual pages."""
+    pages = F.array_join(F.slice("visual_pages", 1, most_pages).cast("array<string>"), ", ")
+    abstract = F.nullif(F.substring(strip("abstract"), 1, chars), F.lit(""))
+    return F.concat_ws("\n", F.concat(F.lit("doc_type: "), F.coalesce("doc_type", F.lit("?"))), F.concat(F.lit("title: "), F.coalesce("inferred_title", F.lit(""))), F.concat(F.lit("abstract: "), abstract), F.concat(F.lit("visual_pages: "), F.nullif(pages, F.lit(""))))
+
+
+def table_of_contents(entries: DataFrame, metas: DataFrame | None = None, most: int = 20) -> DataFrame:
+    """The first sections of a document as text (toc), and its meta block (meta) where metas are given."""
     few = entries.withColumn("n", F.row_number().over(Window.partitionBy("document_id").orderBy("sec_seq"))).where(F.col("n") <= most)
     blank = lambda c: F.nullif(c, F.lit(""))
     line = F.concat(
@@ -95,21 +122,44 @@ def table_of_contents(entries: DataFrame, most: int = 20) -> DataFrame:
         F.coalesce(F.concat(F.lit("\n    summary: "), blank(F.substring(strip("summary"), 1, 200))), F.lit("")),
         F.coalesce(F.concat(F.lit("\n    keywords: "), blank(F.array_join(F.slice("keywords", 1, 6), ", "))), F.lit("")),
     )
-    return few.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "\n").alias("toc"))
+    toc = few.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "\n").alias("toc"))
+    if metas is None:
+        return toc
+    return toc.join(metas.select("document_id", meta_block().alias("meta")), "document_id", "left").withColumn("meta", F.coalesce("meta", F.lit("(document meta unavailable)")))
 
 
 def backfill(state: DataFrame, index: DataFrame, made: DataFrame) -> DataFrame:
-    """Index entries for documents that are ready or partial and have none yet."""
+    """Index entries, or metas, for documents that are ready or partial and have none of them yet."""
     due = state.where("status in ('ready', 'partial')").join(index.select("document_id").distinct(), "document_id", "left_anti")
     return made.join(due.select("document_id"), "document_id", "left_semi")
 
 
+def parse_answers(responses: DataFrame) -> DataFrame:
+    """A model's answers (document_id, batch, response): document_id, batch, document and sections, without those that hold
+    no JSON object."""
+    parsed = F.from_json(lenient_json("response"), ANSWER)
+    return responses.select("document_id", "batch", parsed.alias("a")).where("a is not null").select("document_id", "batch", "a.*")
+
+
+def section_answers(parsed: DataFrame) -> DataFrame:
+    """A row for each section that a batch answers: document_id, batch (with the place in the answer), sec_id, summary, keywords."""
+    each = parsed.select("document_id", "batch", F.posexplode("sections").alias("place", "s")).where("s is not null")
+    sec_id = F.coalesce(strip("s.id"), F.lit(""))
+    return each.select("document_id", F.struct("batch", "place").alias("batch"), sec_id.alias("sec_id"), F.coalesce("s.summary", F.lit("")).alias("summary"), F.coalesce("s.keywords", F.array().cast("array<string>")).alias("keywords")).where("sec_id <> ''")
+
+
+def document_blocks(parsed: DataFrame) -> DataFrame:
+    """What the first batch that says anything of the document as a whole says: document_id and the fields of INFERRED."""
+    said = F.coalesce(*(F.col(f"document.{c}").cast("string") for c in INFERRED)).isNotNull()
+    return parsed.where(said).groupBy("document_id").agg(F.min_by("document", "batch").alias("d")).select("document_id", "d.*")
+
+
 def merge_answers(answers: DataFrame, fallback: DataFrame, chars: int = 200, most: int = 6) -> DataFrame:
-    """Per section the answer of the latest batch, cut; sections without one keep the fallback's summary and keywords."""
+    """Per section the answer of the latest batch, trimmed and cut; sections without one keep the fallback's summary and keywords."""
     latest = answers.groupBy("document_id", "sec_id").agg(F.max_by(F.struct("summary", "keywords"), "batch").alias("a"))
-    words = F.slice(F.filter("a.keywords", lambda w: F.trim(w) != ""), 1, most)
+    words = F.slice(F.filter(F.transform("a.keywords", strip), lambda w: w != ""), 1, most)
     joined = fallback.join(latest, ["document_id", "sec_id"], "left")
-    return joined.select("document_id", "sec_id", F.when(F.col("a").isNotNull(), F.substring("a.summary", 1, chars)).otherwise(F.col("summary")).alias("summary"), F.when(F.col("a").isNotNull(), words).otherwise(F.col("keywords")).alias("keywords"))
+    return joined.select("document_id", "sec_id", F.when(F.col("a").isNotNull(), F.substring(strip("a.summary"), 1, chars)).otherwise(F.col("summary")).alias("summary"), F.when(F.col("a").isNotNull(), words).otherwise(F.col("keywords")).alias("keywords"))
 
 
 def pack_sections(secs: DataFrame, budget: int = 120_000, most: int = 40) -> DataFrame:

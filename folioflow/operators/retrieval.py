@@ -9,10 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dates_in, normalize_title, parse_date
+from ..sources.scratch import stored
+from .ordering import with_positions
 
 TOP_K, RECALL, CONTEXT_CHARS = 8, 48, 120_000
 #: Chunks of a block, and queries whose scores are held at a time.
 BLOCK, ASKED = 4096, 1024
+#: Expectations of a test set that are broadcast, at most.
+MOST_EXPECTED = 100_000
 
 
 def chat_scope(ids: Column, most: int = 12) -> Column:
@@ -159,8 +163,9 @@ def filter_time(hits: DataFrame, start: str = "time_range_start", end: str = "ti
 
 
 def filter_entities(hits: DataFrame, entities: str = "key_entities", columns: tuple[str, ...] = ("display_text", "text_for_embedding")) -> DataFrame:
-    """Hits whose texts contain an entity, in any case."""
-    text = F.lower(F.concat_ws(" ", *columns))
+    """Hits whose texts or keywords contain an entity, in any case."""
+    named = ["keywords"] if "keywords" in hits.columns else []
+    text = F.lower(F.concat_ws(" ", *columns, *named))
     return _keep_all(hits, (F.size(entities) == 0) | F.exists(entities, lambda e: F.contains(text, F.lower(e))))
 
 
@@ -196,8 +201,13 @@ def sufficiency(queries: DataFrame, hits: DataFrame, chars: int = 10_000) -> Dat
     return every.select("query_id", F.coalesce(enough, F.lit(False)).alias("sufficient"), F.when(F.col("n").isNull(), F.col("query")).alias("gap_query"))
 
 
-def rerank(hits: DataFrame, scores: DataFrame, k: int = TOP_K, recall: int = RECALL) -> DataFrame:
-    """The first `recall` hits by pair score, stable, k of them; queries without scores keep their first k."""
+def rerank(hits: DataFrame, scores: DataFrame, k: int = TOP_K, recall: int = RECALL, scope: DataFrame | None = None) -> DataFrame:
+    """The first `recall` hits by pair score, stable, k of them; queries without scores keep their first k.
+
+    So do, if scope (query_id, documents) is given, queries with fewer than two documents in scope.
+    """
+    if scope is not None:
+        scores = scores.join(scope.where("documents >= 2").select("query_id"), "query_id", "left_semi")
     few = hits.where(F.col("pos") <= recall).join(scores, ["query_id", "chunk_id"], "left")
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc_nulls_last(), "pos")))
     return ranked.where(F.col("rank") <= k)
@@ -278,11 +288,43 @@ def hit_summaries(hits: DataFrame, most: int = 12) -> DataFrame:
 
 
 def evaluate(expected: DataFrame, chunks: DataFrame, hits: DataFrame) -> DataFrame:
-    """Per expectation (query_id, query, document_id, page): text recall, citation accuracy, top-1 correctness."""
+    """Per expectation (query_id, query, document_id, page): text recall, citation accuracy, top-1 correctness.
+
+    The expectations are a test set; up to MOST_EXPECTED of them are broadcast, so that no chunk's text is shuffled, and
+    larger sets take the text's first shuffle by document.
+    """
     word = F.lower(F.regexp_extract("query", r"^\S+", 0))
     e = expected.withColumn("word", word)
-    cites = e.join(chunks.select("document_id", F.col("page").alias("chunk_page"), F.lower("display_text").alias("t")), "document_id").where(F.contains("t", F.col("word")))
+    small = expected.limit(MOST_EXPECTED + 1).count() <= MOST_EXPECTED
+    asked = e.select("query_id", "document_id", "page", "word")
+    cites = chunks.select("document_id", F.col("page").alias("chunk_page"), F.lower("display_text").alias("t")).join(F.broadcast(asked) if small else asked, "document_id").where(F.contains("t", F.col("word")))
     found = cites.groupBy("query_id").agg(F.bool_and(F.col("chunk_page") == F.col("page")).alias("citation_ok"))
     top = hits.where("rank = 1").select("query_id", F.col("document_id").alias("top_doc"), F.col("page").alias("top_page"))
     out = e.join(found, "query_id", "left").join(top, "query_id", "left")
-    return out.select("query_id", F.col("citation_ok").isNotNull().alias("text_found"), F.coalesce("citation_ok", F.lit(False)).alias("citation_ok"), F.coalesce((F.col("top_doc") == F.col("document_id")) & (F.col("top_page") == F.col("page")), F.lit(False)).alias("top1_ok"))
+    return out.select("query_id", "document_id", F.col("citation_ok").isNotNull().alias("text_found"), F.coalesce("citation_ok", F.lit(False)).alias("citation_ok"), F.coalesce((F.col("top_doc") == F.col("document_id")) & (F.col("top_page") == F.col("page")), F.lit(False)).alias("top1_ok"))
+
+
+def exact_median(values: DataFrame, column: str) -> DataFrame:
+    """One row `median`: the middle value, or the mean of the two middle ones; null without values. No task holds them all."""
+    placed = with_positions(values.where(F.col(column).isNotNull()).select(column), [F.col(column)])
+    n = placed.agg(F.count("*")).first()[0]
+    middle = [(n - 1) // 2, n // 2] if n else []
+    return placed.where(F.col("position").isin(middle)).agg(F.avg(F.col(column).cast("double")).alias("median"))
+
+
+def evaluation_summary(judged: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """One row over the corpus, from evaluate(), the chunks and documents (document_id, total_pages, parse_seconds).
+
+    Per document: the shares of its expectations that are found and rightly cited, rounded to two places, and its pages with
+    output (chunks with some text). Then: documents, median of parse seconds, means of the shares, expectations whose first
+    hit is right, pages with output and all pages.
+    """
+    share = lambda c: F.round(F.avg(F.col(c).cast("int")), 2)
+    cases = judged.groupBy("document_id").agg(share("text_found").alias("recall"), share("citation_ok").alias("cited"), F.count_if("top1_ok").alias("top1"), F.count("*").alias("asked"))
+    output = chunks.where(F.regexp_like("display_text", F.lit(r"\S"))).select("document_id", "page").distinct().groupBy("document_id").agg(F.count("*").alias("pages"))
+    each = stored(documents.select("document_id", "total_pages", "parse_seconds").join(cases, "document_id", "left").join(output, "document_id", "left"))
+    total = each.agg(
+        F.count("*").alias("documents"), F.avg("recall").alias("mean_text_recall"), F.avg("cited").alias("mean_citation_accuracy"), F.coalesce(F.sum("top1"), F.lit(0)).alias("top1_correct"), F.coalesce(F.sum("asked"), F.lit(0)).alias("queries"),
+        F.coalesce(F.sum("pages"), F.lit(0)).alias("pages_with_output"), F.coalesce(F.sum("total_pages"), F.lit(0)).cast("long").alias("total_pages"),
+    )
+    return total.crossJoin(exact_median(each, "parse_seconds").withColumnRenamed("median", "median_parse_seconds"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables as T
-from .chunking import TABLE_ROWS, preview
+from ..sources.keyed import KeyedTable
+from .chunking import PREVIEW_ROWS, TABLE_ROWS, preview
 
 
 def upsert(base: DataFrame, updates: DataFrame, key: str, order: str) -> DataFrame:
@@ -20,14 +21,33 @@ def replace_documents(base: DataFrame, new: DataFrame, key: str = "document_id")
     return base.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def split_large_tables(tables: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(tables with their preview and whether it is cut, the whole large tables for the side table)."""
-    big = T.data_rows("markdown") > TABLE_ROWS
-    return tables.withColumn("truncated", big).withColumn("markdown", F.when(big, preview(F.col("markdown"))).otherwise(F.col("markdown"))), tables.where(big)
+SIDE = "document_id string, table_index int, markdown string"
 
 
-def write_side_table(tables: DataFrame, path: str) -> None:
-    tables.write.mode("append").partitionBy("document_id").parquet(path)
+def side_table(spark: SparkSession, path: str, buckets: int = 64) -> KeyedTable:
+    """Whole large tables in files, in buckets by the hash of their document."""
+    return KeyedTable(spark, path, "document_id", SIDE, buckets)
+
+
+def overflow(tables: DataFrame, side: KeyedTable, number: int, rows: int = TABLE_ROWS, shown: int = PREVIEW_ROWS) -> DataFrame:
+    """The tables (document_id, table_index, markdown) as chunks show them: markdown, truncated and table_path.
+
+    Tables of more than `rows` data rows go whole into the side table, in batch `number`, where they replace all that the
+    batch's documents had there; their chunk keeps header, separator and the first rows, and the key under which the whole is
+    found. Others are as they were, with a null key.
+    """
+    big = T.data_rows("markdown") > rows
+    side.replace(number, tables.where(big).select("document_id", "table_index", "markdown"), tables)
+    key = F.when(big, F.concat_ws("/", "document_id", F.col("table_index").cast("string")))
+    return tables.withColumns({"truncated": big, "table_path": key, "markdown": F.when(big, preview(F.col("markdown"), shown)).otherwise(F.col("markdown"))})
+
+
+def whole_tables(asked: DataFrame, side: KeyedTable) -> DataFrame:
+    """table_path and markdown of the asked tables (table_path; nulls ask for nothing); only their documents' buckets are read."""
+    key = asked.where("table_path is not null").select("table_path").distinct()
+    key = key.withColumn("document_id", F.regexp_extract("table_path", "^(?s)(.*)/[^/]*$", 1))
+    held = side.read(side.buckets_of(key)).withColumn("table_path", F.concat_ws("/", "document_id", F.col("table_index").cast("string")))
+    return held.join(key.select("table_path"), "table_path", "left_semi").select("table_path", "markdown")
 
 
 def merge_profiles(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

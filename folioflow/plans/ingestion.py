@@ -14,7 +14,7 @@ from ..operators import quality as Q
 from ..operators import store as S
 from ..operators import structure as R
 from ..sources import documents as D
-from ..sources.scratch import stored
+from ..sources.scratch import shared_dir, stored
 from . import sql as L
 from .registry import query, table
 
@@ -135,9 +135,15 @@ def _big_tables(spark: SparkSession, d: str) -> DataFrame:
     return t.select("document_id", F.concat(F.lit("| key | name |\n| --- | --- |\n"), "rows").alias("markdown"))
 
 
-@query(f"with {_BIG} select document_id, n > 100 as truncated, case when n > 100 then array_to_string(string_split(markdown, chr(10))[1:32], chr(10)) else markdown end as markdown from big")
+@query(f"""with {_BIG} select cast(document_id as varchar) as document_id, n > 100 as truncated, case when n > 100 then document_id || '/0' end as table_path, case when n > 100 then array_to_string(string_split(markdown, chr(10))[1:32], chr(10)) else markdown end as markdown, case when n > 100 then markdown end as whole from big""")
 def s7_overflow_tables(spark: SparkSession, d: str) -> DataFrame:
-    return S.split_large_tables(_big_tables(spark, d))[0].select("document_id", "truncated", "markdown")
+    t = stored(_big_tables(spark, d).withColumn("document_id", F.col("document_id").cast("string")).withColumn("table_index", F.lit(0)))
+    side = S.side_table(spark, shared_dir(spark), 8)
+    # An earlier version of all tables, which the batch replaces.
+    S.overflow(t.withColumn("markdown", F.concat("markdown", F.lit("\n| old | row |"))), side, 0)
+    shown = S.overflow(t, side, 1)
+    whole = S.whole_tables(shown, side).withColumnRenamed("markdown", "whole")
+    return shown.join(whole, "table_path", "left").select("document_id", "truncated", "table_path", "markdown", "whole")
 
 
 @query("""with o as (select c_custkey as user_id, c_name as name, c_mktsegment as segment from customer where c_custkey % 3 > 0), n as (select c_custkey as user_id, case when c_custkey % 2 = 0 then 'new ' || c_name end as name, case when c_custkey % 5 = 0 then 'X' end as segment from customer where c_custkey % 4 > 0)
@@ -470,12 +476,33 @@ def a5_sections_index(spark: SparkSession, d: str) -> DataFrame:
     return entries(spark, d).select("document_id", "sec_seq", "title", joined("keywords").alias("keywords"), "summary")
 
 
-@query(f"""with recursive {L.SECTIONS}, n as (select document_id, count(*) as num_sections from secs group by 1)
-    select e.document_id, coalesce(string_agg(case when type = 'image' then left(text, 200) end, '|' order by pos), '') as figures, coalesce(string_agg(case when type = 'table' then left(text, 200) end, '|' order by pos), '') as tables, coalesce(any_value(num_sections), 0) as num_sections from els e left join n using (document_id) group by 1""")
-def a6_document_meta(spark: SparkSession, d: str) -> DataFrame:
+#: What a model says of each document, with blanks, overlong values and gaps; every fifth says nothing.
+_SAID = """said as (select cast(doc_id as varchar) as document_id, case when doc_id % 3 > 0 then ' Report ' end as doc_type, case when doc_id % 4 > 0 then upper(coalesce(lang, '')) || '-long-tag' end as language, repeat('Title ' || source || ' ', 50) as inferred_title,
+    case when doc_id % 2 = 0 then list_concat([' ' || source || ' ', '  ', null], list_transform(range(0, 30), lambda i: 'author ' || i)) end as inferred_authors, text as abstract from documents where doc_id % 5 > 0)"""
+
+
+def said(spark: SparkSession, d: str) -> DataFrame:
+    docs, k = table(spark, d, "documents").where("doc_id % 5 > 0"), F.col("doc_id")
+    authors = F.concat(F.array(F.concat(F.lit(" "), "source", F.lit(" ")), F.lit("  "), F.lit(None).cast("string")), F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.concat(F.lit("author "), i.cast("string"))))
+    return docs.select(k.cast("string").alias("document_id"), F.when(k % 3 > 0, " Report ").alias("doc_type"), F.when(k % 4 > 0, F.concat(F.upper(F.coalesce("lang", F.lit(""))), F.lit("-long-tag"))).alias("language"), F.repeat(F.concat(F.lit("Title "), "source", F.lit(" ")), 50).alias("inferred_title"), F.when(k % 2 == 0, authors).alias("inferred_authors"), F.col("text").alias("abstract"))
+
+
+_META = f"""{_SAID}, n as (select document_id, count(*) as num_sections from secs group by 1),
+    ft as (select e.document_id, coalesce(string_agg(case when type = 'image' then left(text, 200) end, '|' order by pos), '') as figures, coalesce(string_agg(case when type = 'table' then left(text, 200) end, '|' order by pos), '') as tables, list_sort(list(distinct page) filter (type = 'image')) as visual, coalesce(any_value(num_sections), 0) as num_sections from els e left join n using (document_id) group by 1),
+    meta as (select ft.document_id, figures, tables, coalesce(visual, []) as visual, num_sections, coalesce(nullif(lower(trim(doc_type)), ''), 'other') as doc_type, coalesce(left(lower(trim(language)), 8), '') as language, coalesce(left({L.strip('inferred_title')}, 300), '') as title,
+      coalesce(array_to_string(list_filter(list_transform(inferred_authors, lambda x: trim(x)), lambda x: x <> '')[1:20], '|'), '') as authors, coalesce(left({L.strip('abstract')}, 500), '') as abstract from ft left join said using (document_id))"""
+
+
+def document_metas(spark: SparkSession, d: str) -> DataFrame:
     e, s = parts(spark, d)
-    m = I.document_meta(e, s)
-    return m.select("document_id", joined(F.transform("figure_index", lambda x: x["caption"])).alias("figures"), joined(F.transform("table_index", lambda x: x["caption"])).alias("tables"), "num_sections")
+    return I.document_meta(e, s, said(spark, d))
+
+
+@query(f"with recursive {L.SECTIONS}, {_META} select document_id, figures, tables, array_to_string(visual, '|') as visual, num_sections, doc_type, language, title, authors, abstract from meta")
+def a6_document_meta(spark: SparkSession, d: str) -> DataFrame:
+    m = document_metas(spark, d)
+    captions = lambda c: joined(F.transform(c, lambda x: x["caption"]))
+    return m.select("document_id", captions("figure_index").alias("figures"), captions("table_index").alias("tables"), joined(F.col("visual_pages").cast("array<string>")).alias("visual"), "num_sections", "doc_type", "language", F.col("inferred_title").alias("title"), joined("inferred_authors").alias("authors"), "abstract")
 
 
 _WIDE = "[\u00c0-\u024f\u0370-\u1fff\u2c00-\ud7ff]"  # letters that end no word, but that RE2's \\b takes for its end
@@ -495,27 +522,48 @@ def a12_terminology(spark: SparkSession, d: str) -> DataFrame:
     return t.select("document_id", *[joined(c).alias(c) for c in ("codes", "abbreviations", "date_formats", "identifiers", "data_types", "entities")])
 
 
-@query(f"""with recursive {L.SECTIONS}, {_ENTRIES}, r as (select *, row_number() over (partition by document_id order by sec_seq) as n from ix)
-    select document_id, string_agg('- [' || document_id || ':' || sec_id || '] ' || path || '  (pp. ' || page_lo || '-' || page_hi || ')' || case when left(summary, 200) <> '' then chr(10) || '    summary: ' || left(summary, 200) else '' end || case when keywords <> '' then chr(10) || '    keywords: ' || array_to_string(string_split(keywords, '|')[1:6], ', ') else '' end, chr(10) order by n) as toc from r where n <= 20 group by 1""")
+@query(f"""with recursive {L.SECTIONS}, {_ENTRIES}, r as (select *, row_number() over (partition by document_id order by sec_seq) as n from ix), {_META},
+    tc as (select document_id, string_agg('- [' || document_id || ':' || sec_id || '] ' || path || '  (pp. ' || page_lo || '-' || page_hi || ')' || case when left(summary, 200) <> '' then chr(10) || '    summary: ' || left(summary, 200) else '' end || case when keywords <> '' then chr(10) || '    keywords: ' || array_to_string(string_split(keywords, '|')[1:6], ', ') else '' end, chr(10) order by n) as toc from r where n <= 20 group by 1)
+    select document_id, toc, case when m.document_id is null or cast(document_id as bigint) % 7 = 0 then '(document meta unavailable)' else 'doc_type: ' || doc_type || chr(10) || 'title: ' || title || case when abstract <> '' then chr(10) || 'abstract: ' || {L.strip('abstract')} else '' end || case when len(visual) > 0 then chr(10) || 'visual_pages: ' || array_to_string(visual[1:30], ', ') else '' end end as meta from tc left join meta m using (document_id)""")
 def k4_table_of_contents(spark: SparkSession, d: str) -> DataFrame:
-    return I.table_of_contents(entries(spark, d))
+    e, s = parts(spark, d)
+    metas = I.document_meta(e, s, said(spark, d)).where("cast(document_id as bigint) % 7 > 0")
+    return I.table_of_contents(I.sections_index(s, e), metas)
 
 
-@query(f"with recursive {L.SECTIONS} select document_id, sec_id from secs where cast(document_id as bigint) % 3 < 2 and cast(document_id as bigint) % 5 > 0")
+@query(f"""with recursive {L.SECTIONS}, {_META} select document_id, 'section' as kind, sec_id as value from secs where cast(document_id as bigint) % 3 < 2 and cast(document_id as bigint) % 5 > 0
+    union all select document_id, 'meta', cast(num_sections as varchar) || ' sections, ' || title from meta where cast(document_id as bigint) % 3 < 2 and cast(document_id as bigint) % 4 > 0""")
 def j21_backfill(spark: SparkSession, d: str) -> DataFrame:
-    made = parts(spark, d)[1].select("document_id", "sec_id")
+    e, s = parts(spark, d)
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "doc_id")
     state = docs.select("document_id", F.when(F.col("doc_id") % 3 == 0, "ready").when(F.col("doc_id") % 3 == 1, "partial").otherwise("error").alias("status"))
-    return I.backfill(state, docs.where("doc_id % 5 = 0"), made)
+    index = I.backfill(state, docs.where("doc_id % 5 = 0"), s).select("document_id", F.lit("section").alias("kind"), F.col("sec_id").alias("value"))
+    metas = I.backfill(state, docs.where("doc_id % 4 = 0"), I.document_meta(e, s, said(spark, d)))
+    return index.unionByName(metas.select("document_id", F.lit("meta").alias("kind"), F.concat(F.col("num_sections").cast("string"), F.lit(" sections, "), "inferred_title").alias("value")))
+
 
+#: Answers of a model for a language's documents, in batches of JSON: some cut off, some fenced, some without a document block.
+_RESPONSES = """rs as (select coalesce(lang, 'none') as document_id, doc_id as batch, 's' || (n_chars % 3) as sec_id, case when doc_id % 6 > 0 then ' ' || source || ' said ' end as summary, doc_id % 4 > 0 as parsed, case when doc_id % 7 = 3 then 'type ' || source end as doc_type from documents where n_chars % 3 < 2)"""
 
-@query("""with a as (select doc_id, 's' || (n_chars % 3) as sec_id, n_chars % 7 as batch, lang as s from documents), l as (select cast(lang as varchar) as document_id, sec_id, arg_max(x, (batch, doc_id)) as x from (select d.lang, a.sec_id, a.batch, d.doc_id, left(d.source || ' said', 200) as x from a join documents d using (doc_id) where a.sec_id <> 's2') group by all)
-    select f.document_id, f.sec_id, coalesce(l.x, 'none') as summary from (select distinct lang as document_id, unnest(['s0', 's1', 's2']) as sec_id from documents) f left join l using (document_id, sec_id)""")
+
+def responses(spark: SparkSession, d: str) -> DataFrame:
+    docs, k = table(spark, d, "documents").where("n_chars % 3 < 2"), F.col("doc_id")
+    section = F.struct(F.concat(F.lit(" s"), (F.col("n_chars") % 3).cast("string")).alias("id"), F.when(k % 6 > 0, F.concat(F.lit(" "), "source", F.lit(" said "))).alias("summary"), F.array(F.lit(" k "), F.lit(" "), F.col("source")).alias("keywords"))
+    answer = F.to_json(F.struct(F.when(k % 7 == 3, F.struct(F.concat(F.lit("type "), "source").alias("doc_type"))).alias("document"), F.array(section).alias("sections")))
+    text = F.when(k % 4 == 0, F.concat(F.lit("sorry, "), F.substring(answer, 2, 20))).when(k % 4 == 1, F.concat(F.lit("```json\n"), answer, F.lit("\n```"))).otherwise(answer)
+    return docs.select(F.coalesce("lang", F.lit("none")).alias("document_id"), k.alias("batch"), text.alias("response"))
+
+
+@query(f"""with {_RESPONSES}, l as (select document_id, sec_id, trim(coalesce(arg_max(coalesce(summary, ''), batch), '')) as summary, arg_max(source_, batch) as source_ from (select rs.*, documents.source as source_ from rs join documents on doc_id = batch) where parsed group by all),
+    b as (select document_id, arg_min(doc_type, batch) filter (doc_type is not null) as doc_type from rs where parsed group by 1),
+    f as (select distinct coalesce(lang, 'none') as document_id, unnest(['s0', 's1', 's2']) as sec_id from documents)
+    select f.document_id, f.sec_id, case when l.sec_id is null then 'none' else l.summary end as summary, case when l.sec_id is null then 'x' else 'k|' || source_ end as keywords, doc_type from f left join l using (document_id, sec_id) left join b using (document_id)""")
 def a16_merge_answers(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    answers = docs.select(F.col("lang").alias("document_id"), F.concat(F.lit("s"), (F.col("n_chars") % 3).cast("string")).alias("sec_id"), F.struct((F.col("n_chars") % 7).alias("b"), "doc_id").alias("batch"), F.concat("source", F.lit(" said")).alias("summary"), F.array(F.lit("k"), F.lit(" ")).alias("keywords")).where("sec_id <> 's2'")
-    fallback = docs.select(F.col("lang").alias("document_id")).distinct().withColumn("sec_id", F.explode(F.array(F.lit("s0"), F.lit("s1"), F.lit("s2")))).withColumn("summary", F.lit("none")).withColumn("keywords", F.array(F.lit("x")))
-    return I.merge_answers(answers, fallback).select("document_id", "sec_id", "summary")
+    parsed = stored(I.parse_answers(responses(spark, d)))
+    fallback = table(spark, d, "documents").select(F.coalesce("lang", F.lit("none")).alias("document_id")).distinct().withColumn("sec_id", F.explode(F.array(F.lit("s0"), F.lit("s1"), F.lit("s2")))).withColumn("summary", F.lit("none")).withColumn("keywords", F.array(F.lit("x")))
+    merged = I.merge_answers(I.section_answers(parsed), fallback)
+    blocks = I.document_blocks(parsed).select("document_id", "doc_type")
+    return merged.join(blocks, "document_id", "left").select("document_id", "sec_id", "summary", joined("keywords").alias("keywords"), "doc_type")
 
 
 @query(

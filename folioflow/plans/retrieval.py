@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import boxes as B
 from ..functions import text as X
 from ..operators import retrieval as R
-from ..sources.scratch import stored
+from ..operators import store as S
+from ..sources.scratch import shared_dir, stored
 from . import ingestion as N
 from . import sql as L
 from .registry import query, table
@@ -160,10 +161,11 @@ def _with(spark: SparkSession, d: str, **columns) -> DataFrame:
     return hits(spark, d).withColumns(columns)
 
 
-@query(f"""with {_HITS}, k as (select *, contains(lower(display_text || ' ' || text_for_embedding), 'tionth') or contains(lower(display_text || ' ' || text_for_embedding), 'zzzz') as k from hits)
+@query(f"""with {_HITS}, k as (select *, contains(lower(display_text || ' ' || text_for_embedding), 'tionth') or contains(lower(display_text || ' ' || text_for_embedding), 'zzzz') or (query_id % 2 = 0 and page = 3) as k from hits)
     select query_id, pos from (select *, bool_or(k) over (partition by query_id) as a from k) where k or not a""")
 def p7_filter_entities(spark: SparkSession, d: str) -> DataFrame:
-    return R.filter_entities(_with(spark, d, key_entities=F.array(F.lit("TIONTH"), F.lit("zzzz")))).select("query_id", "pos")
+    named = F.array(F.lit("Other"), F.concat(F.lit("Key Zzzz3"), F.when((F.col("query_id") % 2 == 0) & (F.col("page") == 3), F.lit("-Zebra"))))
+    return R.filter_entities(_with(spark, d, keywords=named, key_entities=F.array(F.lit("TIONTH"), F.lit("zzzz3-zebra"), F.lit("zzzz")))).select("query_id", "pos")
 
 
 @query(f"with {_HITS}, k as (select *, query_id % 7 < 4 and (contains(chunk_id, 'c1') or contains(section_path, 'es')) as k from hits) select query_id, pos from (select *, bool_or(k) over (partition by query_id) as a from k) where k or not a")
@@ -216,11 +218,12 @@ def p12_sufficiency(spark: SparkSession, d: str) -> DataFrame:
     return R.sufficiency(q, h.where("pos <= query_id % 4 * 10").withColumnRenamed("pos", "rank"))
 
 
-@query(f"""with {_HITS}, s as (select *, case when query_id % 7 > 0 then (pos * 37) % 101 end as r from hits where pos <= 48) select query_id, pos, rank from (select *, row_number() over (partition by query_id order by r desc nulls last, pos) as rank from s) where rank <= 8""")
+@query(f"""with {_HITS}, s as (select *, case when query_id % 7 > 0 and query_id % 3 = 2 then (pos * 37) % 101 end as r from hits where pos <= 48) select query_id, pos, rank from (select *, row_number() over (partition by query_id order by r desc nulls last, pos) as rank from s) where rank <= 8""")
 def k1_rerank(spark: SparkSession, d: str) -> DataFrame:
     h = hits(spark, d).withColumn("chunk_id", F.col("pos").cast("string"))
     scores = h.where("query_id % 7 > 0").select("query_id", "chunk_id", ((F.col("pos") * 37) % 101).alias("rerank_score"))
-    return R.rerank(h, scores).select("query_id", "pos", "rank")
+    scope = h.select("query_id", (F.col("query_id") % 3).alias("documents")).distinct()
+    return R.rerank(h, scores, scope=scope).select("query_id", "pos", "rank")
 
 
 @query(f"""with recursive {L.SECTIONS}, q as (select item_id as query_id, lower(text) as q, k as doc_pos, cast(item_id * 2 + k as varchar) as document_id from benchmark, (values (0), (1), (2)) t(k)),
@@ -251,10 +254,25 @@ def w10_context(spark: SparkSession, d: str) -> DataFrame:
     return R.context(R.layout(hits(spark, d)))
 
 
-@query()
+# A table hit's lines as rows of a pipe table; tables of more than three rows show two.
+_TABLED = f"""{_HITS}, tb as (select *, case when type = 'table' then '| line |' || chr(10) || '| --- |' || chr(10) || '| ' || replace(replace(display_text, '|', '/'), chr(10), ' |' || chr(10) || '| ') || ' |' end as md from hits),
+    sh as (select *, len(string_split(md, chr(10))) - 2 > 3 as big from tb), pv as (select * exclude (display_text), case when big then array_to_string(string_split(md, chr(10))[1:4], chr(10)) when md is not null then md else display_text end as display_text from sh)"""
+
+
+@query(f"""with recursive {_TABLED}, g as (select *, min(pos) over (partition by query_id, document_id, section_path) as gp from pv), l as (select *, row_number() over (partition by query_id order by gp, page, score desc, pos) as line from g),
+    fo as (select query_id, 0::bigint as line, 0::bigint as used, false as whole from (select distinct query_id from l) union all
+      select query_id, line, used + length('[p.' || page || ']' || chr(10)) + case when whole then length(md) else length(display_text) end, whole from (select l.*, fo.used, coalesce(big, false) and fo.used + length(md) < 20000 as whole from fo join l on l.query_id = fo.query_id and l.line = fo.line + 1)),
+    b as (select l.query_id, l.line, case when row_number() over (partition by l.query_id, document_id, section_path order by l.line) = 1 then '## ' || document_id || ' — ' || section_path || chr(10) || chr(10) else '' end || '[p.' || page || ']' || chr(10) || case when fo.whole then md else display_text end as block from l join fo on fo.query_id = l.query_id and fo.line = l.line)
+    select query_id, string_agg(block, chr(10) || chr(10) order by line) as context from b group by 1""")
 def j11_hydrated_context(spark: SparkSession, d: str) -> DataFrame:
-    laid = R.layout(hits(spark, d)).withColumn("full_text", F.when(F.col("type") == "table", F.col("text_for_embedding")))
-    return R.context(R.hydrate(laid, 20_000), "text")
+    h = stored(hits(spark, d).withColumn("table_index", (F.col("query_id") * 1000 + F.col("pos")).cast("int")))
+    rows = F.replace(F.replace(F.col("display_text"), F.lit("|"), F.lit("/")), F.lit("\n"), F.lit(" |\n| "))
+    tables = h.where("type = 'table'").select("document_id", "table_index", F.concat(F.lit("| line |\n| --- |\n| "), rows, F.lit(" |")).alias("markdown"))
+    side = S.side_table(spark, shared_dir(spark), 8)
+    shown = S.overflow(tables, side, 0, rows=3, shown=2)
+    laid = R.layout(h.join(shown.select("document_id", "table_index", "markdown", "table_path"), ["document_id", "table_index"], "left").withColumn("display_text", F.coalesce("markdown", "display_text")).drop("markdown"))
+    whole = S.whole_tables(laid, side).withColumnRenamed("markdown", "full_text")
+    return R.context(R.hydrate(laid.join(whole, "table_path", "left"), 20_000), "text")
 
 
 @query(f"""with {_HITS} select query_id, string_agg('[' || pos || '] type=' || type || ' section=' || section_path || chr(10) || '  ' || left(display_text, 200), chr(10) order by pos) as summaries from hits where pos <= 12 group by 1""")
@@ -268,14 +286,32 @@ def j19_vision_cache(spark: SparkSession, d: str) -> DataFrame:
     return k.join(k.where("doc_id % 2 = 0").select("key").distinct(), "key", "left_anti")
 
 
-@query("""with c as (select source as document_id, cast(doc_id % 3 + 1 as int) as page, doc_id, text from documents), e as (select item_id as query_id, regexp_extract(lower(text), '^[^ \\t\\n\\r\\f]+') as w, 'src' || item_id % 20 as document_id, cast(item_id % 3 + 1 as int) as page from benchmark),
-    f as (select query_id, bool_and(c.page = e.page) as ok from e join c using (document_id) where contains(lower(c.text), e.w) group by 1), t as (select document_id, arg_min(page, doc_id) as p from c group by 1)
-    select e.query_id, f.ok is not null as text_found, coalesce(f.ok, false) as citation_ok, coalesce(t.p = e.page, false) as top1_ok from e left join f using (query_id) left join t using (document_id)""")
-def a15_evaluation(spark: SparkSession, d: str) -> DataFrame:
+_EVALUATED = """c as (select source as document_id, cast(doc_id % 3 + 1 as int) as page, doc_id, text from documents), e as (select item_id as query_id, regexp_extract(lower(text), '^[^ \\t\\n\\r\\f]+') as w, 'src' || item_id % 20 as document_id, cast(item_id % 3 + 1 as int) as page from benchmark),
+    f as (select query_id, bool_and(c.page = e.page) as ok from e join c using (document_id) where contains(lower(c.text), e.w) group by 1), t as (select document_id, arg_min(page, doc_id) as p from c group by 1),
+    j as (select e.query_id, e.document_id, f.ok is not null as text_found, coalesce(f.ok, false) as citation_ok, coalesce(t.p = e.page, false) as top1_ok from e left join f using (query_id) left join t using (document_id))"""
+
+
+def _evaluated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Expectations as judged, and the chunks."""
     c = table(spark, d, "documents").select(F.col("source").alias("document_id"), (F.col("doc_id") % 3 + 1).cast("int").alias("page"), "doc_id", F.col("text").alias("display_text"))
     e = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("document_id"), (F.col("item_id") % 3 + 1).cast("int").alias("page"))
     top = c.groupBy("document_id").agg(F.min_by("page", "doc_id").alias("page"))
-    return R.evaluate(e, c, e.select("query_id", "document_id").join(top, "document_id").withColumn("rank", F.lit(1)))
+    return R.evaluate(e, c, e.select("query_id", "document_id").join(top, "document_id").withColumn("rank", F.lit(1))), c
+
+
+@query(f"with {_EVALUATED} select query_id, text_found, citation_ok, top1_ok from j")
+def a15_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    return _evaluated(spark, d)[0].drop("document_id")
+
+
+@query(f"""with {_EVALUATED}, k as (select document_id, round(avg(text_found::int), 2) as recall, round(avg(citation_ok::int), 2) as cited, count_if(top1_ok) as top1, count(*) as asked from j group by 1),
+    o as (select document_id, count(distinct page) as pages from c where regexp_matches(text, '[^ \\t\\n\\r\\f\\x0B]') group by 1), m as (select source as document_id, count(*) as total_pages, round(avg(n_chars) / 100, 3) as seconds from documents where source is not null group by 1)
+    select count(*) as documents, avg(recall) as mean_text_recall, avg(cited) as mean_citation_accuracy, cast(coalesce(sum(top1), 0) as bigint) as top1_correct, cast(coalesce(sum(asked), 0) as bigint) as queries, cast(coalesce(sum(pages), 0) as bigint) as pages_with_output, cast(sum(total_pages) as bigint) as total_pages, median(seconds) as median_parse_seconds
+    from m left join k using (document_id) left join o using (document_id)""")
+def a15_evaluation_summary(spark: SparkSession, d: str) -> DataFrame:
+    judged, chunks = _evaluated(spark, d)
+    documents = table(spark, d, "documents").where("source is not null").groupBy(F.col("source").alias("document_id")).agg(F.count("*").alias("total_pages"), F.round(F.avg("n_chars") / 100, 3).alias("parse_seconds"))
+    return R.evaluation_summary(judged, chunks, documents)
 
 
 @query()
