@@ -3,7 +3,8 @@
 Candidates grow by length, as every part of a frequent phrase is as frequent (Apriori). Words are counted by name. For pairs,
 and then for triples, tasks add up 64-bit hashes of the phrases whose parts may all be frequent, and a shuffle adds up the
 tasks' sums. A hash's sum is at least the count of each of its phrases, so phrases whose hash stays below the threshold are
-safely out. The texts of the others are the candidates, each once.
+safely out. The texts of the others are the candidates. As a frequent phrase stands in nearly every task, texts fall into 254
+classes, the sums also give each hash's lowest class, and only texts of that class give the phrase's letters.
 
 Candidates are counted by double-array tries over the bytes of language and phrase. A trie holds some MOST_PHRASES phrases; a
 phrase belongs to the trie of its first pair's hash, so every text position is walked in one trie only. Tries are built in
@@ -11,8 +12,9 @@ tasks and broadcast, TOGETHER in one pass over the texts at most, so that a task
 of all positions of a batch byte by byte, dropping those that fall out; accepting states are counted by bincount, and the
 tasks' counts are added up.
 
-What tasks test for membership (frequent words and pairs) are bitmaps of at most MOST_BITS bits. A bitmap only turns
-positions away that cannot matter: where it fills up, more candidates are counted and the result stays the same.
+What tasks look up (frequent words, pairs and triples, lowest classes) are tables of at most MOST_BITS bits or MOST_CELLS
+bytes. They only turn positions away that cannot matter: where they fill up, more candidates are counted or letters sent more
+than once, and the result stays the same.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import sha256
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +30,14 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_stored, light_batches, stored, text_batches
+from .common import drop_stored, light_batches, shared_dir, stored, text_batches
 from .double_array import Trie, build
 
 LEAST, TOP, CONTAINED = 10, 2000, 50
 #: Phrases of a trie (about 120 bytes each), tries that are broadcast together, bits of a bitmap, and entries that a task
 #: gathers before it emits them.
-MOST_PHRASES, TOGETHER, MOST_BITS, MOST_HELD = 1 << 16, 16, 1 << 26, 1 << 20
+MOST_PHRASES, TOGETHER, MOST_BITS, MOST_CELLS, MOST_HELD = 1 << 16, 16, 1 << 26, 1 << 23, 1 << 20
+_CLASSES, _SEVERAL = 254, np.uint8(255)
 _BATCH = 1 << 20  # characters
 _UND = "und"
 
@@ -75,7 +79,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 @dataclass
 class Words:
     """The words of a batch of texts, with one space between those of a piece and one line feed after the last: their bytes,
-    places, language, and whether the next word follows in the same piece."""
+    places, language, whether the next word follows in the same piece, and the class of their text (from 1)."""
 
     buf: np.ndarray
     starts: np.ndarray
@@ -83,6 +87,7 @@ class Words:
     lang: np.ndarray
     langs: list[str]
     follows: np.ndarray
+    kind: np.ndarray
 
     def hashes(self) -> np.ndarray:
         """Of each word with its language: a polynomial over its bytes, from sums over the batch."""
@@ -118,48 +123,59 @@ def words_of(texts: list[str], languages: list[str | None]) -> Words:
     langs = sorted({_UND if x is None else x for x in languages})
     numbers = {x: i for i, x in enumerate(langs)}
     own = np.array([numbers[_UND if x is None else x] for x in languages], np.int64)
-    lang = np.repeat(own, np.diff(np.searchsorted(starts, np.cumsum([len(x) + 1 for x in shaped]), side="left"), prepend=0))
+    in_text = np.diff(np.searchsorted(starts, np.cumsum([len(x) + 1 for x in shaped]), side="left"), prepend=0)
+    lang = np.repeat(own, in_text)
+    kind = np.repeat(np.array([crc32(x) % _CLASSES + 1 for x in shaped], np.uint64), in_text)
     # Of what stands between two words, one byte stays.
     apart = buf.copy()
     apart[ends] = np.where(follows, 32, 10)
     within[ends] = True
     lengths = ends - starts
     places = np.concatenate([[0], np.cumsum(lengths + 1)])[: len(starts)].astype(np.int64)
-    return Words(apart[within], places, places + lengths, lang, langs, follows)
+    return Words(apart[within], places, places + lengths, lang, langs, follows, kind)
 
 
 class Held:
-    """Hashes and their counts, merged whenever many have come together; given out when more than MOST_HELD differ."""
+    """Hashes with their counts and lowest classes, merged whenever many have come together; given out when more than
+    MOST_HELD differ. A key is 56 bits of a hash over 8 bits of a class."""
 
     def __init__(self) -> None:
         self.keys: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        k, c = np.unique(keys, return_counts=True)
-        self.keys.append(k)
-        self.counts.append(c)
-        self.size += len(k)
+    def add(self, hashes: np.ndarray, kinds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keys = np.sort((hashes & ~np.uint64(255)) | kinds)
+        heads = _heads(keys)
+        self.keys.append(keys[heads])
+        self.counts.append(np.diff(np.append(heads, len(keys))))
+        self.size += len(heads)
         if self.size > 2 * MOST_HELD:
             self.merge()
             if self.size > MOST_HELD:
                 yield from self.given()
 
     def merge(self) -> None:
-        k, c = np.concatenate(self.keys), np.concatenate(self.counts)
-        order = np.argsort(k, kind="stable")
-        k, c = k[order], c[order]
-        heads = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        self.keys, self.counts, self.size = [k[heads]], [np.add.reduceat(c, heads)], len(heads)
+        keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        heads = _heads(keys)
+        self.keys, self.counts, self.size = [keys[heads]], [np.add.reduceat(counts, heads)], len(heads)
 
     def given(self) -> Iterator[pa.RecordBatch]:
         if self.size:
             self.merge()
-            yield pa.RecordBatch.from_arrays([pa.array(self.keys[0].view(np.int64)), pa.array(self.counts[0].astype(np.int64))], names=["h", "n"])
+            keys = self.keys[0]
+            yield pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(8)).astype(np.int64)), pa.array(self.counts[0].astype(np.int64)), pa.array((keys & np.uint64(255)).astype(np.int16))], names=["h", "n", "kind"])
         self.keys, self.counts, self.size = [], [], 0
 
 
+def _heads(keys: np.ndarray) -> np.ndarray:
+    """Where each hash begins in sorted keys; its first key has the lowest class."""
+    hashes = keys >> np.uint64(8)
+    return np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(keys) else np.zeros(0, np.int64)
+
+
 class Bitmap:
     """Which hashes may be in a set: no member is missed."""
 
@@ -167,7 +183,7 @@ class Bitmap:
         self.words, self.mask = words, np.uint64(len(words) * 64 - 1)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes & self.mask
+        at = (hashes >> np.uint64(8)) & self.mask
         return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
     @classmethod
@@ -183,6 +199,27 @@ class Bitmap:
         return cls(words.view(np.uint64))
 
 
+class Owners:
+    """The class of texts that gives a hash's letters: 0 where there is no such hash, 255 where hashes of several classes meet."""
+
+    def __init__(self, cells: np.ndarray) -> None:
+        self.cells, self.mask = cells, np.uint64(len(cells) - 1)
+
+    def gives(self, hashes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        own = self.cells[((hashes >> np.uint64(8)) & self.mask).astype(np.int64)]
+        return (own == kinds) | (own == _SEVERAL)
+
+    @classmethod
+    def of(cls, hashes: DataFrame) -> Owners:
+        """From a stored table (h, kind); 8 cells a member as far as MOST_CELLS allow."""
+        cells = np.zeros(min(MOST_CELLS, max(1 << 10, 1 << (8 * hashes.count()).bit_length())), np.uint8)
+        at = F.col("h").bitwiseAND(F.lit(len(cells) - 1)).cast("int")
+        found = hashes.groupBy(at.alias("at")).agg(F.min("kind").alias("low"), F.max("kind").alias("high")).toArrow()
+        low, high = found.column("low").to_numpy(), found.column("high").to_numpy()
+        cells[found.column("at").to_numpy()] = np.where(low == high, low, _SEVERAL)
+        return cls(cells)
+
+
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
     for batch, texts in text_batches(batches, _BATCH):
         yield words_of(texts, batch.column("lang").to_pylist())
@@ -220,29 +257,31 @@ def _word_hashes(words: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             w = words_of(b.column("phrase").to_pylist(), b.column("lang").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(w.hashes().view(np.int64))], names=["h"])
+            yield pa.RecordBatch.from_arrays([pa.array((w.hashes() >> np.uint64(8)).astype(np.int64))], names=["h"])
 
     return words.select("lang", "phrase").mapInArrow(run, "h long")
 
 
-def frequent_hashes(docs: DataFrame, least: int, hashes: Callable[[Words], np.ndarray]) -> DataFrame:
-    """The hashes (h) whose occurrences, over all texts, come to `least`; `hashes` gives those of a batch."""
+def frequent_hashes(docs: DataFrame, least: int, places: Callable[[Words], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """h and kind of the hashes whose occurrences, over all texts, come to `least`; `places` gives a batch's hashes and which of
+    them count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Held()
         for w in _batches(batches):
-            yield from held.add(hashes(w))
+            found, able = places(w)
+            yield from held.add(found[able], w.kind[: len(found)][able])
         yield from held.given()
 
-    counted = docs.mapInArrow(run, "h long, n long").repartition("h")  # tasks have added up theirs
-    return counted.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
+    counted = docs.mapInArrow(run, "h long, n long, kind short").repartition("h")  # tasks have added up theirs
+    return counted.groupBy("h").agg(F.sum("n").alias("n"), F.min("kind").alias("kind")).where(F.col("n") >= least).select("h", "kind")
 
 
 class Filters:
-    """Which places of a batch may begin a frequent pair or triple, by the bitmaps there are; broadcast to the tasks."""
+    """Which places of a batch may begin a frequent pair or triple, by the tables there are; broadcast to the tasks."""
 
-    def __init__(self, ones: Bitmap, twos: Bitmap | None = None, threes: Bitmap | None = None) -> None:
-        self.ones, self.twos, self.threes = ones, twos, threes
+    def __init__(self, ones: Bitmap, twos: Bitmap | None = None) -> None:
+        self.ones, self.twos = ones, twos
 
     def pairs(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """(hash of the pair at each place, which may be frequent)."""
@@ -255,12 +294,10 @@ class Filters:
     def triples(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Those of the pairs, then of the triples."""
         two, able = self.pairs(w)
-        three = w.longer(two, w.hashes(), 3)
-        both = able[:-1] & able[1:]
-        return two, able, three, both & self.threes.has(three) if self.threes else both
+        return two, able, w.longer(two, w.hashes(), 3), able[:-1] & able[1:]
 
 
-def candidate_texts(docs: DataFrame, filters: Broadcast) -> DataFrame:
+def candidate_texts(docs: DataFrame, filters: Broadcast, owners: Broadcast) -> DataFrame:
     """lang, phrase, words (2 or 3) and route (the hash of the first pair) of each candidate, once."""
     schema = "lang string, phrase string, words int, route long"
 
@@ -268,17 +305,17 @@ def candidate_texts(docs: DataFrame, filters: Broadcast) -> DataFrame:
         seen: set[int] = set()
         for w in _batches(batches):
             two, pair, three, triple = filters.value.triples(w)
-            for n, h, able in ((2, two, pair), (3, three, triple)):
-                at = np.flatnonzero(able)
+            data = w.buf.tobytes()
+            for n, h, able, own in ((2, two, pair, owners.value[0]), (3, three, triple, owners.value[1])):
+                at = np.flatnonzero(able & own.gives(h, w.kind[: len(h)]))
                 found, first = np.unique(h[at], return_index=True)
                 at = at[first][[x not in seen for x in found.tolist()]] if len(at) else at
                 seen.update(found.tolist())
                 if len(at):
-                    data = w.buf.tobytes()
                     texts = [data[a:b] for a, b in zip(w.starts[at].tolist(), w.ends[at + n - 1].tolist(), strict=True)]
                     langs = [w.langs[x] for x in w.lang[at].tolist()]
                     yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array([n] * len(at), pa.int32()), pa.array(two[at].view(np.int64))], names=["lang", "phrase", "words", "route"])
-            if len(seen) > MOST_HELD:
+            if len(seen) > MOST_HELD // 4:
                 seen.clear()
 
     return docs.mapInArrow(run, schema).dropDuplicates(["lang", "phrase"])
@@ -340,35 +377,28 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most_phrases: int = MOST_
     send = spark.sparkContext.broadcast
     first = send(Filters(Bitmap.of(frequent)))
 
-    def pair_hashes(w: Words) -> np.ndarray:
-        two, able = first.value.pairs(w)
-        return two[able]
-
-    pairs = stored(frequent_hashes(docs, least, pair_hashes))
+    pairs = stored(frequent_hashes(docs, least, lambda w: first.value.pairs(w)))
     second = send(Filters(first.value.ones, Bitmap.of(pairs)))
-
-    def triple_hashes(w: Words) -> np.ndarray:
-        _, _, three, able = second.value.triples(w)
-        return three[able]
-
-    triples = stored(frequent_hashes(docs, least, triple_hashes))
-    third = send(Filters(first.value.ones, second.value.twos, Bitmap.of(triples)))
-    texts = stored(candidate_texts(docs, third).withColumn("id", F.monotonically_increasing_id()))
+    triples = stored(frequent_hashes(docs, least, lambda w: second.value.triples(w)[2:]))
+    owners = send((Owners.of(pairs), Owners.of(triples)))
+    texts = stored(candidate_texts(docs, second, owners).withColumn("id", F.monotonically_increasing_id()))
     shards = -(-texts.count() // most_phrases)
     candidates = texts.withColumn("shard", F.pmod("route", F.lit(max(shards, 1))))
-    made = stored(tries(candidates))
+    made = shared_dir(spark)
+    tries(candidates).write.partitionBy("shard").parquet(made)
     counts = spark.createDataFrame([], "id long, n long")
     for start in range(0, shards, together):
         sent = {}
         for shard in range(start, min(start + together, shards)):
-            for trie in made.where(F.col("shard") == shard).select("trie").toArrow().column("trie").to_pylist():
+            rows = spark.read.schema("trie binary, shard long").parquet(made).where(F.col("shard") == shard)  # reads its folder only
+            for trie in rows.select("trie").toArrow().column("trie").to_pylist():
                 sent[shard] = send(Trie.from_bytes(trie))
-        part = stored(count_shards(docs, sent, third, shards).groupBy("id").agg(F.sum("n").alias("n")))
+        part = stored(count_shards(docs, sent, second, shards).groupBy("id").agg(F.sum("n").alias("n")))
         for trie in sent.values():
             trie.destroy()
         counts = counts.unionByName(part)
     counted = stored(texts.join(counts, "id").where(F.col("n") >= least).select("lang", "phrase", "words", "n"))
-    for t in (frequent, pairs, triples, texts, made):
+    for t in (frequent, pairs, triples, texts):
         drop_stored(t)
     return words, counted
 

@@ -78,12 +78,15 @@ def test_collocations_of_nothing(spark):
 
 def test_hash_sums_given_out_early_lose_nothing(monkeypatch):
     monkeypatch.setattr(P, "MOST_HELD", 50)
-    rng, held, total = np.random.default_rng(2), P.Held(), Counter()
-    keys = rng.integers(0, 400, 6000).astype(np.uint64)
-    batches = [b for k in np.split(keys, 60) for b in held.add(k)] + list(held.given())
+    rng, held, total, low = np.random.default_rng(2), P.Held(), Counter(), {}
+    keys, kinds = rng.integers(0, 400, 6000).astype(np.uint64) << np.uint64(8), rng.integers(1, 255, 6000).astype(np.uint64)
+    batches = [b for k, c in zip(np.split(keys, 60), np.split(kinds, 60), strict=True) for b in held.add(k, c)] + list(held.add(keys[:0], kinds[:0])) + list(held.given())
     for b in batches:
-        total.update(dict(zip(b.column("h").to_pylist(), b.column("n").to_pylist(), strict=True)))
-    assert len(batches) > 1 and total == Counter(keys.tolist())
+        for h, n, kind in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            total[h] += n
+            low[h] = min(kind, low.get(h, 999))
+    assert len(batches) > 1 and total == Counter((keys >> np.uint64(8)).tolist())
+    assert low == {h: int(kinds[keys >> np.uint64(8) == h].min()) for h in set((keys >> np.uint64(8)).tolist())}
 
 
 def runs(t):
