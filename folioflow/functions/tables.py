@@ -1,10 +1,7 @@
-"""Pipe tables (Markdown text) as Column expressions, and the one helper that needs a fold over rows."""
+"""Pipe tables (Markdown text) as Column expressions."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,7 +9,7 @@ from .text import Text, _c, strip
 
 SEPARATORS = ["", "---", "---:", ":---", ":---:"]
 #: Cells that look like data: thousands with spaces, decimals, placeholders. A fixed value.
-DATA_CELL = re.compile(r"^\s*(?:\d{1,3}(?:\s\d{3})+|\d+\.\d+|[.]{2,})\s*$")
+DATA_CELL = r"(?U)^\s*(?:\d{1,3}(?:\s\d{3})+|\d+\.\d+|[.]{2,})\s*$"
 
 
 def lines(markdown: Text) -> Column:
@@ -93,25 +90,28 @@ def phantom(markdown: Text) -> Column:
     return (columns(markdown) <= 1) & (data_rows(markdown) <= 1) & (F.size(filled) > 0) & (F.size(odd) > 0.5 * F.size(filled))
 
 
-def _collapsed(markdown: str) -> str:
-    rows = [(x, [c.strip() for c in x.split("|")[1:-1]] if x.startswith("|") else None) for x in markdown.splitlines()]
-    rule = next((i for i, (_, c) in enumerate(rows) if c and all(set(x) <= set("-: ") for x in c)), None)
-    if rule is None:
-        return markdown
-    data = next((i for i in range(rule + 1, len(rows)) if rows[i][1] is not None and sum(map(bool, map(DATA_CELL.match, rows[i][1]))) >= 3), None)
-    last = max((i for i, (_, c) in enumerate(rows) if c is not None), default=rule)
-    stop = data if data is not None else last + 1
-    heads = [c for i, (_, c) in enumerate(rows[:stop]) if c is not None and i != rule]
-    if len(heads) <= 1:
-        return markdown
-    names = [" ".join(h[k] for h in heads if k < len(h) and h[k]) for k in range(len(rows[rule][1]))]
-    return "\n".join(["| " + " | ".join(names) + " |", rows[rule][0], *(x for x, _ in rows[stop:])])
-
-
 def collapse_headers(markdown: Text) -> Column:
-    """Several header rows joined into one, column by column; data starts at the first row with three data cells."""
-
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(_collapsed, na_action="ignore")
-
-    return F.pandas_udf(run, "string")(_c(markdown))
+    """A table whose header fills several rows, with one header row: each column's words from top to bottom.
+
+    The header is all before the separator, and what follows it up to the first row with three data cells (or to the last
+    row, if none has as many). Texts without a separator or with a single header row stay as they are.
+    """
+    none = F.array().cast("array<string>")
+
+    def row(line: Column, i: Column) -> Column:
+        c = F.when(line.startswith("|"), cells(line)).otherwise(none)
+        rule = (F.size(c) > 0) & F.forall(c, lambda x: F.regexp_replace(x, "[-: ]", "") == "")
+        return F.struct(i.alias("i"), line.alias("line"), line.startswith("|").alias("pipe"), c.alias("cells"), rule.alias("rule"), (F.size(F.filter(c, lambda x: x.rlike(DATA_CELL))) >= 3).alias("data"))
+
+    def collapsed(rows: Column) -> Column:
+        rule = F.get(F.filter(rows, lambda r: r["rule"]), F.lit(0))
+        data = F.get(F.filter(rows, lambda r: (r["i"] > rule["i"]) & r["data"]), F.lit(0))
+        stop = F.coalesce(data["i"], F.array_max(F.transform(F.filter(rows, lambda r: r["pipe"]), lambda r: r["i"])) + 1)
+        heads = F.filter(rows, lambda r: r["pipe"] & (r["i"] < stop) & (r["i"] != rule["i"]))
+        names = F.transform(rule["cells"], lambda _, k: F.array_join(F.filter(F.transform(heads, lambda h: F.get(h["cells"], k)), lambda x: x != ""), " "))
+        head = F.concat(F.lit("| "), F.array_join(names, " | "), F.lit(" |"))
+        rest = F.transform(F.filter(rows, lambda r: r["i"] >= stop), lambda r: r["line"])
+        return F.when(F.size(heads) > 1, F.array_join(F.concat(F.array(head, rule["line"]), rest), "\n"))
+
+    rows = F.transform(F.split(F.regexp_replace(_c(markdown), r"\n\z", ""), "\n"), row)
+    return F.coalesce(F.get(F.transform(F.array(rows), collapsed), F.lit(0)), _c(markdown))

@@ -92,9 +92,12 @@ def s3_flatten_tree(spark: SparkSession, d: str) -> DataFrame:
     return D.sections_from_tree(_trees(spark, d)).drop("element_ids", "parent_id")
 
 
-@query(f"with recursive {L.SECTIONS} select document_id, count(*) as sections from secs group by all")
+@query(f"""with recursive {L.SECTIONS}, i as (select document_id, sec_seq, list('"id": "' || element_id || '"' order by pos) as els from els where sec_seq > 0 group by all)
+    select document_id, array_to_string(flatten(list(list_concat(['"id": "' || sec_id || '"'], coalesce(els, [])) order by sec_seq)), ',') as ids, string_agg('"level": ' || level, ',' order by sec_seq) as levels, string_agg('"page_range": [' || page_lo || ', ' || page_hi || ']', ',' order by sec_seq) as pages, count(*) as lists from secs left join i using (document_id, sec_seq) group by 1""")
 def s4_write_tree(spark: SparkSession, d: str) -> DataFrame:
-    return _trees(spark, d).select("document_id", F.size(F.regexp_extract_all("tree", F.lit('"page_range"'), F.lit(0))).cast("long").alias("sections"))
+    # What stands in the JSON text, in its order: parents before children, a section's elements before its children.
+    found = lambda form: F.array_join(F.regexp_extract_all("tree", F.lit(form), F.lit(0)), ",")
+    return _trees(spark, d).select("document_id", found(r'"id": "(?:s|el-)\d+"').alias("ids"), found(r'"level": \d+').alias("levels"), found(r'"page_range": \[\d+, \d+\]').alias("pages"), F.size(F.regexp_extract_all("tree", F.lit(r'"children": \['), F.lit(0))).cast("long").alias("lists"))
 
 
 @query("""select cast(doc_id as varchar) || '.pdf' as path, case when text = '' then 'empty' when doc_id % 7 = 0 then 'not_pdf_name' when strlen(text) + 5 > 8000 then 'too_large' when doc_id % 5 = 0 then 'not_pdf' end as reason from documents where text is not null""")
@@ -155,10 +158,11 @@ def s8_merge_profiles(spark: SparkSession, d: str) -> DataFrame:
     return S.merge_profiles(old, new, "user_id")
 
 
-@query("select cast(conv_id as varchar) as request_id, cast(turn as int) as seq, role as user_id, 'content' as type, text as content from conversations")
+@query("select cast(conv_id as varchar) as request_id, cast(turn as int) as seq, role as user_id, case when turn % 3 > 0 then strftime(make_timestamp((1700000000 + conv_id * 1000 + turn) * 1000000), '%Y-%m-%d %H:%M:%S') end as ts, 'content' as type, text as content from conversations")
 def s9_event_lines(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("request_id"), F.col("turn").cast("int").alias("seq"), F.col("role").alias("user_id"), F.lit("content").alias("type"), F.col("text").alias("content"))
-    return D.events_from_lines(S.event_lines(c)).drop("ts")
+    ts = F.when(F.col("turn") % 3 > 0, F.timestamp_seconds(1_700_000_000 + F.col("conv_id") * 1000 + F.col("turn")))
+    c = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("request_id"), F.col("turn").cast("int").alias("seq"), F.col("role").alias("user_id"), ts.alias("ts"), F.lit("content").alias("type"), F.col("text").alias("content"))
+    return D.events_from_lines(S.event_lines(c)).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
 
 # Chunks.
@@ -291,11 +295,31 @@ def f9_table_shape(spark: SparkSession, d: str) -> DataFrame:
     return pipes(spark, d).select("document_id", "tbl_seq", T.data_rows("markdown").cast("long").alias("rows"), T.columns("markdown").alias("cols"))
 
 
-@query(f"""with {L.PIPES} select a.document_id, a.tbl_seq, 'key|part|name|size' as tokens, 1.0::double as same, round(cast(4 as double) / 5, 6) as near from pipes a""")
+#: Headers that found tables take in turn; some resemble each other, one has too many columns to go on with the others.
+HEADERS = ["| key | part name | size |", "| key | name of part | size |", "| code | colour | maker | price | tax | total |", "| weight | colour | price |", "| . | ; |", "| key | part |"]
+_FOUND = f"""nb as (select *, (row_number() over (partition by p_brand order by p_partkey) - 1) // 3 as s from part),
+    ft as (select p_brand as document_id, cast(s as int) as tbl_seq, cast(s // 2 + 1 + 4 * (s // 6) as int) as page, cast(s * 37 % 10 as double) as x0, case when s % 4 = 2 then 'stream' else 'lattice' end as flavor, {HEADERS}[cast(s // 3 % {len(HEADERS)} as int) + 1] as head,
+      string_agg('| ' || p_partkey || ' | ' || p_name || ' | ' || p_size || ' |', chr(10) order by p_partkey) as body from nb group by p_brand, s)"""
+
+
+def found_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of a brand as tables of three rows, two on a page, with gaps between pages and headers that change."""
+    n = F.floor((F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1) / 3)
+    row = F.concat(F.lit("| "), F.col("p_partkey").cast("string"), F.lit(" | "), "p_name", F.lit(" | "), F.col("p_size").cast("string"), F.lit(" |"))
+    t = table(spark, d, "part").withColumn("s", n).groupBy(F.col("p_brand").alias("document_id"), "s").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))), lambda x: x["r"]), "\n").alias("body"))
+    head = F.element_at(F.array(*map(F.lit, HEADERS)), (F.floor(F.col("s") / 3) % len(HEADERS)).cast("int") + 1)
+    page = F.floor(F.col("s") / 2) + 1 + 4 * F.floor(F.col("s") / 6)
+    return t.select("document_id", F.col("s").cast("int").alias("tbl_seq"), page.cast("int").alias("page"), (F.col("s") * 37 % 10).cast("double").alias("x0"), F.when(F.col("s") % 4 == 2, "stream").otherwise("lattice").alias("flavor"), F.concat(head, F.lit("\n| --- | --- |\n"), "body").alias("markdown"))
+
+
+@query(f"""with {_FOUND}, t as (select document_id, tbl_seq, list_sort(list_distinct(regexp_extract_all(lower(head), '[a-z]+'))) as a from ft), n as (select *, lead(a) over (partition by document_id order by tbl_seq) as b from t)
+    select document_id, tbl_seq, array_to_string(a, '|') as tokens, case when b is null then null when len(a) = 0 and len(b) = 0 then 1 when len(a) = 0 or len(b) = 0 then 0 else round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) end::double as alike from n""")
 def f10_header_tokens(spark: SparkSession, d: str) -> DataFrame:
-    toks = T.header_tokens("markdown")
-    more = F.array_union(toks, F.array(F.lit("brand")))
-    return pipes(spark, d).select("document_id", "tbl_seq", joined(toks).alias("tokens"), T.jaccard(toks, toks).alias("same"), F.round(T.jaccard(toks, more), 6).alias("near"))
+    # Each table against the next one of its document.
+    t = found_tables(spark, d).select("document_id", "tbl_seq", T.header_tokens("markdown").alias("tokens"))
+    after = F.lead("tokens").over(Window.partitionBy("document_id").orderBy("tbl_seq"))
+    t = t.withColumn("after", after)
+    return t.select("document_id", "tbl_seq", joined(F.array_sort("tokens")).alias("tokens"), F.when(F.col("after").isNotNull(), F.round(T.jaccard(F.col("tokens"), F.col("after")), 6)).alias("alike"))
 
 
 @query(f"with {L.PIPES} select a.document_id, a.tbl_seq, a.markdown || chr(10) || array_to_string(string_split(b.markdown, chr(10))[3:], chr(10)) as markdown from pipes a join pipes b on a.document_id = b.document_id and b.tbl_seq = a.tbl_seq + 1")
@@ -305,10 +329,22 @@ def f11_append_rows(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, ["document_id", "tbl_seq"]).select("document_id", "tbl_seq", T.append_rows("markdown", "more").alias("markdown"))
 
 
-@query("""select p_partkey as k, '| ' || p_name || ' part | ' || p_brand || ' name |' || chr(10) || '| --- | --- |' || chr(10) || '| 1.5 | 2.5 | 3.5 |' as markdown from part""")
+#: Header shapes in turn: one below the separator, two above it, none to collapse, a gap and a stray line, no data rows, no separator.
+_SHAPES = ["| {n} | {b} |\n| --- | --- |\n| part | name |\n| 1.5 | 2.5 | 3.5 |", "| {n} | {b} | size |\n|  | of | {s} |\n| :-- | --- | --: |\n| 4 288 | .. | {s}.5 |\n| x | y | z |", "| {n} | {b} | c |\n| --- | --- | --- |\n| 0.5 | 1.5 | .... |", "| {n} |  |\n| --- | --- |\nstray {s}\n|  | {b} |\n| 1.0 | 2.0 | 3.0 |\nafter", "| {n} | {b} |\n| --- | --- |\n| {s} | 7.5 |", "| {n} | {b} |\n| {s} | 1.5 | 2.5 |"]
+_COLLAPSED = ["| {n} part | {b} name |\n| --- | --- |\n| 1.5 | 2.5 | 3.5 |", "| {n} | {b} of | size {s} |\n| :-- | --- | --: |\n| 4 288 | .. | {s}.5 |\n| x | y | z |", _SHAPES[2], "| {n} | {b} |\n| --- | --- |\n| 1.0 | 2.0 | 3.0 |\nafter", "| {n} {s} | {b} 7.5 |\n| --- | --- |", _SHAPES[5]]
+
+
+def _shape_sql(shapes: list[str]) -> str:
+    filled = ["'" + x.replace("\n", "' || chr(10) || '").format(n="' || p_name || '", b="' || p_brand || '", s="' || p_size || '") + "'" for x in shapes]
+    return "case p_partkey % 6 " + " ".join(f"when {i} then {x}" for i, x in enumerate(filled)) + " end"
+
+
+@query(f"select p_partkey as k, {_shape_sql(_COLLAPSED)} as markdown from part")
 def f12_collapse_headers(spark: SparkSession, d: str) -> DataFrame:
-    row = F.concat(F.lit("| "), "p_name", F.lit(" | "), "p_brand", F.lit(" |\n| --- | --- |\n| part | name |\n| 1.5 | 2.5 | 3.5 |"))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), T.collapse_headers(row).alias("markdown"))
+    shaped = F.element_at(F.array(*map(F.lit, _SHAPES)), (F.col("p_partkey") % 6).cast("int") + 1)
+    for name, column in (("{n}", "p_name"), ("{b}", "p_brand"), ("{s}", "p_size")):
+        shaped = F.replace(shaped, F.lit(name), F.col(column).cast("string"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), T.collapse_headers(shaped).alias("markdown"))
 
 
 @query("select p_partkey as k, '| name | size |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_name || ' | ' || p_size || ' |' as markdown from part")
@@ -330,41 +366,57 @@ def f15_table_descriptor(spark: SparkSession, d: str) -> DataFrame:
     return pipes(spark, d).select("document_id", "tbl_seq", T.descriptor("markdown").alias("said"))
 
 
-@query(f"""with {L.PIPES} select document_id, tbl_seq, '[Table on p.' || page || '] parts' || chr(10) || 'about parts' || chr(10) || left(markdown, 3000) as embed, '[Table on p.' || page || '] parts' || chr(10) || chr(10) || 'about parts' || chr(10) || chr(10) || markdown as display from pipes""")
+# Tables of ten rows and large ones, with and without caption and description, on one page and on two.
+_TABLES = f"""{L.PIPES}, {_BIG}, tb as (select document_id, tbl_seq, page, markdown from pipes union all select 'n' || document_id, 0, 1, markdown from big),
+    li as (select document_id, tbl_seq, unnest(string_split(markdown, chr(10))) as line, generate_subscripts(string_split(markdown, chr(10)), 1) as i from tb),
+    la as (select document_id, tbl_seq, i, trim(string_split(line, '|')[3]) as label from li where i <> 2), di as (select *, row_number() over (partition by document_id, tbl_seq, lower(label) order by i) as n from la where length(label) >= 5),
+    ds as (select document_id, tbl_seq, 'Key indicators: ' || string_agg(label, '; ' order by r) as labels from (select *, row_number() over (partition by document_id, tbl_seq order by i) as r from di where n = 1) where r <= 25 group by all),
+    pt as (select tb.*, case tbl_seq % 3 when 0 then 'parts of ' || document_id when 1 then '' end as caption, case when tbl_seq % 2 = 1 then 'about table ' || tbl_seq else labels end as said, page + tbl_seq % 2 as hi, len(string_split(markdown, chr(10))) - 2 as rows from tb left join ds using (document_id, tbl_seq)),
+    he as (select *, '[Table on ' || case when hi > page then 'pp.' || page || '-' || hi else 'p.' || page end || ']' || case when caption <> '' then ' ' || caption else '' end as head, case when rows > 100 then array_to_string(string_split(markdown, chr(10))[1:32], chr(10)) else markdown end as shown from pt)"""
+
+
+@query(f"""with {_TABLES} select document_id, tbl_seq, rows, rows > 100 as truncated, concat_ws(chr(10), head, said, left(shown, 3000)) as embed, concat_ws(chr(10) || chr(10), head, said, shown, case when rows > 100 then chr(10) || '[Full table has ' || (rows - 30) || ' more rows]' end) as display from he""")
 def f16_table_chunks(spark: SparkSession, d: str) -> DataFrame:
-    made = C.table_chunk(F.col("markdown"), F.lit("parts"), F.lit("about parts"), F.col("page"), F.col("page"))
-    return pipes(spark, d).withColumn("c", made).select("document_id", "tbl_seq", "c.embed", "c.display")
+    big = _big_tables(spark, d).select(F.concat(F.lit("n"), F.col("document_id").cast("string")).alias("document_id"), F.lit(0).alias("tbl_seq"), F.lit(1).alias("page"), "markdown")
+    t, k = pipes(spark, d).select("document_id", "tbl_seq", "page", "markdown").unionByName(big), F.col("tbl_seq")
+    caption = F.when(k % 3 == 0, F.concat(F.lit("parts of "), "document_id")).when(k % 3 == 1, F.lit(""))
+    said = F.when(k % 2 == 1, F.concat(F.lit("about table "), k.cast("string")))
+    made = C.table_chunk(F.col("markdown"), F.coalesce(caption, F.lit("")), said, F.col("page"), F.col("page") + k % 2)
+    return t.withColumn("c", made).select("document_id", "tbl_seq", F.col("c.rows").cast("long").alias("rows"), "c.truncated", "c.embed", "c.display")
 
 
-@query(f"""with {L.RAW} select document_id, element_id, '[Figure on p.' || page || '] ' || text || chr(10) || 'Section: Document' || chr(10) || 'Visual analysis available on demand.' as embed, '[Figure on p.' || page || '] ' || text || chr(10) || '(Visual analysis available on demand)' as display from els where type = 'image'""")
-def f17_image_chunks(spark: SparkSession, d: str) -> DataFrame:
-    no = F.lit("")
-    made = C.image_chunk(F.col("text"), no, no, no, no, F.col("page"), F.lit(False), F.lit(False))
-    return R.elements(marked(spark, d)).where("type = 'image'").withColumn("c", made).select("document_id", "element_id", "c.embed", "c.display")
+_IMAGES = f"""{L.RAW}, im as (select *, case when pos % 4 = 0 then '' else text end as c, case when pos % 5 = 0 then 'seen ' || pos else '' end as d, case when pos % 6 = 0 then 'img.png' else '' end as f, case when pos % 7 = 0 or pos % 4 = 0 then '' else 'Sec ' || sec_seq end as s, case when pos % 3 = 0 then repeat('near ' || pos || ' ', 90) else '' end as n from els where type = 'image')"""
 
 
-@query("select doc_id, doc_id % 3 = 0 as dropped from documents")
-def p10_phantom_tables(spark: SparkSession, d: str) -> DataFrame:
-    cell = F.when(F.col("doc_id") % 3 == 0, F.lit("xx@@yyyyyyyyyyyyyyyyyy")).otherwise(F.lit("plain words"))
-    md = F.concat(F.lit("| "), cell, F.lit(" |\n| --- |"))
-    return table(spark, d, "documents").select("doc_id", T.phantom(md).alias("dropped"))
+@query(f"""with {_IMAGES}, h as (select *, case when pos % 2 = 0 then '[Vector chart/diagram on p.' else '[Figure on p.' end || page || ']' || case when c <> '' then ' ' || c else '' end as head from im)
+    select document_id, element_id, case when f || c || s <> '' then head || chr(10) || case when d <> '' then d else 'Section: ' || case when s <> '' then s else 'Document' end || chr(10) || case when n <> '' then 'Nearby text: ' || left(n, 500) || chr(10) else '' end || 'Visual analysis available on demand.' end end as embed,
+    case when f || c || s <> '' then head || case when d <> '' then chr(10) || d when pos % 8 > 0 then chr(10) || '(Visual analysis available on demand)' else '' end end as display from h""")
+def f17_image_chunks(spark: SparkSession, d: str) -> DataFrame:
+    k, no = F.col("pos"), F.lit("")
+    named = {
+        "caption": F.when(k % 4 == 0, no).otherwise(F.col("text")),
+        "description": F.when(k % 5 == 0, F.concat(F.lit("seen "), k.cast("string"))),
+        "path": F.when(k % 6 == 0, F.lit("img.png")),
+        "section": F.when((k % 7 > 0) & (k % 4 > 0), F.concat(F.lit("Sec "), F.col("sec_seq").cast("string"))),
+        "nearby": F.when(k % 3 == 0, F.repeat(F.concat(F.lit("near "), k.cast("string"), F.lit(" ")), 90)),
+    }
+    made = C.image_chunk(*(named[n] for n in named), F.col("page"), k % 2 == 0, k % 8 == 0)
+    return R.elements(marked(spark, d)).where("type = 'image'").withColumn("c", made).select("document_id", "element_id", "c.embed", "c.display")
 
 
-#: Headers that found tables take in turn; some resemble each other, one has too many columns to go on with the others.
-HEADERS = ["| key | part name | size |", "| key | name of part | size |", "| code | colour | maker | price | tax | total |", "| weight | colour | price |", "| . | ; |", "| key | part |"]
-_FOUND = f"""nb as (select *, (row_number() over (partition by p_brand order by p_partkey) - 1) // 3 as s from part),
-    ft as (select p_brand as document_id, cast(s as int) as tbl_seq, cast(s // 2 + 1 + 4 * (s // 6) as int) as page, cast(s * 37 % 10 as double) as x0, case when s % 4 = 2 then 'stream' else 'lattice' end as flavor, {HEADERS}[cast(s // 3 % {len(HEADERS)} as int) + 1] as head,
-      string_agg('| ' || p_partkey || ' | ' || p_name || ' | ' || p_size || ' |', chr(10) order by p_partkey) as body from nb group by p_brand, s)"""
+_GARBLED = r"""g as (select doc_id, ws, coalesce(ws[1], 'a') || '@' || coalesce(ws[2], 'b') || coalesce(ws[3], 'c') as x, coalesce(ws[4], 'd') as y from (select doc_id, regexp_extract_all(coalesce(replace(text, '|', '/'), ''), '[^ \t\n\r\f]+') as ws from documents)),
+    o as (select *, (length(x) > 15 and regexp_matches(x, '[^\pL\pM\p{Nd}\p{Pc}\s]'))::int as ox, (length(y) > 15 and regexp_matches(y, '[^\pL\pM\p{Nd}\p{Pc}\s]'))::int as oy from g)"""
 
 
-def found_tables(spark: SparkSession, d: str) -> DataFrame:
-    """Parts of a brand as tables of three rows, two on a page, with gaps between pages and headers that change."""
-    n = F.floor((F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1) / 3)
-    row = F.concat(F.lit("| "), F.col("p_partkey").cast("string"), F.lit(" | "), "p_name", F.lit(" | "), F.col("p_size").cast("string"), F.lit(" |"))
-    t = table(spark, d, "part").withColumn("s", n).groupBy(F.col("p_brand").alias("document_id"), "s").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))), lambda x: x["r"]), "\n").alias("body"))
-    head = F.element_at(F.array(*map(F.lit, HEADERS)), (F.floor(F.col("s") / 3) % len(HEADERS)).cast("int") + 1)
-    page = F.floor(F.col("s") / 2) + 1 + 4 * F.floor(F.col("s") / 6)
-    return t.select("document_id", F.col("s").cast("int").alias("tbl_seq"), page.cast("int").alias("page"), (F.col("s") * 37 % 10).cast("double").alias("x0"), F.when(F.col("s") % 4 == 2, "stream").otherwise("lattice").alias("flavor"), F.concat(head, F.lit("\n| --- | --- |\n"), "body").alias("markdown"))
+@query(f"with {_GARBLED} select doc_id, case doc_id % 4 when 0 then ox = 1 when 1 then ox + oy = 2 else false end as dropped from o")
+def p10_phantom_tables(spark: SparkSession, d: str) -> DataFrame:
+    # One cell; a header and a row; two columns; two rows. Only the first two shapes can be phantoms.
+    ws = F.regexp_extract_all(F.coalesce(F.replace(F.col("text"), F.lit("|"), F.lit("/")), F.lit("")), F.lit(r"[^ \t\n\r\f]+"), F.lit(0))
+    word = lambda i, other: F.coalesce(F.get(ws, F.lit(i)), F.lit(other))
+    x, y, k = F.concat(word(0, "a"), F.lit("@"), word(1, "b"), word(2, "c")), word(3, "d"), F.col("doc_id") % 4
+    rule, end = F.lit(" |\n| --- |"), F.lit(" |")
+    md = F.when(k == 0, F.concat(F.lit("| "), x, rule)).when(k == 1, F.concat(F.lit("| "), x, rule, F.lit("\n| "), y, end)).when(k == 2, F.concat(F.lit("| "), x, F.lit(" | "), x, F.lit(" |\n| --- | --- |"))).otherwise(F.concat(F.lit("| "), x, rule, F.lit("\n| "), x, F.lit(" |\n| "), x, end))
+    return table(spark, d, "documents").select("doc_id", T.phantom(md).alias("dropped"))
 
 
 @query(f"""with recursive {_FOUND}, sh as (select *, len(string_split(head, '|')) - 2 as cols, list_distinct(regexp_extract_all(head, '[a-z]+')) as words, row_number() over (partition by document_id order by page, x0, tbl_seq) as k from ft),

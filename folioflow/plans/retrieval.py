@@ -174,18 +174,25 @@ def p8_filter_sections(spark: SparkSession, d: str) -> DataFrame:
     return R.filter_sections(_with(spark, d, target_sections=t)).select("query_id", "pos")
 
 
-@query(f"with {_HITS} select query_id, pos from hits where page <= 5 or page = 9 or (query_id is not null and page > 5 and false)")
+@query(f"""with {_HITS}, t as (select query_id, pos, page, (2005 + pos * 7 % 15) * 12 + pos % 12 + 1 as a, (2008 + pos * 7 % 15) * 12 + pos % 12 + 1 as b, case query_id % 3 when 1 then 2008 * 12 + 3 when 2 then 2010 * 12 + 6 else 0 end as lo, case when query_id % 2 = 1 then 2012 * 12 + 12 else 1000000 end as hi from hits),
+    k as (select *, page = 9 or a between lo and hi or (page % 2 = 0 and b between lo and hi) as k from t) select query_id, pos from (select *, bool_or(k) over (partition by query_id) as any_ from k) where k or not any_""")
 def p6_filter_time(spark: SparkSession, d: str) -> DataFrame:
-    dated = F.when(F.col("page") == 9, F.lit("undated")).otherwise(F.concat(F.lit("in 3/"), (2010 + F.col("page")).cast("string")))
-    h = hits(spark, d).withColumn("display_text", dated).withColumn("time_range_start", F.lit(None).cast("string")).withColumn("time_range_end", F.lit("December 2015"))
+    # One date, two on even pages, none on page 9; ranges with both ends, one or none.
+    date = lambda y: F.concat((F.col("pos") % 12 + 1).cast("string"), F.lit("/"), (y + F.col("pos") * 7 % 15).cast("string"))
+    said = F.when(F.col("page") == 9, F.lit("undated")).when(F.col("page") % 2 == 0, F.concat(F.lit("from "), date(2005), F.lit(" to "), date(2008), F.lit("."))).otherwise(F.concat(F.lit("in "), date(2005)))
+    start = F.when(F.col("query_id") % 3 == 1, F.lit("March 2008")).when(F.col("query_id") % 3 == 2, F.lit("6/2010"))
+    h = hits(spark, d).withColumn("display_text", said).withColumn("time_range_start", start).withColumn("time_range_end", F.when(F.col("query_id") % 2 == 1, F.lit("December 2012")))
     return R.filter_time(h).select("query_id", "pos")
 
 
-@query("select vec_id, case when n <= 12 then n end as n from (select vec_id, vec_id % 15 + 1 as n from embeddings)")
+@query("""with i as (select o_custkey as user_id, 'd' || (o_orderkey // 2 % 17) as id, min(o_orderkey) as k from orders where o_orderkey % 5 > 0 group by all),
+    u as (select user_id, string_agg(id, '|' order by k) as ids, count(*) as n from i group by 1) select user_id, case when coalesce(n, 0) <= 12 then coalesce(ids, '') end as scope from (select distinct o_custkey as user_id from orders) left join u using (user_id)""")
 def p5_chat_scope(spark: SparkSession, d: str) -> DataFrame:
-    n = (F.col("vec_id") % 15 + 1).cast("int")
-    ids = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.array(F.concat(F.lit(" d"), i.cast("string")), F.lit(" "), F.concat(F.lit("d"), i.cast("string"), F.lit(" ")))))
-    return table(spark, d, "embeddings").select("vec_id", F.size(R.chat_scope(ids)).cast("long").alias("n")).withColumn("n", F.when(F.col("n") >= 0, F.col("n")))
+    # A customer's orders ask for documents, some more than once, with blanks around and between them.
+    k = F.col("o_orderkey")
+    asked = F.when(k % 5 == 0, F.lit("  ")).otherwise(F.concat(F.repeat(F.lit(" "), (k % 3).cast("int")), F.lit("d"), (F.floor(k / 2) % 17).cast("string"), F.repeat(F.lit(" "), (k % 2).cast("int"))))
+    lists = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", asked.alias("id")))).alias("ids"))
+    return lists.select("user_id", F.array_join(R.chat_scope(F.transform("ids", lambda x: x["id"])), "|").alias("scope"))
 
 
 @query("""with r as (select o_orderkey as request_id, k as pos, cast(o_custkey + k * 700 as varchar) as document_id from orders, (values (0), (1), (2)) t(k)), s as (select cast(p_partkey as varchar) as document_id, case when p_partkey % 4 = 0 then 'ready' when p_partkey % 4 = 1 then 'partial' else 'queued' end as status from part)
@@ -314,7 +321,18 @@ def a15_evaluation_summary(spark: SparkSession, d: str) -> DataFrame:
     return R.evaluation_summary(judged, chunks, documents)
 
 
-@query()
+_FLAGSHIP = N._CHUNKS.replace("from els where", "from kept where").replace("k - 39", "k - 199").replace("/ 30.0", "/ 175.0").replace("k // 30", "k // 175").replace("n <= 40", "n <= 200").replace("n - 40", "n - 200")
+_SPOTS = "select {}, ('0x' || left(md5(w), 6))::int % 256 as b, count(*)::double as n from (select {}, unnest(list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+'))) as w from {}) group by all"
+
+
+@query(f"""with recursive {L.SECTIONS}, bp as (select document_id, text from els where type = 'text' and length(text) > 30 group by all having count(distinct page) >= 3), kept as (select * from els where not exists (select 1 from bp where bp.document_id = els.document_id and bp.text = els.text)), {_FLAGSHIP},
+    nc as (select ch.*, coalesce(path, 'Document') as section_path, ch.document_id || '::text::' || (row_number() over (partition by ch.document_id order by ch.sec_seq, first_pos, w) - 1) as chunk_id from ch left join secs using (document_id, sec_seq) where display_text <> ''),
+    em as (select *, section_path || chr(10) || chr(10) || display_text as t from nc), cv as ({_SPOTS.format('chunk_id', 'chunk_id', 't', 'em')}), qv as ({_SPOTS.format('item_id', 'item_id', 'text', 'benchmark')}),
+    cn as (select chunk_id, sqrt(sum(n * n)) as size from cv group by 1), qn as (select item_id, sqrt(sum(n * n)) as size from qv group by 1),
+    sc as (select b.item_id as query_id, c.chunk_id, c.document_id, c.section_path, c.page, c.display_text from em c join benchmark b on cast(c.document_id as bigint) % 40 = b.item_id),
+    dt as (select sc.query_id, sc.chunk_id, sum(cv.n * qv.n) as dot from sc join cv using (chunk_id) join qv on qv.item_id = sc.query_id and qv.b = cv.b group by all),
+    rk as (select sc.*, round(coalesce(dot / (cn.size * qn.size), 0), 6) as score from sc left join dt using (query_id, chunk_id) left join cn using (chunk_id) left join qn on qn.item_id = sc.query_id)
+    select query_id, rank, chunk_id, document_id, section_path, page, score, left(display_text, 240) as preview from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from rk) where rank <= 8""")
 def flagship_chunk_retrieval(spark: SparkSession, d: str) -> DataFrame:
     """Documents to page-accurate chunks with stand-in vectors, and the best eight for each benchmark text."""
     e, s = N.elements_and_paths(spark, d)
