@@ -226,6 +226,8 @@ class Bpe:
         for s, i in self.special.items():
             self.labels[i] = s
         merges = [(vocab[x], vocab[y], vocab[x + y]) for x, y in pairs]
+        if len(self.labels) > 1 << 17:
+            raise ValueError(f"{len(self.labels)} tokens: arcs hold a token in 17 bits")
         self.automaton = Automaton.compile(len(self.labels), merges)
         self._transitions = Transitions(self.automaton)
         self._arcs = Table(21)

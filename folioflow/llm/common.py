@@ -60,6 +60,17 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_scratch(df: DataFrame) -> None:
+    """Delete the files below spark.checkpoint.dir that a table reads, once its rows are written elsewhere."""
+    spark = df.sparkSession
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    root = hadoop.Path(spark.conf.get("spark.checkpoint.dir")).toUri().getPath().rstrip("/") + "/"
+    for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        path = hadoop.Path(folder)
+        if path.toUri().getPath().startswith(root):
+            path.getFileSystem(conf).delete(path, True)
+
+
 def read_bytes(path: str) -> bytes:
     """A small driver-side file, such as a tokenizer's definition."""
     with open(path, "rb") as f:

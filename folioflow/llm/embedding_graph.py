@@ -195,7 +195,8 @@ def _graph_links(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
     graph = members.join(united, "node").withColumn("task", F.explode(F.sequence(F.lit(0), F.greatest(tasks, F.lit(1)).cast("int") - 1)))
     blocks = F.ceil(F.col("members") / BLOCK)
     queries = dealt.where("place = 0").withColumn("task", F.pmod(F.xxhash64("node", F.lit("task")), tasks).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1))).withColumn("near", F.array().cast("array<long>"))
-    cols = ["group", "shard", "block", "task", "node", "copies", "embedding", "near"]
+    cols = ["group", "shard", "block", "task", "node", "copies", "embedding", "near", "home"]
+    graph, queries = (x.withColumn("home", F.col("place") == 0) for x in (graph, queries))
     both = graph.select(*cols, F.lit(0).alias("kind")).union(queries.select(*cols, F.lit(1).alias("kind")))
 
     def find(part: pd.DataFrame) -> pd.DataFrame:
@@ -205,14 +206,14 @@ def _graph_links(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
             place = {int(v): i for i, v in enumerate(base["node"])}
             x, q = unit(np.stack(base["embedding"].to_numpy())), unit(np.stack(asked["embedding"].to_numpy()))
             near = [np.fromiter((place[v] for v in map(int, vs) if v in place), np.int64) for vs in base["near"]]
-            entries, names = medoids(x), base["node"].to_numpy()
+            entries, names, home = medoids(x), base["node"].to_numpy(), base["home"].to_numpy(bool)
             for k in range(len(asked)):
                 own = place.get(int(ids[k]))
                 hits = search(x, near, entries, q[k], own, threshold)
                 hits = hits[hits != own] if own is not None else hits
                 if len(hits):
-                    low = names[hits]
-                    rows.append((int(ids[k]), int(weights[hits].sum()), int(low.min()), [int(v) for v in low]))
+                    far = hits[~home[hits]]
+                    rows.append((int(ids[k]), int(weights[hits[home[hits]]].sum()), [int(v) for v in names[hits]], names[far].tolist(), weights[far].tolist()))
         # One edge from each node to the least of its part, within this task.
         root: dict[int, int] = {}
 
@@ -221,19 +222,25 @@ def _graph_links(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
                 root[v] = v = root[root[v]]
             return v
 
-        for v, _, _, others in rows:
+        for v, _, others, _, _ in rows:
             for o in others:
                 a, b = top(v), top(o)
                 if a != b:
                     root[max(a, b)] = min(a, b)
-        found = {v: n for v, n, _, _ in rows}
-        every = sorted(set(root) | set(found))
-        return pd.DataFrame({"node": every, "n": [found.get(v, 0) for v in every], "other": [top(v) for v in every]})
+        found = {v: (n, far, theirs) for v, n, _, far, theirs in rows}
+        every, own = sorted(set(root) | set(found)), dict(zip(asked["node"], asked["copies"], strict=True))
+        columns = zip(*(found.get(v, (0, [], [])) for v in every), strict=True) if every else ([], [], [])
+        return pd.DataFrame({"node": every, **dict(zip(("n", "far", "theirs"), map(list, columns), strict=True)), "own": [int(own.get(v, 0)) for v in every], "other": [top(v) for v in every]})
 
-    result = stored(both.groupBy("group", "shard", "block", "task").applyInPandas(find, "node long, n long, other long"))
+    result = stored(both.groupBy("group", "shard", "block", "task").applyInPandas(find, "node long, n long, far array<long>, theirs array<long>, own long, other long"))
     drop_stored(placed)
     drop_stored(united)
-    return result.groupBy("node").agg(F.sum("n").alias("n")), result.select(F.col("node").alias("a"), F.col("other").alias("b"))
+    # A vector searches its own shard and counts the ones at home there, which do likewise. Of another shard's vector either
+    # side may know alone, so those links go both ways and count once.
+    away = result.select("node", "own", F.explode(F.arrays_zip("far", "theirs")).alias("x"))
+    both_ways = away.select("node", F.col("x.far").alias("other"), F.col("x.theirs").alias("n")).union(away.select("x.far", "node", F.col("own").alias("n"))).dropDuplicates(["node", "other"])
+    counts = result.select("node", "n").union(both_ways.select("node", "n")).groupBy("node").agg(F.sum("n").alias("n"))
+    return counts, result.select(F.col("node").alias("a"), F.col("other").alias("b"))
 
 
 def audit_recall(vectors: DataFrame, result: DataFrame, threshold: float = 0.93, every: int = 50, id_col: str = "vec_id", embedding_col: str = "embedding", label_col: str = "label") -> DataFrame:

@@ -221,8 +221,11 @@ def parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def wanted_sets(texts: DataFrame, ids: Bitmap, shingle: int) -> DataFrame:
-    """doc_id, spot, size, parity bits and shingle hashes of (at least) the documents in the bitmap of hashed ids."""
+def wanted_sets(texts: DataFrame, ids: Bitmap, repeated: Bitmap, shingle: int) -> DataFrame:
+    """doc_id, spot, size, parity bits and shingle hashes of (at least) the documents in the bitmap of hashed ids, stored.
+
+    An id has a row for each of its sets. Only rows of ids in the bitmap of repeated ones are shuffled for that.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,11 +233,13 @@ def wanted_sets(texts: DataFrame, ids: Bitmap, shingle: int) -> DataFrame:
             for a in range(0, len(rows), 128):
                 part = batch.take(pa.array(rows[a : a + 128]))
                 sets = [shingle_set(t or "", shingle) for t in part.column("text").to_pylist()]
-                columns = [part.column("doc_id"), part.column("spot"), pa.array([len(x) for x in sets], pa.int64()), _lists([parity(x) for x in sets]), _lists(sets)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "spot", "size", "parity", "hashes"])
+                columns = [part.column("doc_id"), part.column("spot"), pa.array([len(x) for x in sets], pa.int64()), _lists([parity(x) for x in sets]), _lists(sets), pa.array(repeated.has(part.column("spot").to_numpy()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "spot", "size", "parity", "hashes", "again"])
 
     spotted = texts.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("spot"))
-    return spotted.mapInArrow(run, "doc_id long, spot long, size long, parity array<long>, hashes array<long>")
+    made = stored(spotted.mapInArrow(run, "doc_id long, spot long, size long, parity array<long>, hashes array<long>, again boolean"))
+    once = stored(made.where("again").drop("again").dropDuplicates(["doc_id", "hashes"]))
+    return made.where("not again").drop("again").unionByName(once)
 
 
 def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -272,7 +277,7 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets have a Jaccard similarity of at least percent / 100."""
-    pairs = stored(pairs.select("a", "b"))
+    pairs = stored(pairs.select("a", "b").distinct())  # an id with several sets gives a pair for each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,8 +363,10 @@ def _classes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     drop_stored(rows)
     central = stored(groups.groupBy("doc_id").agg(F.sum("size").alias("shares")))
     wanted = stored(central.select(F.xxhash64("doc_id").alias("spot")))
-    sets = stored(wanted_sets(texts, Bitmap(wanted, "spot"), shingle))
+    again = stored(table.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("doc_id").alias("spot")))
+    sets = wanted_sets(texts, Bitmap(wanted, "spot"), Bitmap(again, "spot"), shingle)
     drop_stored(wanted)
+    drop_stored(again)
 
     # Each document against the hubs of its groups.
     hubs = groups.join(central, "doc_id").groupBy("signature").agg(F.max_by("doc_id", F.struct("shares", -F.col("doc_id"))).alias("hub"))

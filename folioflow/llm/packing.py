@@ -121,7 +121,8 @@ def pack(pieces: DataFrame, window: int = WINDOW, group_windows: int = GROUP_WIN
             offset[at] = np.cumsum(sizes[at]) - sizes[at]
         return group.assign(sequence_id=group.pop("packing_group").to_numpy() * (1 << 20) + sequence, offset=offset)
 
-    dealt = pieces.withColumn("packing_group", F.pmod(F.xxhash64("doc_id", "start", F.lit("pack")), F.lit(groups)))
+    row = F.monotonically_increasing_id()  # else equal or null ids would meet in one group; a task run again numbers alike
+    dealt = pieces.withColumn("packing_group", F.pmod(F.xxhash64("doc_id", "start", row), F.lit(groups)))
     return dealt.groupBy("packing_group").applyInPandas(
         place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )

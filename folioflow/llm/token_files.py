@@ -12,6 +12,7 @@ names the files of the attempts that counted, so repeated and speculative attemp
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -73,20 +74,32 @@ class FrameReader:
         return data
 
 
+def highest_id(definition: bytes) -> int:
+    """Of a tokenizer's vocabulary and its added tokens."""
+    d = json.loads(definition)
+    return max([*d["model"]["vocab"].values(), *(t["id"] for t in d.get("added_tokens") or [])], default=0)
+
+
 def id_bytes(definition: bytes, texts: list[str], width: int) -> list[bytes]:
     """Each text's ids as little-endian unsigned integers of `width` bytes."""
     return [ids.astype(f"<u{width}").tobytes() for ids in encoder_of(definition).encode(texts)]
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, width: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text, append end_id and write the files in ascending doc_id order; the table of documents.
 
     Rows are dealt by ranges of doc_id, one file for each range; equal ids stay together, null ids come first, a null text
     gives end_id alone. `part` numbers the files in order and `before` counts a file's ids before the document. An empty
-    table gives no file with documents. width 2 holds vocabularies of up to 65536 ids, 4 any other.
+    table gives no file with documents. An id takes `width` bytes: 2 or 4, by the vocabulary's highest id, unless given; a
+    width that can't hold every id is refused.
     """
     spark = docs.sparkSession
-    definition = spark.sparkContext.broadcast(read_bytes(tokenizer_path))
+    content = read_bytes(tokenizer_path)
+    highest = max(end_id, highest_id(content))
+    width = width or (2 if highest < 1 << 16 else 4)
+    if highest >= 1 << 8 * width:
+        raise ValueError(f"id {highest} takes more than {width} bytes")
+    definition = spark.sparkContext.broadcast(content)
     end = np.asarray([end_id], dtype=f"<u{width}").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
