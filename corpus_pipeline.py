@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from folioflow.llm import jaccard_join, packing, quality_cnn, quality_rules
-from folioflow.llm.common import drop_stored, stored, table
+from folioflow.llm.common import drop_scratch, stored, table
 from folioflow.llm.queries import END_ID, WORD_BPE
 
 
@@ -44,10 +44,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written to the shared folder before the next."""
     docs = table(spark, sf_dir, "documents")
-    before = None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
-        if before is not None:
-            drop_stored(before)
-        before = docs
+        made = stage(spark, docs, sf_dir)
+        docs = stored(made)
+        drop_scratch(made)  # the stage's own copies, and the table of the stage before
     return STAGES[-1][1](spark, docs, sf_dir)
