@@ -54,7 +54,7 @@ def test_packing_of_rows_without_ids(spark):
 
 def test_wide_vocabulary(spark, tmp_path):
     d = json.loads(open(WORD_BPE, encoding="utf-8").read())
-    d["model"]["vocab"] |= {f"<unused {i}>": 69_000 + i for i in range(1000)}
+    d["model"]["vocab"] |= {f"unused{i}": 69_000 + i for i in range(1000)}
     path = tmp_path / "wide.json"
     path.write_text(json.dumps(d), encoding="utf-8")
     docs = spark.createDataFrame([(1, "Some words of the river"), (2, None)], "doc_id long, text string")
