@@ -229,8 +229,9 @@ def _graph_links(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
                     root[max(a, b)] = min(a, b)
         found = {v: (n, far, theirs) for v, n, _, far, theirs in rows}
         every, own = sorted(set(root) | set(found)), dict(zip(asked["node"], asked["copies"], strict=True))
-        columns = zip(*(found.get(v, (0, [], [])) for v in every), strict=True) if every else ([], [], [])
-        return pd.DataFrame({"node": every, **dict(zip(("n", "far", "theirs"), map(list, columns), strict=True)), "own": [int(own.get(v, 0)) for v in every], "other": [top(v) for v in every]})
+        each = [found.get(v, (0, [], [])) for v in every]
+        lists = {c: pd.Series([x[i] for x in each], dtype=object) for i, c in ((1, "far"), (2, "theirs"))}  # also where there are none
+        return pd.DataFrame({"node": every, "n": [x[0] for x in each], **lists, "own": [int(own.get(v, 0)) for v in every], "other": [top(v) for v in every]})
 
     result = stored(both.groupBy("group", "shard", "block", "task").applyInPandas(find, "node long, n long, far array<long>, theirs array<long>, own long, other long"))
     drop_stored(placed)

@@ -67,3 +67,8 @@ def test_wide_vocabulary(spark, tmp_path):
     except ValueError:
         return
     raise AssertionError("a width of two bytes was taken")
+
+
+def test_vectors_without_any_link(spark):
+    df = spark.createDataFrame([(i, [float(i == k) for k in range(6)], i % 2) for i in range(6)], "vec_id long, embedding array<double>, label int")
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_graph.near_duplicates(df).collect()) == [(i, 0, i) for i in range(6)]
