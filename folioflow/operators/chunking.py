@@ -57,14 +57,30 @@ def text_chunks(elements: DataFrame, secs: DataFrame, target: int = TARGET, over
     parts = e.groupBy(*keys).agg(F.array_sort(F.collect_list(fields)).alias("els"))
     parts = parts.withColumn("stream", F.expr("flatten(transform(els, (e, i) -> if(i = 0, e.toks, concat(array('\\n\\n'), e.toks))))"))
 
+    # Which elements a window overlaps: each element names its windows, each window a head before them, and all are sorted once.
+    n = window_count(F.size("stream"), target, overlap)
+    windows = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    parts = parts.withColumn("windows", windows)
+
+    def named(e: Column, i: Column) -> Column:
+        first = F.greatest(F.floor((e["end"] - e["n"] - target) / step) + 1, F.lit(0)).cast("int")
+        last = F.least(F.ceil(e["end"] / step) - 1, F.size("windows") - 1).cast("int")
+        of = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(of, lambda w: F.struct(w.alias("w"), i.alias("i")))
+
+    heads = F.transform("windows", lambda w: F.struct(w.alias("w"), F.lit(-1).alias("i")))
+    parts = parts.withColumn("named", F.array_sort(F.concat(heads, F.flatten(F.transform("els", named)))))
+    spots = F.sequence(F.lit(0), F.size("named"))  # one more than there are, so that the last window ends too
+    parts = parts.withColumn("heads", F.filter(spots, lambda k: (k == F.size("named")) | (F.get(F.col("named"), k)["i"] == -1)))
+
     def window(w: Column) -> Column:
-        lo = w * step
-        inside = F.transform(F.filter("els", lambda x: (x["end"] > lo) & (x["end"] - x["n"] < lo + target)), lambda x: F.struct(x["element_id"].alias("element_id"), x["bbox"].alias("bbox"), x["page_size"].alias("page_size")))
-        text = strip(F.array_join(F.slice("stream", lo + 1, F.lit(target)), ""))
+        first, after = F.get(F.col("heads"), w) + 1, F.get(F.col("heads"), w + 1)
+        of = F.slice("named", first + 1, after - first)
+        inside = F.transform(F.transform(of, lambda x: F.get(F.col("els"), x["i"])), lambda x: F.struct(x["element_id"].alias("element_id"), x["bbox"].alias("bbox"), x["page_size"].alias("page_size")))
+        text = strip(F.array_join(F.slice("stream", w * step + 1, F.lit(target)), ""))
         return F.struct(w.alias("window"), inside.alias("inside"), text.alias("display_text"))
 
-    n = window_count(F.size("stream"), target, overlap)
-    made = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), window))
+    made = F.transform("windows", window)
     out = parts.select(*keys, F.col("els")[0]["pos"].alias("first_pos"), F.explode(made).alias("c")).where("c.display_text <> ''")
     out = out.withColumn("box", union_of(F.col("c.inside")))
     ids = F.transform("c.inside", lambda x: x["element_id"])

@@ -20,16 +20,33 @@ COMMON = ["THE", "AND", "FOR", "WITH", "FROM", "THIS", "THAT", "ARE", "WAS", "WE
 
 
 def bodies(elements: DataFrame, chars: int = BODY) -> DataFrame:
-    """The text of each section, in order, cut: document_id, sec_seq, body."""
-    parts = elements.where("type in ('text', 'formula')").groupBy("document_id", "sec_seq").agg(F.array_sort(F.collect_list(F.struct("pos", strip("text").alias("text")))).alias("t"))
+    """The text of each section, in order, cut: document_id, sec_seq, body. Texts that begin behind the cut are not gathered."""
+    texts = elements.where("type in ('text', 'formula')").select("document_id", "sec_seq", "pos", F.substring(strip("text"), 1, chars).alias("text"))
+    before = Window.partitionBy("document_id", "sec_seq").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    near = texts.withColumn("before", F.coalesce(F.sum(F.length("text") + 2).over(before), F.lit(0))).where(F.col("before") < chars)
+    parts = near.groupBy("document_id", "sec_seq").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("t"))
     return parts.select("document_id", "sec_seq", F.substring(F.array_join(F.transform("t", lambda x: x["text"]), "\n\n"), 1, chars).alias("body"))
 
 
+def top_words(column: str, k: int = KEYWORDS) -> Column:
+    """The k most frequent words of a text, words in order on equal counts. Sorted words are counted by their runs, in the row."""
+
+    def runs(words: Column) -> Column:
+        spots = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
+        heads = F.filter(spots, lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+        return F.struct(words.alias("words"), heads.alias("heads"))
+
+    def top(r: Column) -> Column:
+        counted = F.transform(r["heads"], lambda i, n: F.struct((i - F.coalesce(F.get(r["heads"], n + 1), F.size(r["words"]))).alias("minus"), F.get(r["words"], i).alias("word")))
+        return F.transform(F.slice(F.array_sort(counted), 1, k), lambda x: x["word"])
+
+    words = F.array_sort(F.coalesce(words_for_keywords(column), F.array().cast("array<string>")))
+    return F.get(F.transform(F.transform(F.array(words), runs), top), F.lit(0))
+
+
 def keywords(texts: DataFrame, keys: list[str], column: str, k: int = KEYWORDS) -> DataFrame:
-    """The k most frequent words of each text, words in order on equal counts: keys, keywords (array)."""
-    words = texts.select(*keys, F.explode(words_for_keywords(column)).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
-    top = words.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "word"))).where(F.col("rank") <= k)
-    return top.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("keywords"))
+    """The k most frequent words of each text that has some: keys, keywords (array)."""
+    return texts.select(*keys, top_words(column, k).alias("keywords")).where(F.size("keywords") > 0)
 
 
 def element_counts(elements: DataFrame) -> DataFrame:
@@ -45,8 +62,7 @@ def element_counts(elements: DataFrame) -> DataFrame:
 def sections_index(secs: DataFrame, elements: DataFrame) -> DataFrame:
     """Index entries without a model: summary and keywords of the body, of the title where there is no body."""
     keyed = secs.join(bodies(elements), ["document_id", "sec_seq"], "left").withColumn("source", F.when(F.coalesce("body", F.lit("")) != "", F.col("body")).otherwise(F.col("title")))
-    words = keywords(keyed, ["document_id", "sec_seq"], "source")
-    full = keyed.join(words, ["document_id", "sec_seq"], "left").join(element_counts(elements), ["document_id", "sec_seq"], "left")
+    full = keyed.withColumn("keywords", top_words("source")).join(element_counts(elements), ["document_id", "sec_seq"], "left")
     return full.select(
         "document_id",
         "sec_seq",
