@@ -15,8 +15,12 @@ MONTHS = "january february march april may june july august september october no
 STOP_WORDS = (
     "the a an of and or to in for on with is are was were be been this that these those it its our we they their by as at from which used use using"
 ).split()
-MONTH_FORM = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
-DATE_FORMS = [rf"\b{MONTH_FORM}\s+\d{{4}}\b", r"\b[A-Z][a-z]{2}-\d{2}\b", r"\b\d{4}-\d{1,2}-\d{1,2}\b", r"\b\d{1,2}/\d{4}\b"]
+DATE_FORMS = [
+    r"\b(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\s+\d{4}\b",
+    r"\b[A-Z][a-z]{2}-\d{2}\b",
+    r"\b\d{4}-\d{1,2}-\d{1,2}\b",
+    r"\b\d{1,2}/\d{4}\b",
+]
 NUMBERING = r"^\s*(?:\d+(?:\.\d+)*|[IVX]+|\([a-z]\)|[A-Z]\.)\s+"
 
 Text = Column | str

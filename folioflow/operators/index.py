@@ -15,8 +15,14 @@ BODY, KEYWORDS = 4000, 8
 #: What a model may say of a document, and its answer to a batch of sections.
 INFERRED = ["doc_type", "language", "inferred_title", "inferred_authors", "abstract"]
 ANSWER = "document struct<doc_type string, language string, inferred_title string, inferred_authors array<string>, abstract string>, sections array<struct<id string, summary string, keywords array<string>>>"
-# Words that are no abbreviations.
+# Words that are no abbreviations, and the forms of a document's terms.
 COMMON = ["THE", "AND", "FOR", "WITH", "FROM", "THIS", "THAT", "ARE", "WAS", "WERE"]
+CODE_FORM = r"\b[A-Z]{1,3}[_-]?[A-Z0-9][A-Z0-9_-]*\b"
+ABBREVIATION_FORM = r"\b[A-Z]{2,4}\b"
+SHORT_DATE_FORM = r"\b[A-Z][a-z]{2}-\d{2}\b"
+IDENTIFIER_FORM = r"(?i)\b\d+\s+[A-Z]+\s+\d+\b|\bpart\s+number\s+\w+\b"
+ENTITY_FORM = r"^[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"
+DATA_TYPES = [(r"(?i)\bpercent(?:age)?\b", "percentages"), (r"(?i)\brate\b", "rates"), (r"(?i)\b(?:time\s+)?series\b", "time series"), (r"(?i)\bmonetary\b|\b(?:currency|money|amount|value)\b", "monetary values"), (r"(?i)\b(?:code|identifier)\b", "codes")]
 
 
 def bodies(elements: DataFrame, chars: int = BODY) -> DataFrame:
@@ -110,15 +116,14 @@ def terminology(entries: DataFrame) -> DataFrame:
     text = F.concat_ws(" ", "title", "summary", F.array_join("keywords", " "))
     joined = entries.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sec_seq", text.alias("t")))), lambda x: x["t"]), " ").alias("t"), F.flatten(F.collect_list(F.concat("keywords", F.array("title")))).alias("names"))
     find = lambda form: F.array_sort(F.array_distinct(F.regexp_extract_all("t", F.lit(form), F.lit(0))))
-    kinds = [(r"(?i)\bpercent(?:age)?\b", "percentages"), (r"(?i)\brate\b", "rates"), (r"(?i)\b(?:time\s+)?series\b", "time series"), (r"(?i)\bmonetary\b|\b(?:currency|money|amount|value)\b", "monetary values"), (r"(?i)\b(?:code|identifier)\b", "codes")]
     return joined.select(
         "document_id",
-        find(r"\b[A-Z]{1,3}[_-]?[A-Z0-9][A-Z0-9_-]*\b").alias("codes"),
-        F.filter(find(r"\b[A-Z]{2,4}\b"), lambda a: ~a.isin(COMMON)).alias("abbreviations"),
-        find(r"\b[A-Z][a-z]{2}-\d{2}\b").alias("date_formats"),
-        find(r"(?i)\b\d+\s+[A-Z]+\s+\d+\b|\bpart\s+number\s+\w+\b").alias("identifiers"),
-        F.array_compact(F.array(*[F.when(F.col("t").rlike(f), n) for f, n in kinds])).alias("data_types"),
-        F.slice(F.array_sort(F.array_distinct(F.filter("names", lambda x: x.rlike(r"^[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b")))), 1, 10).alias("entities"),
+        find(CODE_FORM).alias("codes"),
+        F.filter(find(ABBREVIATION_FORM), lambda a: ~a.isin(COMMON)).alias("abbreviations"),
+        find(SHORT_DATE_FORM).alias("date_formats"),
+        find(IDENTIFIER_FORM).alias("identifiers"),
+        F.array_compact(F.array(*[F.when(F.col("t").rlike(f), n) for f, n in DATA_TYPES])).alias("data_types"),
+        F.slice(F.array_sort(F.array_distinct(F.filter("names", lambda x: x.rlike(ENTITY_FORM)))), 1, 10).alias("entities"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tables as T
@@ -11,8 +11,9 @@ from .chunking import PREVIEW_ROWS, TABLE_ROWS, preview
 
 
 def upsert(base: DataFrame, updates: DataFrame, key: str, order: str) -> DataFrame:
-    """Base rows without an update, and the last update of each key."""
-    last = updates.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("__n = 1").drop("__n", order)
+    """Base rows without an update, and the last update of each key; of equally late ones the greatest by its other columns."""
+    own = F.struct(*(c for c in updates.columns if c not in (key, order)))
+    last = updates.groupBy(key).agg(F.max_by(own, F.struct(order, F.to_json(own))).alias("u")).select(key, "u.*")
     return base.join(last.select(key), key, "left_anti").unionByName(last)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import tables as T
 from folioflow.operators import index, ordering, retrieval, store, structure, usage
+from folioflow.sources import documents
 from folioflow.sources.scratch import shared_dir
 
 BOX = "document_id string, page int, pos int, id string, kind string, bbox array<double>"
@@ -178,3 +179,21 @@ def test_collapsed_headers(spark):
     df = spark.createDataFrame([(k,) for k in texts], "m string")
     got = {r["m"]: r["c"] for r in df.select("m", T.collapse_headers("m").alias("c")).collect()}
     assert got["no table"] == "no table" and got["| a | b |\n| --- | --- |\n| 1.5 | 2.5 | .. |"] == texts["| a | b |\n| --- | --- |\n| 1.5 | 2.5 | .. |"]
+
+
+def test_upsert_breaks_ties_alike(spark):
+    base = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v long")
+    updates = [("a", 5, 1), ("a", 7, 1), ("a", 9, 0), ("c", None, 1)]
+    for n in (1, 4):
+        got = store.upsert(base, spark.createDataFrame(updates[::-1] if n == 4 else updates, "k string, v long, at int").repartition(n), "k", "at").collect()
+        assert sorted(map(tuple, got), key=str) == [("a", 7), ("b", 2), ("c", None)]
+
+
+def test_uploads_from_files(spark, tmp_path):
+    for name, content in (("a.pdf", b"%PDF-1"), ("sub/b.txt", b"%PDF-1"), ("c.pdf", b""), ("d.PDF", b"%PDF-" + b"x" * 100), ("e.pdf", b"other")):
+        path = tmp_path / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_bytes(content)
+    # The file source passes over files without a byte, so c.pdf never arrives.
+    got = {r["path"].rsplit("/", 1)[1]: r["reason"] for r in documents.admit_uploads(documents.read_uploads(spark, str(tmp_path)), cap=50).collect()}
+    assert got == {"a.pdf": None, "b.txt": "not_pdf_name", "d.PDF": "too_large", "e.pdf": "not_pdf"}

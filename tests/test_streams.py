@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.sources.keyed import KeyedTable
-from folioflow.sources.scratch import feed, shared_dir
+from folioflow.sources.scratch import drain, feed, shared_dir
 from folioflow.streaming import events as E
 
 SCHEMA = "k string, v long"
@@ -77,3 +77,12 @@ def test_quota_counts_a_broken_word_once_over_batches(spark):
     for n, part in enumerate([[(1, 0, "hel", 3, None)], [(1, 1, "lo world", 3, None), (2, 0, "a b c d", 3, None)], [(1, 2, " next", 3, None), (2, 1, " e", 3, None)], []]):
         step(spark.createDataFrame(part, schema), n)
     assert sorted((r["request_id"], r["counted"], r["limit_seq"]) for r in state.read().collect()) == [(1, 3, 2), (2, 3, 0)]
+
+
+def test_once_within_a_delay(spark):
+    path = shared_dir(spark)
+    part = lambda *r: spark.createDataFrame(list(r), "event_key string, n int, at string").select("event_key", "n", F.col("at").cast("timestamp").alias("ts"))
+    part(("a", 1, "2026-01-01"), ("b", 2, "2026-01-01"), ("a", 3, "2026-01-01 01:00:00")).coalesce(1).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema("event_key string, n int, ts timestamp").parquet(f"{path}/in")
+    rows = drain(E.once_within(stream)).collect()
+    assert sorted(r["event_key"] for r in rows) == ["a", "b"]
