@@ -8,13 +8,16 @@ paragraphs of plain text. Menus, page headers, footers, sidebars, notices, adver
 comments are told by their elements and roles, or as lists that are mostly links, and never take part. Class names and ids
 only lower the points of what is inside, little for a word of a longer name, much for a whole name, and never those of text
 blocks or of what an article or main element stands in. Elements with a whole such name are left out beside the container
-that is kept, and in it only if it is the page or its body.
+that is kept, and in it only if it is the page or its body; but adverts, comments, share bars and the like, by a whole name, are
+left out of any container unless they hold more than half of its text. Time grows with the page's length, however deep
+elements are nested.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,6 +42,12 @@ _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search f
 _DROPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar aside comment comments disqus respond replies cookie cookies consent gdpr notice notices notification alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs footer masthead share sharing social related recommended recommendations newsletter subscribe subscription signup login search widget pagination pager toolbar skip".split()
 )
+#: Whole names of what doesn't belong to an article even in its middle.
+_FOREIGN = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion comment comments disqus respond replies share sharing social related recommended recommendations newsletter subscribe subscription cookie cookies consent gdpr popup modal overlay breadcrumb breadcrumbs pagination pager sidebar nav navbar".split()
+)
+#: Ancestors that a block passes points to, at most; farther ones would get less than a hundredth.
+_REACH = 64
 _WHOLE = frozenset(["html", "body", "article", "main"])
 #: What a word of a class name or id, and a whole one, leave of the points inside.
 _WORTH = (1.0, 0.5, 0.1)
@@ -51,7 +60,8 @@ class Page:
     """Elements (tag, parent, whether an article) and blocks (element, text, characters in links) of one page."""
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.named, self.blocks = ["#page"], [-1], [0], []
+        self.tags, self.parents, self.named, self.foreign, self.blocks = ["#page"], [-1], [0], [False], []
+        self._opened, self._endless = Counter(), set()  # open elements by tag; raw elements that no end tag follows any more
         self._stack, self._parts, self._linked, self._skip, self._links = [0], [], 0, 0, 0  # _links: open a elements
         at, end = 0, len(source)
         while at < end:
@@ -69,9 +79,11 @@ class Page:
                 continue
             attributes = m[3] or m[6] or ""
             closed = attributes.rstrip().endswith("/")
-            if tag in _RAW and not closed:
-                close = re.compile(f"</{tag}[^>]*>", re.I).search(source, at)
-                at = close.end() if close else end if tag in ("script", "style") else at
+            if tag in _RAW and not (closed and tag not in ("script", "style")):
+                close = None if tag in self._endless else re.compile(f"</{tag}[^>]*>", re.I).search(source, at)
+                if close is None:
+                    self._endless.add(tag)
+                at = close.end() if close else end if tag in ("script", "style") and not closed else at
             elif tag not in _RAW and not (closed and (tag in _EMPTY or tag == "math")):
                 self._open(tag, attributes)
         self._flush()
@@ -93,6 +105,7 @@ class Page:
 
     def _pop(self, size: int) -> None:
         self._links -= sum(self.tags[i] == "a" for i in self._stack[size:])
+        self._opened.subtract(self.tags[i] for i in self._stack[size:])
         del self._stack[size:]
         if self._skip and len(self._stack) < self._skip:
             self._skip = 0
@@ -103,7 +116,7 @@ class Page:
             self._end_paragraph()
             if tag in _ENDS:
                 ended, bounds = _ENDS[tag]
-                for k in range(len(self._stack) - 1, 0, -1):
+                for k in range(len(self._stack) - 1, 0, -1) if any(self._opened[t] for t in ended) else ():
                     if self.tags[self._stack[k]] in bounds:
                         break
                     if self.tags[self._stack[k]] in ended:
@@ -113,12 +126,14 @@ class Page:
             self._text(" ")
         if tag in _VOID:
             return
-        inside = any(self.tags[i] in ("article", "main") for i in self._stack)
+        inside = self._opened["article"] + self._opened["main"] > 0
+        self._opened[tag] += 1
         self.tags.append(tag)
         self.parents.append(self._stack[-1])
         self._stack.append(len(self.tags) - 1)
         self._links += tag == "a"
         self.named.append(self._named(attributes, inside) if attributes and tag not in _WHOLE and tag not in _TEXT else 0)
+        self.foreign.append(bool(attributes) and tag not in _WHOLE and tag not in _TEXT and self._whole_name(attributes))
         if not self._skip and tag in _EMPTY:
             self._skip = len(self._stack)
         if not self._skip and tag not in _WHOLE and (tag in _DROPPED or tag == "header" and not inside or attributes and self._unwanted(attributes)):
@@ -145,7 +160,12 @@ class Page:
                     found = 1
         return found
 
+    def _whole_name(self, attributes: str) -> bool:
+        return any(m[1].lower() in ("class", "id") and not _FOREIGN.isdisjoint((m[2] or m[3] or m[4] or "").lower().split()) for m in _ATTRIBUTE.finditer(attributes))
+
     def _end_paragraph(self) -> None:
+        if not self._opened["p"]:
+            return
         for k in range(len(self._stack) - 1, 0, -1):
             tag = self.tags[self._stack[k]]
             if tag == "p":
@@ -157,6 +177,8 @@ class Page:
     def _close(self, tag: str) -> None:
         if tag in _BLOCKS:
             self._flush()
+        if not self._opened[tag]:
+            return
         for k in range(len(self._stack) - 1, 0, -1):
             other = self.tags[self._stack[k]]
             if other == tag:
@@ -169,24 +191,25 @@ class Page:
         n = len(self.tags)
         points, chars, linked = [0.0] * n, [0] * n, [0] * n
         named, left = list(self.named), [1.0] * n
+        above = [t in ("article", "main") for t in self.tags]  # articles and what they stand in
+        for i in range(n - 1, 0, -1):
+            above[self.parents[i]] |= above[i]
         for i in range(n):
-            if self.tags[i] in ("article", "main"):
-                node = i
-                while node >= 0:
-                    named[node], node = 0, self.parents[node]
+            if above[i]:
+                named[i] = 0
         for i in range(1, n):
             left[i] = left[self.parents[i]] * _WORTH[named[i]]
         for owner, text, link in self.blocks:
             worth = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - link / len(text)) * left[owner]
             node, level = (self.parents[owner] if self.tags[owner] in _TEXT and owner else owner), 0
-            while node >= 0:
+            while node >= 0 and level < _REACH:
                 points[node] += worth / (1 if level == 0 else 2 if level == 1 else 3 * level)
                 node, level = self.parents[node], level + 1
-            node = owner
-            while node >= 0:
-                chars[node] += len(text)
-                linked[node] += link
-                node = self.parents[node]
+            chars[owner] += len(text)
+            linked[owner] += link
+        for i in range(n - 1, 0, -1):
+            chars[self.parents[i]] += chars[i]
+            linked[self.parents[i]] += linked[i]
         if not self.blocks:
             return []
         score = [p * (1 - k / c) if c else 0.0 for p, c, k in zip(points, chars, linked, strict=True)]
@@ -194,6 +217,7 @@ class Page:
         kept, node = {best}, best
         while node >= 0 and self.tags[node] not in ("article", "main"):
             node = self.parents[node]
+        whole = chars[node if node >= 0 else best]
         if node >= 0:
             kept = {node}
         elif best:
@@ -204,7 +228,7 @@ class Page:
         state, open_ = [False] * n, node < 0 and self.tags[best] in ("#page", "html", "body")
         for i in range(n):
             state[i] = i in kept or (i > 0 and state[self.parents[i]])
-            if state[i] and i not in kept and (self.tags[i] in _LISTS and linked[i] > 0.5 * chars[i] or open_ and named[i] == 2):
+            if state[i] and i not in kept and (self.tags[i] in _LISTS and linked[i] > 0.5 * chars[i] or open_ and named[i] == 2 or self.foreign[i] and not above[i] and 2 * chars[i] <= whole):
                 state[i] = False
         return [text for owner, text, _ in self.blocks if state[owner]]
 

@@ -1,5 +1,7 @@
 """Names and unclosed elements take no text of the article."""
 
+import time
+
 import pytest
 
 from folioflow.llm.html_extract import Page, main_text
@@ -29,3 +31,26 @@ def test_links_and_objects():
     assert [(text, link) for _, text, link in page.blocks] == [("linked words here plain", 17)]
     shown = main_text("<article><p>One, two, three, and <object>text of an object</object> <canvas>and of a canvas</canvas> end.</p></article>")
     assert shown == "One, two, three, and text of an object and of a canvas end."
+
+
+@pytest.mark.parametrize(
+    "source,want",
+    [
+        (f"<article><p>{TEXT}</p><div class='ad'><p>Buy this now.</p></div><div class='share'>Share</div><p>{TEXT} Two.</p><section class='comments'><p>First!</p></section></article>", [TEXT, f"{TEXT} Two."]),
+        (f"<main><div class='post social'><p>{TEXT}</p><p>{TEXT}</p></div><p>End.</p></main>", [TEXT, TEXT, "End."]),
+        (f"<article class='promo'><p>{TEXT}</p></article>", [TEXT]),
+        (f"<article><script src=x />var code = 1;</script><p>{TEXT}</p></article>", [TEXT]),
+        (f"<article><script src=x /><p>{TEXT}</p></article>", [TEXT]),
+        (f"<article></section></i></p><p>{TEXT}<noscript></article>", [TEXT]),
+    ],
+)
+def test_what_is_foreign_to_an_article(source, want):
+    assert main_text(source).split("\n") == want
+
+
+@pytest.mark.parametrize("start", ["<div>", "<div class=a>", "<article>", "<b>", "<li>", "<noscript>", "<div></section>", "<ul><li>", "<table><tr><td>"])
+def test_time_grows_with_length(start):
+    n = 300_000 // len(start)
+    begun = time.process_time()
+    assert main_text(start * n + f"<p>{TEXT}</p>").endswith(TEXT)
+    assert time.process_time() - begun < 20
