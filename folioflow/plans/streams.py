@@ -37,7 +37,7 @@ def t2_subscription_state(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     orders = table(spark, d, "orders")
     e = orders.select(F.col("o_custkey").alias("subscription_id"), k.alias("arrival"), F.when(k % 50 > 0, F.col("o_orderdate").cast("timestamp")).alias("ts"), F.when(k % 3 > 0, k).alias("period_end"))
-    third = F.lit(orders.agg(F.max(k)).first()[0] / 3)
+    third = F.lit((orders.agg(F.max(k)).first()[0] or 1) / 3)
     path = shared_dir(spark)
     state = KeyedTable(spark, f"{path}/state", "subscription_id", E.SUBSCRIPTION)
     feed([e.where(F.floor(F.col("arrival") / third) == 0), e.where(F.floor(F.col("arrival") / third) >= 1)], E.subscription_step(state, f"{path}/rows"), path)
