@@ -76,9 +76,14 @@ def descriptor(markdown: Text, most: int = 25) -> Column:
     """"Key indicators: " and the table's distinct row labels, first spellings first; empty without labels."""
     wide = F.filter(F.transform(pipe_lines(markdown), cells), lambda c: (F.size(c) >= 2) & F.exists(c, lambda x: F.regexp_replace(x, "[-: ]", "") != ""))
     labels = F.filter(F.transform(wide, lambda c: F.coalesce(F.nullif(c[1], F.lit("")), c[0])), lambda x: (F.length(x) >= 5) & ~F.lower(x).isin("description", "indicator", "indicator code", "code"))
-    low = F.transform(labels, F.lower)
-    first = F.filter(labels, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
-    kept = F.transform(F.slice(first, 1, most), lambda x: F.substring(x, 1, 200))
+
+    def added(kept: Column, label: Column) -> Column:
+        # A fold that holds the kept labels only, so that its time grows with the rows.
+        new = (F.size(kept) < most) & ~F.exists(kept, lambda x: F.lower(x) == F.lower(label))
+        return F.when(new, F.array_append(kept, label)).otherwise(kept)
+
+    first = F.aggregate(labels, F.array().cast("array<string>"), added)
+    kept = F.transform(first, lambda x: F.substring(x, 1, 200))
     return F.when(F.size(kept) > 0, F.concat(F.lit("Key indicators: "), F.array_join(kept, "; "))).otherwise(F.lit(""))
 
 
