@@ -128,5 +128,5 @@ def ingestion_step(chunks: KeyedTable, chunked: Callable[[DataFrame], DataFrame]
 
 def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of the last batch that has each key: updates over earlier values, or whole documents over earlier ones."""
-    last = rows.groupBy(*keys).agg(F.max("batch").alias("batch"))
-    return rows.join(last, [*keys, "batch"]).drop("batch")
+    last = rows.withColumn("last", F.max("batch").over(Window.partitionBy(*keys)))
+    return last.where("batch = last").drop("batch", "last")

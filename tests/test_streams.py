@@ -1,8 +1,10 @@
 """Tables changed by micro-batches: replays, tombstones, buckets written anew, forgotten rows; steps fed batch by batch."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from folioflow.plans import QUERIES, SQL
 from folioflow.sources.keyed import KeyedTable
 from folioflow.sources.scratch import drain, feed, shared_dir
 from folioflow.streaming import events as E
@@ -86,3 +88,19 @@ def test_once_within_a_delay(spark):
     stream = spark.readStream.schema("event_key string, n int, ts timestamp").parquet(f"{path}/in")
     rows = drain(E.once_within(stream)).collect()
     assert sorted(r["event_key"] for r in rows) == ["a", "b"]
+
+
+@pytest.mark.parametrize("name", ["t3_daily_meter", "t5_rate_check"])
+def test_events_of_many_files(spark, tmp_path, name):
+    # More files than a batch took, in no order of time; times that round into the next day; events without a user.
+    k = F.col("id")
+    ts = F.timestamp_micros(1_704_067_200_000_000 + (k % 30 + 1) * 86_400_000_000 - F.when(k % 4 == 0, 300_000).otherwise(40_000_000_000))
+    user = F.when(k % 7 > 0, k % 11)
+    e = spark.range(3000).select(k.alias("event_id"), ts.cast("timestamp_ntz").alias("ts"), user.alias("user_id"), F.lit("click").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
+    e.repartition(120).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    wanted = con.execute(SQL[name])
+    columns = [c[0] for c in wanted.description]
+    text = lambda rows: sorted(tuple(map(str, r)) for r in rows)
+    assert text(QUERIES[name](spark, str(tmp_path)).select(columns).collect()) == text(wanted.fetchall())
