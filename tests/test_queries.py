@@ -42,3 +42,9 @@ def test_query(spark, duck, sf_dir, name):
     expected = duck.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(expected.columns)
     assert rows(got) == rows(expected)
+
+
+def test_garbled_words_are_split_once(spark, sf_dir):
+    # Each use of a word split the whole text again.
+    plan = QUERIES["p10_phantom_tables"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
