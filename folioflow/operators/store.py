@@ -51,6 +51,17 @@ def whole_tables(asked: DataFrame, side: KeyedTable) -> DataFrame:
     return held.join(key.select("table_path"), "table_path", "left_semi").select("table_path", "markdown")
 
 
+def with_whole_tables(rows: DataFrame, side: KeyedTable, name: str, by: list[str]) -> DataFrame:
+    """The rows and the whole of their tables in the column `name`, null where table_path is null.
+
+    Rows without a table would all meet under the null key in one task. So they take keys of their own, from the columns `by`
+    that tell rows apart; these have no slash, which all keys of tables have.
+    """
+    key = F.coalesce("table_path", F.xxhash64(*by).cast("string"))
+    whole = whole_tables(rows, side).select(F.col("table_path").alias("__key"), F.col("markdown").alias(name))
+    return rows.withColumn("__key", key).join(whole, "__key", "left").drop("__key")
+
+
 def merge_profiles(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """All keys; new values that are not null win."""
     n = new.select(key, *[F.col(c).alias(f"__{c}") for c in new.columns if c != key])

@@ -197,3 +197,20 @@ def test_uploads_from_files(spark, tmp_path):
     # The file source passes over files without a byte, so c.pdf never arrives.
     got = {r["path"].rsplit("/", 1)[1]: r["reason"] for r in documents.admit_uploads(documents.read_uploads(spark, str(tmp_path)), cap=50).collect()}
     assert got == {"a.pdf": None, "b.txt": "not_pdf_name", "d.PDF": "too_large", "e.pdf": "not_pdf"}
+
+
+def test_rows_without_a_table_do_not_meet(spark):
+    # A left join on the null key had all rows without a table in one task.
+    side = store.side_table(spark, shared_dir(spark), 2)
+    side.replace(0, spark.createDataFrame([("a", 1, "one"), ("b", 2, "two")], store.SIDE))
+    rows = spark.range(400).select("id", F.when(F.col("id") == 7, "a/1").when(F.col("id") == 8, "b/2").when(F.col("id") == 9, "b/3").alias("table_path"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = store.with_whole_tables(rows, side, "whole", ["id"]).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert len(got) == 400 and {r["id"]: r["whole"] for r in got if r["whole"]} == {7: "one", 8: "two"}
+    assert len({r["task"] for r in got if r["table_path"] is None}) == 4
