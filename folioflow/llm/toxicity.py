@@ -38,6 +38,8 @@ MOST_ROWS, MOST_CHARS = 2000, 16_000_000
 #: Longest n-gram of letters; bits of the table of shared counts; counts by which every context is taken to be longer, so
 #: that rare ones decide little; pairs of words whose evidence a worker keeps.
 ORDER, SHARED_BITS, CONTEXT, KEPT = 5, 18, 4.0, 500_000
+#: Characters of labelled texts whose words the driver holds at once, and pairs whose evidence it keeps.
+SLICE, KEPT_FITTING = 500_000, 100_000
 _WORD = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
 _START, _END = "\x01", "\x02"
 
@@ -47,6 +49,19 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def slices(texts: list[str]) -> Iterator[list[str]]:
+    """The texts a few at a time, so that only their words are held at once: up to SLICE characters, or one longer text."""
+    part, chars = [], 0
+    for t in texts:
+        if part and chars + len(t) > SLICE:
+            yield part
+            part, chars = [], 0
+        part.append(t)
+        chars += len(t)
+    if part:
+        yield part
+
+
 class Letters:
     """The letters of many words in one row, each word after ORDER - 1 starts and with an end, and keys of their n-grams."""
 
@@ -92,23 +107,27 @@ class ClassModel:
     """One class: what n-grams of letters, words and pairs of words get, and what their contexts leave to shorter ones."""
 
     def __init__(self, texts: list[str]):
-        pairs: Counter = Counter()
-        for t in texts:
-            words = words_of(t)
-            pairs.update(zip(["", *words], words))
+        # Words as numbers and pairs as arrays: tuples of strings take many times their memory.
+        number: dict[str, int] = {"": 0}
+        pairs = np.zeros(0, np.int64)
+        times = np.zeros(0, np.int64)
+        for part in slices(texts):
+            seen = [np.fromiter((number.setdefault(w, len(number)) for w in ["", *words_of(t)]), np.int64) for t in part]
+            both = np.concatenate([pairs, *((ids[:-1] << 32) | ids[1:] for ids in seen)])
+            pairs, which = np.unique(both, return_inverse=True)
+            times = np.bincount(which, np.concatenate([times, np.ones(len(both) - len(times), np.int64)]), len(pairs)).astype(np.int64)
         self.orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        if not pairs:
+        if not len(pairs):
             return
-        kinds, often = Counter(w for _, w in pairs), Counter()
-        for (_, w), n in pairs.items():
-            often[w] += n
-        letters = Letters(list(kinds))
-        weights = [np.fromiter((c[w] for w in kinds), np.float64, len(kinds)) for c in (kinds, often)]
+        words, after = list(number), pairs & 0xFFFFFFFF
+        weights = [np.bincount(after, w, len(words))[1:] for w in (None, times)]
+        letters, keys = Letters(words[1:]), word_keys(words)
         for n in range(1, ORDER + 1):
-            self.orders.append(discounted(letters.keys(n, False), letters.keys(n, True), np.repeat(weights[n == ORDER], letters.lengths)))
-        self.orders.append(discounted(word_keys(list(kinds)), np.zeros(len(kinds), np.int64), weights[0]))
-        before = word_keys([v for v, _ in pairs])
-        self.orders.append(discounted(pair_keys(before, word_keys([w for _, w in pairs])), before, np.fromiter(pairs.values(), np.float64, len(pairs))))
+            self.orders.append(discounted(letters.keys(n, False), letters.keys(n, True), np.repeat(weights[n == ORDER].astype(np.float64), letters.lengths)))
+        del letters
+        self.orders.append(discounted(keys[1:], np.zeros(len(keys) - 1, np.int64), weights[0].astype(np.float64)))
+        before = keys[pairs >> 32]
+        self.orders.append(discounted(pair_keys(before, keys[after]), before, times.astype(np.float64)))
 
     def ready(self) -> ClassModel:
         """Put the n-grams into tables for look-ups."""
@@ -169,15 +188,15 @@ class Shared:
 class Evidence(dict):
     """(word before, word) -> difference of its log-likelihoods, kept for frequent pairs."""
 
-    def __init__(self, toxic: ClassModel, ordinary: ClassModel, shared: Shared):
-        self.parts = toxic, ordinary, shared
+    def __init__(self, toxic: ClassModel, ordinary: ClassModel, shared: Shared, kept: int = KEPT):
+        self.parts, self.kept = (toxic, ordinary, shared), kept
 
     def of(self, texts: list[str]) -> np.ndarray:
         """For each text the difference by letter, and the largest one of its words."""
         seen = [words_of(t) for t in texts]
         pairs = [list(zip(["", *words], words)) for words in seen]
         new = list({p for part in pairs for p in part if p not in self})
-        if len(self) + len(new) > KEPT:
+        if len(self) + len(new) > self.kept:
             self.clear()
             new = list(set().union(*pairs))
         if new:
@@ -248,11 +267,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: str = "crc32(ca
     tune = labelled_sample(texts, known.where(fold == 0), "toxic", MOST_ROWS, MOST_CHARS)
     ordinary, toxic = (ClassModel([t for t, y in train if y == c]) for c in (0, 1))
     counts = np.zeros(1 << SHARED_BITS)
-    for r in corpus_counts(texts).collect():  # at most 2^SHARED_BITS rows
-        counts[r["place"]] += r["n"]
+    found = corpus_counts(texts).toArrow()  # at most 2^SHARED_BITS rows
+    counts[found["place"].to_numpy()] = found["n"].to_numpy()
     shared = Shared(counts.astype(np.float32))
     y = np.asarray([c for _, c in tune])
-    unit = fit_logistic(Evidence(toxic, ordinary, shared).of([t for t, _ in tune]), y) if len(set(y.tolist())) == 2 else np.asarray([0.0, 0.0, -30.0])
+    evidence = Evidence(toxic, ordinary, shared, KEPT_FITTING)
+    unit = fit_logistic(np.concatenate([evidence.of(part) for part in slices([t for t, _ in tune])]), y) if len(set(y.tolist())) == 2 else np.asarray([0.0, 0.0, -30.0])
+    evidence.clear()
     model = docs.sparkSession.sparkContext.broadcast((toxic, ordinary, shared, unit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

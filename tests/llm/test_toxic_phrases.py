@@ -1,5 +1,8 @@
 """Toxic words in one fixed phrase, and phrases of ordinary words, are evidence."""
 
+import random
+import tracemalloc
+
 import numpy as np
 
 from folioflow.llm.toxicity import SHARED_BITS, ClassModel, Evidence, Shared
@@ -17,3 +20,18 @@ def test_fixed_phrases():
     phrase, turned = evidence.of(["baro teli", "teli baro"])[:, 1]
     assert phrase > turned + 1
     assert np.isfinite(evidence.of(["y" * 50_000, "", "new words"])).all()
+
+
+def test_pairs_of_words_are_held_as_numbers():
+    # Tuples of words took several times the memory of a sample's other parts, in the driver.
+    draw = random.Random(1)
+    words = [f"w{'abcdefghij'[i % 10]}{chr(97 + i // 10 % 26)}{chr(97 + i // 260)}" for i in range(2000)]
+    texts = [" ".join(draw.choices(words, k=500)) for _ in range(400)]
+    tracemalloc.start()
+    try:
+        model = ClassModel(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    pairs = {p for t in texts for p in zip(["", *t.split()], t.split())}
+    assert len(model.orders[-1][0]) > 0.99 * len(pairs) and peak < 200 * len(pairs)
