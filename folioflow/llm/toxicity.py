@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,9 @@ from .quality_cnn import labelled_sample
 #: Labelled rows of each class, and characters of them all, used for class counts and for the logistic unit, at most.
 MOST_ROWS, MOST_CHARS = 2000, 16_000_000
 #: Longest n-gram of letters; bits of the table of shared counts; counts by which every context is taken to be longer, so
-#: that rare ones decide little; pairs of words whose evidence a worker keeps.
+#: that rare ones decide little; words whose evidence a worker keeps.
 ORDER, SHARED_BITS, CONTEXT, KEPT = 5, 18, 4.0, 500_000
-#: Characters of labelled texts whose words the driver holds at once, and pairs whose evidence it keeps.
+#: Characters of labelled texts whose words the driver holds at once, and words whose evidence it keeps.
 SLICE, KEPT_FITTING = 500_000, 100_000
 _WORD = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
 _START, _END = "\x01", "\x02"
@@ -146,23 +147,40 @@ class ClassModel:
     def __getstate__(self):
         return {"orders": self.orders}
 
-    def logs(self, letters: Letters, shared: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Logarithms of the probabilities of words by themselves."""
-        p = shared
-        for n, ((grams, share), (contexts, left)) in enumerate(self.ready().tables[:ORDER], 1):
-            p = share[grams.get(letters.keys(n, False))] + left[contexts.get(letters.keys(n, True))] * p
-        return self._mixed(ORDER, keys, np.zeros(len(keys), np.int64), np.add.reduceat(np.log(p), letters.first))
+    def after(self, pairs: np.ndarray, left: np.ndarray, alone: np.ndarray) -> np.ndarray:
+        """Logarithms of the probabilities of words after others: keys of both, what the first leaves, the word's own one."""
+        return self._mixed(ORDER + 1, pairs, left, alone)
 
-    def after(self, before: np.ndarray, words: np.ndarray, alone: np.ndarray) -> np.ndarray:
-        """Logarithms of the probabilities of words after others, given those of the words by themselves."""
-        return self._mixed(ORDER + 1, pair_keys(before, words), before, alone)
-
-    def _mixed(self, order: int, keys: np.ndarray, contexts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    def left(self, order: int, contexts: np.ndarray) -> np.ndarray:
+        """Logarithms of what contexts leave to shorter ones."""
         if not self.ready().tables:
-            return shorter
-        (grams, share), (rows, left) = self.tables[order]
+            return np.zeros(len(contexts))
+        rows, left = self.tables[order][1]
         with np.errstate(divide="ignore"):
-            return np.logaddexp(np.log(share[grams.get(keys)].astype(np.float64)), np.log(left[rows.get(contexts)].astype(np.float64)) + shorter)
+            return np.log(left[rows.get(contexts)].astype(np.float64))
+
+    def _mixed(self, order: int, keys: np.ndarray, left: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+        out = left + shorter
+        if self.ready().tables:
+            grams, share = self.tables[order][0]
+            row = grams.get(keys)
+            at = np.flatnonzero(row >= 0)  # most pairs of words were never seen
+            with np.errstate(divide="ignore"):
+                out[at] = np.logaddexp(np.log(share[row[at]].astype(np.float64)), out[at])
+        return out
+
+
+def logs_alone(models: tuple[ClassModel, ...], letters: Letters, shared: np.ndarray, keys: np.ndarray) -> list[np.ndarray]:
+    """For each model, logarithms of the probabilities of words by themselves."""
+    ps = [shared for _ in models]
+    for n in range(1, ORDER + 1):
+        ends, before = letters.keys(n, False), letters.keys(n, True)
+        for i, m in enumerate(models):
+            if m.ready().tables:
+                (grams, share), (contexts, left) = m.tables[n - 1]
+                ps[i] = share[grams.get(ends)] + left[contexts.get(before)] * ps[i]
+    none = np.zeros(len(keys), np.int64)
+    return [m._mixed(ORDER, keys, m.left(ORDER, none), np.add.reduceat(np.log(p), letters.first)) for m, p in zip(models, ps, strict=True)]
 
 
 class Shared:
@@ -185,37 +203,62 @@ class Shared:
         return np.minimum(p, 1.0)
 
 
-class Evidence(dict):
-    """(word before, word) -> difference of its log-likelihoods, kept for frequent pairs."""
+class Evidence:
+    """Differences of the log-likelihoods of words after the words before them.
+
+    Most pairs of words stand once, so they are looked up as they come, as arrays of numbers. What a word has by itself
+    (its key, its probabilities, what it leaves as a context) is kept for up to `kept` words.
+    """
 
     def __init__(self, toxic: ClassModel, ordinary: ClassModel, shared: Shared, kept: int = KEPT):
-        self.parts, self.kept = (toxic, ordinary, shared), kept
+        self.models, self.shared, self.kept = (toxic, ordinary), shared, kept
+        self.clear()
+
+    def __getstate__(self):
+        return {"models": self.models, "shared": self.shared, "kept": self.kept}
+
+    def __setstate__(self, state: dict):
+        self.__dict__ |= state
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.keys, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.values = np.zeros((4, 0))  # of each model: the word alone, what it leaves to words after it
+        self._add([""])
+
+    def _add(self, words: list[str]) -> None:
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        letters, keys = Letters(words), word_keys(words)
+        alone = logs_alone(self.models, letters, self.shared.probability(letters), keys)
+        self.keys, self.lengths = np.append(self.keys, keys), np.append(self.lengths, letters.lengths - 1)
+        self.values = np.concatenate([self.values, [*alone, *(m.left(ORDER + 1, keys) for m in self.models)]], axis=1)
 
     def of(self, texts: list[str]) -> np.ndarray:
         """For each text the difference by letter, and the largest one of its words."""
         seen = [words_of(t) for t in texts]
-        pairs = [list(zip(["", *words], words)) for words in seen]
-        new = list({p for part in pairs for p in part if p not in self})
-        if len(self) + len(new) > self.kept:
+        words = set().union(*seen)
+        new = words.difference(self.number)
+        if len(self.number) + len(new) > self.kept:
             self.clear()
-            new = list(set().union(*pairs))
+            new = words
         if new:
-            self.update(zip(new, self._gains(new).tolist(), strict=True))
-        out = np.zeros((len(texts), 2))
-        for i, (words, part) in enumerate(zip(seen, pairs, strict=True)):
-            if words:
-                gain = [self[p] for p in part]
-                out[i] = sum(gain) / (len(words) + sum(map(len, words))), max(gain)
+            self._add(list(new))
+        out, counts = np.zeros((len(texts), 2)), np.fromiter(map(len, seen), np.int64, len(seen))
+        ids = np.fromiter(map(self.number.__getitem__, chain.from_iterable(seen)), np.int64, counts.sum())
+        if len(ids):
+            some = np.flatnonzero(counts)
+            first = (np.cumsum(counts) - counts)[some]
+            before = np.append(0, ids[:-1])
+            before[first] = 0
+            gain = self._gains(before, ids)
+            out[some, 0] = np.add.reduceat(gain, first) / (counts[some] + np.add.reduceat(self.lengths[ids], first))
+            out[some, 1] = np.maximum.reduceat(gain, first)
         return out
 
-    def _gains(self, pairs: list[tuple[str, str]]) -> np.ndarray:
-        toxic, ordinary, shared = self.parts
-        place: dict[str, int] = {}
-        at = np.fromiter((place.setdefault(w, len(place)) for _, w in pairs), np.int64, len(pairs))
-        words = list(place)
-        letters, keys = Letters(words), word_keys(words)
-        base, before = shared.probability(letters), word_keys([v for v, _ in pairs])
-        one, other = (m.after(before, keys[at], m.logs(letters, base, keys)[at]) for m in (toxic, ordinary))
+    def _gains(self, before: np.ndarray, words: np.ndarray) -> np.ndarray:
+        pairs = pair_keys(self.keys[before], self.keys[words])
+        one, other = (m.after(pairs, self.values[i + 2][before], self.values[i][words]) for i, m in enumerate(self.models))
         return one - other
 
 
@@ -239,9 +282,12 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SHARED_BITS)
         for _, part in text_batches(batches):
-            counts: Counter = Counter()
+            spaced, counts = Counter(), Counter()  # what white space parts is split into words once, not as often as it stands
             for t in part:
-                counts.update(words_of(t))
+                spaced.update(t.lower().split())
+            for piece, n in spaced.items():
+                for w in _WORD.findall(piece):
+                    counts[w] += n
             if counts:
                 letters = Letters(list(counts))
                 weight = np.repeat(np.fromiter(counts.values(), np.float64, len(counts)), letters.lengths)
@@ -274,11 +320,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: str = "crc32(ca
     evidence = Evidence(toxic, ordinary, shared, KEPT_FITTING)
     unit = fit_logistic(np.concatenate([evidence.of(part) for part in slices([t for t, _ in tune])]), y) if len(set(y.tolist())) == 2 else np.asarray([0.0, 0.0, -30.0])
     evidence.clear()
-    model = docs.sparkSession.sparkContext.broadcast((toxic, ordinary, shared, unit))
+    model = docs.sparkSession.sparkContext.broadcast((Evidence(toxic, ordinary, shared), unit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, ordinary, shared, unit = model.value
-        evidence = Evidence(toxic, ordinary, shared)
+        evidence, unit = model.value  # a worker's tasks share what it keeps of words
         for batch, part in text_batches(batches):
             score = 1 / (1 + np.exp(-np.clip(evidence.of(part) @ unit[:2] + unit[2], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])
