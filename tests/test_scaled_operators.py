@@ -214,3 +214,25 @@ def test_rows_without_a_table_do_not_meet(spark):
             spark.conf.unset(k)
     assert len(got) == 400 and {r["id"]: r["whole"] for r in got if r["whole"]} == {7: "one", 8: "two"}
     assert len({r["task"] for r in got if r["table_path"] is None}) == 4
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+@pytest.mark.parametrize(("kind", "least", "by_place"), [("table", 0.0, True), ("image", 0.05, False)])
+def test_small_pages_are_shuffled_once(spark, monkeypatch, kind, least, by_place):
+    # Each page's boxes went through a dozen shuffles, with all pairs that meet.
+    draw = random.Random(3)
+    rows = [(d, p, i, f"{d}-{p}-{i}", draw.choice(["text", kind]), [x := float(draw.randint(0, 40)), y := draw.randint(0, 40) / 4, x + draw.randint(0, 12), y + draw.randint(0, 40) / 3]) for d in ("a", "b") for p in range(12) for i in range(draw.choice([1, 5, 60]))]
+    rows += [("a", 0, 900, "same", kind, [1.0, 1.0, 9.0, 9.0]), ("a", 0, 901, "same", kind, [2.0, 1.0, 9.0, 9.0]), ("a", 1, 900, None, kind, [1.0, 1.0, 9.0, 9.0]), ("a", 2, 900, "void", kind, [None, 1.0, 9.0, None])]
+    rows += [(None, 1, 1, "n1", kind, [1.0, 1.0, 9.0, 9.0]), (None, 1, 2, "n2", "text", [1.0, 1.0, 9.0, 9.0]), ("a", None, 1, "n3", kind, [1.0, 1.0, 9.0, 9.0]), ("a", None, 2, "n4", "text", [1.0, 1.0, 9.0, 9.0])]
+    b = spark.createDataFrame(rows, BOX)
+    sides = b.where(F.col("kind") == kind), b.where("kind = 'text'")
+    order = lambda df: sorted(map(str, df.collect()))
+    small = structure.greedy_match(*sides, least, by_place)
+    assert exchanges(small) == 1
+    want = order(structure._match_large(*sides, least, by_place))
+    assert order(small) == want and len(want) >= sum(r[4] == kind for r in rows)
+    monkeypatch.setattr(structure, "WHOLE", 20)
+    assert order(structure.greedy_match(*sides, least, by_place)) == want
