@@ -1,13 +1,16 @@
 """Operators that meet no pairs: against brute force on made-up inputs, in small blocks and with hot keys."""
 
+import hashlib
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import tables as T
+from folioflow.functions import text
 from folioflow.operators import index, ordering, retrieval, store, structure, usage
 from folioflow.sources import documents
 from folioflow.sources.scratch import shared_dir
@@ -236,3 +239,41 @@ def test_small_pages_are_shuffled_once(spark, monkeypatch, kind, least, by_place
     assert order(small) == want and len(want) >= sum(r[4] == kind for r in rows)
     monkeypatch.setattr(structure, "WHOLE", 20)
     assert order(structure.greedy_match(*sides, least, by_place)) == want
+
+
+def test_small_documents_share_blocks_of_a_search(spark):
+    # Each document was a group of its own, which cost more than its scores.
+    draw = random.Random(5)
+    vector = lambda: [draw.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(4)]
+    chunks = [(f"c{d}-{i}", f"d{d}", vector() if i != 1 else None) for d in range(30) for i in range(draw.choice([1, 2, 5, 40]))]
+    asked = [(q, f"d{d}", vector() if q else None) for q in range(12) for d in draw.sample(range(33), 9)]
+    c = spark.createDataFrame(chunks, "chunk_id string, document_id string, embedding array<float>")
+    q = spark.createDataFrame(asked, "query_id long, document_id string, vector array<float>")
+    got = retrieval.vector_search(c, q, 4, block=8)
+
+    def cosine(a, b):
+        size = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b)) / size, 6) if size else 0.0
+
+    want = set()
+    for query in {r[0] for r in asked}:
+        scored = sorted((-cosine(e, v), i, d) for p, of, v in asked if p == query and v for i, d, e in chunks if d == of and e)[:4]
+        want |= {(query, i, d, round(-s, 5), n) for n, (s, i, d) in enumerate(scored, 1)}
+    assert {(r["query_id"], r["chunk_id"], r["document_id"], round(r["score"], 5), r["rank"]) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow [cell" in plan
+    assert retrieval.vector_search(c.limit(0), q, 4).count() == 0
+
+
+def test_hash_embedding_of_words_in_python(spark):
+    # The hashes of all words of a text were made in the plan, again for each text.
+    texts = ["Ab ab, x_9 " + "q" * 100, "Ärger 12", "", None]
+    e = text.hash_embedding("t", 16)
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(e.alias("e"))
+    assert "md5" not in df._jdf.queryExecution().executedPlan().toString()
+    for t, got in zip(texts, [r["e"] for r in df.collect()], strict=True):
+        n = [0] * 16
+        for w in set(re.findall("[a-z0-9]+", (t or "").lower())):
+            n[int(hashlib.md5(w.encode()).hexdigest()[:6], 16) % 16] += 1
+        size = sum(x * x for x in n) ** 0.5 or 1.0
+        assert all(abs(a - b / size) < 1e-12 for a, b in zip(got, n, strict=True))
