@@ -7,11 +7,19 @@ parts with shingles at most H differ, so s of them are equal, and they are among
 subset of s of them is a signature (s is 2 for small sets, else 1). Empty parts are passed over, so no two sets meet in them;
 a set with too few parts is split into single shingles as well, of which it has enough.
 
+Lines that many documents share would bring dissimilar ones together. Signatures are therefore made without common shingles:
+sets without these differ in no more shingles than whole ones do, so the same numbers of parts or single shingles are enough.
+A set with fewer of the others than that has the signatures of the whole set, too; of two such sets both have them, and in any
+other pair the one with enough decides. Which shingles count as common is read off a bounded sample of the documents. It only
+decides how many candidates there are: the classes are the same with any choice.
+
 Documents with one set are first brought together by the set's 128-bit key. Documents that share a signature are candidates:
 
 * each group of candidates has a hub, the one with most candidates; each document is compared with the hubs of its groups,
   and the links found make components. Pairs inside a component are never made;
-* documents around a hub are compared with it if they still stand in different components. A and B with the differences
+* documents around a hub that still stand in different components are compared with one another, in one group for each hub,
+  by parity bits and then exactly, until they are in one component;
+* where too many for one group stand around a hub, they are compared with the hub. A and B with the differences
   D(A) and D(B) to the hub have a Hamming distance of |D(A)| + |D(B)| - 2 |D(A) & D(B)|, so similar ones share a number of
   differences, unless both are linked to the hub anyway. Both are then among the first few of D(A) and of D(B) in one order
   (prefix filter), what the hub lacks coming first. How few depends on both sizes, so documents are dealt into classes by
@@ -38,8 +46,11 @@ from .components import connected_components
 
 #: Width of a size band, largest size of a band whose signatures are pairs of parts, spare parts of a band.
 BAND_RATIO, PAIRED, SPARE = 1.92, 28, 0.12
-#: Documents around a hub that are paired directly, at most; classes that half the allowed difference to a hub makes.
-FEW, CLASSES = 64, 2
+#: About so many documents show which shingles are common: those found in so many of them at least, and no more of these than that.
+SAMPLED, COMMON, MOST_COMMON = 16_384, 12, 1 << 16
+#: Documents around a hub that are paired directly, at most; those that make one group, and their shingles (8 MB); classes that
+#: half the allowed difference to a hub makes.
+FEW, CROWD, CROWDED, CLASSES = 64, 1024, 1 << 20, 2
 #: Bits of the bitmaps that keep rows without candidates out, at least and at most (32 MB).
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 #: Words whose hashes a worker keeps, and the longest of them.
@@ -48,6 +59,7 @@ WORDS, LONG_WORD = 300_000, 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M = np.uint64(0x9E3779B97F4A7C15)
 _N = np.uint64(0xBF58476D1CE4E5B9)
+_NONE = np.zeros(0, dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -108,29 +120,49 @@ class Scheme:
             low = high * self.percent // 100 + 1
         return out
 
-    def signatures(self, sets: list[np.ndarray]) -> list[np.ndarray]:
-        """The signatures of each set."""
+    def signatures(self, sets: list[np.ndarray], common: np.ndarray = _NONE) -> list[np.ndarray]:
+        """The signatures of each set, made without the shingles that are common (sorted) as far as the others are enough."""
         out: list[list[np.ndarray]] = [[] for _ in sets]
         sizes = np.asarray([len(s) for s in sets])
+        rare = _without(sets, common)
+        left = np.asarray([len(s) for s in rare])
         for number, (low, high) in enumerate(self.bands(int(sizes.max(initial=0)))):
             chosen = np.flatnonzero((sizes >= low) & (sizes <= high))
-            if not len(chosen):
-                continue
             together = 2 if high <= PAIRED else 1
+            need = np.asarray([self.differences(int(n)) + together for n in sizes])
             n1 = int((self.differences(high) + together) * (1 + SPARE)) + 1
-            h = _mix(np.concatenate([sets[i] for i in chosen]) + _times(number + 1))
-            cells = np.repeat(np.arange(len(chosen)), sizes[chosen]) * n1 + (h % np.uint64(n1)).astype(np.int64)
-            order = np.argsort(cells, kind="stable")
-            starts = np.flatnonzero(np.diff(cells[order], prepend=-1))
-            owner, part = np.divmod(cells[order[starts]], n1)
-            totals = _mix(np.add.reduceat(_mix(h)[order], starts) + part.astype(np.uint64) * _M + _times(number + 64))
-            first = np.searchsorted(owner, np.arange(len(chosen) + 1))
-            for row, i in enumerate(chosen):
-                need = self.differences(int(sizes[i])) + together
-                out[i].append(_subsets(totals[first[row] : min(first[row + 1], first[row] + need)], together))
-                if first[row + 1] - first[row] < need:
-                    out[i].append(_subsets(np.sort(_mix(sets[i] + _times(number + 128)))[:need], together))
-        return [np.concatenate(x) if x else np.zeros(0, dtype=np.uint64) for x in out]
+            short = chosen[(left[chosen] < need[chosen]) & (left[chosen] < sizes[chosen])]
+            for of, rows in ((rare, chosen[left[chosen] > 0]), (sets, short)):
+                if len(rows):
+                    for i, found in zip(rows, _signed([of[i] for i in rows], need[rows], n1, together, number), strict=True):
+                        out[i] += found
+        return [np.concatenate(x) if x else _NONE for x in out]
+
+
+def _without(sets: list[np.ndarray], common: np.ndarray) -> list[np.ndarray]:
+    if not len(common) or not sets:
+        return sets
+    every = np.concatenate(sets)
+    keep = common[np.minimum(np.searchsorted(common, every), len(common) - 1)] != every
+    ends = np.cumsum([len(s) for s in sets])[:-1]
+    return [s[k] for s, k in zip(sets, np.split(keep, ends), strict=True)]
+
+
+def _signed(sets: list[np.ndarray], need: np.ndarray, n1: int, together: int, number: int) -> list[list[np.ndarray]]:
+    """For each set, none of them empty, the signatures of its first parts, and of single shingles if the parts are too few."""
+    h = _mix(np.concatenate(sets) + _times(number + 1))
+    cells = np.repeat(np.arange(len(sets)), [len(s) for s in sets]) * n1 + (h % np.uint64(n1)).astype(np.int64)
+    order = np.argsort(cells, kind="stable")
+    starts = np.flatnonzero(np.diff(cells[order], prepend=-1))
+    owner, part = np.divmod(cells[order[starts]], n1)
+    totals = _mix(np.add.reduceat(_mix(h)[order], starts) + part.astype(np.uint64) * _M + _times(number + 64))
+    first = np.searchsorted(owner, np.arange(len(sets) + 1))
+    out = []
+    for i, s in enumerate(sets):
+        out.append([_subsets(totals[first[i] : min(first[i + 1], first[i] + need[i])], together)])
+        if first[i + 1] - first[i] < need[i]:
+            out[i].append(_subsets(np.sort(_mix(s + _times(number + 128)))[: need[i]], together))
+    return out
 
 
 def _subsets(x: np.ndarray, together: int) -> np.ndarray:
@@ -146,11 +178,26 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values, pa.int64()))
 
 
+def common_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Sorted hashes of the shingles found in COMMON documents or more of a sample, the MOST_COMMON most frequent at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.concatenate([_NONE, *(shingle_set(t or "", shingle) for t in batch.column("text").to_pylist())])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["shingle"])
+
+    some = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, texts.count()))) < SAMPLED).select("text")
+    counts = some.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    most = counts.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).collect()
+    return np.sort(np.asarray([r["shingle"] for r in most], dtype=np.int64).view(np.uint64))
+
+
 def signature_table(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """doc_id, mark, n_shingles, key (of the set, empty without words) and signatures; of a task's equal sets, the first has them.
 
     Rows with a null doc_id have none and don't count as first.
     """
+    common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme, known = Scheme(percent), set()
@@ -167,10 +214,9 @@ def signature_table(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
                     if k and named[i] and k not in known:
                         known.add(k)
                         fresh.append(i)
-                found = dict(zip(fresh, scheme.signatures([sets[i] for i in fresh]), strict=True))
-                none = np.zeros(0, dtype=np.uint64)
+                found = dict(zip(fresh, scheme.signatures([sets[i] for i in fresh], common.value), strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), _lists([found.get(i, none) for i in range(len(sets))])],
+                    [part.column("doc_id"), part.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), _lists([found.get(i, _NONE) for i in range(len(sets))])],
                     ["doc_id", "mark", "n_shingles", "key", "signatures"],
                 )
 
@@ -213,10 +259,10 @@ def with_shared(signed: DataFrame, repeated: Bitmap) -> DataFrame:
     return signed.select("doc_id", "key", "signatures").mapInArrow(run, "doc_id long, key binary, signatures array<long>")
 
 
-def parity(hashes: np.ndarray) -> np.ndarray:
-    """One bit for each of 1 to 2 times as many places as shingles (a power of two, 64 at least): whether the number of
-    shingles at the place is odd. The bits in which two sets differ are no more than their Hamming distance."""
-    bits = max(64, 1 << (len(hashes) - 1).bit_length())
+def parity(hashes: np.ndarray, bits: int = 0) -> np.ndarray:
+    """One bit for each of `bits` places, or of 1 to 2 times as many as shingles (a power of two, 64 at least): whether the
+    number of shingles at the place is odd. The bits in which two sets differ are no more than their Hamming distance."""
+    bits = bits or max(64, 1 << (len(hashes) - 1).bit_length())
     odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -261,18 +307,20 @@ def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) with both sets x and y; only the sets of stored pairs are moved."""
 
-    def side(name: str, column: str) -> DataFrame:
-        ids = stored(pairs.select(name).distinct().select(F.xxhash64(name).alias("spot")))
-        needed = Bitmap(ids, "spot")
-        drop_stored(ids)
+    return pairs.join(_needed(pairs, sets, "a", "x"), "a").join(_needed(pairs, sets, "b", "y"), "b")
 
-        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(needed.has(batch.column("spot").to_numpy()))).select(["doc_id", "hashes"])
 
-        return sets.select("doc_id", "spot", "hashes").mapInArrow(pick, "doc_id long, hashes array<long>").withColumnsRenamed({"doc_id": name, "hashes": column})
+def _needed(rows: DataFrame, sets: DataFrame, name: str, column: str) -> DataFrame:
+    """The sets of (at least) the ids in a column of stored rows, under the names given."""
+    ids = stored(rows.select(name).distinct().select(F.xxhash64(name).alias("spot")))
+    needed = Bitmap(ids, "spot")
+    drop_stored(ids)
 
-    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(needed.has(batch.column("spot").to_numpy()))).select(["doc_id", "hashes"])
+
+    return sets.select("doc_id", "spot", "hashes").mapInArrow(pick, "doc_id long, hashes array<long>").withColumnsRenamed({"doc_id": name, "hashes": column})
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -294,6 +342,53 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found
 
 
+def joining_links(sets: list[np.ndarray], parts: list[int], percent: int) -> list[tuple[int, int]]:
+    """Places of pairs of similar sets that join the parts as all their links would, each link joining two of them."""
+    sizes = np.asarray([len(s) for s in sets])
+    order = np.argsort(sizes, kind="stable")
+    sizes, part = sizes[order], np.asarray(parts)[order]
+    places = min(4096, max(64, 1 << int(np.median(sizes)).bit_length()))
+    bits = np.stack([parity(sets[i], places) for i in order])
+    found = []
+    for i in range(len(order)):
+        end = np.searchsorted(sizes, 100 * sizes[i] // percent, "right")
+        rest = slice(i + 1, end)
+        differ = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        near = (part[rest] != part[i]) & ((100 + percent) * differ <= (100 - percent) * (sizes[rest] + sizes[i]))
+        for j in i + 1 + np.flatnonzero(near):
+            if part[i] != part[j]:
+                both = len(np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True))
+                if 100 * both >= percent * (sizes[i] + sizes[j] - both):
+                    part[part == part[j]] = part[i]
+                    found.append((int(order[i]), int(order[j])))
+    return found
+
+
+def linked_in_crowds(crowds: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the parts of each crowd, for stored rows (hub, a, part) of crowds that fit in memory."""
+
+    def links(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        found = joining_links([x for _, _, x in rows], [part for _, part, _ in rows], percent)
+        return pa.RecordBatch.from_arrays([pa.array([rows[k[side]][0] for k in found], pa.int64()) for side in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, held = None, []
+        for batch in batches:
+            column = batch.column("x")
+            values, ends = column.flatten().to_numpy().view(np.uint64), np.cumsum(column.value_lengths().to_numpy())[:-1]
+            for h, a, part, x in zip(batch.column("hub").to_pylist(), batch.column("a").to_pylist(), batch.column("part").to_pylist(), np.split(values, ends), strict=True):
+                if h != hub and held:
+                    yield links(held)
+                    held = []
+                hub = h
+                held.append((a, part, x.copy()))
+        if held:
+            yield links(held)
+
+    rows = crowds.join(_needed(crowds, sets, "a", "x"), "a").where("size(x) > 0").select("hub", "a", "part", "x")
+    return rows.repartition("hub").sortWithinPartitions("hub").mapInArrow(run, "a long, b long")
+
+
 def difference_keys(x: np.ndarray, hub: np.ndarray, hub_id: int, percent: int) -> tuple[bool, np.ndarray]:
     """Whether a set is similar to its hub's, and keys of which it shares one with each similar set around the hub that
     is not linked to the hub like itself.
@@ -382,21 +477,25 @@ def _classes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     open_ = placed.groupBy("signature").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("signature")
     left = stored(placed.join(open_, "signature", "left_semi").select("hub", F.col("doc_id").alias("a"), "part").distinct())
     drop_stored(around)
-    crowd = left.groupBy("hub").agg(F.count("*").alias("n"))
+    lengths = sets.groupBy(F.col("doc_id").alias("a")).agg(F.sum("size").alias("size"))
+    crowd = stored(left.join(lengths, "a").groupBy("hub").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")))
     few = left.join(crowd.where(F.col("n") <= FEW), "hub")
     other = few.select("hub", F.col("a").alias("b"), F.col("part").alias("part_b"))
     pairs = few.join(other, "hub").where("a < b and part <> part_b").select("a", "b").distinct()  # at most FEW / 2 for each row
-    many = stored(left.join(crowd.where(F.col("n") > FEW), "hub").where("a <> hub").select("a", F.col("hub").alias("b"), "part"))
+    held = (F.col("n") <= CROWD) & (F.col("shingles") <= CROWDED)
+    some = stored(left.join(crowd.where((F.col("n") > FEW) & held), "hub").select("hub", "a", "part"))
+    inside = stored(linked_in_crowds(some, sets, percent))
+    many = stored(left.join(crowd.where((F.col("n") > FEW) & ~held), "hub").where("a <> hub").select("a", F.col("hub").alias("b"), "part"))
     keyed = stored(around_hubs(many, sets, percent))
     keys = keyed.select("a", "part", F.explode("keys").alias("key")).select("a", "part", F.shiftright("key", 2).alias("key"), F.col("key").bitwiseAND(3).alias("side"))
     other = keys.select("key", F.col("a").alias("b"), F.col("part").alias("part_b"), F.col("side").alias("side_b"))
     met = keys.join(other, "key").where("a < b and part <> part_b and (side + side_b) % 3 = 0").select("a", "b").distinct()
     more = similar(possible(pairs.union(met).distinct(), sets, percent), sets, percent)
-    every = links.union(more).union(keyed.where("linked").select("a", "b"))
+    every = links.union(inside).union(more).union(keyed.where("linked").select("a", "b"))
     classes = connected_components(every).select(F.col("node").alias("head"), F.col("component").alias("of_head"))
 
     by_key = stored(heads.join(classes, "head", "left").select("key", F.coalesce("of_head", "head").alias("component")))
-    for t in (sets, left, many, keyed, links, more, heads):
+    for t in (sets, left, crowd, some, inside, many, keyed, links, more, heads):
         drop_stored(t)
     joined = table.join(by_key, "key", "left")
     return joined.select("doc_id", "mark", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
