@@ -3,18 +3,15 @@
 Candidates grow by length, as every part of a frequent phrase is as frequent (Apriori). Words are counted by name. For pairs,
 and then for triples, tasks add up 64-bit hashes of the phrases whose parts may all be frequent, and a shuffle adds up the
 tasks' sums. A hash's sum is at least the count of each of its phrases, so phrases whose hash stays below the threshold are
-safely out. The texts of the others are the candidates. As a frequent phrase stands in nearly every task, texts fall into 254
-classes, the sums also give each hash's lowest class, and only texts of that class give the phrase's letters.
-
-Candidates are counted by double-array tries over the bytes of language and phrase. A trie holds some MOST_PHRASES phrases; a
-phrase belongs to the trie of its first pair's hash, so every text position is walked in one trie only. Tries are built in
-tasks and broadcast, TOGETHER in one pass over the texts at most, so that a task's memory is bounded. Numpy moves the states
-of all positions of a batch byte by byte, dropping those that fall out; accepting states are counted by bincount, and the
-tasks' counts are added up.
-
-What tasks look up (frequent words, pairs and triples, lowest classes) are tables of at most MOST_BITS bits or MOST_CELLS
-bytes. They only turn positions away that cannot matter: where they fill up, more candidates are counted or letters sent more
-than once, and the result stays the same.
+safely out. The others are the candidates.
+
+A last pass counts the candidates by their letters. Tasks add up those of some batches at a time, and send each to the shard
+of its hash, some MOST_PHRASES phrases a shard. A shard builds a double-array trie over the bytes of language and phrase, and
+numpy moves the states of all phrases that came in byte by byte; accepting states add up the counts. So the texts are read
+four times, whatever the number of candidates, and no trie leaves its task.
+
+What tasks look up (frequent words, pairs and triples) are bitmaps of at most MOST_BITS bits. They only turn positions away
+that cannot matter: where they fill up, more candidates are counted, and the result stays the same.
 """
 
 from __future__ import annotations
@@ -22,22 +19,21 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import sha256
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_stored, light_batches, shared_dir, stored, text_batches
+from .common import drop_stored, light_batches, stored, text_batches
 from .double_array import Trie, build
 
 LEAST, TOP, CONTAINED = 10, 2000, 50
-#: Phrases of a trie (about 120 bytes each), tries that are broadcast together, bits of a bitmap, and entries that a task
-#: gathers before it emits them.
-MOST_PHRASES, TOGETHER, MOST_BITS, MOST_CELLS, MOST_HELD = 1 << 16, 16, 1 << 26, 1 << 23, 1 << 20
-_CLASSES, _SEVERAL = 254, np.uint8(255)
+#: Phrases of a trie (about 120 bytes each), batches whose candidates a task adds up together, bits of a bitmap, and entries
+#: that a task gathers before it emits them.
+MOST_PHRASES, TOGETHER, MOST_BITS, MOST_HELD = 1 << 14, 16, 1 << 28, 1 << 20
 _BATCH = 1 << 20  # characters
 _UND = "und"
 
@@ -79,7 +75,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 @dataclass
 class Words:
     """The words of a batch of texts, with one space between those of a piece and one line feed after the last: their bytes,
-    places, language, whether the next word follows in the same piece, and the class of their text (from 1)."""
+    places, language, and whether the next word follows in the same piece."""
 
     buf: np.ndarray
     starts: np.ndarray
@@ -87,7 +83,6 @@ class Words:
     lang: np.ndarray
     langs: list[str]
     follows: np.ndarray
-    kind: np.ndarray
 
     def hashes(self) -> np.ndarray:
         """Of each word with its language: a polynomial over its bytes, from sums over the batch."""
@@ -125,18 +120,17 @@ def words_of(texts: list[str], languages: list[str | None]) -> Words:
     own = np.array([numbers[_UND if x is None else x] for x in languages], np.int64)
     in_text = np.diff(np.searchsorted(starts, np.cumsum([len(x) + 1 for x in shaped]), side="left"), prepend=0)
     lang = np.repeat(own, in_text)
-    kind = np.repeat(np.array([crc32(x) % _CLASSES + 1 for x in shaped], np.uint64), in_text)
     # Of what stands between two words, one byte stays.
     apart = buf.copy()
     apart[ends] = np.where(follows, 32, 10)
     within[ends] = True
     lengths = ends - starts
     places = np.concatenate([[0], np.cumsum(lengths + 1)])[: len(starts)].astype(np.int64)
-    return Words(apart[within], places, places + lengths, lang, langs, follows, kind)
+    return Words(apart[within], places, places + lengths, lang, langs, follows)
 
 
 class Held:
-    """Hashes with their counts and lowest classes, merged whenever many have come together; given out when more than
+    """Hashes with their counts and lowest classes (0: none), merged whenever many have come together; given out when more than
     MOST_HELD differ. A key is 56 bits of a hash over 8 bits of a class."""
 
     def __init__(self) -> None:
@@ -199,27 +193,6 @@ class Bitmap:
         return cls(words.view(np.uint64))
 
 
-class Owners:
-    """The class of texts that gives a hash's letters: 0 where there is no such hash, 255 where hashes of several classes meet."""
-
-    def __init__(self, cells: np.ndarray) -> None:
-        self.cells, self.mask = cells, np.uint64(len(cells) - 1)
-
-    def gives(self, hashes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-        own = self.cells[((hashes >> np.uint64(8)) & self.mask).astype(np.int64)]
-        return (own == kinds) | (own == _SEVERAL)
-
-    @classmethod
-    def of(cls, hashes: DataFrame) -> Owners:
-        """From a stored table (h, kind); 8 cells a member as far as MOST_CELLS allow."""
-        cells = np.zeros(min(MOST_CELLS, max(1 << 10, 1 << (8 * hashes.count()).bit_length())), np.uint8)
-        at = F.col("h").bitwiseAND(F.lit(len(cells) - 1)).cast("int")
-        found = hashes.groupBy(at.alias("at")).agg(F.min("kind").alias("low"), F.max("kind").alias("high")).toArrow()
-        low, high = found.column("low").to_numpy(), found.column("high").to_numpy()
-        cells[found.column("at").to_numpy()] = np.where(low == high, low, _SEVERAL)
-        return cls(cells)
-
-
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
     for batch, texts in text_batches(batches, _BATCH):
         yield words_of(texts, batch.column("lang").to_pylist())
@@ -263,29 +236,36 @@ def _word_hashes(words: DataFrame) -> DataFrame:
 
 
 def frequent_hashes(docs: DataFrame, least: int, places: Callable[[Words], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """h and kind of the hashes whose occurrences, over all texts, come to `least`; `places` gives a batch's hashes and which of
-    them count."""
+    """h of the hashes whose occurrences, over all texts, come to `least`; `places` gives a batch's hashes and which of them
+    count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Held()
-        for w in _batches(batches):
-            found, able = places(w)
-            yield from held.add(found[able], w.kind[: len(found)][able])
-        yield from held.given()
 
-    counted = docs.mapInArrow(run, "h long, n long, kind short").repartition("h")  # tasks have added up theirs
-    return counted.groupBy("h").agg(F.sum("n").alias("n"), F.min("kind").alias("kind")).where(F.col("n") >= least).select("h", "kind")
+        def every() -> Iterator[pa.RecordBatch]:
+            for w in _batches(batches):
+                found, able = places(w)
+                yield from held.add(found[able], np.uint64(0))
+            yield from held.given()
+
+        for b in every():
+            yield b.select(["h", "n"])
+
+    counted = docs.mapInArrow(run, "h long, n long").repartition("h")  # tasks have added up theirs
+    return counted.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
 
 
 class Filters:
-    """Which places of a batch may begin a frequent pair or triple, by the tables there are; broadcast to the tasks."""
+    """Which places of a batch may begin a frequent pair or triple, by the bitmaps there are; broadcast to the tasks."""
 
-    def __init__(self, ones: Bitmap, twos: Bitmap | None = None) -> None:
-        self.ones, self.twos = ones, twos
+    def __init__(self, ones: Bitmap, twos: Bitmap | None = None, threes: Bitmap | None = None) -> None:
+        self.ones, self.twos, self.threes = ones, twos, threes
 
     def pairs(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """(hash of the pair at each place, which may be frequent)."""
-        one = w.hashes()
+        return self._pairs(w, w.hashes())
+
+    def _pairs(self, w: Words, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         two, able = w.longer(one, one, 2), w.within(2)
         good = self.ones.has(one)
         able = able & good[:-1] & good[1:]
@@ -293,112 +273,125 @@ class Filters:
 
     def triples(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Those of the pairs, then of the triples."""
-        two, able = self.pairs(w)
-        return two, able, w.longer(two, w.hashes(), 3), able[:-1] & able[1:]
-
-
-def candidate_texts(docs: DataFrame, filters: Broadcast, owners: Broadcast) -> DataFrame:
-    """lang, phrase, words (2 or 3) and route (the hash of the first pair) of each candidate, once."""
-    schema = "lang string, phrase string, words int, route long"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for w in _batches(batches):
-            two, pair, three, triple = filters.value.triples(w)
-            data = w.buf.tobytes()
-            for n, h, able, own in ((2, two, pair, owners.value[0]), (3, three, triple, owners.value[1])):
-                at = np.flatnonzero(able & own.gives(h, w.kind[: len(h)]))
-                found, first = np.unique(h[at], return_index=True)
-                at = at[first][[x not in seen for x in found.tolist()]] if len(at) else at
-                seen.update(found.tolist())
-                if len(at):
-                    texts = [data[a:b] for a, b in zip(w.starts[at].tolist(), w.ends[at + n - 1].tolist(), strict=True)]
-                    langs = [w.langs[x] for x in w.lang[at].tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array([n] * len(at), pa.int32()), pa.array(two[at].view(np.int64))], names=["lang", "phrase", "words", "route"])
-            if len(seen) > MOST_HELD // 4:
-                seen.clear()
-
-    return docs.mapInArrow(run, schema).dropDuplicates(["lang", "phrase"])
-
-
-def tries(candidates: DataFrame) -> DataFrame:
-    """trie (a row of bytes) of each shard of stored candidates (lang, phrase, id, shard)."""
-
-    def make(group: pa.Table) -> pa.Table:
-        keys = [f"{lang}\n{phrase}".encode() for lang, phrase in zip(group.column("lang").to_pylist(), group.column("phrase").to_pylist(), strict=True)]
-        trie = build(keys, group.column("id").to_numpy())
-        return pa.table({"shard": group.column("shard").slice(0, 1), "trie": pa.array([trie.to_bytes()], pa.large_binary()).cast(pa.binary())})
-
-    return candidates.select("shard", "lang", "phrase", "id").groupBy("shard").applyInArrow(make, "shard long, trie binary")
-
-
-def walk(w: Words, trie: Trie, starts: np.ndarray) -> np.ndarray:
-    """How often each key of the trie occurs from the given words on."""
-    counts = np.zeros(len(trie.ids), np.int64)
-    roots = np.array([trie.walk(f"{x}\n".encode()) for x in w.langs], np.int64)
-    states, at = roots[w.lang[starts]], w.starts[starts]
-    known = states >= 0
-    states, at = states[known], at[known]
-    apart = (w.buf == 32) | (w.buf == 10)
-    while len(states):
-        states, there = trie.step(states, w.buf[at])
-        states, at = states[there], at[there] + 1
-        ended = trie.accept[states]
-        counts += np.bincount(ended[(ended >= 0) & apart[at]], minlength=len(counts))
-    return counts
-
-
-def count_shards(docs: DataFrame, sent: dict[int, Broadcast], filters: Broadcast, shards: int) -> DataFrame:
-    """id and n, task by task, of the phrases of those shards whose tries are broadcast."""
+        one = w.hashes()
+        two, able = self._pairs(w, one)
+        three, longer = w.longer(two, one, 3), able[:-1] & able[1:]
+        return two, able, three, longer & self.threes.has(three) if self.threes else longer
+
+
+def _candidates(w: Words, filters: Filters, shards: int) -> Iterator[pa.Table]:
+    """shard, lang, phrase and n of the candidates of a batch, each once, by language and number of words."""
+    two, pair, three, triple = filters.triples(w)
+    for n, h, able in ((2, two, pair), (3, three, triple)):
+        for i, lang in enumerate(w.langs):
+            at = np.flatnonzero(able & (w.lang[: len(able)] == i))
+            if not len(at):
+                continue
+            starts, lengths = w.starts[at], w.ends[at + n - 1] - w.starts[at]
+            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+            letters = w.buf[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], lengths)]
+            found = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+            numbers = found.indices.to_numpy()
+            shard = np.empty(len(found.dictionary), np.int64)
+            shard[numbers] = (h[at] % np.uint64(shards)).astype(np.int64)
+            yield pa.table({"shard": shard, "lang": pa.array([lang] * len(shard), pa.string()), "phrase": found.dictionary.cast(pa.binary()), "n": np.bincount(numbers)})
+
+
+def _packed(tables: list[pa.Table]) -> pa.RecordBatch:
+    """A row for each shard and language: the letters of its phrases, and as bytes their lengths and counts."""
+    t = pa.concat_tables(tables).group_by(["shard", "lang", "phrase"]).aggregate([("n", "sum")])
+    lang = t.column("lang").combine_chunks().dictionary_encode()
+    key = t.column("shard").to_numpy() * len(lang.dictionary) + lang.indices.to_numpy()
+    order = np.argsort(key, kind="stable")
+    key, phrases = key[order], t.column("phrase").cast(pa.large_binary()).combine_chunks().take(pa.array(order))
+    heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    edges = np.append(heads, len(key))
+    offsets = np.frombuffer(phrases.buffers()[1], np.int64)[phrases.offset : phrases.offset + len(phrases) + 1]
+    binary = lambda ends, data: pa.Array.from_buffers(pa.large_binary(), len(heads), [None, pa.py_buffer(ends.astype(np.int64)), data]).cast(pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(key[heads] // len(lang.dictionary)),
+            lang.dictionary.take(pa.array(key[heads] % len(lang.dictionary))),
+            binary(offsets[edges], phrases.buffers()[2]),
+            binary(edges * 4, pa.py_buffer(np.diff(offsets).astype(np.int32))),
+            binary(edges * 8, pa.py_buffer(t.column("n_sum").to_numpy()[order].astype(np.int64))),
+        ],
+        names=["shard", "lang", "letters", "lengths", "counts"],
+    )
+
+
+def candidate_counts(docs: DataFrame, filters: Broadcast, shards: int, together: int) -> DataFrame:
+    """The candidates of all texts with their counts, as _packed gives them, some batches of a task at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {shard: np.zeros(len(trie.value.ids), np.int64) for shard, trie in sent.items()}
-        for w in _batches(batches):
-            two, able = filters.value.pairs(w)
-            at = np.flatnonzero(able)
-            route = two[at].view(np.int64) % shards
-            order = np.argsort(route, kind="stable")
-            at, route = at[order], route[order]
-            for shard, trie in sent.items():
-                a, b = np.searchsorted(route, [shard, shard + 1])
-                total[shard] += walk(w, trie.value, at[a:b])
-        for shard, counts in total.items():
-            found = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(sent[shard].value.ids[found]), pa.array(counts[found])], names=["id", "n"])
-
-    return docs.mapInArrow(run, "id long, n long")
+        held: list[pa.Table] = []
+        for k, w in enumerate(_batches(batches), 1):
+            held.extend(_candidates(w, filters.value, shards))
+            if k % together == 0 and held:
+                yield _packed(held)
+                held.clear()
+        if held:
+            yield _packed(held)
+
+    return docs.mapInArrow(run, "shard long, lang string, letters binary, lengths binary, counts binary")
+
+
+def walk(trie: Trie, root: int, letters: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The number of the trie's key that each phrase is; all phrases are keys, and their letters follow each other."""
+    at = np.cumsum(lengths) - lengths
+    order = np.argsort(-lengths, kind="stable")
+    at, states = at[order], np.full(len(at), root, np.int64)
+    longer = len(at) - np.cumsum(np.bincount(lengths))  # phrases of more than so many bytes
+    for depth, n in enumerate(longer[:-1].tolist()):
+        states[:n] = trie.step(states[:n], letters[at[:n] + depth])[0]
+    out = np.empty(len(at), np.int64)
+    out[order] = trie.accept[states]
+    return out
+
+
+def phrases_of_shard(group: pa.Table, least: int) -> pa.Table:
+    """lang, phrase, words and n of a shard's phrases that occur `least` times, from its rows of candidate_counts()."""
+    joined = lambda t, c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
+    came, langs, texts = [], [], []
+    for lang in group.column("lang").unique().to_pylist():
+        t = group.filter(pc.equal(group.column("lang"), lang))
+        letters, lengths = joined(t, "letters", np.uint8), joined(t, "lengths", np.int32).astype(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        distinct = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).unique().to_pylist()
+        came.append((lang, letters, lengths, joined(t, "counts", np.int64)))
+        langs += [lang] * len(distinct)
+        texts += distinct
+    trie = build([f"{lang}\n".encode() + text for lang, text in zip(langs, texts, strict=True)], np.arange(len(texts)))
+    total = np.zeros(len(texts), np.int64)
+    for lang, letters, lengths, counts in came:
+        np.add.at(total, trie.ids[walk(trie, trie.walk(f"{lang}\n".encode()), letters, lengths)], counts)
+    kept = np.flatnonzero(total >= least)
+    phrase = pa.array([texts[i] for i in kept.tolist()], pa.binary()).cast(pa.string())
+    words = pc.add(pc.count_substring(phrase, " "), pa.scalar(1, pa.int32()))
+    return pa.table({"lang": pa.array([langs[i] for i in kept.tolist()], pa.string()), "phrase": phrase, "words": words, "n": total[kept]})
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, most_phrases: int = MOST_PHRASES, together: int = TOGETHER) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, n of all words; lang, phrase, words, n of the phrases of 2 and 3 words with n >= least), both stored."""
-    spark = docs.sparkSession
+    send = docs.sparkSession.sparkContext.broadcast
     words = stored(word_counts(docs))
     frequent = stored(_word_hashes(words.where(F.col("n") >= least)))
-    send = spark.sparkContext.broadcast
-    first = send(Filters(Bitmap.of(frequent)))
-
+    ones = Bitmap.of(frequent)
+    first = send(Filters(ones))
     pairs = stored(frequent_hashes(docs, least, lambda w: first.value.pairs(w)))
-    second = send(Filters(first.value.ones, Bitmap.of(pairs)))
+    first.destroy()
+
+    twos = Bitmap.of(pairs)
+    second = send(Filters(ones, twos))
     triples = stored(frequent_hashes(docs, least, lambda w: second.value.triples(w)[2:]))
-    owners = send((Owners.of(pairs), Owners.of(triples)))
-    texts = stored(candidate_texts(docs, second, owners).withColumn("id", F.monotonically_increasing_id()))
-    shards = -(-texts.count() // most_phrases)
-    candidates = texts.withColumn("shard", F.pmod("route", F.lit(max(shards, 1))))
-    made = shared_dir(spark)
-    tries(candidates).write.partitionBy("shard").parquet(made)
-    counts = spark.createDataFrame([], "id long, n long")
-    for start in range(0, shards, together):
-        sent = {}
-        for shard in range(start, min(start + together, shards)):
-            rows = spark.read.schema("trie binary, shard long").parquet(made).where(F.col("shard") == shard)  # reads its folder only
-            for trie in rows.select("trie").toArrow().column("trie").to_pylist():
-                sent[shard] = send(Trie.from_bytes(trie))
-        part = stored(count_shards(docs, sent, second, shards).groupBy("id").agg(F.sum("n").alias("n")))
-        for trie in sent.values():
-            trie.destroy()
-        counts = counts.unionByName(part)
-    counted = stored(texts.join(counts, "id").where(F.col("n") >= least).select("lang", "phrase", "words", "n"))
-    for t in (frequent, pairs, triples, texts):
+    second.destroy()
+
+    third = send(Filters(ones, twos, Bitmap.of(triples)))
+    shards = max(1, -(-(pairs.count() + triples.count()) // most_phrases))
+    rows = candidate_counts(docs, third, shards, together)
+    counted = stored(rows.groupBy("shard").applyInArrow(lambda group: phrases_of_shard(group, least), "lang string, phrase string, words int, n long"))
+    third.destroy()
+    for t in (frequent, pairs, triples):
         drop_stored(t)
     return words, counted
 

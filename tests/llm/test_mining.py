@@ -8,6 +8,8 @@ from hashlib import sha256
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from folioflow.llm import importance_resampling as R
@@ -76,6 +78,36 @@ def test_collocations_of_nothing(spark):
     assert P.collocations(spark.createDataFrame([(1, None, None, None, 1, 2, "", "")], DOCS)).count() == 0
 
 
+def test_passes_do_not_grow_with_candidates(spark, monkeypatch):
+    # Every few tries of candidates once cost one more pass over the texts.
+    docs, passes, kept = spark.createDataFrame(made_up(), DOCS), [], P.stored
+    monkeypatch.setattr(P, "stored", lambda df: passes.append(df.columns) or kept(df))
+    for most in (P.MOST_PHRASES, 20):
+        passes.append(most)
+        assert P.collocations(docs, 2, 5, most_phrases=most, together=1).count()
+    assert passes[1 : passes.index(20)] == passes[passes.index(20) + 1 :]
+
+
+def test_candidates_of_several_batches():
+    class Every:
+        def has(self, hashes):
+            return np.ones(len(hashes), bool)
+
+    rows = [(t, lang or "und") for _, t, lang, *_ in made_up() if t] + [("of " + "y" * 3000 + " bank", "de")] * 2
+    filters, want = P.Filters(Every()), Counter()
+    for t, lang in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(t)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            want.update((lang, " ".join(w[i : i + k]), k) for k in (2, 3) for i in range(len(w) - k + 1))
+    cut = [rows[:1], rows[1:30], rows[30:31], rows[31:]]
+    tables = [list(P._candidates(P.words_of([t for t, _ in b], [x for _, x in b]), filters, 7)) for b in cut]
+    sent = pa.Table.from_batches([P._packed(sum(part, [])) for part in (tables[:2], tables[2:])])
+    for least in (1, 3):
+        got = [P.phrases_of_shard(sent.filter(pc.equal(sent.column("shard"), i)), least) for i in sent.column("shard").unique().to_pylist()]
+        found = {(r["lang"], r["phrase"], r["words"]): r["n"] for t in got for r in t.to_pylist()}
+        assert len(got) == 7 and found == {p: n for p, n in want.items() if n >= least}
+
+
 def test_hash_sums_given_out_early_lose_nothing(monkeypatch):
     monkeypatch.setattr(P, "MOST_HELD", 50)
     rng, held, total, low = np.random.default_rng(2), P.Held(), Counter(), {}
