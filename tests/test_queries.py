@@ -48,3 +48,13 @@ def test_garbled_words_are_split_once(spark, sf_dir):
     # Each use of a word split the whole text again.
     plan = QUERIES["p10_phantom_tables"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+def test_printable_ratio_of_odd_texts(spark, tmp_path):
+    # Texts that are null went missing, and some halves were rounded up that the SQL rounds down.
+    odd = [None, "plain", "a\tb\r\n\xa0c"] + ["x" * n + "\n" * (640 - n) for n in (41, 323, 333, 639)]
+    pd.DataFrame({"doc_id": range(len(odd)), "text": odd}).to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    got = QUERIES["f3_printable_ratio"](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(con.execute(SQL["f3_printable_ratio"]).df()) and len(got) == len(odd)
