@@ -31,8 +31,8 @@ from .common import drop_stored, light_batches, stored, text_batches
 from .double_array import Trie, build
 
 LEAST, TOP, CONTAINED = 10, 2000, 50
-#: Phrases of a trie (about 120 bytes each), batches whose candidates a task adds up together, bits of a bitmap, and entries
-#: that a task gathers before it emits them.
+#: Phrases of a trie (about 120 bytes each), batches whose candidates a task adds up together at most, bits of a bitmap, and
+#: entries that a task gathers before it emits them.
 MOST_PHRASES, TOGETHER, MOST_BITS, MOST_HELD = 1 << 14, 16, 1 << 28, 1 << 20
 _BATCH = 1 << 20  # characters
 _UND = "und"
@@ -327,7 +327,7 @@ def candidate_counts(docs: DataFrame, filters: Broadcast, shards: int, together:
         held: list[pa.Table] = []
         for k, w in enumerate(_batches(batches), 1):
             held.extend(_candidates(w, filters.value, shards))
-            if k % together == 0 and held:
+            if held and (k % together == 0 or sum(map(len, held)) > MOST_HELD // 2):
                 yield _packed(held)
                 held.clear()
         if held:
